@@ -8,7 +8,6 @@ lower-casing the letters A-Z only.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,20 +46,25 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: the lineage is
-    cut, and a lost executor costs only a re-read."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write(df: DataFrame, path: str) -> DataFrame:
+    """Write Parquet, drop the shuffle files of that job at its end, read back."""
     spark = df.sparkSession
-    path = run_dir(spark, name)
-    df.write.parquet(path)
-    release(spark)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files whose plans are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: the lineage is
+    cut, and a lost executor costs only a re-read."""
+    return write(df, run_dir(df.sparkSession, name))
 
 
 # ---------------------------------------------------------------- hashing

@@ -14,7 +14,8 @@ Orders
 
 Plan
   1. One scan turns every text into its set size, a 64-bit identity of the set
-     and the tokens of the counted slice. Equal sets collapse here.
+     and the tokens of the counted slice. Equal sets send their tokens once a
+     task and are one set from here on.
   2. The slice's tokens are counted. A set whose A-prefix holds only tokens
      that no other set has cannot link and leaves; on ordinary text nearly all
      sets leave at this point.
@@ -41,11 +42,11 @@ from pyspark.sql import types as T
 from .common import U64, Words, lists, mix, shingles, slices, table
 from .components import components
 
-#: Share of the hash space whose tokens are counted for every document.
-SLICE_BITS = 2
+#: Tokens below this hash are counted for every document: a fifth of all, twice
+#: the share that a prefix takes of a set.
+COUNTED = 2**64 // 5
 #: Sets verified together; larger components are cut into pairs of blocks.
 BLOCK = 256
-_TOP = U64(64 - SLICE_BITS)
 _SEEDS = (U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F))
 
 
@@ -73,16 +74,20 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
 
 def _scan(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a set's tokens leave a task once
         for batch in slices(batches):
-            sizes, ids, own = [], [], []
+            sizes, ids, m, own = [], [], [], []
             for tokens in _sets(batch, k):
+                sig = _identity(tokens)
+                counted = tokens[: np.searchsorted(tokens, U64(COUNTED))]
                 sizes.append(len(tokens))
-                ids.append(_identity(tokens))
-                own.append(tokens[(tokens >> _TOP) == 0])
-            m = np.array([len(x) for x in own], np.int64)
-            flat = lists(np.concatenate(own).view(np.int64), m, pa.int64())
+                ids.append(sig)
+                m.append(len(counted))
+                own.append(counted[:0] if sig in seen else counted)
+                seen.add(sig)
+            flat = lists(np.concatenate(own).view(np.int64), np.array([len(x) for x in own]), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(m), flat],
+                [batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(m, pa.int64()), flat],
                 names=["doc_id", "n", "sig", "m", "tok"],
             )
 
@@ -226,9 +231,9 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, block: int =
     full = own.where("n > 0")
 
     # 2: which tokens of the counted slice do other sets have?
-    tokens = full.groupBy("sig").agg(F.first("tok").alias("tok")).select("sig", F.explode("tok").alias("t"))
+    tokens = full.select("sig", F.explode("tok").alias("t"))
     counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = tokens.join(counts, "t").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("shared"))
+    shared = tokens.join(counts, "t").groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("df", "t"))).alias("shared"))
     state = (
         full.groupBy("sig").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("m").alias("m"))
         .join(shared, "sig", "left")
@@ -247,8 +252,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, block: int =
     nameless = scanned.where("doc_id is null").select("text").mapInArrow(_whole_sets(k), schema)
     whole = whole.union(nameless.join(alive.where("doc is null").select("sig"), "sig", "left_semi"))
     whole = table(whole.dropDuplicates(["sig"]), "whole").join(alive, "sig")
-    counted = 1 << (64 - SLICE_BITS)
-    rest = whole.where("m < p").select("sig", F.explode("tokens").alias("t")).where(~F.col("t").between(0, counted - 1))
+    rest = whole.where("m < p").select("sig", F.explode("tokens").alias("t")).where(~F.col("t").between(0, COUNTED - 1))
     rest_counts = rest.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     tail = rest.join(rest_counts, "t").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("others"))
     whole = whole.join(tail, "sig", "left").withColumn("tail", F.expr("transform(slice(coalesce(others, array()), 1, greatest(0, p - cast(m as int))), x -> x.t)"))

@@ -31,10 +31,10 @@ g AS (
     ELSE list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
-o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS inter FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (
   SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
-  WHERE 100 * both >= 90 * (a.n + b.n - both)),
+  WHERE 100 * inter >= 90 * (a.n + b.n - inter)),
 r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
   least(d.doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = d.doc_id), d.doc_id)) AS component_id,
