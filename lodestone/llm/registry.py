@@ -6,8 +6,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ngram_join
+from . import langmix, lattice, line_runs, media, mixing, ngram_join, preference
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of documents.text, as a DuckDB list.
@@ -18,34 +19,112 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_classes(_read(spark, sf_dir, "documents"), k=3, percent=90)
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(media.to_media(_read(spark, sf_dir, "documents")))
+
+
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.systematic_mix(_read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS n FROM d GROUP BY source HAVING sum(size) > 0),
+w AS (SELECT *, (n - 1) % 3 + 1 AS w, 3 * source_size AS most FROM s),
+o AS (
+  SELECT *, coalesce(sum(most) OVER before, 0) AS cut, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS remaining, sum(source_size) OVER () AS total
+  FROM w WINDOW before AS (ORDER BY CAST(most AS DOUBLE) / CAST(w AS DOUBLE), source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, CAST(total - cut AS DOUBLE) / CAST(remaining AS DOUBLE) AS level FROM o),
+v AS (SELECT level FROM l WHERE level * w <= most ORDER BY CAST(most AS DOUBLE) / CAST(w AS DOUBLE), source IS NULL, source LIMIT 1),
+t AS (SELECT source, source_size, least(coalesce((SELECT level FROM v), CAST('inf' AS DOUBLE)) * w, CAST(most AS DOUBLE)) AS target FROM l),
+p AS (
+  SELECT d.doc_id, d.size, coalesce(t.source_size, 0) AS source_size, coalesce(t.target, 0.0) AS target,
+    coalesce(t.target / CAST(t.source_size AS DOUBLE), 0.0) AS each,
+    CAST(CAST('0x' || substr(md5('mix-1' || CASE WHEN d.source IS NULL THEN '/null' ELSE '/=' || d.source END), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u,
+    d.source
+  FROM d LEFT JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY size, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 2) AS BIGINT), doc_id) AS DOUBLE) AS upto
+  FROM p)
+SELECT doc_id, size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(floor(upto * each + u) - floor((upto - 1) * each + u) AS BIGINT) * size AS taken
+FROM r
+"""
+
+
+def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations 2k are taken as chosen and 2k + 1 as rejected of pair k."""
+    c = _read(spark, sf_dir, "conversations")
+    pair = c.withColumn("pair_id", F.expr("conv_id div 2"))
+    return preference.format_preferences(pair.where("conv_id % 2 = 0"), pair.where("conv_id % 2 = 1"))
+
+
+OP6_SQL = """
+WITH c AS (SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+d AS (SELECT pair_id, turn, list_sort(list(struct_pack(r := role, t := text)) FILTER (WHERE side = 0)) AS a, list_sort(list(struct_pack(r := role, t := text)) FILTER (WHERE side = 1)) AS b FROM c GROUP BY 1, 2),
+s AS (SELECT pair_id, min(CASE WHEN a IS DISTINCT FROM b THEN turn END) AS split FROM d GROUP BY 1 HAVING count(a) > 0 AND count(b) > 0),
+n AS (SELECT s.pair_id, s.split, count(CASE WHEN s.split IS NULL OR d.turn < s.split THEN 1 END) AS n_prompt FROM s JOIN d USING (pair_id) GROUP BY 1, 2)
+SELECT c.pair_id, CASE WHEN n.split IS NULL OR turn < n.split THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'rejected' END AS part, turn, role,
+  '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS rendered,
+  CAST(CASE WHEN turn >= n.split AND role = 'assistant' THEN 1 ELSE 0 END AS BIGINT) AS mask, n.n_prompt
+FROM c JOIN n USING (pair_id) WHERE side = 0 OR turn >= n.split
+"""
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_runs.dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.*, f.keeper IS NOT NULL AND doc_id < f.keeper AS gone FROM k LEFT JOIN f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(CASE WHEN gone THEN 1 END) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY 1
+"""
+
 OP5_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 g AS (
   SELECT DISTINCT doc_id, unnest(CASE
     WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[])
     WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')]
-    ELSE list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s
+    ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS s
   FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
 o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS inter FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (
   SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
   WHERE 100 * inter >= 90 * (a.n + b.n - inter)),
-r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
-  least(d.doc_id, coalesce((SELECT min(y) FROM r WHERE r.x = d.doc_id), d.doc_id)) AS component_id,
-  CAST(coalesce((SELECT count(*) FROM l WHERE l.x = d.doc_id), 0) AS BIGINT) AS n_links
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y),
+c AS (SELECT x, min(y) AS low FROM r GROUP BY 1),
+e AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(c.low, d.doc_id)) AS component_id, CAST(coalesce(e.n, 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.x = d.doc_id LEFT JOIN e ON e.x = d.doc_id
 """
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_classes(_read(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmix.identify(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lattice_scores(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_ngram_jaccard_join": op5_ngram_jaccard_join}
+    own = [op2_media_columns, op3_mix_sources, op5_ngram_jaccard_join, op6_preference_format, op7_line_dedup, op8_language_id, op10_lattice_scores]
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_jaccard_join": OP5_SQL}
+    return {"op3_mix_sources": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_preference_format": OP6_SQL, "op7_line_dedup": OP7_SQL}
