@@ -10,7 +10,9 @@ Orders
   A  tokens of a fixed slice of the hash space come first, rarest first by their
      document count, then all others (rarest first among the sets that need
      them). It is the order that generates candidates.
-  B, C  two seeded random orders, used as pair filters.
+  B  all tokens by their count inside a cluster of candidates; it splits the
+     clusters that A leaves too large for one block.
+  C, D  two seeded random orders, used as pair filters.
 
 Plan
   1. One scan turns every text into its set size, a 64-bit identity of the set
@@ -23,7 +25,7 @@ Plan
      A-prefixes connect sets to the smallest set of the token (a star, never
      all pairs), and connected components of these stars bound the search.
   4. Each component is verified in blocks of bounded size: pairs that share a
-     prefix token under A, B and C and fit in size are compared exactly. A
+     prefix token under every order and fit in size are compared exactly. A
      large component is split into pairs of blocks, so no task holds it all,
      and only union-find edges leave a task.
   5. Components of the verified links give the classes.
@@ -45,8 +47,9 @@ from .components import components
 #: Tokens below this hash are counted for every document: a fifth of all, twice
 #: the share that a prefix takes of a set.
 COUNTED = 2**64 // 5
-#: Sets verified together; larger components are cut into pairs of blocks.
-BLOCK = 256
+#: Sets and tokens of a block; larger components are cut into pairs of blocks.
+BLOCK = 512
+BLOCK_TOKENS = 500_000
 _SEEDS = (U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F))
 
 
@@ -213,6 +216,29 @@ def _verify(percent: int):
     return run
 
 
+def _clusters(sets: DataFrame) -> DataFrame:
+    """(sig, cluster) of sets that share a prefix token, directly or through
+    others, inside the cluster they come with. Sets that share none leave."""
+    holders = sets.select("cluster", "sig", F.explode("prefix").alias("t"))
+    pivots = holders.groupBy("cluster", "t").agg(F.min("sig").alias("pivot"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    stars = holders.join(pivots, ["cluster", "t"]).select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
+    near = components(stars).select(F.col("a").alias("sig"), F.col("b").alias("cluster"))
+    return near.union(near.select("cluster", "cluster").distinct())
+
+
+def _reordered(sets: DataFrame, percent: int) -> DataFrame:
+    """Prefixes under the order by counts inside each cluster, over all tokens;
+    sets with enough tokens of their own leave."""
+    tokens = sets.select("cluster", "sig", F.explode("tokens").alias("t"))
+    counts = tokens.groupBy("cluster", "t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = tokens.join(counts, ["cluster", "t"]).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("shared"))
+    d = sets.drop("prefix").join(shared, "sig").withColumn("n", F.size("tokens"))
+    spare = f"cast(n - ({percent} * n + 99) div 100 + 1 - (n - size(shared)) as int)"
+    d = d.withColumn("spare", F.expr(spare)).where("spare > 0")
+    d = d.withColumn("prefix", F.expr("transform(slice(shared, 1, spare), x -> x.t)"))
+    return table(d.select("cluster", "sig", "copies", "tokens", "prefix", "n"), "reordered")
+
+
 def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``.
 
@@ -258,15 +284,23 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, block: int =
     whole = whole.join(tail, "sig", "left").withColumn("tail", F.expr("transform(slice(coalesce(others, array()), 1, greatest(0, p - cast(m as int))), x -> x.t)"))
     whole = table(whole.select("sig", "copies", "tokens", F.concat("lead", "tail").alias("prefix")), "prefixes")
 
-    holders = whole.select("sig", F.explode("prefix").alias("t"))
-    pivots = holders.groupBy("t").agg(F.min("sig").alias("pivot"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    stars = holders.join(pivots, "t").select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
-    near = components(stars).select(F.col("a").alias("sig"), F.col("b").alias("cluster"))
-    near = near.union(near.select("cluster", "cluster").distinct())
+    near = _clusters(whole.select(F.lit(0).cast("long").alias("cluster"), "sig", "prefix"))
+    sized = near.join(whole.select("sig", F.size("tokens").alias("n")), "sig").groupBy("cluster").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")
+    )
+    placed = table(whole.join(near.join(sized, "cluster"), "sig"), "placed")
+
+    # order B: what does not fit in one block is ordered anew, by all its tokens
+    large = _reordered(placed.where("blocks > 1"), percent)
+    finer = _clusters(large.select("cluster", "sig", "prefix"))
+    sized = finer.join(large.select("sig", "n"), "sig").groupBy("cluster").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")
+    )
+    large = large.drop("cluster", "n").join(finer.join(sized, "cluster"), "sig")
+    placed = placed.where("blocks = 1").unionByName(large.select(placed.columns))
 
     # 4: exact verification inside bounded blocks
-    sizes = near.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    members = whole.join(near.join(sizes, "cluster"), "sig").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    members = placed.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     members = members.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sig", "block", "copies", "prefix", "tokens")
     members = members.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
