@@ -25,6 +25,8 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[_SPACES] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: For loose matching: all ASCII but letters and digits separates words.
+IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _BYTE_CODE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _BASE = 0x9E3779B97F4A7C15
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
@@ -87,14 +89,23 @@ def _power(kind: str, base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+class Spans:
+    """64-bit hashes of byte spans: a polynomial hash read off one running sum,
+    so a span's cost does not depend on its length."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE_CODE[data] * _power("up", _BASE, n), out=self.sums[1:])
+        self.down = _power("down", _BASE_INVERSE, n + 1)
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = (self.sums[ends] - self.sums[starts]) * self.down[starts]
+        return mix(h + (ends - starts).astype(np.uint64))
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span: a polynomial hash read off one running
-    sum, so the cost does not depend on span lengths."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * _power("up", _BASE, n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power("down", _BASE_INVERSE, n + 1)[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+    return Spans(data).hashes(starts, ends)
 
 
 # ---------------------------------------------------------------- text batches
@@ -126,12 +137,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
 class Words:
     """The words of one batch of texts, as byte spans into the lowered bytes."""
 
-    def __init__(self, column: pa.Array, lower: bool = True):
+    def __init__(self, column: pa.Array, separators: np.ndarray = IS_SPACE):
         data, offsets = text_buffers(column)
-        self.data = LOWER[data] if lower else data
+        self.data = LOWER[data]
         self.offsets = offsets
         n = len(data)
-        space = IS_SPACE[data]
+        space = separators[data]
         first = np.zeros(n + 1, bool)
         first[offsets] = True
         before = np.ones(n, bool)

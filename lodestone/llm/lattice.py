@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, mix, slices, span_hashes, table
+from .common import U64, Spans, Words, slices, span_hashes, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SHARD_BYTES = 32 << 20
@@ -90,12 +90,12 @@ class Pieces:
         return out
 
 
-def _edges(data: np.ndarray, starts: np.ndarray, length: int, pieces: Pieces) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+def _edges(spans: Spans, starts: np.ndarray, length: int, pieces: Pieces) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
     """(from, to) -> rows and pieces, for words of one length."""
     out = {}
     for to in range(1, length + 1):
         for back in range(1, min(to, pieces.longest) + 1):
-            found = pieces.lookup(span_hashes(data, starts + to - back, starts + to))
+            found = pieces.lookup(spans.hashes(starts + to - back, starts + to))
             rows = np.flatnonzero(found >= 0)
             if len(rows):
                 out[to - back, to] = rows, found[rows]
@@ -105,14 +105,14 @@ def _edges(data: np.ndarray, starts: np.ndarray, length: int, pieces: Pieces) ->
 def word_likelihoods(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pieces: Pieces, counts: np.ndarray | None = None):
     """Natural-log marginal of each span (START included); with counts, also
     the expected use of every piece, summed over spans times counts."""
-    lengths = ends - starts
+    lengths, spans = ends - starts, Spans(data)
     result = np.full(len(starts), -np.inf)
     used = np.zeros(len(pieces.strings)) if counts is not None else None
     for length in np.unique(lengths):
         every = np.flatnonzero(lengths == length)
         step = max(1, int(2_000_000 // max(1, length * length)))
         for rows in (every[i : i + step] for i in range(0, len(every), step)):
-            edges = _edges(data, starts[rows], int(length), pieces)
+            edges = _edges(spans, starts[rows], int(length), pieces)
             alpha = np.full((length + 1, len(rows)), -np.inf)
             alpha[0] = 0
             for (a, b), (r, piece) in edges.items():
@@ -133,6 +133,10 @@ def word_likelihoods(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pie
 def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of binary words, each with START before it."""
     column = column.cast(pa.large_binary())
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0)
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
@@ -180,12 +184,25 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 60_000) -> Iterator[pa.Table]:
+    """Small batches put together: words are handled by length, so the cost of
+    a batch has a part that does not depend on its rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _expected(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(pieces.strings))
-        for batch in batches:
-            if batch.num_rows:
-                total += word_likelihoods(*_spans(batch.column(0)), pieces, batch.column(1).to_numpy(zero_copy_only=False).astype(float))[1]
+        for rows in _gathered(batches):
+            total += word_likelihoods(*_spans(rows["word"]), pieces, rows["c"].to_numpy().astype(float))[1]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["piece", "used"])
 
@@ -194,10 +211,10 @@ def _expected(pieces: Pieces):
 
 def _likelihood(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                value, _ = word_likelihoods(*_spans(batch.column(0)), pieces)
-                yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(value / log(10))], names=["h", "c", "lp"])
+        for rows in _gathered(batches):
+            value, _ = word_likelihoods(*_spans(rows["word"]), pieces)
+            out = pa.table([rows["h"], rows["c"], pa.array(value / log(10))], names=["h", "c", "lp"])
+            yield from out.to_batches(max_chunksize=10_000)
 
     return run
 
