@@ -1,7 +1,7 @@
 """Language identification by multilingual mixture inference.
 
-Each language is a distribution over hashed byte n-grams (1 to 4 bytes of the
-lower-cased text, words framed by one space). A document is a mixture: every one
+Each language is a distribution over hashed byte n-grams (3 and 4 bytes of the
+lower-cased text, with runs of spaces and digits as one space, and one at both ends). A document is a mixture: every one
 of its n-grams was drawn from one of the languages, and expectation-maximisation
 finds the proportions that make the document likeliest. Languages are then left
 out, the weakest first, as long as the likelihood penalised by the number of
@@ -28,7 +28,7 @@ BUCKETS = 1 << 14
 #: Most languages a model may have; more is an error, not a silent cut.
 MOST_LANGUAGES = 256
 _SLICE = 1 << 20
-_ROUNDS = 12
+_ROUNDS = 9
 
 
 def _ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -36,12 +36,17 @@ def _ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = text_buffers(column)
     data = LOWER[data]
     data = np.where(IS_SPACE[data] | ((data >= 0x30) & (data <= 0x39)), np.uint8(0x20), data)
-    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    texts = len(offsets) - 1
+    plain = np.repeat(np.arange(texts), np.diff(offsets))
+    owner = np.repeat(np.arange(texts), np.diff(offsets) + 2)
+    framed = np.full(len(owner), 0x20, np.uint8)
+    framed[np.arange(len(data)) + 2 * plain + 1] = data
+    data = framed
     keep = np.ones(len(data), bool)
-    keep[1:] = ~((data[1:] == 0x20) & (data[:-1] == 0x20))
+    keep[1:] = (data[1:] != 0x20) | (data[:-1] != 0x20) | (owner[1:] != owner[:-1])
     data, owner = data[keep].astype(np.uint64), owner[keep]
     docs, grams = [], []
-    for n in (2, 3, 4):
+    for n in (3, 4):
         if len(data) < n:
             continue
         code = np.zeros(len(data) - n + 1, np.uint64)
@@ -85,18 +90,21 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r["lang"] for r in rows], p / p.sum(1, keepdims=True)
 
 
-def _em(owner_starts, count, like, total, allowed, rounds: int = _ROUNDS):
+def _em(starts, count, like, total, allowed, rounds: int = _ROUNDS):
     """Proportions (texts x languages) and log likelihoods, with languages
-    outside ``allowed`` held at zero."""
+    outside ``allowed`` held at zero. ``like`` is (languages, cells)."""
     pi = allowed / allowed.sum(1, keepdims=True)
-    width = np.diff(np.append(owner_starts, len(count)))
+    width = np.diff(np.append(starts, len(count)))
+    mixed = np.empty_like(like)
     for step in range(rounds + 1):
-        mixed = like * np.repeat(pi, width, axis=0)
-        p = mixed.sum(1)
+        for i in range(len(like)):
+            np.multiply(like[i], np.repeat(pi[:, i].astype(np.float32), width), out=mixed[i])
+        p = mixed.sum(0)
         if step == rounds:
-            return pi, np.add.reduceat(count * np.log(p), owner_starts)
-        pi = np.add.reduceat(mixed * (count / p)[:, None], owner_starts) / total[:, None]
-        pi = np.maximum(pi, 1e-12) * allowed
+            return pi, np.add.reduceat(count * np.log(p.astype(float)), starts)
+        share = count / p
+        pi = np.stack([np.add.reduceat(m * share, starts) for m in mixed], 1) / total[:, None]
+        pi = np.maximum(pi, 1e-9) * allowed
         pi /= pi.sum(1, keepdims=True)
 
 
@@ -107,22 +115,22 @@ def mixtures(docs: np.ndarray, grams: np.ndarray, n_docs: int, p: np.ndarray) ->
     cell = np.flatnonzero(table)
     if not len(cell):
         return out
-    count, owner, gram = table[cell].astype(float), cell // BUCKETS, cell % BUCKETS
+    count, owner, gram = table[cell].astype(np.float32), cell // BUCKETS, cell % BUCKETS
     some, starts = np.unique(owner, return_index=True)
-    total = np.add.reduceat(count, starts)
-    like = (p.T / p.mean(0)[:, None])[gram]
+    total = np.add.reduceat(count, starts).astype(float)
+    like = np.ascontiguousarray((p / p.mean(0)).astype(np.float32)[:, gram])
     allowed = np.ones((len(some), len(p)))
     pi, ll = _em(starts, count, like, total, allowed)
     penalty = 0.5 * np.log(np.maximum(total, 2))
     best, score = pi.copy(), ll - penalty * (len(p) - 1)
-    active = np.arange(len(some))
+    active, ends = np.arange(len(some)), np.append(starts, len(count))[1:]
     for left in range(len(p) - 1, 0, -1):
         weakest = np.where(allowed[active] > 0, pi[active], np.inf).argmin(1)
         allowed[active, weakest] = 0
-        rows = np.concatenate([np.arange(a, b) for a, b in zip(starts[active], np.append(starts, len(count))[active + 1])])
-        width = np.append(starts, len(count))[active + 1] - starts[active]
-        new_starts = np.concatenate([[0], np.cumsum(width)[:-1]])
-        now, ll = _em(new_starts, count[rows], like[rows], total[active], allowed[active], 0 if left == 1 else _ROUNDS // 2)
+        width = ends[active] - starts[active]
+        first = np.cumsum(width) - width
+        rows = np.arange(width.sum()) + np.repeat(starts[active] - first, width)
+        now, ll = _em(first, count[rows], like[:, rows], total[active], allowed[active], 0 if left == 1 else _ROUNDS // 3)
         pi[active] = now
         value = ll - penalty[active] * (left - 1)
         better = value >= score[active]
@@ -134,26 +142,58 @@ def mixtures(docs: np.ndarray, grams: np.ndarray, n_docs: int, p: np.ndarray) ->
     return out
 
 
+def _shares(part: pa.RecordBatch, langs: list[str], p: np.ndarray):
+    """Shares of the languages, their first largest and its share of every row;
+    rows without letters or n-grams have none."""
+    n = part.num_rows
+    shares = mixtures(*_ngrams(part.column(part.schema.get_field_index("text"))), n, p) if langs else np.zeros((n, 1))
+    known = part.column(part.schema.get_field_index("__letters")).to_numpy(zero_copy_only=False).astype(bool)
+    return np.where(known[:, None], shares, 0)
+
+
 def _predict(langs: list[str], p: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=_SLICE):
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                n = part.num_rows
-                shares = mixtures(*_ngrams(part.column(part.schema.get_field_index("text"))), n, p) if len(langs) else np.zeros((n, 0))
-                known = part.column(part.schema.get_field_index("letters")).to_numpy(zero_copy_only=False).astype(bool)
-                top = shares.argmax(1) if len(langs) else np.zeros(n, int)
-                score = shares.max(1) if len(langs) else np.zeros(n)
-                good = known & (score > 0)
-                names = np.array([*langs, "und"], object)[np.where(good, top, len(langs))]
+                shares = _shares(part, langs, p)
+                top, score = shares.argmax(1), shares.max(1)
+                names = np.array([*langs, "und"], object)[np.where(score > 0, top, len(langs))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(np.where(good, np.minimum(score, 1.0), 0.0)), lists(np.where(good[:, None], shares, 0).ravel(), np.full(n, len(langs)), pa.float64())],
+                    [part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(np.minimum(score, 1.0)), lists(shares[:, : len(langs)].ravel(), np.full(part.num_rows, len(langs)), pa.float64())],
                     names=["doc_id", "held_out", "lang_pred", "score", "shares"],
                 )
 
     return run
 
 
+def _letters():
+    return F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__letters")
+
+
+def _held(folds: int, held: int):
+    """Whether a row is out of training; a null doc_id hashes as an empty text."""
+    return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == held).alias("held_out")
+
+
+def _dominant(langs: list[str], p: np.ndarray, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=_SLICE):
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                top = _shares(part, langs, p).max(1)
+                yield part.filter(pa.array((top > 0) & (top >= least))).drop_columns(["__letters"])
+
+    return run
+
+
+def keep_identified(docs: DataFrame, least_share: float, folds: int = 4, held: int = 2) -> DataFrame:
+    """``docs`` without the rows that are ``und`` or whose main language has less
+    than ``least_share`` of the text; all columns pass through one scan."""
+    langs, p = fit(docs.where(~_held(folds, held)))
+    return docs.withColumn("__letters", _letters()).mapInArrow(_dominant(langs, p, least_share), docs.schema)
+
+
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, shares); shares follow the learned
     languages in code-point order.
@@ -168,8 +208,7 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     columns of the result replace any of the same name; an empty table gives an
     empty result.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    out = (F.crc32(key) % folds == held).alias("held_out")
+    out = _held(folds, held)
     langs, p = fit(docs.where(~out))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out, F.col("text").cast("string").alias("text"), F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), out, F.col("text").cast("string").alias("text"), _letters())
     return d.mapInArrow(_predict(langs, p), "doc_id long, held_out boolean, lang_pred string, score double, shares array<double>")

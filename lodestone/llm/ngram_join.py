@@ -44,15 +44,19 @@ from pyspark.sql import types as T
 from .common import U64, Words, lists, mix, shingles, slices, table
 from .components import components
 
-#: Tokens below this hash are counted for every document: a fifth of all, twice
-#: the share that a prefix takes of a set.
-COUNTED = 2**64 // 5
 #: Sets and tokens of a block; larger components are cut into pairs of blocks.
 BLOCK = 512
 BLOCK_TOKENS = 500_000
 _SEEDS = (U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F))
 
 
+def counted_below(k: int, percent: int) -> int:
+    """Tokens below this hash are counted for every document: somewhat more than
+    the share that a prefix takes of a set, as only tokens that no other set has
+    let a set leave (longer shingles are more often such)."""
+    return 2**62 * (100 - percent) * (8 if k < 5 else 6) // 100
+
+
 def prefix_length(n, percent: int):
     """Tokens of a set of size n of which one at least is in any linked set."""
     return n - (percent * n + 99) // 100 + 1
@@ -75,14 +79,16 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
         yield np.unique(shingles(h[bounds[i] : bounds[i + 1]], k))
 
 
-def _scan(k: int):
+def _scan(k: int, percent: int):
+    limit = U64(counted_below(k, percent))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a set's tokens leave a task once
         for batch in slices(batches):
             sizes, ids, m, own = [], [], [], []
             for tokens in _sets(batch, k):
                 sig = _identity(tokens)
-                counted = tokens[: np.searchsorted(tokens, U64(COUNTED))]
+                counted = tokens[: np.searchsorted(tokens, limit)]
                 sizes.append(len(tokens))
                 ids.append(sig)
                 m.append(len(counted))
@@ -253,7 +259,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, block: int =
     columns are ignored; an empty table gives an empty result.
     """
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = table(scanned.mapInArrow(_scan(k), "doc_id long, n long, sig long, m long, tok array<long>"), "sets")
+    own = table(scanned.mapInArrow(_scan(k, percent), "doc_id long, n long, sig long, m long, tok array<long>"), "sets")
     full = own.where("n > 0")
 
     # 2: which tokens of the counted slice do other sets have?
@@ -278,7 +284,7 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, block: int =
     nameless = scanned.where("doc_id is null").select("text").mapInArrow(_whole_sets(k), schema)
     whole = whole.union(nameless.join(alive.where("doc is null").select("sig"), "sig", "left_semi"))
     whole = table(whole.dropDuplicates(["sig"]), "whole").join(alive, "sig")
-    rest = whole.where("m < p").select("sig", F.explode("tokens").alias("t")).where(~F.col("t").between(0, COUNTED - 1))
+    rest = whole.where("m < p").select("sig", F.explode("tokens").alias("t")).where(~F.col("t").between(0, min(counted_below(k, percent), 2**63) - 1))
     rest_counts = rest.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     tail = rest.join(rest_counts, "t").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("others"))
     whole = whole.join(tail, "sig", "left").withColumn("tail", F.expr("transform(slice(coalesce(others, array()), 1, greatest(0, p - cast(m as int))), x -> x.t)"))

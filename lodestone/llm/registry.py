@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langmix, lattice, line_runs, media, mixing, ngram_join, preference
+from . import importance, langmix, lattice, licences, line_runs, media, mixing, ngram_join, preference, tiling
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of documents.text, as a DuckDB list.
@@ -19,6 +20,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.to_media(_read(spark, sf_dir, "documents")))
 
@@ -88,6 +93,11 @@ SELECT doc_id, count(*) AS n_lines, count(CASE WHEN gone THEN 1 END) AS n_droppe
 FROM m GROUP BY 1
 """
 
+def op4_benchmark_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold benchmark items, with the items."""
+    return tiling.contaminations(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 OP5_SQL = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 g AS (
@@ -117,14 +127,27 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langmix.identify(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a tree by source, thousand and hundred of the id, in
+    which every tenth file is named as a licence file."""
+    d = _read(spark, sf_dir, "documents")
+    name = F.when(F.expr("doc_id % 10 = 0"), F.format_string("LICENSE-%d.txt", "doc_id")).otherwise(F.format_string("%d.txt", "doc_id"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("string(doc_id div 1000)"), F.expr("string(doc_id div 100 % 10)"), name)
+    return licences.scan_licences(d.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
+
+
 def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.lattice_scores(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_media_columns, op3_mix_sources, op5_ngram_jaccard_join, op6_preference_format, op7_line_dedup, op8_language_id, op10_lattice_scores]
-    return {f.__name__: f for f in own}
+    own = [
+        op1_importance_resampling, op2_media_columns, op3_mix_sources, op4_benchmark_tiling, op5_ngram_jaccard_join,
+        op6_preference_format, op7_line_dedup, op8_language_id, op9_licence_scan, op10_lattice_scores,
+    ]
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_preference_format": OP6_SQL, "op7_line_dedup": OP7_SQL}
+    sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return sql | {"op3_mix_sources": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_preference_format": OP6_SQL, "op7_line_dedup": OP7_SQL}

@@ -114,18 +114,25 @@ class _Block:
             yield from map(tuple, np.unique(np.concatenate(pairs), axis=0))
 
 
-def _match(shared, least: int, threshold: float):
+def _leaks(block: _Block, batch: pa.RecordBatch, threshold: float) -> Iterator[tuple]:
+    """(text number, item, covered, tiles, longest) of a batch."""
+    words = Words(batch.column(batch.schema.get_field_index("text")).cast(pa.string()), IS_MARK)
+    h = words.hashes()
+    for t, i in block.candidates(h, words.bounds):
+        found = tiles(h[words.bounds[t] : words.bounds[t + 1]], block.items[i], block.least)
+        covered = sum(n for _, _, n in found)
+        if found and covered >= threshold * len(block.items[i]):
+            yield int(t), int(i), covered, len(found), max(n for _, _, n in found)
+
+
+def _match(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch in slices(batches):
-            words = Words(batch.column(batch.schema.get_field_index("text")), IS_MARK)
-            h, ids, out = words.hashes(), batch.column(0), []
-            for t, i in block.candidates(h, words.bounds):
-                item = block.items[i]
-                found = tiles(h[words.bounds[t] : words.bounds[t + 1]], item, least)
-                covered = sum(n for _, _, n in found)
-                if covered >= threshold * len(item):
-                    out.append((ids[int(t)].as_py(), block.ids[i], len(item), covered, covered / len(item), len(found), max(n for _, _, n in found)))
+            ids, out = batch.column(0), []
+            for t, i, covered, n, longest in _leaks(block, batch, threshold):
+                words = len(block.items[i])
+                out.append((ids[t].as_py(), block.ids[i], words, covered, covered / words, n, longest))
             if out:
                 kinds = [pa.int64()] * 4 + [pa.float64()] + [pa.int64()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kinds[j]) for j in range(7)], names=[c.split()[0] for c in SCHEMA.split(", ")])
@@ -133,6 +140,31 @@ def _match(shared, least: int, threshold: float):
     return run
 
 
+def _drop(shared, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        for batch in slices(batches):
+            keep = np.ones(batch.num_rows, bool)
+            keep[[t for t, *_ in _leaks(block, batch, threshold)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, least: int, block_bytes: int) -> Iterator:
+    """The items in blocks of bounded bytes, each sent to the executors once."""
+    sc = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    rows, size = [], 0
+    for r in items.toLocalIterator():
+        rows.append((r["item_id"], r["text"]))
+        size += len(r["text"])
+        if size >= block_bytes:
+            yield sc.broadcast(_Block(rows, least))
+            rows, size = [], 0
+    yield sc.broadcast(_Block(rows, least))
+
+
 def contaminations(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, item_words, covered, coverage, tiles, longest) of every
     document and item whose coverage reaches ``threshold``.
@@ -142,28 +174,17 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, least: int = 5, thresh
     repeated documents or items give repeated rows; null ids are carried as
     null; other columns are ignored; empty tables give an empty result.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-
-    def scan(rows):
-        return d.mapInArrow(_match(spark.sparkContext.broadcast(_Block(rows, least)), least, threshold), SCHEMA)
-
-    done, rows, size = None, [], 0
-    for r in items.toLocalIterator():
-        rows.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-        if size >= block_bytes:
-            part = table(scan(rows), "tiles")
-            done, rows, size = part if done is None else done.unionByName(part), [], 0
-    if not rows and done is not None:
-        return done
-    last = scan(rows)
-    return last if done is None else done.unionByName(last)
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose doc_id has a contamination (rows with a
-    null id share one)."""
-    bad = table(contaminations(docs, benchmark, least, threshold).select(F.col("doc_id").alias("__bad")).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["__bad"]), "left_anti")
+    done: DataFrame | None = None
+    for shared in _blocks(benchmark, least, block_bytes):
+        part = d.mapInArrow(_match(shared, threshold), SCHEMA)
+        done = part if done is None else table(done, "tiles").unionByName(part)
+    return done
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows whose text has a contamination; all columns
+    pass through, and no shuffle is needed."""
+    for shared in _blocks(benchmark, least, block_bytes):
+        docs = docs.mapInArrow(_drop(shared, threshold), docs.schema)
+    return docs
