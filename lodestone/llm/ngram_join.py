@@ -10,8 +10,8 @@ Orders
   A  tokens of a fixed slice of the hash space come first, rarest first by their
      document count, then all others (rarest first among the sets that need
      them). It is the order that generates candidates.
-  B  all tokens by their count inside a cluster of candidates; it splits the
-     clusters that A leaves too large for one block.
+  B  all tokens by their count inside a cluster of candidates, so that sets
+     with enough tokens of their own leave and clusters fall apart.
   C, D  two seeded random orders, used as pair filters.
 
 Plan
@@ -291,19 +291,14 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, block: int =
     whole = table(whole.select("sig", "copies", "tokens", F.concat("lead", "tail").alias("prefix")), "prefixes")
 
     near = _clusters(whole.select(F.lit(0).cast("long").alias("cluster"), "sig", "prefix"))
-    sized = near.join(whole.select("sig", F.size("tokens").alias("n")), "sig").groupBy("cluster").agg(
-        F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")
-    )
-    placed = table(whole.join(near.join(sized, "cluster"), "sig"), "placed")
 
-    # order B: what does not fit in one block is ordered anew, by all its tokens
-    large = _reordered(placed.where("blocks > 1"), percent)
-    finer = _clusters(large.select("cluster", "sig", "prefix"))
-    sized = finer.join(large.select("sig", "n"), "sig").groupBy("cluster").agg(
+    # order B: each cluster is ordered anew, by all its tokens
+    ordered = _reordered(whole.join(near, "sig"), percent)
+    finer = _clusters(ordered.select("cluster", "sig", "prefix"))
+    sized = finer.join(ordered.select("sig", "n"), "sig").groupBy("cluster").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")
     )
-    large = large.drop("cluster", "n").join(finer.join(sized, "cluster"), "sig")
-    placed = placed.where("blocks = 1").unionByName(large.select(placed.columns))
+    placed = ordered.drop("cluster", "n").join(finer.join(sized, "cluster"), "sig")
 
     # 4: exact verification inside bounded blocks
     members = placed.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
