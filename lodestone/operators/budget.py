@@ -79,7 +79,7 @@ def random_arm(metrics: DataFrame, repeats: int = 100, seed: int = SEED) -> Data
             rows.append((budget, float(np.mean(means))))
         return pd.DataFrame(rows, columns=["budget_percent", "random_ndcg10"])
 
-    return metrics.select("query_id", "ndcg_stage1", "ndcg_full").groupBy(F.lit(0)).applyInPandas(run, "budget_percent int, random_ndcg10 double")
+    return metrics.select("query_id", "ndcg_stage1", "ndcg_full").groupBy().applyInPandas(run, "budget_percent int, random_ndcg10 double")
 
 
 def b_star(points: DataFrame) -> DataFrame:

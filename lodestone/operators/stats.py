@@ -82,7 +82,7 @@ def bootstrap_mean(df: DataFrame, value: str, resamples: int = 10_000, seed: int
         low, high = np.quantile(means, [0.025, 0.975])
         return pd.DataFrame({"low": [low], "high": [high]})
 
-    return df.select(order, value).groupBy(F.lit(0)).applyInPandas(run, "low double, high double")
+    return df.select(order, value).groupBy().applyInPandas(run, "low double, high double")
 
 
 def bootstrap_ratio(df: DataFrame, numerator: str, denominator: str, resamples: int = 10_000, seed: int = SEED, order: str = "query_id") -> DataFrame:
@@ -99,7 +99,7 @@ def bootstrap_ratio(df: DataFrame, numerator: str, denominator: str, resamples:
         low, high = np.quantile(np.concatenate(out), [0.025, 0.975])
         return pd.DataFrame({"low": [low], "high": [high]})
 
-    return df.select(order, numerator, denominator).groupBy(F.lit(0)).applyInPandas(run, "low double, high double")
+    return df.select(order, numerator, denominator).groupBy().applyInPandas(run, "low double, high double")
 
 
 def bootstrap_hashed(df: DataFrame, value: str, resamples: int = 200, order: str = "query_id") -> DataFrame:

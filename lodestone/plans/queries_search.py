@@ -1 +1,360 @@
-"""Queries."""
+"""Queries of weight searches, budgets, statistics, gates and the learned gate."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import budget, decisions, gate, metrics, oracle, page_oracle, stats
+
+from . import adapters as ad
+from .queries_core import _QM, METRICS
+from .registry import query
+
+W7, W66 = oracle.W7, oracle.simplex(10)
+
+
+def _profile_sql(profiles) -> str:
+    """norm, grid and pm(query_id, profile, metrics rounded for comparison)."""
+    fused = "(SELECT n.query_id, g.profile, n.page_id, n.relevance, wa * bm25_score + wb * dense_score + wc * visual_score AS score FROM norm n, grid g)"
+    return f"WITH {ad.NORM}, {ad.profiles_sql(profiles)}, pm AS (SELECT query_id, profile, round(ndcg10, 9) AS ndcg10, round(recall1, 9) AS recall1, round(recall3, 9) AS recall3, round(mrr10, 9) AS mrr10 FROM {ad.evaluate_sql(fused, 'score', 'query_id, profile')})"
+
+
+_BEST = "row_number() OVER (PARTITION BY query_id ORDER BY ndcg10 DESC, recall3 DESC, mrr10 DESC, profile)"
+_PM7 = _profile_sql(W7)
+_GLOBAL = "gm AS (SELECT profile, round(avg(ndcg10), 9) AS ndcg10, round(avg(recall1), 9) AS recall1, round(avg(recall3), 9) AS recall3, round(avg(mrr10), 9) AS mrr10 FROM pm GROUP BY 1), gb AS (SELECT * FROM gm ORDER BY ndcg10 DESC, recall3 DESC, mrr10 DESC, profile LIMIT 1)"
+
+
+@query("m8_profile_grid", f"WITH {ad.profiles_sql(W66)} SELECT profile, wa AS w_bm25, wb AS w_dense, wc AS w_visual FROM grid", "w_bm25 w_dense w_visual")
+def m8(spark, d):
+    return oracle.grid_table(spark, oracle.grid("w66"))
+
+
+@query("m_profile_metrics", f"{_PM7} SELECT * FROM pm", METRICS)
+def m0(spark, d):
+    """The (query, profile) metric table that every search reads."""
+    return oracle.profile_metrics(ad.labelled(spark, d), W7)
+
+
+@query("m2_global_oracle", f"{_PM7}, {_GLOBAL} SELECT * FROM gb", METRICS)
+def m2(spark, d):
+    return oracle.global_oracle(oracle.profile_metrics(ad.labelled(spark, d), W7))
+
+
+@query("m1_m3_query_oracle", f"{_PM7} SELECT query_id, profile, ndcg10, recall1, recall3, mrr10 FROM (SELECT *, {_BEST} AS r FROM pm) WHERE r = 1", METRICS)
+def m3(spark, d):
+    return oracle.query_oracle(oracle.profile_metrics(ad.labelled(spark, d), W7))
+
+
+@query("m3_query_oracle_w66", f"{_profile_sql(W66)} SELECT query_id, ndcg10 FROM (SELECT *, {_BEST} AS r FROM pm) WHERE r = 1", "ndcg10")
+def m3b(spark, d):
+    return oracle.query_oracle(oracle.profile_metrics(ad.labelled(spark, d), W66)).select("query_id", "ndcg10")
+
+
+_ROWS = f"""{_PM7}, {_GLOBAL}, q AS (SELECT query_id, profile AS query_profile, ndcg10 AS query_ndcg10 FROM (SELECT *, {_BEST} AS r FROM pm) WHERE r = 1),
+  o AS (SELECT q.query_id, gb.profile AS global_profile, pm.ndcg10 AS global_ndcg10, query_profile, query_ndcg10, query_ndcg10 - pm.ndcg10 AS delta FROM q, gb JOIN pm ON pm.query_id = q.query_id AND pm.profile = gb.profile)"""
+
+
+@query("m6_oracle_rows", f"{_ROWS} SELECT * FROM o", "global_ndcg10 query_ndcg10 delta")
+def m6(spark, d):
+    return oracle.oracle_rows(ad.labelled(spark, d), W7)
+
+
+@query("e8_gain_summary", f"""{_ROWS}, t AS (SELECT greatest(delta, 0) AS x, row_number() OVER (ORDER BY greatest(delta, 0) DESC) AS r, count(*) OVER () AS n FROM o)
+  SELECT count(*) AS queries, avg(delta) AS mean_delta, avg(CAST(delta >= 0.01 AS DOUBLE)) AS gain_ge_001, avg(CAST(delta >= 0.03 AS DOUBLE)) AS gain_ge_003, avg(CAST(delta >= 0.05 AS DOUBLE)) AS gain_ge_005,
+  (SELECT coalesce(sum(CASE WHEN r <= greatest(1, ceil(0.05 * n)) THEN x END) / nullif(sum(x), 0), 0.0) FROM t) AS top_5pct_share FROM o""", "mean_delta gain_ge_001 gain_ge_003 gain_ge_005 top_5pct_share")
+def e8(spark, d):
+    """Share of the largest gains."""
+    return oracle.gain_summary(oracle.oracle_rows(ad.labelled(spark, d), W7))
+
+
+@query("e9_profile_usage", f"{_ROWS} SELECT g.profile, count(o.query_id) AS queries FROM grid g LEFT JOIN o ON o.query_profile = g.profile GROUP BY 1")
+def e9(spark, d):
+    return oracle.profile_usage(oracle.oracle_rows(ad.labelled(spark, d), W7), len(W7))
+
+
+@query("e7_subgroups", f"{_ROWS}, s AS (SELECT query_id, any_value(source) AS source, CASE WHEN count(CASE WHEN relevance > 0 THEN 1 END) > 1 THEN 'multi' ELSE 'single' END AS relevance_group FROM raw GROUP BY 1) SELECT source, relevance_group, count(*) AS queries, avg(delta) AS mean_delta FROM o JOIN s USING (query_id) GROUP BY 1, 2", "mean_delta")
+def e7(spark, d):
+    s = ad.raw(spark, d).groupBy("query_id").agg(F.first("source").alias("source"), F.when(F.count_if(F.col("relevance") > 0) > 1, "multi").otherwise("single").alias("relevance_group"))
+    return oracle.oracle_rows(ad.labelled(spark, d), W7).join(s, "query_id").groupBy("source", "relevance_group").agg(F.count(F.lit(1)).alias("queries"), F.avg("delta").alias("mean_delta"))
+
+
+@query("e10_e11_win_tie_loss", f"{_ROWS} SELECT count(CASE WHEN delta > 1e-9 THEN 1 END) AS wins, count(CASE WHEN abs(delta) <= 1e-9 THEN 1 END) AS ties, count(CASE WHEN delta < -1e-9 THEN 1 END) AS losses, count(CASE WHEN query_ndcg10 >= 1 - 1e-9 THEN 1 END) AS at_ceiling, avg(greatest(0, 1 - query_ndcg10)) AS headroom FROM o", "headroom")
+def e10(spark, d):
+    o = oracle.oracle_rows(ad.labelled(spark, d), W7)
+    return o.agg(*stats.win_tie_loss("delta", 1e-9), F.count_if(F.col("query_ndcg10") >= 1 - 1e-9).alias("at_ceiling"), F.avg(F.greatest(F.lit(0.0), 1.0 - F.col("query_ndcg10"))).alias("headroom"))
+
+
+_FUSED7 = ", ".join(f"{a!r}::DOUBLE * bm25_score + {b!r}::DOUBLE * dense_score + {c!r}::DOUBLE * visual_score" for a, b, c in W7)
+
+
+@query("m5_page_oracle_binary", f"WITH {ad.NORM}, s AS (SELECT query_id, page_id, relevance, CASE WHEN relevance > 0 THEN greatest({_FUSED7}) ELSE least({_FUSED7}) END AS score FROM norm), tot AS (SELECT query_id, count(CASE WHEN relevance > 0 THEN 1 END) AS relevant_total FROM norm GROUP BY 1) SELECT query_id, ndcg10 FROM {ad.binary_sql('s', 'score', 'tot')}", "ndcg10")
+def m5(spark, d):
+    return oracle.page_oracle_binary(ad.labelled(spark, d), W7)
+
+
+@query("m7_three_levels", f"""{_PM7}, b AS (SELECT query_id, page_id, CASE WHEN relevance > 0 THEN 1.0 ELSE 0.0 END AS relevance, bm25_score, dense_score, visual_score FROM norm),
+  s AS (SELECT query_id, page_id, relevance, CASE WHEN relevance > 0 THEN greatest({_FUSED7}) ELSE least({_FUSED7}) END AS score FROM b), tot AS (SELECT query_id, count(CASE WHEN relevance > 0 THEN 1 END) AS relevant_total FROM b GROUP BY 1),
+  p AS (SELECT n.query_id, g.profile, n.page_id, n.relevance, wa * bm25_score + wb * dense_score + wc * visual_score AS score FROM b n, grid g), q AS (SELECT query_id, max(ndcg10) AS query_level FROM {ad.evaluate_sql('p', 'score', 'query_id, profile')} GROUP BY 1)
+  SELECT query_id, query_level, ndcg10 AS page_level FROM q JOIN {ad.binary_sql('s', 'score', 'tot')} USING (query_id)""", "query_level page_level")
+def m7(spark, d):
+    rows = ad.labelled(spark, d).withColumn("relevance", (F.col("relevance") > 0).cast("double"))
+    page = oracle.page_oracle_binary(rows, W7).withColumnRenamed("ndcg10", "page_level")
+    best = oracle.profile_metrics(rows, W7).groupBy("query_id").agg(F.max("ndcg10").alias("query_level"))
+    return best.join(page, "query_id")
+
+
+@query("k8_fit_static", f"{_PM7}, a AS (SELECT profile, avg(ndcg10) AS ndcg10 FROM pm GROUP BY 1) SELECT profile, ndcg10 FROM a ORDER BY round(ndcg10, 9) DESC, profile LIMIT 1", "ndcg10")
+def k8(spark, d):
+    return oracle.fit_static(ad.labelled(spark, d), W7)
+
+
+@query("m4_page_oracle", None, "query_ndcg10 page_ndcg10")
+def m4(spark, d):
+    """Coordinate ascent for each page; sequential, so a grouped
+    function. Checked against brute force in the tests."""
+    return page_oracle.page_oracle(ad.labelled(spark, d, 20), W7).drop("profiles")
+
+
+@query("m4_invariants", "SELECT 0::BIGINT AS violations")
+def m4b(spark, d):
+    """Page level >= query level."""
+    return page_oracle.page_oracle(ad.labelled(spark, d, 20), W7).agg(F.count_if(F.col("page_ndcg10") < F.col("query_ndcg10") - 1e-9).alias("violations"))
+
+
+# ------------------------------------------------------------ budget
+_BUDGET = f"""WITH q AS ({_QM}), g AS (SELECT *, ndcg_full - ndcg_stage1 AS gain FROM q),
+  pl AS (SELECT *, count(*) OVER () AS n, row_number() OVER (ORDER BY gain DESC, query_id) AS o, row_number() OVER (ORDER BY stage1_margin, query_id) AS m, row_number() OVER (ORDER BY gain / stage2_ms DESC, query_id) AS l, row_number() OVER (ORDER BY gain / stage2_flops DESC, query_id) AS f FROM g),
+  b AS (SELECT CAST(5 * i AS INTEGER) AS budget_percent, * FROM pl, range(21) t(i)), c AS (SELECT *, CAST(round_even(n * budget_percent / 100.0::DOUBLE, 0) AS BIGINT) AS invocations FROM b),
+  cv AS (SELECT budget_percent, invocations, avg(CASE WHEN o <= invocations THEN ndcg_full ELSE ndcg_stage1 END) AS oracle_ndcg10, avg(CASE WHEN m <= invocations THEN ndcg_full ELSE ndcg_stage1 END) AS margin_ndcg10,
+    avg(CASE WHEN l <= invocations THEN ndcg_full ELSE ndcg_stage1 END) AS latency_ndcg10, avg(CASE WHEN f <= invocations THEN ndcg_full ELSE ndcg_stage1 END) AS flops_ndcg10,
+    avg(ndcg_stage1) + (avg(ndcg_full) - avg(ndcg_stage1)) * invocations / any_value(n) AS random_ndcg10, avg(ndcg_stage1) AS cheap_ndcg10, avg(ndcg_full) AS full_ndcg10,
+    sum(CASE WHEN o <= invocations THEN stage2_ms ELSE 0.0 END) AS oracle_stage2_ms, sum(CASE WHEN o <= invocations THEN stage2_flops ELSE 0.0 END) AS oracle_stage2_flops,
+    sum(CASE WHEN l <= invocations THEN stage2_ms ELSE 0.0 END) AS latency_stage2_ms, sum(CASE WHEN f <= invocations THEN stage2_flops ELSE 0.0 END) AS flops_stage2_flops FROM c GROUP BY 1, 2),
+  st AS (SELECT coalesce(min(CASE WHEN oracle_ndcg10 >= full_ndcg10 - 0.01 AND coalesce(oracle_ndcg10 / nullif(full_ndcg10, 0), 1.0) >= 0.98 THEN budget_percent END), 100) AS b_star FROM cv)"""
+_POINTS = "oracle_ndcg10 margin_ndcg10 latency_ndcg10 flops_ndcg10 random_ndcg10 cheap_ndcg10 full_ndcg10 oracle_stage2_ms oracle_stage2_flops latency_stage2_ms flops_stage2_flops"
+
+
+def _metrics(spark, d):
+    return metrics.query_metrics(ad.raw(spark, d)).withColumns({c: F.round(c, 12) for c in ("ndcg_stage1", "ndcg_full")})
+
+
+_BUDGET = _BUDGET.replace("a.ndcg10 AS ndcg_stage1, b.ndcg10 AS ndcg_full", "round(a.ndcg10, 12) AS ndcg_stage1, round(b.ndcg10, 12) AS ndcg_full")
+
+
+@query("m11_budget_curve", f"{_BUDGET} SELECT * FROM cv", _POINTS)
+def m11(spark, d):
+    return budget.curve(_metrics(spark, d).drop("recall1_stage1", "recall3_stage1", "mrr10_stage1"))
+
+
+@query("m11_random_arm", None, "random_ndcg10")
+def m11b(spark, d):
+    """The sampled random arm, by NumPy's generator."""
+    return budget.random_arm(_metrics(spark, d), 20)
+
+
+@query("m12_budget_per_query", f"{_BUDGET} SELECT query_id, source, ndcg_stage1, ndcg_full, gain AS delta_ndcg10, gain > 0.01 AS beneficial, o <= CAST(round_even(n * b_star / 100.0::DOUBLE, 0) AS BIGINT) AS selected_at_b_star, stage2_ms, stage2_flops FROM pl, st", "ndcg_stage1 ndcg_full delta_ndcg10")
+def m12(spark, d):
+    m = _metrics(spark, d)
+    return budget.per_query(m, budget.b_star(budget.curve(m)))
+
+
+@query("r6_budget_gate", f"""{_BUDGET}, s AS (SELECT count(*) AS queries, avg(ndcg_stage1) AS mean_stage1, avg(ndcg_full) AS mean_full, avg(ndcg_full) - avg(ndcg_stage1) AS full_minus_stage1, avg(CAST(gain > 0.01 AS DOUBLE)) AS beneficial_fraction FROM g),
+  a AS (SELECT b_star, oracle_ndcg10 AS quality_at_b_star, oracle_ndcg10 - greatest(margin_ndcg10, random_ndcg10) AS control_gap FROM cv JOIN st ON budget_percent = b_star)
+  SELECT *, 1.0 - beneficial_fraction AS non_beneficial_fraction, CASE WHEN full_minus_stage1 >= 0.02 AND beneficial_fraction >= 0.2 AND 1.0 - beneficial_fraction >= 0.2 AND b_star <= 50 AND control_gap >= 0.01 THEN 'pass' WHEN full_minus_stage1 < 0.01 OR b_star > 70 THEN 'fail' ELSE 'inconclusive' END AS gate FROM s, a""", "mean_stage1 mean_full full_minus_stage1 beneficial_fraction quality_at_b_star control_gap non_beneficial_fraction")
+def r6(spark, d):
+    m = _metrics(spark, d)
+    return budget.gate(budget.summary(m, budget.curve(m)))
+
+
+# ------------------------------------------------------------ statistics
+_DELTA = "d AS (SELECT CAST(o_custkey AS VARCHAR) AS query_id, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END) / 100000 AS delta FROM orders GROUP BY 1)"
+
+
+def _deltas(spark, d):
+    o = ad.table(spark, d, "orders")
+    signed = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))
+    return o.groupBy(F.col("o_custkey").cast("string").alias("query_id")).agg((F.avg(signed) / 100000).alias("delta"))
+
+
+@query("n5_paired_summary", f"WITH {_DELTA} SELECT count(*) AS queries, avg(delta) AS mean_delta, median(delta) AS median_delta, stddev_samp(delta) AS std_delta, avg(delta) / stddev_samp(delta) AS effect_size, count(CASE WHEN delta > 1e-12 THEN 1 END) AS wins, count(CASE WHEN abs(delta) <= 1e-12 THEN 1 END) AS ties, count(CASE WHEN delta < -1e-12 THEN 1 END) AS losses FROM d", "mean_delta median_delta std_delta effect_size")
+def n5(spark, d):
+    return stats.paired_summary(_deltas(spark, d))
+
+
+_SEED = "s AS (SELECT o_orderkey % 3 AS seed, CAST(o_custkey AS VARCHAR) AS query_id, avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE -o_totalprice END) / 100000 AS delta FROM orders GROUP BY 1, 2)"
+
+
+def _seeds(spark, d):
+    o = ad.table(spark, d, "orders")
+    signed = F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))
+    return o.groupBy((F.col("o_orderkey") % 3).alias("seed"), F.col("o_custkey").cast("string").alias("query_id")).agg((F.avg(signed) / 100000).alias("delta"))
+
+
+@query("n3_seed_report", f"""WITH {_SEED}, d AS (SELECT query_id, avg(delta) AS delta FROM s GROUP BY 1), t AS (SELECT greatest(delta, 0) AS x, row_number() OVER (ORDER BY greatest(delta, 0) DESC) AS r, count(*) OVER () AS n FROM d)
+  SELECT count(*) AS queries, avg(delta) AS mean_delta, median(delta) AS median_delta, stddev_samp(delta) AS std_delta, avg(delta) / stddev_samp(delta) AS effect_size, count(CASE WHEN delta > 1e-12 THEN 1 END) AS wins, count(CASE WHEN abs(delta) <= 1e-12 THEN 1 END) AS ties, count(CASE WHEN delta < -1e-12 THEN 1 END) AS losses,
+  (SELECT coalesce(sum(CASE WHEN r <= greatest(1, ceil(0.05 * n)) THEN x END) / nullif(sum(x), 0), 0.0) FROM t) AS top_5pct_share FROM d""", "mean_delta median_delta std_delta effect_size top_5pct_share")
+def n3(spark, d):
+    return stats.seed_report(_seeds(spark, d))
+
+
+@query("x12_seed_spread", f"WITH {_SEED}, m AS (SELECT seed, avg(delta) AS m FROM s GROUP BY 1) SELECT count(*) AS seeds, avg(m) AS mean_of_seeds, stddev_samp(m) AS std_of_seeds FROM m", "mean_of_seeds std_of_seeds")
+def x12(spark, d):
+    return stats.seed_spread(_seeds(spark, d))
+
+
+@query("d9_paired_deltas", f"WITH {ad.NORM}, a AS (SELECT query_id, ndcg10 FROM {ad.evaluate_sql('norm', 'visual_score')}), b AS (SELECT query_id, ndcg10 FROM {ad.evaluate_sql('norm', 'bm25_score')}) SELECT query_id, a.ndcg10 - b.ndcg10 AS delta FROM a JOIN b USING (query_id)", "delta")
+def d9(spark, d):
+    rows = ad.labelled(spark, d)
+    long = rows.select("query_id", "page_id", "relevance", F.explode(F.map_from_arrays(F.array(F.lit("visual"), F.lit("bm25")), F.array("visual_score", "bm25_score"))).alias("method", "score"))
+    return stats.paired(metrics.evaluate(long, "score", ["method", "query_id"]), "visual", "bm25", "ndcg10")
+
+
+@query("n6_median_split", "WITH c AS (SELECT c_custkey, c_acctbal, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2), m AS (SELECT *, CASE WHEN orders > median(orders) OVER () THEN 'high' ELSE 'low' END AS band FROM c) SELECT band, count(*) AS queries, avg(c_acctbal) AS mean FROM m GROUP BY 1", "mean")
+def n6(spark, d):
+    o = ad.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders"))
+    c = ad.table(spark, d, "customer").join(o, "c_custkey", "left").na.fill(0, ["orders"])
+    return stats.median_split(c, "orders", "c_acctbal")
+
+
+@query("n7_spearman", "WITH r AS (SELECT c_mktsegment, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) + (count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) - 1) / 2.0::DOUBLE AS a, rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal) + (count(*) OVER (PARTITION BY c_mktsegment, c_acctbal) - 1) / 2.0::DOUBLE AS b FROM customer) SELECT c_mktsegment, corr(a, b) AS rho FROM r GROUP BY 1", "rho")
+def n7(spark, d):
+    return stats.spearman(ad.table(spark, d, "customer"), "c_nationkey", "c_acctbal", ["c_mktsegment"])
+
+
+@query("n1_bootstrap_mean", None, "low high")
+def n1(spark, d):
+    """NumPy's stream; checked against NumPy in the tests."""
+    return stats.bootstrap_mean(_deltas(spark, d), "delta", 2000)
+
+
+@query("n2_bootstrap_ratio", None, "low high")
+def n2(spark, d):
+    return stats.bootstrap_ratio(_metrics(spark, d), "ndcg_stage1", "ndcg_full", 2000)
+
+
+@query("n1_bootstrap_hashed", f"""WITH {_DELTA}, v AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS i, delta AS x, count(*) OVER () AS n FROM d WHERE CAST(query_id AS BIGINT) <= 200),
+  k AS (SELECT b, CAST('0x' || substr(md5(CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % n AS i FROM v, range(100) t(b)), m AS (SELECT b, avg(x) AS m FROM k JOIN v USING (i) GROUP BY 1)
+  SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m""", "low high")
+def n1c(spark, d):
+    return stats.bootstrap_hashed(_deltas(spark, d).where(F.col("query_id").cast("long") <= 200), "delta", 100)
+
+
+# ------------------------------------------------------------ gates
+_GATE = "g(name, w7_mean_delta, w7_low, w66_mean_delta, w66_low, w7_gain_ge_005, w66_gain_ge_005, w7_top_5pct_share, coverage) AS (VALUES ('a', 0.05, 0.01, 0.04, 0.02, 0.3, 0.4, 0.2, 0.99), ('b', 0.005, -0.01, 0.04, 0.02, 0.3, 0.4, 0.2, 0.99), ('c', 0.02, 0.01, 0.015, 0.01, 0.1, 0.1, 0.95, 0.9), ('d', 0.015, 0.001, 0.03, 0.02, 0.15, 0.1, 0.5, 0.97))"
+
+
+def _gates(spark):
+    rows = [("a", 0.05, 0.01, 0.04, 0.02, 0.3, 0.4, 0.2, 0.99), ("b", 0.005, -0.01, 0.04, 0.02, 0.3, 0.4, 0.2, 0.99), ("c", 0.02, 0.01, 0.015, 0.01, 0.1, 0.1, 0.95, 0.9), ("d", 0.015, 0.001, 0.03, 0.02, 0.15, 0.1, 0.5, 0.97)]
+    return spark.createDataFrame(rows, "name string, w7_mean_delta double, w7_low double, w66_mean_delta double, w66_low double, w7_gain_ge_005 double, w66_gain_ge_005 double, w7_top_5pct_share double, coverage double")
+
+
+@query("r1_r5_study_gates", f"""WITH {_GATE}, x AS (SELECT *, CASE WHEN w7_mean_delta >= 0.03 AND w7_low > 0 AND w66_mean_delta >= 0.03 AND w66_low > 0 THEN 'pass' WHEN w7_mean_delta < 0.01 THEN 'fail' ELSE 'inconclusive' END AS discovery,
+  CASE WHEN w7_mean_delta >= 0.03 AND w66_mean_delta >= 0.03 AND w7_low > 0 AND w66_low > 0 AND w7_gain_ge_005 >= 0.2 AND w66_gain_ge_005 >= 0.2 THEN 'pass' WHEN w7_mean_delta < 0.01 OR w7_top_5pct_share >= 0.9 THEN 'fail' ELSE 'inconclusive' END AS fusion_gate,
+  CASE WHEN name = 'b' THEN 'fail' ELSE 'inconclusive' END AS budget_gate FROM g)
+  SELECT name, discovery, fusion_gate, CASE WHEN budget_gate = 'pass' THEN 'budget_aware' WHEN fusion_gate = 'pass' THEN 'page_fusion' WHEN budget_gate = 'fail' AND fusion_gate = 'fail' THEN 'reject_both' ELSE 'inconclusive' END AS final,
+  CASE WHEN coverage < 0.95 THEN 'invalid_candidate_coverage' WHEN w7_mean_delta >= 0.03 AND w7_low > 0 AND w7_gain_ge_005 >= 0.1 AND w7_top_5pct_share < 0.9 THEN 'strong_signal' WHEN w7_mean_delta >= 0.01 AND w7_low > 0 AND w7_gain_ge_005 >= 0.1 AND w7_top_5pct_share < 0.9 THEN 'feasible_signal' ELSE 'no_clear_signal' END AS pilot FROM x""")
+def r1(spark, d):
+    g = _gates(spark).withColumns({"discovery_w7_mean_delta": F.col("w7_mean_delta"), "discovery_w66_mean_delta": F.col("w66_mean_delta")})
+    g = g.withColumns({"discovery": decisions.discovery(), "fusion_gate": decisions.confirmation(), "budget_gate": F.when(F.col("name") == "b", "fail").otherwise("inconclusive")})
+    g = g.withColumns({"mean_delta": F.col("w7_mean_delta"), "low": F.col("w7_low"), "gain_ge_003": F.col("w7_gain_ge_005"), "top_5pct_share": F.col("w7_top_5pct_share")})
+    return g.select("name", "discovery", "fusion_gate", decisions.final().alias("final"), decisions.feasibility().alias("pilot"))
+
+
+@query("r7_r8_outcomes", f"WITH {_GATE} SELECT name, CASE WHEN coverage < 0.95 THEN 'BLOCKED' WHEN w7_mean_delta < 0.01 THEN 'NO-GO' WHEN w7_low < 0.005 THEN 'LIMITED' ELSE 'GO' END AS outcome, CASE WHEN -w7_gain_ge_005 * 2 <= -0.5 AND w7_low <= 0.01 THEN 'pass' ELSE 'fail' END AS loss_gate FROM g")
+def r7(spark, d):
+    g = _gates(spark).withColumns({"rho": -F.col("w7_gain_ge_005") * 2, "gap": F.col("w7_low")})
+    return g.select("name", decisions.outcome(F.col("coverage") < 0.95, F.col("w7_mean_delta") < 0.01, F.col("w7_low") < 0.005).alias("outcome"), decisions.loss_alignment().alias("loss_gate"))
+
+
+# ------------------------------------------------------------ learned gate
+def _mm(c):
+    return f"CASE WHEN max({c}) OVER w = min({c}) OVER w THEN 0.0 ELSE ({c} - min({c}) OVER w) / (max({c}) OVER w - min({c}) OVER w) END"
+
+
+_FEAT = f"""WITH {ad.NORM}, f0 AS (SELECT query_id, page_id, relevance, {', '.join(f"{_mm(f'{c}_score')} AS {c}_minmax, row_number() OVER (PARTITION BY query_id ORDER BY {c}_score DESC, page_id) AS {c}_r" for c in gate.SHORT)} FROM norm WINDOW w AS (PARTITION BY query_id)),
+  f AS (SELECT query_id, page_id, relevance, {', '.join(f"{c}_minmax, 1.0 / {c}_r AS {c}_rr, coalesce(max(CASE WHEN {c}_r = 1 THEN {c}_minmax END) OVER w - max(CASE WHEN {c}_r = 2 THEN {c}_minmax END) OVER w, 0.0) AS {c}_gap" for c in gate.SHORT)},
+    abs(bm25_minmax - dense_minmax) AS bm25_dense_apart, abs(bm25_minmax - visual_minmax) AS bm25_visual_apart, abs(dense_minmax - visual_minmax) AS dense_visual_apart, 0.0::DOUBLE AS query_length FROM f0 WINDOW w AS (PARTITION BY query_id))"""
+
+
+@query("q1_features", f"{_FEAT} SELECT * EXCLUDE (relevance) FROM f", " ".join(gate.FEATURES))
+def q1(spark, d):
+    return gate.features(ad.candidates(spark, d)).select("query_id", "page_id", *gate.FEATURES)
+
+
+_WEIGHTS = [[0.1 * ((i * 5 + j * 3) % 7 - 3) for j in range(13)] for i in range(3)]
+_BIAS = [0.1, 0.0, -0.1]
+
+
+def _logit_sql(i):
+    return " + ".join([f"{_BIAS[i]!r}::DOUBLE", *[f"{w!r}::DOUBLE * {n}" for n, w in zip(gate.FEATURES, _WEIGHTS[i])]])
+
+
+_GATED = f"""{_FEAT}, l AS (SELECT *, {_logit_sql(0)} AS a, {_logit_sql(1)} AS b, {_logit_sql(2)} AS c FROM f), e AS (SELECT *, exp(a - greatest(a, b, c)) AS ea, exp(b - greatest(a, b, c)) AS eb, exp(c - greatest(a, b, c)) AS ec FROM l),
+  p AS (SELECT query_id, page_id, relevance, ea / (ea + eb + ec) AS w_bm25, eb / (ea + eb + ec) AS w_dense, ec / (ea + eb + ec) AS w_visual, (ea * bm25_minmax + eb * dense_minmax + ec * visual_minmax) / (ea + eb + ec) AS score FROM e)"""
+
+
+@query("q3_k10_gate_scores", f"{_GATED} SELECT query_id, page_id, w_bm25, w_dense, w_visual, score FROM p", "w_bm25 w_dense w_visual score")
+def q3(spark, d):
+    return gate.predict(gate.features(ad.candidates(spark, d)), _WEIGHTS, _BIAS)
+
+
+@query("x10_gate_profile", f"{_GATED}, g AS (SELECT query_id, max(abs(w_bm25 + w_dense + w_visual - 1.0)) AS d, count(DISTINCT (w_bm25, w_dense, w_visual)) > 1 AS v FROM p GROUP BY 1) SELECT max(d) AS simplex_deviation, count(CASE WHEN v THEN 1 END) AS varying_queries FROM g", "simplex_deviation")
+def x10(spark, d):
+    return gate.gate_profile(gate.predict(gate.features(ad.candidates(spark, d)), _WEIGHTS, _BIAS))
+
+
+@query("k11_ablated_gate", None, METRICS)
+def k11(spark, d):
+    """A gate without its gap features, evaluated; compared with the SQL-checked
+    gate by its tests."""
+    p = gate.predict(gate.features(ad.candidates(spark, d)), gate.without(_WEIGHTS, [f"{c}_gap" for c in gate.SHORT]), _BIAS)
+    return metrics.mean_metrics(metrics.evaluate(ad.with_labels(p, ad.qrels(spark, d)), "score"))
+
+
+@query("q4_pairwise_loss", f"WITH {ad.NORM}, p AS (SELECT a.query_id, avg(greatest(b.visual_score - a.visual_score, 0.0) + ln(1 + exp(-abs(b.visual_score - a.visual_score)))) AS loss FROM norm a JOIN norm b ON a.query_id = b.query_id AND a.relevance > 0 AND b.relevance <= 0 GROUP BY 1) SELECT avg(loss) AS loss, count(*) AS queries FROM p", "loss")
+def q4(spark, d):
+    """Positive and negative pages inside each query's pool."""
+    return gate.pairwise_loss(ad.labelled(spark, d).withColumn("score", F.col("visual_score")))
+
+
+@query("q5_weighted_loss", f"""WITH {ad.NORM}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY visual_score DESC, page_id) AS r FROM norm), c AS (SELECT *, CASE WHEN r <= 10 THEN 1.0 / log2(r + 1) ELSE 0.0 END AS cut FROM r),
+  p AS (SELECT a.query_id, greatest(b.visual_score - a.visual_score, 0.0) + ln(1 + exp(-abs(b.visual_score - a.visual_score))) AS l, abs(a.cut - b.cut) AS w FROM c a JOIN c b ON a.query_id = b.query_id AND a.relevance > 0 AND b.relevance <= 0),
+  q AS (SELECT query_id, coalesce(sum(l * w) / nullif(sum(w), 0), 0.0) AS loss FROM p GROUP BY 1) SELECT avg(loss) AS loss, count(*) AS queries FROM q""", "loss")
+def q5(spark, d):
+    return gate.pairwise_loss(ad.labelled(spark, d).withColumn("score", F.col("visual_score")), weighted=True)
+
+
+@query("q6_listwise_loss", f"""WITH {ad.NORM}, q AS (SELECT query_id, ln(sum(exp(visual_score))) AS lse, sum(CASE WHEN relevance > 0 THEN visual_score ELSE 0 END) AS s, CAST(count(CASE WHEN relevance > 0 THEN 1 END) AS DOUBLE) AS n FROM norm GROUP BY 1) SELECT avg(lse - s / n) AS loss, count(*) AS queries FROM q WHERE n > 0""", "loss")
+def q6(spark, d):
+    return gate.listwise_loss(ad.labelled(spark, d).select("query_id", F.col("visual_score").alias("score"), "relevance"))
+
+
+@query("q2_features_first", None, " ".join(gate.FEATURES_FIRST))
+def q2(spark, d):
+    return gate.features_first(ad.candidates(spark, d)).select("query_id", "page_id", *gate.FEATURES_FIRST)
+
+
+@query("q7_trained_gate", None, "loss")
+def q7(spark, d):
+    """Losses of a few epochs of training; must fall (tests)."""
+    feats = gate.features(ad.candidates(spark, d, 20))
+    _, _, losses = gate.train(ad.with_labels(feats, ad.qrels(spark, d)), epochs=3)
+    return spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
+
+
+@query("n8_loss_alignment", None, "rho gap")
+def n8(spark, d):
+    """Does the loss order static profiles as nDCG does? Rank correlation over the
+    grid and the nDCG gap of the profile with the least loss, with its gate."""
+    rows = ad.labelled(spark, d, 20)
+    scored = oracle.profile_scores(rows, W7)
+    pos = scored.where("relevance > 0").select("query_id", "profile", F.col("score").alias("p"))
+    neg = scored.where("relevance <= 0").select("query_id", "profile", F.col("score").alias("n"))
+    from ..functions.scalars import softplus
+
+    loss = pos.join(neg, ["query_id", "profile"]).groupBy("query_id", "profile").agg(F.avg(softplus(F.col("n") - F.col("p"))).alias("loss")).groupBy("profile").agg(F.avg("loss").alias("loss"))
+    both = loss.join(oracle.global_means(oracle.profile_metrics(rows, W7)).select("profile", "ndcg10"), "profile")
+    gap = both.agg((F.max("ndcg10") - F.min_by("ndcg10", "loss")).alias("gap"))
+    return stats.spearman(both, "loss", "ndcg10").crossJoin(gap).withColumn("gate", decisions.loss_alignment())
+
+

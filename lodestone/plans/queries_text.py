@@ -1 +1,171 @@
-"""Queries."""
+"""Queries of scalar functions, text scorers and text routing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import scalars as s
+from ..operators import scorers
+from . import adapters as ad
+from .registry import query
+
+_W = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+
+
+@query("i1_i2_word_tokens", rf"SELECT doc_id, len({_W.format('text')}) AS words, len(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS bare FROM documents")
+def i1(spark, d):
+    return ad.table(spark, d, "documents").select("doc_id", F.size(s.words("text")).cast("long").alias("words"), F.size(s.bare_words("text")).cast("long").alias("bare"))
+
+
+@query("i4_edit_rate", "SELECT a.n_nationkey, levenshtein(a.n_name, b.n_name) AS edits, levenshtein(a.n_name, b.n_name) / CAST(length(a.n_name) AS DOUBLE) AS rate FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1", "rate")
+def i4(spark, d):
+    n = ad.table(spark, d, "nation")
+    b = n.select((F.col("n_nationkey") - 1).alias("n_nationkey"), F.col("n_name").alias("other"))
+    return n.join(b, "n_nationkey").select("n_nationkey", F.levenshtein("n_name", "other").cast("long").alias("edits"), s.error_rate("n_name", "other").alias("rate"))
+
+
+@query("i5_i6_page_ids", "SELECT p_partkey, printf('doc%d_page_%04d', p_partkey // 10, p_partkey % 10) AS page_id, 'doc' || (p_partkey // 10) AS document_id, CAST(p_partkey % 10 AS INTEGER) AS page_number FROM part")
+def i5(spark, d):
+    p = ad.table(spark, d, "part").select("p_partkey", s.page_id(F.concat(F.lit("doc"), F.expr("p_partkey div 10").cast("string")), F.expr("p_partkey % 10")).alias("page_id"))
+    return p.select("p_partkey", "page_id", s.document_of("page_id").alias("document_id"), s.page_number("page_id").alias("page_number"))
+
+
+@query("i8_text_digests", "SELECT doc_id, sha256(text) AS digest, sha256('ns:' || CAST(doc_id AS VARCHAR)) AS keyed FROM documents")
+def i8(spark, d):
+    return ad.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.sha2(F.concat(F.lit("ns:"), F.col("doc_id").cast("string")), 256).alias("keyed"))
+
+
+@query("i9_row_hash", """SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS h FROM nation""")
+def i9(spark, d):
+    return ad.table(spark, d, "nation").select("n_nationkey", s.row_hash("n_nationkey", "n_name", "n_regionkey").alias("h"))
+
+
+@query("i10_fingerprint", None)
+def i10(spark, d):
+    """Row-order independent; engine-specific hash, so rows only."""
+    from ..operators.audit import fingerprint
+
+    return fingerprint(ad.table(spark, d, "nation"), ["n_nationkey", "n_name"])
+
+
+@query("i11_i16_numbers", "SELECT l_linenumber, sum(1.0 / log2(l_linenumber + 1)) AS discounts, sum(pow(2.0, l_linenumber) - 1) AS gains, CAST(sum(round_even(l_quantity / 2.0, 0)) AS BIGINT) AS halves, avg(1.0 / nullif(l_discount, 0)) AS inverse FROM lineitem GROUP BY 1", "discounts gains inverse")
+def i11(spark, d):
+    t = ad.table(spark, d, "lineitem")
+    return t.groupBy("l_linenumber").agg(F.sum(s.discount("l_linenumber")).alias("discounts"), F.sum(s.gain("l_linenumber")).alias("gains"), F.sum(s.half_even(F.col("l_quantity") / 2.0)).alias("halves"), F.avg(s.ratio(F.lit(1.0), "l_discount")).alias("inverse"))
+
+
+@query("i13_i14_softmax", "WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity / 50 AS a, l_discount AS b, l_tax AS c FROM lineitem WHERE l_orderkey < 500), e AS (SELECT *, exp(a - greatest(a, b, c)) AS ea, exp(b - greatest(a, b, c)) AS eb, exp(c - greatest(a, b, c)) AS ec FROM x) SELECT l_linenumber, avg(ea / (ea + eb + ec)) AS s, avg(greatest(a - b, 0) + ln(1 + exp(-abs(a - b)))) AS p FROM e GROUP BY 1", "s p")
+def i13(spark, d):
+    x = ad.table(spark, d, "lineitem").where("l_orderkey < 500").select("l_linenumber", (F.col("l_quantity") / 50).alias("a"), F.col("l_discount").alias("b"), F.col("l_tax").alias("c"))
+    return x.groupBy("l_linenumber").agg(F.avg(s.softmax3("a", "b", "c")[0]).alias("s"), F.avg(s.softplus(F.col("a") - F.col("b"))).alias("p"))
+
+
+@query("i18_quantiles", "SELECT l_returnflag, quantile_cont(l_extendedprice, 0.05) AS p05, median(l_extendedprice) AS p50, quantile_cont(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY 1", "p05 p50 p95")
+def i18(spark, d):
+    return ad.table(spark, d, "lineitem").groupBy("l_returnflag").agg(*[F.percentile("l_extendedprice", q).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))])
+
+
+@query("i19_printable", r"SELECT doc_id, length(regexp_replace(text, '[\p{Cc}\p{Cf}\p{Co}\x{FFFD}]', '', 'g')) / CAST(length(text) AS DOUBLE) AS ratio FROM documents WHERE text <> ''", "ratio")
+def i19(spark, d):
+    return ad.table(spark, d, "documents").where("text <> ''").select("doc_id", s.printable_ratio("text").alias("ratio"))
+
+
+@query("i20_i25_length_features", rf"SELECT doc_id, least(len({_W.format('text')}), 64) / 64.0::DOUBLE AS f, CASE WHEN len({_W.format('text')}) <= 10 THEN 'short' WHEN len({_W.format('text')}) <= 18 THEN 'medium' ELSE 'long' END AS band FROM documents")
+def i20(spark, d):
+    return ad.table(spark, d, "documents").select("doc_id", s.length_feature("text").alias("f"), s.length_band(F.size(s.words("text"))).alias("band"))
+
+
+@query("i22_label_list", "SELECT n_regionkey, string_agg(DISTINCT substr(n_name, 1, 1), '|' ORDER BY substr(n_name, 1, 1)) AS labels FROM nation GROUP BY 1")
+def i22(spark, d):
+    return ad.table(spark, d, "nation").groupBy("n_regionkey").agg(s.label_list(F.collect_list(F.substring("n_name", 1, 1))).alias("labels"))
+
+
+@query("i23_newlines", "SELECT doc_id, sha256(replace(replace(replace(text, chr(10), chr(13) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS h FROM documents WHERE doc_id < 200")
+def i23(spark, d):
+    t = F.regexp_replace("text", "\n", "\r\n")
+    return ad.table(spark, d, "documents").where("doc_id < 200").select("doc_id", F.sha2(s.cleaned(t), 256).alias("h"))
+
+
+@query("i26_run_ids", "SELECT event_id, 'RUN-X-' || strftime(ts, '%Y%m%dT%H%M%SZ') AS run_id, date_trunc('second', ts) = ts AS whole FROM events WHERE event_id < 500")
+def i26(spark, d):
+    e = ad.table(spark, d, "events").where("event_id < 500").withColumn("run_id", s.run_id("X", "ts"))
+    return e.select("event_id", "run_id", (s.run_moment("run_id") == F.col("ts")).alias("whole"))
+
+
+# ------------------------------------------------------------ scorers
+_BM25 = rf"""p AS (SELECT doc_id AS page_id, {_W.format('text')} AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS al FROM p), q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_W.format('text')}) AS term FROM benchmark) GROUP BY 1, 2),
+  tf AS (SELECT page_id, len, term, count(*) AS tf FROM (SELECT page_id, len(w) AS len, unnest(w) AS term FROM p) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+  sc AS (SELECT query_id, page_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * len / al))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY 1, 2)"""
+
+
+def _bm25(spark, d):
+    pages = ad.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    return scorers.bm25(pages, ad.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+
+
+@query("j1_bm25", f"WITH {_BM25} SELECT query_id, page_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, page_id) AS r FROM sc) WHERE r <= 100", "score")
+def j1(spark, d):
+    """The hundred best pages of each query."""
+    from ..operators.ranking import top
+
+    b = _bm25(spark, d).withColumn("s", F.round("score", 9))
+    return top(b, "s", 100).select("query_id", "page_id", "score")
+
+
+@query("j1_bm25_retrieval", rf"""WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, page_id) AS r FROM sc), h AS (SELECT item_id AS query_id, doc_id AS page_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
+  SELECT query_id, CAST(min(r) AS INTEGER) AS first_rank, count(*) AS hits FROM r JOIN h USING (query_id, page_id) GROUP BY 1""")
+def j1b(spark, d):
+    """Rank of the first page that holds the passage."""
+    from ..operators.ranking import rank_of
+
+    b = _bm25(spark, d).withColumn("s", F.round("score", 9)).withColumn("r", rank_of("s"))
+    items = F.broadcast(ad.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")))
+    held = ad.table(spark, d, "documents").join(items, F.expr("contains(text, passage)")).select("query_id", F.col("doc_id").alias("page_id"))
+    return b.join(held, ["query_id", "page_id"]).groupBy("query_id").agg(F.min("r").alias("first_rank"), F.count(F.lit(1)).alias("hits"))
+
+
+def _vectors(spark, d):
+    e = ad.table(spark, d, "embeddings").withColumn("vector", scorers.unit("embedding"))
+    return e.select(F.col("vec_id").alias("page_id"), "vector"), e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "vector")
+
+
+_UNIT = "e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM e)"
+
+
+@query("j4_dense", f"WITH {_UNIT} SELECT q.vec_id AS query_id, p.vec_id AS page_id, list_inner_product(q.v, p.v) AS score FROM u q, u p WHERE q.vec_id < 20", "score")
+def j4(spark, d):
+    return scorers.dense(*_vectors(spark, d))
+
+
+@query("j4_dense_blocks", f"WITH {_UNIT} SELECT q.vec_id AS query_id, p.vec_id AS page_id, list_inner_product(q.v, p.v) AS score FROM u q, u p WHERE q.vec_id < 20", "score")
+def j4b(spark, d):
+    return scorers.dense_blocks(*_vectors(spark, d))
+
+
+@query("j5_max_sim", """WITH e AS (SELECT vec_id, [list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE)), list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE))] AS v FROM embeddings)
+  SELECT q.vec_id AS query_id, p.vec_id AS page_id, greatest(list_inner_product(q.v[1], p.v[1]), list_inner_product(q.v[1], p.v[2])) + greatest(list_inner_product(q.v[2], p.v[1]), list_inner_product(q.v[2], p.v[2])) AS score FROM e q, e p WHERE q.vec_id < 10""", "score")
+def j5(spark, d):
+    e = ad.table(spark, d, "embeddings").select("vec_id", F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("vectors"))
+    return scorers.max_sim(e.withColumnRenamed("vec_id", "page_id"), e.where("vec_id < 10").withColumnRenamed("vec_id", "query_id"))
+
+
+@query("j6_parity", "SELECT (SELECT count(*) FROM embeddings) * 20 AS pairs, true AS close")
+def j6(spark, d):
+    p, q = _vectors(spark, d)
+    return scorers.parity(scorers.dense(p, q), scorers.dense_blocks(p, q), 1e-9, 1e-9).select("pairs", "close")
+
+
+@query("j9_text_route", r"""WITH t AS (SELECT doc_id, trim(coalesce(text, '')) AS t, CASE WHEN doc_id % 5 = 0 THEN CAST(doc_id % 100 AS DOUBLE) END AS c, CASE WHEN text = '' THEN 0.0 ELSE length(regexp_replace(text, '[\p{Cc}\p{Cf}\p{Co}\x{FFFD}]', '', 'g')) / CAST(length(text) AS DOUBLE) END AS pr FROM documents)
+  SELECT CASE WHEN c < 60 THEN 'failed_low_confidence' WHEN t = '' AND c IS NULL THEN 'ocr_required' WHEN t = '' THEN 'failed_empty' WHEN pr < 0.85 THEN 'ocr_fallback' WHEN length(t) < 50 THEN 'ocr_fallback' ELSE 'native' END AS route, count(*) AS n FROM t GROUP BY 1""")
+def j9(spark, d):
+    t = ad.table(spark, d, "documents").withColumn("c", F.when(F.col("doc_id") % 5 == 0, (F.col("doc_id") % 100).cast("double")))
+    return t.groupBy(scorers.text_route("text", s.printable_ratio("text"), "c").alias("route")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("e14_error_rates", "WITH x AS (SELECT n_regionkey, levenshtein(a.n_name, b.n_name) AS e, length(a.n_name) AS n FROM nation a JOIN (SELECT n_nationkey - 1 AS k, n_name FROM nation) b ON b.k = a.n_nationkey) SELECT n_regionkey, sum(e) / CAST(sum(n) AS DOUBLE) AS micro, avg(e / CAST(n AS DOUBLE)) AS macro FROM x GROUP BY 1", "micro macro")
+def e14(spark, d):
+    """Micro and macro rates."""
+    n = ad.table(spark, d, "nation")
+    b = n.select((F.col("n_nationkey") - 1).alias("n_nationkey"), F.col("n_name").alias("other"))
+    x = n.join(b, "n_nationkey").select("n_regionkey", F.levenshtein("n_name", "other").alias("e"), F.length("n_name").alias("n"))
+    return x.groupBy("n_regionkey").agg(s.ratio(F.sum("e"), F.sum("n")).alias("micro"), F.avg(F.col("e") / F.col("n")).alias("macro"))

@@ -13,7 +13,8 @@ from ..operators.metrics import evaluate
 def telemetry_gaps(events: DataFrame, seconds: float, key: str = "user_id") -> DataFrame:
     """(key, samples, gaps, longest): intervals between samples above a limit."""
     w = Window.partitionBy(key).orderBy("ts", "event_id")
-    d = events.withColumn("gap", (F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)) / 1e6)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    d = events.withColumn("gap", (at - F.lag(at).over(w)) / 1e6)
     return d.groupBy(key).agg(F.count(F.lit(1)).alias("samples"), F.count_if(F.col("gap") > seconds).alias("gaps"), F.max("gap").alias("longest"))
 
 
