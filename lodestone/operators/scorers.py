@@ -22,12 +22,12 @@ def bm25(pages: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) ->
     are kept, so the join is on terms that both sides have; a term's postings are
     joined by key, and a very frequent one is split by adaptive execution.
     """
-    tokens = pages.select("page_id", words("text").alias("w"))
-    sizes = tokens.select("page_id", F.size("w").alias("len"))
-    stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     asked = queries.select("query_id", F.explode(words("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    tf = tokens.select("page_id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("page_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    tf = tf.join(asked.select("term").distinct(), "term", "left_semi")
+    tokens = pages.select("page_id", words("text").alias("w")).select("page_id", F.size("w").alias("len"), "w")
+    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+    # other terms go before anything is shuffled by page
+    held = tokens.select("page_id", "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    tf = held.groupBy("page_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     hit = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

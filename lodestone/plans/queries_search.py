@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import budget, decisions, gate, metrics, oracle, page_oracle, stats
+from ..operators import budget, decisions, gate, metrics, normalize, oracle, page_oracle, stats
+from ..operators.contracts import CHANNELS
 
 from . import adapters as ad
 from .queries_core import _QM, METRICS
@@ -35,6 +36,15 @@ def m0(spark, d):
     return oracle.profile_metrics(ad.labelled(spark, d), W7)
 
 
+@query("m_fixed_profile_audit", f"""WITH {ad.RAW}, norm AS (SELECT query_id, page_id, relevance, {", ".join(f"{ad.minmax_sql(c)} AS {c}" for c in CHANNELS)} FROM raw WINDOW w AS (PARTITION BY query_id)), {ad.profiles_sql(W7)},
+  pm AS (SELECT * FROM {ad.evaluate_sql("(SELECT n.query_id, g.profile, n.page_id, n.relevance, wa * bm25_score + wb * dense_score + wc * visual_score AS score FROM norm n, grid g)", "score", "query_id, profile")})
+  SELECT profile, avg(ndcg10) AS ndcg10, avg(recall1) AS recall1, avg(recall3) AS recall3, avg(mrr10) AS mrr10 FROM pm GROUP BY 1""", METRICS)
+def fixed_audit(spark, d):
+    """Every profile over the whole score table, without a pool."""
+    rows = normalize.minmax(ad.scores(spark, d))
+    return oracle.global_means(oracle.profile_metrics(ad.with_labels(rows, ad.qrels(spark, d)), W7))
+
+
 @query("m2_global_oracle", f"{_PM7}, {_GLOBAL} SELECT * FROM gb", METRICS)
 def m2(spark, d):
     return oracle.global_oracle(oracle.profile_metrics(ad.labelled(spark, d), W7))
