@@ -141,3 +141,48 @@ def missed_relevant(scores: DataFrame, qrels: DataFrame, pool: DataFrame, k: int
     d = d.withColumn("cutoff", F.max(F.when(F.col("rank") == k, F.col("raw_score"))).over(w))
     out = qrels.where("relevance > 0").select("query_id", "page_id").distinct().join(pool.select("query_id", "page_id"), ["query_id", "page_id"], "left_anti")
     return d.join(out, ["query_id", "page_id"])
+
+
+def top_list_join(top_lists: DataFrame, candidates: DataFrame, tol: float = 1e-12) -> DataFrame:
+    """One row: top-list rows without a candidate, and with another raw score
+    than the candidate's column of that channel (wide rows)."""
+    from .ranking import long_channels
+
+    wide = long_channels(candidates).withColumnRenamed("raw_score", "own")
+    j = top_lists.join(wide, ["query_id", "page_id", "channel"], "left")
+    return j.agg(F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("own").isNull()).alias("without_candidate"), F.count_if(F.abs(F.col("own") - F.col("raw_score")) > tol).alias("other_score"))
+
+
+def component_parity(left: dict[str, DataFrame], right: dict[str, DataFrame]) -> DataFrame:
+    """(component, equal): whether tables of the same name have the same rows."""
+    spark = next(iter(left.values())).sparkSession
+    rows = []
+    for name in sorted({*left, *right}):
+        a, b = (t[name] if name in t else None for t in (left, right))
+        same = a is not None and b is not None and sorted(a.columns) == sorted(b.columns)
+        rows.append((name, bool(same and fingerprint(a, sorted(a.columns)).first() == fingerprint(b, sorted(a.columns)).first())))
+    return spark.createDataFrame(rows, "component string, equal boolean")
+
+
+def probe_case(rows: DataFrame, pages: int) -> DataFrame:
+    """A label-free timing case: ``pages`` evenly spaced pages a query, with two
+    made-up positives (the first and the middle one)."""
+    from .contracts import label_free
+
+    w = Window.partitionBy("query_id")
+    d = label_free(rows).withColumn("__i", F.row_number().over(w.orderBy("page_id")) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    slots = F.transform(F.sequence(F.lit(0), F.lit(pages - 1)), lambda i: F.floor(i * (F.col("__n") - 1) / (pages - 1)))
+    d = d.where(F.array_contains(slots, F.col("__i"))).withColumn("__r", F.row_number().over(w.orderBy("page_id")) - 1)
+    return d.withColumns({"stage1_score": F.lit(0.0), "relevance": F.col("__r").isin(0, pages // 2).cast("double")}).drop("__i", "__n", "__r")
+
+
+def schema_rows(df: DataFrame) -> DataFrame:
+    """(position, name, type, nullable) of a table."""
+    fields = [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema)]
+    return df.sparkSession.createDataFrame(fields, "position int, name string, type string, nullable boolean")
+
+
+def record_limits(rows: DataFrame, most: int = 600) -> DataFrame:
+    """One row: queries with more than ``most`` pages, or with a page twice."""
+    per = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("d"))
+    return per.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("n") > most).alias("too_long"), F.count_if(F.col("n") != F.col("d")).alias("repeated"))

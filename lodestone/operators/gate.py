@@ -7,6 +7,8 @@ so each epoch is one grouped aggregate; only the weights live on the driver.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from itertools import combinations
 
@@ -160,3 +162,19 @@ def train(feats: DataFrame, epochs: int = 5, rate: float = 0.5, temperature: flo
     finally:
         feats.unpersist()
     return w, b, losses
+
+
+def save(weights, bias, settings: dict) -> str:
+    """Weights as JSON, bound to a hash of the settings they were trained with."""
+    return json.dumps({"weights": np.asarray(weights).tolist(), "bias": np.asarray(bias).tolist(), "settings": _bound(settings)})
+
+
+def load(text: str, settings: dict) -> tuple[np.ndarray, np.ndarray]:
+    held = json.loads(text)
+    if held["settings"] != _bound(settings):
+        raise ValueError("these weights belong to other settings")
+    return np.array(held["weights"]), np.array(held["bias"])
+
+
+def _bound(settings: dict) -> str:
+    return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()

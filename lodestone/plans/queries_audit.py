@@ -72,10 +72,9 @@ def p3(spark, d):
     return audit.duplicate_groups(audit.page_manifest(ad.corpus_pages(spark, d))).withColumn("splits", F.array_join("splits", ","))
 
 
-@query("d10_duplicate_pairs", f"WITH {_GROUPS} SELECT a.page_id AS left_id, b.page_id AS right_id, a.split AS left_split, b.split AS right_split FROM h a JOIN h b ON a.content_sha256 = b.content_sha256 AND a.page_id < b.page_id WHERE a.source IN ('src0', 'src1', 'src2') AND b.source IN ('src0', 'src1', 'src2')")
+@query("d10_duplicate_pairs", f"WITH {_GROUPS} SELECT a.page_id AS left_id, b.page_id AS right_id, a.split AS left_split, b.split AS right_split FROM h a JOIN h b ON a.content_sha256 = b.content_sha256 AND a.page_id < b.page_id")
 def d10(spark, d):
-    m = audit.page_manifest(ad.corpus_pages(spark, d).where(F.col("source").isin("src0", "src1", "src2")))
-    return audit.duplicate_pairs(m)
+    return audit.duplicate_pairs(audit.page_manifest(ad.corpus_pages(spark, d)))
 
 
 @query("p4_d11_leaks", f"WITH {_GROUPS} SELECT content_sha256, pages, array_to_string(list_filter(splits, lambda s: s NOT IN ('shared', 'unassigned')), ',') AS closed FROM g WHERE len(list_filter(splits, lambda s: s NOT IN ('shared', 'unassigned'))) > 1")
@@ -85,14 +84,14 @@ def p4(spark, d):
 
 
 def _aliases(spark, d):
-    p = ad.table(spark, d, "part").where("p_partkey < 2000")
+    p = ad.table(spark, d, "part")
     doc, num = F.expr("p_partkey div 10"), F.expr("p_partkey % 10")
     ref = F.when(F.col("p_partkey") % 4 == 0, F.format_string("doc%06d_page_%04d.png", doc, num)).when(F.col("p_partkey") % 4 == 1, F.format_string("doc%06d#page=%d", doc, num)).when(F.col("p_partkey") % 4 == 2, F.format_string("doc%06d:%d", doc, num)).otherwise(F.lit("unknown"))
     return p.select(F.format_string("a%d", F.expr("p_partkey div 2")).alias("alias_id"), ref.alias("reference"), F.col("p_partkey").alias("position"))
 
 
 @query("p2_i7_aliases", f"""WITH {ad.PAGES}, a AS (SELECT 'a' || (p_partkey // 2) AS alias_id, p_partkey AS position, CASE p_partkey % 4 WHEN 0 THEN printf('doc%06d_page_%04d.png', p_partkey // 10, p_partkey % 10) WHEN 1 THEN printf('doc%06d#page=%d', p_partkey // 10, p_partkey % 10) WHEN 2 THEN printf('doc%06d:%d', p_partkey // 10, p_partkey % 10) ELSE 'unknown' END AS reference,
-    printf('doc%06d_page_%04d', p_partkey // 10, p_partkey % 10) AS target, ['canonical_form', 'fragment', 'separator', 'unresolved'][p_partkey % 4 + 1] AS reason FROM part WHERE p_partkey < 2000),
+    printf('doc%06d_page_%04d', p_partkey // 10, p_partkey % 10) AS target, ['canonical_form', 'fragment', 'separator', 'unresolved'][p_partkey % 4 + 1] AS reason FROM part),
   f AS (SELECT *, row_number() OVER (PARTITION BY alias_id ORDER BY position) AS r FROM a)
   SELECT alias_id, reference, CASE WHEN reason <> 'unresolved' THEN target END AS page_id, reason, reason <> 'unresolved' AND target IN (SELECT page_id FROM pages_t) AS resolved FROM f WHERE r = 1""")
 def p2(spark, d):
@@ -129,10 +128,10 @@ def p7(spark, d):
     return row.select(decisions.audit_status().alias("status"))
 
 
-@query("p8_asset_identity", """WITH a AS (SELECT CAST(l_partkey AS VARCHAR) AS page_id, 'p/' || l_suppkey || '.png' AS asset_path, CASE WHEN l_partkey % 3 = 0 THEN CAST(l_suppkey % 2 AS VARCHAR) ELSE 'h' END AS asset_sha256 FROM lineitem WHERE l_partkey < 300)
+@query("p8_asset_identity", """WITH a AS (SELECT CAST(l_partkey AS VARCHAR) AS page_id, 'p/' || l_suppkey || '.png' AS asset_path, CASE WHEN l_partkey % 3 = 0 THEN CAST(l_suppkey % 2 AS VARCHAR) ELSE 'h' END AS asset_sha256 FROM lineitem)
   SELECT page_id, CASE WHEN count(DISTINCT asset_sha256) = 1 THEN 'canonical' ELSE 'conflict' END AS state, min(asset_path) AS canonical_path, array_to_string(list_filter(list_sort(list(DISTINCT asset_path)), lambda x: x <> min(asset_path)), ',') AS aliases FROM a GROUP BY 1""".replace("list_filter(list_sort(list(DISTINCT asset_path)), lambda x: x <> min(asset_path))", "list_sort(list(DISTINCT asset_path))[2:]"))
 def p8(spark, d):
-    t = ad.table(spark, d, "lineitem").where("l_partkey < 300")
+    t = ad.table(spark, d, "lineitem")
     a = t.select(F.col("l_partkey").cast("string").alias("page_id"), F.concat(F.lit("p/"), "l_suppkey", F.lit(".png")).alias("asset_path"), F.when(F.col("l_partkey") % 3 == 0, (F.col("l_suppkey") % 2).cast("string")).otherwise("h").alias("asset_sha256"))
     return audit.asset_identity(a).withColumn("aliases", F.array_join("aliases", ","))
 

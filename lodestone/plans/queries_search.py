@@ -122,13 +122,13 @@ def k8(spark, d):
 def m4(spark, d):
     """Coordinate ascent for each page; sequential, so a grouped
     function. Checked against brute force in the tests."""
-    return page_oracle.page_oracle(ad.labelled(spark, d, 20), W7).drop("profiles")
+    return page_oracle.page_oracle(ad.labelled(spark, d), W7).drop("profiles")
 
 
 @query("m4_invariants", "SELECT 0::BIGINT AS violations")
 def m4b(spark, d):
     """Page level >= query level."""
-    return page_oracle.page_oracle(ad.labelled(spark, d, 20), W7).agg(F.count_if(F.col("page_ndcg10") < F.col("query_ndcg10") - 1e-9).alias("violations"))
+    return page_oracle.page_oracle(ad.labelled(spark, d), W7).agg(F.count_if(F.col("page_ndcg10") < F.col("query_ndcg10") - 1e-9).alias("violations"))
 
 
 # ------------------------------------------------------------ budget
@@ -242,11 +242,11 @@ def n2(spark, d):
     return stats.bootstrap_ratio(_metrics(spark, d), "ndcg_stage1", "ndcg_full", 2000)
 
 
-@query("n1_bootstrap_hashed", f"""WITH {_DELTA}, v AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS i, delta AS x, count(*) OVER () AS n FROM d WHERE CAST(query_id AS BIGINT) <= 200),
+@query("n1_bootstrap_hashed", f"""WITH {_DELTA}, v AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS i, delta AS x, count(*) OVER () AS n FROM d),
   k AS (SELECT b, CAST('0x' || substr(md5(CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % n AS i FROM v, range(100) t(b)), m AS (SELECT b, avg(x) AS m FROM k JOIN v USING (i) GROUP BY 1)
   SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m""", "low high")
 def n1c(spark, d):
-    return stats.bootstrap_hashed(_deltas(spark, d).where(F.col("query_id").cast("long") <= 200), "delta", 100)
+    return stats.bootstrap_hashed(_deltas(spark, d), "delta", 100)
 
 
 # ------------------------------------------------------------ gates
@@ -347,7 +347,7 @@ def q2(spark, d):
 @query("q7_trained_gate", None, "loss")
 def q7(spark, d):
     """Losses of a few epochs of training; must fall (tests)."""
-    feats = gate.features(ad.candidates(spark, d, 20))
+    feats = gate.features(ad.candidates(spark, d))
     _, _, losses = gate.train(ad.with_labels(feats, ad.qrels(spark, d)), epochs=3)
     return spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
 
@@ -356,7 +356,7 @@ def q7(spark, d):
 def n8(spark, d):
     """Does the loss order static profiles as nDCG does? Rank correlation over the
     grid and the nDCG gap of the profile with the least loss, with its gate."""
-    rows = ad.labelled(spark, d, 20)
+    rows = ad.labelled(spark, d)
     scored = oracle.profile_scores(rows, W7)
     pos = scored.where("relevance > 0").select("query_id", "profile", F.col("score").alias("p"))
     neg = scored.where("relevance <= 0").select("query_id", "profile", F.col("score").alias("n"))

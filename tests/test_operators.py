@@ -268,3 +268,28 @@ def test_scalar_edges(spark):
     assert value(scalars.document_of(F.lit("a_b_page_0012"))) == "a_b" and value(scalars.document_of(F.lit("a_b_7"), "last")) == "a_b"
     assert value(scalars.softplus(F.lit(1000.0))) == 1000.0
     assert json.loads(json.dumps(value(scalars.label_list(F.array(F.lit("b"), F.lit("a"), F.lit("b")))))) == "a|b"
+
+
+def test_word_edits_and_changes():
+    from lodestone.functions import text
+
+    def brute(a, b):
+        table = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        return table[-1][-1]
+
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        a, b = ([str(x) for x in rng.integers(0, 4, rng.integers(0, 9))] for _ in range(2))
+        assert text.sequence_edits(a, b) == brute(a, b)
+    assert text.changes({"a": {"b": 1, "c": 2}, "d": 1}, {"a": {"b": 3, "c": 2}}) == {"a.b": [1, 3], "d": [1, None]}
+
+
+def test_weights_are_bound_to_settings():
+    held = gate.save([[1.0, 2.0]], [0.5], {"k": 1})
+    w, b = gate.load(held, {"k": 1})
+    assert w.tolist() == [[1.0, 2.0]] and b.tolist() == [0.5]
+    with pytest.raises(ValueError):
+        gate.load(held, {"k": 2})
