@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import page_id, squeeze
+from .ranking import hash_numbers
 
 #: Alias forms in order of precedence, with their reasons.
 ALIAS_FORMS = (
@@ -34,8 +35,7 @@ def page_manifest(pages: DataFrame) -> DataFrame:
 def duplicate_groups(pages: DataFrame) -> DataFrame:
     """(content_sha256, pages, splits, group_id) of contents on several pages."""
     g = pages.groupBy("content_sha256").agg(F.count(F.lit(1)).alias("pages"), F.array_sort(F.collect_set("split")).alias("splits")).where("pages > 1")
-    number = F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("content_sha256"))
-    return g.withColumn("group_id", F.format_string("DUP-%04d", number))
+    return hash_numbers(g, F.col("content_sha256"), [], "__at").withColumn("group_id", F.format_string("DUP-%04d", "__at")).drop("__at")
 
 
 def duplicate_pairs(pages: DataFrame, key: str = "page_id") -> DataFrame:

@@ -1,7 +1,7 @@
 """Deterministic samples and splits by hash order.
 
-Row numbers over a whole table are taken over query or document lists, which
-are small beside score tables; strata are window partitions.
+Positions in hash order are counted by hash prefix, so no table goes into one
+task; strata are window partitions.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_even
-from .ranking import allocate
+from .ranking import allocate, hash_numbers
 
 
 def hashed(*parts) -> Column:
@@ -25,18 +25,17 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
 def ratio_split(df: DataFrame, key: str, namespace: str, seed: str, shares=(0.70, 0.15), roles=("train", "validation", "test")) -> DataFrame:
     """``df`` with role: hash order cut at half-even rounded counts; what is left
     goes to the last role."""
-    whole = Window.partitionBy(F.lit(0))
-    d = df.withColumn("__p", F.row_number().over(whole.orderBy(hashed(namespace, seed, F.col(key).cast("string")), key))).withColumn("__n", F.count(F.lit(1)).over(whole))
-    first = half_even(F.col("__n") * F.lit(shares[0]))
-    second = first + half_even(F.col("__n") * F.lit(shares[1]))
-    role = F.when(F.col("__p") <= first, roles[0]).when(F.col("__p") <= second, roles[1]).otherwise(roles[2])
-    return d.withColumn("role", role).drop("__p", "__n")
+    d = hash_numbers(df, hashed(namespace, seed, F.col(key).cast("string")), [key], "__at", "__all")
+    first = half_even(F.col("__all") * F.lit(shares[0]))
+    second = first + half_even(F.col("__all") * F.lit(shares[1]))
+    role = F.when(F.col("__at") <= first, roles[0]).when(F.col("__at") <= second, roles[1]).otherwise(roles[2])
+    return d.withColumn("role", role).drop("__at", "__all")
 
 
 def two_way_split(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
     """``df`` with part: the first n in hash order are selected, others reserve."""
-    whole = Window.partitionBy(F.lit(0)).orderBy(hashed(seed, F.col(key).cast("string")), key)
-    return df.withColumn("part", F.when(F.row_number().over(whole) <= n, "selected").otherwise("reserve"))
+    d = hash_numbers(df, hashed(seed, F.col(key).cast("string")), [key], "__at")
+    return d.withColumn("part", F.when(F.col("__at") <= n, "selected").otherwise("reserve")).drop("__at")
 
 
 def stratified(df: DataFrame, strata: list[str], key: str, n: int, seed: str) -> DataFrame:
