@@ -77,12 +77,23 @@ def _better(x: Column, y: Column, names) -> Column:
     return out
 
 
-def best_profile(metrics: DataFrame, keys, names=("ndcg10", "recall3", "mrr10")) -> DataFrame:
+NAMES = ("ndcg10", "recall3", "mrr10")
+_FIELDS = ["profile", "ndcg10", "recall1", "recall3", "mrr10"]
+
+
+def _in_grid_order(metrics: DataFrame, keys) -> DataFrame:
+    """(keys, rows): the metrics of all profiles of a key, in grid order."""
+    return metrics.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*_FIELDS))).alias("rows"))
+
+
+def _fold(names=NAMES) -> Column:
+    """The best element of ``rows``: each is compared with the best before it."""
+    return F.aggregate(F.slice("rows", 2, 10_000), F.col("rows")[0], lambda best, x: F.when(_better(x, best, names), x).otherwise(best))
+
+
+def best_profile(metrics: DataFrame, keys, names=NAMES) -> DataFrame:
     """The best profile of each key, folded in grid order."""
-    every = ["profile", *[c for c in metrics.columns if c not in (*keys, "profile")]]
-    rows = F.array_sort(F.collect_list(F.struct(*every)))
-    fold = F.aggregate(F.slice("rows", 2, 10_000), F.col("rows")[0], lambda best, x: F.when(_better(x, best, names), x).otherwise(best))
-    return metrics.groupBy(*keys).agg(rows.alias("rows")).select(*keys, fold.alias("b")).select(*keys, *[F.col(f"b.{c}").alias(c) for c in every])
+    return _in_grid_order(metrics, keys).select(*keys, _fold(names).alias("b")).select(*keys, *[F.col(f"b.{c}").alias(c) for c in _FIELDS])
 
 
 def global_means(metrics: DataFrame) -> DataFrame:
@@ -124,11 +135,12 @@ def fit_static(df: DataFrame, profiles, totals: DataFrame | None = None) -> Data
 def oracle_rows(df: DataFrame, profiles, keys=("query_id",), metrics: DataFrame | None = None) -> DataFrame:
     """(keys, global_profile, global_ndcg10, query_profile, query_ndcg10, delta)."""
     keys = list(keys)
-    metrics = profile_metrics(df, profiles, keys) if metrics is None else metrics
-    chosen = global_oracle(metrics).select(F.col("profile").alias("global_profile"))
-    at = metrics.crossJoin(F.broadcast(chosen)).where("profile = global_profile").select(*keys, "global_profile", F.col("ndcg10").alias("global_ndcg10"))
-    own = query_oracle(metrics, keys).select(*keys, F.col("profile").alias("query_profile"), F.col("ndcg10").alias("query_ndcg10"))
-    return at.join(own, keys).withColumn("delta", F.col("query_ndcg10") - F.col("global_ndcg10"))
+    # both levels read the same arrays, so the metrics are computed once
+    wide = _in_grid_order(profile_metrics(df, profiles, keys) if metrics is None else metrics, keys)
+    chosen = global_oracle(wide.select(*keys, F.explode("rows").alias("r")).select("r.*")).select(F.col("profile").alias("global_profile"))
+    d = wide.crossJoin(F.broadcast(chosen)).withColumn("q", _fold()).withColumn("g", F.filter("rows", lambda x: x["profile"] == F.col("global_profile"))[0])
+    d = d.select(*keys, "global_profile", F.col("g.ndcg10").alias("global_ndcg10"), F.col("q.profile").alias("query_profile"), F.col("q.ndcg10").alias("query_ndcg10"))
+    return d.withColumn("delta", F.col("query_ndcg10") - F.col("global_ndcg10"))
 
 
 def gain_summary(deltas: DataFrame, delta: str = "delta") -> DataFrame:
