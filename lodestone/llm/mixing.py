@@ -99,8 +99,8 @@ def systematic_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: i
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
     """The mixed documents: every column of ``docs`` and ``copy`` (1, 2, ...),
-    one row for each copy of a row. doc_id must tell rows apart; rows that share
-    an id are mixed as one document of the first one's text."""
-    one = docs.dropDuplicates(["doc_id"])
-    taken = systematic_mix(one, weights, cap).where("copies > 0").select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return one.drop("copy").join(taken, one["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"])
+    one row for each copy of a row. Rows that share a doc_id are one document to
+    the join, and all take the most copies that one of them gets."""
+    taken = systematic_mix(docs, weights, cap).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__n")).where("__n > 0")
+    whole = docs.drop("copy").join(taken, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")))
+    return whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__id", "__n")
