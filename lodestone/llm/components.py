@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import drop, table
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(a, b): each linked node with the smallest node of its component, that
     node itself left out. Nodes without links do not appear. Repeated links and
-    links of a node to itself are allowed; links with a null end are ignored."""
+    links of a node to itself are allowed; links with a null end are ignored.
+    The result is a written table of its own."""
     now = links.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
     now = table(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
@@ -39,4 +40,6 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         if mark == seen:
             return now
         seen = mark
-        now = table(_small_star(_large_star(now)).where("a <> b").distinct(), "links")
+        after = table(_small_star(_large_star(now)).where("a <> b").distinct(), "links")
+        drop(now)
+        now = after

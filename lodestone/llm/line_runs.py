@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import run_dir, table, write
+from .common import drop, run_dir, table, write
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRIPPED = " \t\n\x0b\f\r"
@@ -54,9 +54,9 @@ class LineRuns:
         path = run_dir(self.spark, f"run{level}")
         self.levels[level].append(write(records.repartition(*KEY).sortWithinPartitions(*KEY), path))
         if len(self.levels[level]) == self.fanout:
-            merged = self._merged(self.levels[level])
-            self.levels[level] = []
-            self._store(merged, level + 1)
+            merged, self.levels[level] = self.levels[level], []
+            self._store(self._merged(merged), level + 1)
+            drop(*merged)
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
@@ -66,14 +66,17 @@ class LineRuns:
     def add(self, lines: DataFrame) -> None:
         """Add a batch of (doc_id, h1, h2), one row for each distinct key of a
         document. Batches must come in descending order of doc_id."""
+        batch = None
         own = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
         if self.runs():
             known = reduce(DataFrame.unionByName, [r.select(*KEY) for r in self.runs()])
-            own = table(own, "batch")
+            own = batch = table(own, "batch")
             fresh = own.join(known, KEY, "left_anti")
             seen = own.join(known, KEY, "left_semi").withColumn("keeper", F.lit(None).cast("long"))
             own = fresh.unionByName(seen)
         self._store(own, 0)
+        if batch is not None:
+            drop(batch)
 
     def frequent(self, least: int) -> DataFrame:
         """Keys that ``least`` documents or more hold."""
@@ -112,6 +115,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     frequent = table(runs.frequent(min_docs), "frequent")
     gone = held.join(frequent, KEY).where((F.col("doc_id") < F.col("keeper")) | (F.col("doc_id").isNull() & F.col("keeper").isNotNull()))
     gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("__gone"))
+    gone = table(gone, "gone")
+    drop(held, frequent, *runs.runs())
     out = docs.drop("n_lines", "n_dropped", "__gone")
     gone = gone.withColumnRenamed("doc_id", "__gone_id")
     out = out.join(gone, out["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]), "left").drop("__gone_id")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, lists, mix, shingles, slices, table
+from .common import U64, Words, drop, lists, mix, shingles, slices, table
 from .components import components
 
 #: Sets and tokens of a block; larger components are cut into pairs of blocks.
@@ -228,8 +228,11 @@ def _clusters(sets: DataFrame) -> DataFrame:
     holders = sets.select("cluster", "sig", F.explode("prefix").alias("t"))
     pivots = holders.groupBy("cluster", "t").agg(F.min("sig").alias("pivot"), F.count(F.lit(1)).alias("df")).where("df > 1")
     stars = holders.join(pivots, ["cluster", "t"]).select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
-    near = components(stars).select(F.col("a").alias("sig"), F.col("b").alias("cluster"))
-    return near.union(near.select("cluster", "cluster").distinct())
+    pairs = components(stars)
+    near = pairs.select(F.col("a").alias("sig"), F.col("b").alias("cluster"))
+    out = table(near.union(near.select("cluster", "cluster").distinct()), "clusters")
+    drop(pairs)
+    return out
 
 
 def _reordered(sets: DataFrame, percent: int) -> DataFrame:
@@ -283,17 +286,21 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, block: int =
     whole = scanned.join(wanted, "doc_id").select("want", "text").mapInArrow(_whole_sets(k), schema)
     nameless = scanned.where("doc_id is null").select("text").mapInArrow(_whole_sets(k), schema)
     whole = whole.union(nameless.join(alive.where("doc is null").select("sig"), "sig", "left_semi"))
-    whole = table(whole.dropDuplicates(["sig"]), "whole").join(alive, "sig")
+    fetched = table(whole.dropDuplicates(["sig"]), "whole")
+    whole = fetched.join(alive, "sig")
     rest = whole.where("m < p").select("sig", F.explode("tokens").alias("t")).where(~F.col("t").between(0, min(counted_below(k, percent), 2**63) - 1))
     rest_counts = rest.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     tail = rest.join(rest_counts, "t").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("others"))
     whole = whole.join(tail, "sig", "left").withColumn("tail", F.expr("transform(slice(coalesce(others, array()), 1, greatest(0, p - cast(m as int))), x -> x.t)"))
     whole = table(whole.select("sig", "copies", "tokens", F.concat("lead", "tail").alias("prefix")), "prefixes")
+    rows = table(own.select("doc_id", "n", "sig"), "rows")
+    drop(fetched, own)
 
     near = _clusters(whole.select(F.lit(0).cast("long").alias("cluster"), "sig", "prefix"))
 
     # order B: each cluster is ordered anew, by all its tokens
     ordered = _reordered(whole.join(near, "sig"), percent)
+    drop(whole, near)
     finer = _clusters(ordered.select("cluster", "sig", "prefix"))
     sized = finer.join(ordered.select("sig", "n"), "sig").groupBy("cluster").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")
@@ -306,9 +313,11 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, block: int =
     members = members.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sig", "block", "copies", "prefix", "tokens")
     members = members.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
     found = table(members.mapInArrow(_verify(percent), "sig long, root long, links long"), "found")
+    drop(ordered, finer)
 
     # 5: classes
-    classes = components(found, "sig", "root").select(F.col("a").alias("sig"), F.col("b").alias("root"))
+    pairs = components(found, "sig", "root")
+    classes = pairs.select(F.col("a").alias("sig"), F.col("b").alias("root"))
     links = found.groupBy("sig").agg(F.sum("links").alias("links"))
     named = (
         state.select("sig", "doc", "copies")
@@ -316,8 +325,9 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, block: int =
         .select("sig", "doc", F.coalesce("root", "sig").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     smallest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    result = named.join(smallest, "root").select("sig", "component_id", "n_links")
-    joined = own.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(result, "sig", "left")
+    result = table(named.join(smallest, named["root"] == smallest["root"]).select("sig", "component_id", "n_links"), "classes")
+    drop(state, found, pairs)
+    joined = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(result, "sig", "left")
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
