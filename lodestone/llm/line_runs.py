@@ -118,7 +118,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     gone = table(gone, "gone")
     drop(held, frequent, *runs.runs())
     out = docs.drop("n_lines", "n_dropped", "__gone")
-    gone = gone.withColumnRenamed("doc_id", "__gone_id")
+    # joined by a shuffle at every size: the lists grow with the documents
+    gone = gone.withColumnRenamed("doc_id", "__gone_id").hint("merge")
     out = out.join(gone, out["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]), "left").drop("__gone_id")
     all_lines = split_lines(F.col("text"))
     kept = F.filter(all_lines, lambda x: ~F.array_contains(F.col("__gone"), _hash(line_key(x))))
