@@ -29,6 +29,8 @@ BUCKETS = 1 << 14
 MOST_LANGUAGES = 256
 _SLICE = 1 << 20
 _ROUNDS = 9
+#: Texts whose n-gram tables are held at once.
+_ROWS = 128
 
 
 def _ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -154,8 +156,8 @@ def _shares(part: pa.RecordBatch, langs: list[str], p: np.ndarray):
 def _predict(langs: list[str], p: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=_SLICE):
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
                 shares = _shares(part, langs, p)
                 top, score = shares.argmax(1), shares.max(1)
                 names = np.array([*langs, "und"], object)[np.where(score > 0, top, len(langs))]
@@ -179,8 +181,8 @@ def _held(folds: int, held: int):
 def _dominant(langs: list[str], p: np.ndarray, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=_SLICE):
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
                 top = _shares(part, langs, p).max(1)
                 yield part.filter(pa.array((top > 0) & (top >= least))).drop_columns(["__letters"])
 
