@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
 #: Text bytes handled at once; a single longer text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _SPACES = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
 IS_SPACE = np.zeros(256, bool)
