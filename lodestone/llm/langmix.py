@@ -5,9 +5,10 @@ lower-cased text, with runs of spaces and digits as one space, and one at both e
 of its n-grams was drawn from one of the languages, and expectation-maximisation
 finds the proportions that make the document likeliest. Languages are then left
 out, the weakest first, as long as the likelihood penalised by the number of
-languages (Bayesian information criterion) improves. The prediction is the
-language with the largest proportion in the chosen set, the score that
-proportion.
+languages (Bayesian information criterion) improves. Every set is fitted to its
+maximum, starting from the shares of the larger set, as the criterion compares
+maxima. The prediction is the language with the largest proportion in the chosen
+set, the score that proportion.
 
 The model is languages x buckets numbers, whatever the size of the corpus; every
 training text is counted whole.
@@ -28,7 +29,12 @@ BUCKETS = 1 << 14
 #: Most languages a model may have; more is an error, not a silent cut.
 MOST_LANGUAGES = 256
 _SLICE = 1 << 20
-_ROUNDS = 9
+#: Log likelihood that a fit may miss, for short texts a thousandth of it an n-gram.
+_MISSING = 1e-3
+#: Most languages for Newton steps.
+_NEWTON = 16
+#: Numbers of a group's likelihood array (small enough for a cache).
+_CELLS = 1 << 17
 #: Texts whose n-gram tables are held at once.
 _ROWS = 128
 
@@ -92,22 +98,93 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r["lang"] for r in rows], p / p.sum(1, keepdims=True)
 
 
-def _em(starts, count, like, total, allowed, rounds: int = _ROUNDS):
-    """Proportions (texts x languages) and log likelihoods, with languages
-    outside ``allowed`` held at zero. ``like`` is (languages, cells)."""
-    pi = allowed / allowed.sum(1, keepdims=True)
-    width = np.diff(np.append(starts, len(count)))
-    mixed = np.empty_like(like)
-    for step in range(rounds + 1):
-        for i in range(len(like)):
-            np.multiply(like[i], np.repeat(pi[:, i].astype(np.float32), width), out=mixed[i])
-        p = mixed.sum(0)
-        if step == rounds:
-            return pi, np.add.reduceat(count * np.log(p.astype(float)), starts)
-        share = count / p
-        pi = np.stack([np.add.reduceat(m * share, starts) for m in mixed], 1) / total[:, None]
-        pi = np.maximum(pi, 1e-9) * allowed
-        pi /= pi.sum(1, keepdims=True)
+def _newton(like: np.ndarray, share: np.ndarray, p: np.ndarray, slope: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Proportions at the maximum of the likelihood's quadratic form; negative
+    ones are set to zero and the others solved again."""
+    k = slope.shape[1]
+    curve, ratio = np.empty((len(slope), k, k)), share / p
+    for i in range(k):
+        part = like[:, i] * ratio
+        for j in range(i + 1):
+            curve[:, i, j] = curve[:, j, i] = np.einsum("tc,tc->t", part, like[:, j])
+    curve += 1e-9 * np.eye(k) * curve
+    on = np.ones(slope.shape, bool)
+    for _ in range(k):
+        both = on[:, :, None] & on[:, None]
+        pi = np.linalg.solve(np.where(both, curve, np.eye(k)), np.where(on, 2 * slope - total[:, None], 0)[:, :, None])[:, :, 0]
+        if (pi >= 0).all():
+            break
+        on &= pi > 0
+    pi = np.maximum(pi, 0)
+    whole = pi.sum(1, keepdims=True)
+    return np.where(whole > 0, pi / np.maximum(whole, 1e-300), 1 / k)
+
+
+def _em(like: np.ndarray, count: np.ndarray, total: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions (texts x languages) and log likelihoods at the maximum, from
+    the proportions ``pi`` on. ``like`` is (texts, languages, cells).
+
+    The log likelihood is concave, so its largest derivative less the text's
+    number of n-grams bounds what is missing to the maximum. Every text iterates
+    until that bound is below its tolerance. A Newton step is tried between
+    rounds of EM, and taken back unless it halves the bound.
+    """
+    out, ll = pi.copy(), np.empty(len(pi))
+    k, live, limit = pi.shape[1], np.arange(len(pi)), np.minimum(_MISSING, total * _MISSING / 1000)
+    # the bound and the EM step of the last point that was kept
+    bound, step = np.full(len(pi), np.inf), pi
+    tried = np.zeros(len(pi), bool)
+    while True:
+        p = pi[:, :1] * like[:, 0]
+        for i in range(1, k):
+            p += pi[:, i : i + 1] * like[:, i]
+        share = count / np.maximum(p, 1e-300)
+        slope = np.stack([np.einsum("tc,tc->t", like[:, i], share) for i in range(k)], 1)
+        missing = slope.max(1) - total
+        done = missing <= limit
+        if done.any():
+            out[live[done]], ll[live[done]] = pi[done], np.einsum("tc,tc->t", count[done], np.log(p[done]))
+            if done.all():
+                return out, ll
+            like, count, total, pi, live, limit, bound, step, tried, p, share, slope, missing = (
+                x[~done] for x in (like, count, total, pi, live, limit, bound, step, tried, p, share, slope, missing)
+            )
+        kept = ~tried | (missing <= bound / 2)
+        after = np.maximum(pi * slope / total[:, None], 1e-12)
+        step = np.where(kept[:, None], after / after.sum(1, keepdims=True), step)
+        bound = np.where(kept, missing, bound)
+        tried = kept & (k <= _NEWTON)
+        pi = step.copy()
+        if tried.all():
+            pi = _newton(like, share, p, slope, total)
+        elif tried.any():
+            pi[tried] = _newton(*(x[tried] for x in (like, share, p, slope, total)))
+
+
+def _choose(like: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Proportions of the chosen languages for texts of one table width."""
+    texts, k = like.shape[:2]
+    total = count.sum(1)
+    penalty = 0.5 * np.log(np.maximum(total, 2))
+    best, score = np.zeros((texts, k)), np.full(texts, -np.inf)
+    active, langs, pi = np.arange(texts), np.tile(np.arange(k), (texts, 1)), np.full((texts, k), 1 / k)
+    for left in range(k, 0, -1):
+        pi, ll = _em(like, count, total[active], pi)
+        value = ll - penalty[active] * (left - 1)
+        better = value >= score[active]
+        active, langs, pi, like, count = (x[better] for x in (active, langs, pi, like, count))
+        score[active] = value[better]
+        best[active] = 0
+        best[active[:, None], langs] = pi
+        if left == 1 or not len(active):
+            return best
+        # of equal shares (to a hundred-thousandth) the last language leaves
+        weakest = left - 1 - pi[:, ::-1].round(5).argmin(1)
+        keep = np.arange(left) != weakest[:, None]
+        langs, pi = langs[keep].reshape(-1, left - 1), pi[keep].reshape(-1, left - 1)
+        pi = pi / pi.sum(1, keepdims=True)
+        like = like[keep].reshape(len(active), left - 1, -1)
+    return best
 
 
 def mixtures(docs: np.ndarray, grams: np.ndarray, n_docs: int, p: np.ndarray) -> np.ndarray:
@@ -117,30 +194,23 @@ def mixtures(docs: np.ndarray, grams: np.ndarray, n_docs: int, p: np.ndarray) ->
     cell = np.flatnonzero(table)
     if not len(cell):
         return out
-    count, owner, gram = table[cell].astype(np.float32), cell // BUCKETS, cell % BUCKETS
-    some, starts = np.unique(owner, return_index=True)
-    total = np.add.reduceat(count, starts).astype(float)
-    like = np.ascontiguousarray((p / p.mean(0)).astype(np.float32)[:, gram])
-    allowed = np.ones((len(some), len(p)))
-    pi, ll = _em(starts, count, like, total, allowed)
-    penalty = 0.5 * np.log(np.maximum(total, 2))
-    best, score = pi.copy(), ll - penalty * (len(p) - 1)
-    active, ends = np.arange(len(some)), np.append(starts, len(count))[1:]
-    for left in range(len(p) - 1, 0, -1):
-        weakest = np.where(allowed[active] > 0, pi[active], np.inf).argmin(1)
-        allowed[active, weakest] = 0
-        width = ends[active] - starts[active]
-        first = np.cumsum(width) - width
-        rows = np.arange(width.sum()) + np.repeat(starts[active] - first, width)
-        now, ll = _em(first, count[rows], like[:, rows], total[active], allowed[active], 0 if left == 1 else _ROUNDS // 3)
-        pi[active] = now
-        value = ll - penalty[active] * (left - 1)
-        better = value >= score[active]
-        best[active[better]], score[active[better]] = now[better], value[better]
-        active = active[better]
-        if not len(active):
-            break
-    out[some] = best
+    count, owner, gram = table[cell].astype(float), cell // BUCKETS, cell % BUCKETS
+    some, starts, cells = np.unique(owner, return_index=True, return_counts=True)
+    at = np.arange(len(cell)) - np.repeat(starts, cells)
+    like = p / p.mean(0)
+    # texts of similar size are one array, padded to a width that only the
+    # text's own size decides, so equal texts are summed alike in any batch
+    unit = np.maximum(16, 2 ** np.ceil(np.log2(cells)).astype(int) // 16)
+    widths = -(-cells // unit) * unit
+    for width in np.unique(widths):
+        same = np.flatnonzero(widths == width)
+        step = max(1, _CELLS // (int(width) * len(p)))
+        for group in (same[i : i + step] for i in range(0, len(same), step)):
+            mine = np.concatenate([np.arange(starts[i], starts[i] + cells[i]) for i in group])
+            row = np.repeat(np.arange(len(group)), cells[group])
+            n, bucket = np.zeros((len(group), width)), np.zeros((len(group), width), np.int64)
+            n[row, at[mine]], bucket[row, at[mine]] = count[mine], gram[mine]
+            out[some[group]] = _choose(like[:, bucket].transpose(1, 0, 2).copy(), n)
     return out
 
 
