@@ -1,11 +1,12 @@
-"""Licence scan: TF-IDF cosines of text lines to licence templates, then
-inheritance from the nearest ancestor directory.
+"""Licence scan: TF-IDF cosines of lines, paragraphs, leading comments and whole
+files to licence templates, then inheritance from the nearest ancestor directory.
 
-Every line of every whole file is compared with a set of licence notices as a
-sparse TF-IDF vector. Only terms of the templates can add to a dot product, so
+Every line of every whole file is compared with a set of licence notices and
+standard headers as a sparse TF-IDF vector; paragraphs, the leading comment and
+the file as a whole are compared with whole licence texts too. Only terms of the templates can add to a dot product, so
 their document counts are all that is gathered from the corpus (one number a
 template term); any other term has the weight of a term that no document holds.
-A file whose best line reaches the threshold has that licence itself. Licence
+A file whose best unit reaches the threshold has that licence itself. Licence
 files speak for their directory: a file without a licence of its own takes that
 of the nearest directory above it that has one, by an equi-join of the ancestor
 paths of all distinct directories.
@@ -13,8 +14,11 @@ paths of all distinct directories.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import cache
 from math import log
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +27,50 @@ from pyspark.sql import functions as F
 
 from .common import IS_MARK, Words, slices, table
 
-#: Short notices by which files state their licence.
+#: Notices and standard headers by which files state their licence.
+_GNU = (
+    ("GPL", "General", "2", "GPL-2.0"), ("GPL", "General", "3", "GPL-3.0"), ("LGPL", "Lesser General", "2.1", "LGPL-2.1"), ("LGPL", "Library General", "2", "LGPL-2.0"),
+    ("LGPL", "Lesser General", "3", "LGPL-3.0"), ("AGPL", "Affero General", "3", "AGPL-3.0"),
+)
+_SPDX = (
+    "0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0",
+    "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "MIT", "MPL-2.0", "Unlicense", "Zlib",
+)
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("Proprietary", "All rights reserved."),
-)
+    *((name, f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.") for _, kind, v, name in _GNU),
+    *((name, f"This program is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} Public License version {v} as published by the Free Software Foundation.") for _, kind, v, name in _GNU),
+    *((name, f"GNU {kind.upper()} PUBLIC LICENSE Version {v}") for _, kind, v, name in _GNU),
+    *((name.removesuffix("-only").removesuffix("-or-later"), f"SPDX-License-Identifier: {name}") for name in _SPDX),
+)
 THRESHOLD = 0.8
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([-._].*)?$"
+#: The leading comments of a file, after an interpreter line.
+HEADER = re.compile(rb"\s*(?:/\*.*?\*/\s*|<!--.*?-->\s*|\"\"\".*?\"\"\"\s*|'''.*?'''\s*|(?:#|//|--|;|%|\.\.|\"|rem\b|dnl\b)[^\n]*\s*)+", re.S)
+
+
+@cache
+def licence_texts() -> tuple[tuple[str, str], ...]:
+    """Whole licence texts, by file name."""
+    folder = Path(__file__).resolve().parent / "licence_texts"
+    return tuple((p.name.removesuffix(".txt"), p.read_text(encoding="utf-8")) for p in sorted(folder.glob("*.txt")))
 
 
 class Templates:
@@ -81,45 +115,88 @@ def _document_counts(t: Templates):
     return run
 
 
-def _scan(t: Templates, idf: np.ndarray, rare: float, threshold: float):
+def _units(words: Words, line: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, first word, end word, line in the text, whether a line) of every
+    line, and of every paragraph, leading comment and whole text of more lines."""
+    n = len(first)
+    owner = np.repeat(np.arange(n), np.diff(words.bounds))
+    every, out = len(owner), []
+    turn = np.flatnonzero(np.diff(line, prepend=-1))
+    out.append((turn, np.append(turn[1:], every), True))
+    gap = np.flatnonzero((np.diff(line, prepend=-9) > 1) | (np.diff(owner, prepend=-1) > 0))
+    out.append((gap, np.append(gap[1:], every), False))
+    full = np.flatnonzero(np.diff(words.bounds))
+    out.append((words.bounds[full], words.bounds[full + 1], False))
+    data, ends = words.data.tobytes(), []
+    for i in full:
+        found = HEADER.match(data, words.offsets[i], words.offsets[i + 1])
+        ends.append(np.searchsorted(words.starts, found.end()) if found else words.bounds[i])
+    ends = np.array(ends, np.int64)
+    some = ends > words.bounds[full]
+    out.append((words.bounds[full][some], ends[some], False))
+    begin, end, single = (np.concatenate(x) for x in zip(*((a, b, np.full(len(a), c)) for a, b, c in out)))
+    more = single | (line[begin] != line[end - 1]) if every else single
+    begin, end, single = begin[more], end[more], single[more]
+    return owner[begin], begin, end, line[begin] - first[owner[begin]], single
+
+
+def _scan(t: Templates, idf: np.ndarray, rare: float, threshold: float, short: int):
+    """Scores of the units; lines are compared with the first ``short``
+    templates, larger units with all."""
     weight = t.tf * idf
     weight /= np.maximum(np.sqrt((weight**2).sum(1, keepdims=True)), 1e-300)
+    weight = np.ascontiguousarray(weight.T)
+    low = np.array([name == "Proprietary" for name in t.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             words, line, first = _lines(batch.column(batch.schema.get_field_index("text")))
             term = t.find(words.hashes())
-            hit = term >= 0
             n = batch.num_rows
-            name, score, where = np.full(n, None, object), np.zeros(n), np.full(n, -1)
-            used, at = np.unique(line[hit], return_inverse=True)
-            if len(used):
-                tf = np.zeros((len(used), len(t.terms)))
-                np.add.at(tf, (at, term[hit]), 1)
-                tf *= idf
-                others = np.bincount(line[~hit], minlength=int(used[-1]) + 1)[used]
-                norm = np.sqrt((tf**2).sum(1) + others * rare**2)
-                cosine = (tf @ weight.T) / np.maximum(norm, 1e-300)[:, None]
-                best = cosine.argmax(1)
-                value = cosine[np.arange(len(used)), best]
-                owner = np.searchsorted(first, used, "right") - 1
-                for i in np.flatnonzero(value >= threshold):
-                    if value[i] > score[owner[i]] + 1e-12:
-                        name[owner[i]], score[owner[i]], where[owner[i]] = t.names[best[i]], value[i], used[i] - first[owner[i]]
+            best: list = [None] * n
+            for owner, at, template, value, _ in _matches(term, _units(words, line, first)):
+                key = (not low[template], template >= short, round(value, 12), -at)
+                if best[owner] is None or key > best[owner][0]:
+                    best[owner] = key, t.names[template], value, at
+            found = [b[1:] if b else (None, 0.0, -1) for b in best]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(name, pa.string()), pa.array(np.minimum(score, 1.0)), pa.array(where)],
+                [batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([min(x[1], 1.0) for x in found], pa.float64()), pa.array([x[2] for x in found], pa.int64())],
                 names=["file_id", "path", "own", "score", "line"],
             )
 
+    def _matches(term: np.ndarray, units: tuple[np.ndarray, ...]) -> Iterator[tuple]:
+        """(text, line, template, cosine, unit) of the units that reach the threshold."""
+        owner, begin, end, at, single = units
+        seen = np.concatenate([[0], np.cumsum(term >= 0)])
+        hits = seen[end] - seen[begin]
+        # no cosine is above the share of the template terms in a unit's norm
+        most = hits * (hits * idf.max() ** 2 if len(idf) else 0)
+        for i in np.flatnonzero((hits > 0) & (most >= threshold**2 * (most + (end - begin - hits) * rare**2) - 1e-9)):
+            mine = term[begin[i] : end[i]]
+            terms, tf = np.unique(mine[mine >= 0], return_counts=True)
+            v = tf * idf[terms]
+            known, others = (v**2).sum(), len(mine) - hits[i]
+            norm = known + others * rare**2
+            if known < threshold**2 * norm - 1e-9:
+                continue
+            columns = short if single[i] else len(t.names)
+            cosine = v @ weight[terms, :columns] / np.sqrt(norm)
+            template = int(cosine.argmax())
+            if cosine[template] >= threshold:
+                yield int(owner[i]), int(at[i]), template, float(cosine[template]), i
+
     return run
 
 
-def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, texts: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """(file_id, path, own, score, line, licence, origin, holder) of every row of
     (file_id, path, text).
 
-    own is the licence of the file's best line (the first one among equals),
-    score its cosine, line its number from 0 (-1: none). licence is own, or else
+    own is the licence of the file's best unit: a line against ``templates``, or
+    a paragraph, the leading comment or the whole file against these and
+    ``texts`` (whole licences; None: those of ``licence_texts``). A licence goes
+    before a mere "all rights reserved" and a whole text before a notice (licences
+    share sentences), then the best cosine counts, then the first unit; score is its cosine, line its first line from 0 (-1: none). licence is own, or else
     that of the nearest directory above which a licence file states; origin is
     own, inherited or none; holder the directory it comes from. If several
     licence files of a directory state one, the best score counts, then the
@@ -130,7 +207,8 @@ def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     other columns are ignored; an empty table gives an empty result. The root
     directory is the empty path.
     """
-    t = Templates(templates)
+    texts = licence_texts() if texts is None else texts
+    t = Templates((*templates, *texts))
     f = files.select(F.col("file_id").cast("long").alias("file_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     df = np.zeros(len(t.terms))
     counts = f.select("text").mapInArrow(_document_counts(t), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
@@ -138,7 +216,7 @@ def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
         df[r["term"]] = r["df"]
     n = f.count()
     idf = np.log((n + 1) / (df + 1)) + 1
-    own = table(f.mapInArrow(_scan(t, idf, log(n + 1) + 1, threshold), "file_id long, path string, own string, score double, line long"), "licences")
+    own = table(f.mapInArrow(_scan(t, idf, log(n + 1) + 1, threshold, len(templates)), "file_id long, path string, own string, score double, line long"), "licences")
     own = own.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
     stated = own.where(F.col("own").isNotNull() & F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENCE_FILE))
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("own").alias("o")))
