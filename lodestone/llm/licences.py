@@ -3,9 +3,10 @@ files to licence templates, then inheritance from the nearest ancestor directory
 
 Every line of every whole file is compared with a set of licence notices and
 standard headers as a sparse TF-IDF vector; paragraphs, the leading comment and
-the file as a whole are compared with whole licence texts too. Only terms of the templates can add to a dot product, so
-their document counts are all that is gathered from the corpus (one number a
-template term); any other term has the weight of a term that no document holds.
+the file as a whole are compared with whole licence texts too. Only terms of the
+templates can add to a dot product; the norm needs the document counts of all
+words, so units that may reach the threshold send their other words, which are
+counted in one more scan and joined back by hash (64 bits).
 A file whose best unit reaches the threshold has that licence itself. Licence
 files speak for their directory: a file without a licence of its own takes that
 of the nearest directory above it that has one, by an equi-join of the ancestor
@@ -17,15 +18,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
-from math import log
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_MARK, Words, slices, table
+from .common import IS_MARK, U64, Words, drop, slices, table
 
 #: Notices and standard headers by which files state their licence.
 _GNU = (
@@ -140,54 +141,134 @@ def _units(words: Words, line: np.ndarray, first: np.ndarray) -> tuple[np.ndarra
     return owner[begin], begin, end, line[begin] - first[owner[begin]], single
 
 
-def _scan(t: Templates, idf: np.ndarray, rare: float, threshold: float, short: int):
+#: Units whose score waits for the counts of their other words.
+OPEN = "array<struct<name: string, rank: int, dot: double, known: double, line: long, words: array<struct<word: long, tf: long>>>>"
+_OPEN = pa.list_(pa.struct([
+    ("name", pa.string()), ("rank", pa.int32()), ("dot", pa.float64()), ("known", pa.float64()), ("line", pa.int64()),
+    ("words", pa.list_(pa.struct([("word", pa.int64()), ("tf", pa.int64())]))),
+]))
+
+
+def _scan(t: Templates, idf: np.ndarray, threshold: float, short: int):
     """Scores of the units; lines are compared with the first ``short``
-    templates, larger units with all."""
+    templates, larger units with all. No word weighs less than 1, so a unit
+    whose other words would have to weigh less is left out; the others are open."""
     weight = t.tf * idf
     weight /= np.maximum(np.sqrt((weight**2).sum(1, keepdims=True)), 1e-300)
     weight = np.ascontiguousarray(weight.T)
-    low = np.array([name == "Proprietary" for name in t.names])
+    ranks = [2 * (name != "Proprietary") + (i >= short) for i, name in enumerate(t.names)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = TaskContext.get().partitionId() << 33
         for batch in slices(batches):
             words, line, first = _lines(batch.column(batch.schema.get_field_index("text")))
-            term = t.find(words.hashes())
+            h = words.hashes()
             n = batch.num_rows
             best: list = [None] * n
-            for owner, at, template, value, _ in _matches(term, _units(words, line, first)):
-                key = (not low[template], template >= short, round(value, 12), -at)
-                if best[owner] is None or key > best[owner][0]:
-                    best[owner] = key, t.names[template], value, at
+            waiting: list[list] = [[] for _ in range(n)]
+            for owner, at, template, dot, known, others in _candidates(t.find(h), h, _units(words, line, first)):
+                if others is None:
+                    value = dot / np.sqrt(known)
+                    now = (ranks[template], round(value, 12), -at)
+                    if value >= threshold and (best[owner] is None or now > best[owner][0]):
+                        best[owner] = now, t.names[template], value, at
+                else:
+                    most = dot / np.sqrt(known + (others[1] ** 2).sum())
+                    waiting[owner].append((ranks[template], most, t.names[template], dot, known, at, others))
             found = [b[1:] if b else (None, 0.0, -1) for b in best]
+            opened = [
+                [
+                    {"name": name, "rank": rank, "dot": dot, "known": known, "line": at, "words": [{"word": w, "tf": c} for w, c in zip(*(x.tolist() for x in others))]}
+                    for rank, most, name, dot, known, at, others in own
+                    if best[i] is None or (rank, most + 1e-9) >= best[i][0][:2]
+                ]
+                for i, own in enumerate(waiting)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([min(x[1], 1.0) for x in found], pa.float64()), pa.array([x[2] for x in found], pa.int64())],
-                names=["file_id", "path", "own", "score", "line"],
-            )
+                [
+                    batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([min(x[1], 1.0) for x in found], pa.float64()), pa.array([x[2] for x in found], pa.int64()),
+                    pa.array([b[0][0] if b else -1 for b in best], pa.int32()), pa.array(key + np.arange(n)), pa.array(opened, _OPEN),
+                ],
+                names=["file_id", "path", "own", "score", "line", "rank", "key", "open"],
+            )
+            key += n
 
-    def _matches(term: np.ndarray, units: tuple[np.ndarray, ...]) -> Iterator[tuple]:
-        """(text, line, template, cosine, unit) of the units that reach the threshold."""
+    def _candidates(term: np.ndarray, h: np.ndarray, units: tuple[np.ndarray, ...]) -> Iterator[tuple]:
+        """(text, line, template, dot product, squared norm of the template terms,
+        other words and their counts or None) of the units that may reach the threshold."""
         owner, begin, end, at, single = units
         seen = np.concatenate([[0], np.cumsum(term >= 0)])
         hits = seen[end] - seen[begin]
         # no cosine is above the share of the template terms in a unit's norm
-        most = hits * (hits * idf.max() ** 2 if len(idf) else 0)
-        for i in np.flatnonzero((hits > 0) & (most >= threshold**2 * (most + (end - begin - hits) * rare**2) - 1e-9)):
+        most = hits**2 * (idf.max() ** 2 if len(idf) else 0)
+        for i in np.flatnonzero((hits > 0) & (most >= threshold**2 * (most + (end - begin - hits)) - 1e-9)):
             mine = term[begin[i] : end[i]]
             terms, tf = np.unique(mine[mine >= 0], return_counts=True)
             v = tf * idf[terms]
-            known, others = (v**2).sum(), len(mine) - hits[i]
-            norm = known + others * rare**2
-            if known < threshold**2 * norm - 1e-9:
+            known, others = (v**2).sum(), None
+            norm = known
+            if hits[i] < len(mine):
+                norm = known + len(mine) - hits[i]
+                if known < threshold**2 * norm - 1e-9:
+                    continue
+            dot = v @ weight[terms, : short if single[i] else len(t.names)]
+            template = int(dot.argmax())
+            if dot[template] < (threshold - 1e-9) * np.sqrt(norm):
                 continue
-            columns = short if single[i] else len(t.names)
-            cosine = v @ weight[terms, :columns] / np.sqrt(norm)
-            template = int(cosine.argmax())
-            if cosine[template] >= threshold:
-                yield int(owner[i]), int(at[i]), template, float(cosine[template]), i
+            if hits[i] < len(mine):
+                others = np.unique(h[begin[i] : end[i]][mine < 0].view(np.int64), return_counts=True)
+                if dot[template] < (threshold - 1e-9) * np.sqrt(known + (others[1] ** 2).sum()):
+                    continue
+            yield int(owner[i]), int(at[i]), template, float(dot[template]), float(known), others
+
+    return run
+
+
+_NEED_BITS = 20
+
+
+def _word_counts(need: np.ndarray):
+    """Documents of every word whose hash begins like one that is needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            words = Words(batch.column(batch.schema.get_field_index("text")), IS_MARK)
+            h = words.hashes()
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(words.bounds))
+            keep = need[(h >> U64(64 - _NEED_BITS)).astype(np.int64)]
+            h, owner = h[keep], owner[keep]
+            order = np.lexsort((owner, h))
+            h, owner = h[order], owner[order]
+            once = np.ones(len(h), bool)
+            once[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+            word, df = np.unique(h[once].view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(df)], names=["word", "df"])
 
     return run
 
 
+def _close(f: DataFrame, scanned: DataFrame, n: int, threshold: float) -> DataFrame:
+    """``scanned`` with the open units scored by the document counts of their
+    other words, which are joined by hash."""
+    units = scanned.where(F.size("open") > 0).select("key", F.posexplode("open").alias("unit", "u")).select("key", "unit", "u.*")
+    each = units.select("key", "unit", F.explode("words").alias("w")).select("key", "unit", "w.*")
+    prefixes = each.select(F.shiftrightunsigned("word", 64 - _NEED_BITS).alias("p")).distinct().collect()  # 2^20 at most
+    if prefixes:
+        need = np.zeros(1 << _NEED_BITS, bool)
+        need[[r["p"] for r in prefixes]] = True
+        counts = f.select("text").mapInArrow(_word_counts(need), "word long, df long").groupBy("word").agg(F.sum("df").alias("df"))
+        weight = F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1
+        norms = each.join(counts, "word").groupBy("key", "unit").agg(F.sum((F.col("tf") * weight) ** 2).alias("others"))
+        scored = units.join(norms, ["key", "unit"]).withColumn("cosine", F.least(F.lit(1.0), F.col("dot") / F.sqrt(F.col("known") + F.col("others")))).where(F.col("cosine") >= threshold)
+        top = F.max(F.struct("rank", F.round("cosine", 12).alias("r"), (-F.col("line")).alias("l"), "name", "cosine")).alias("top")
+        scanned = scanned.join(scored.groupBy("key").agg(top), "key", "left")
+        now = F.struct("rank", F.round("score", 12).alias("r"), (-F.col("line")).alias("l"))
+        wins = F.coalesce(F.struct("top.rank", "top.r", "top.l") > now, F.lit(False)) & F.col("top").isNotNull()
+        pick = lambda x, c: F.when(wins, F.col(x)).otherwise(F.col(c)).alias(c)
+        scanned = scanned.select("file_id", "path", pick("top.name", "own"), pick("top.cosine", "score"), F.when(wins, -F.col("top.l")).otherwise(F.col("line")).alias("line"))
+    return table(scanned.select("file_id", "path", "own", "score", "line"), "licences")
+
+
 def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD, texts: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
     """(file_id, path, own, score, line, licence, origin, holder) of every row of
     (file_id, path, text).
@@ -216,7 +297,9 @@ def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
         df[r["term"]] = r["df"]
     n = f.count()
     idf = np.log((n + 1) / (df + 1)) + 1
-    own = table(f.mapInArrow(_scan(t, idf, log(n + 1) + 1, threshold, len(templates)), "file_id long, path string, own string, score double, line long"), "licences")
+    scanned = table(f.mapInArrow(_scan(t, idf, threshold, len(templates)), f"file_id long, path string, own string, score double, line long, rank int, key long, open {OPEN}"), "units")
+    own = _close(f, scanned, n, threshold)
+    drop(scanned)
     own = own.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
     stated = own.where(F.col("own").isNotNull() & F.regexp_extract("path", "([^/]*)$", 1).rlike(LICENCE_FILE))
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("own").alias("o")))

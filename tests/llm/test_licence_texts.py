@@ -38,3 +38,31 @@ def test_whole_licence_files_and_headers(spark):
     for i, name in enumerate(whole):
         assert (got[i].own, got[100 + i].licence, got[100 + i].origin) == (name, name, "inherited")
     assert [got[i].own for i in range(200, 205)] == ["GPL-3.0", "MIT", "BSD-2-Clause", "LGPL-3.0", None]
+
+
+def test_cosines_with_the_counts_of_all_words(spark):
+    notices = (("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("MIT", "Released under the MIT License."))
+    lines = [
+        "This file is licensed under the Apache License, Version 2.0.", "this this file: licensed under the Apache License, Version 2.0", "Zyx: released under the MIT License.", "released under the MIT license, file",
+        "file", "this is a file", "under the file", "Released under the MIT License.", "licensed under apache",
+    ]
+    common = [f"this file is of the kind {i % 3}" for i in range(600)]
+    texts = [x for i, line in enumerate(lines) for x in [line] * (3 if i == 3 else 1)] + ["Intro\n" + lines[0], lines[0] + "\n" + lines[7], None, ""] + common
+    split = lambda x: re.findall(r"[a-z0-9]+", (x or "").lower())
+    df = Counter(w for x in texts for w in set(split(x)))
+    idf = lambda w: math.log((len(texts) + 1) / (df[w] + 1)) + 1
+    vector = lambda x: {w: c * idf(w) for w, c in Counter(split(x)).items()}
+
+    def cosine(a, b):
+        return sum(x * b.get(w, 0) for w, x in a.items()) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
+
+    table = spark.createDataFrame([(i, f"d{i}/x", x) for i, x in enumerate(texts)], SCHEMA)
+    got = {r.file_id: r for r in licences.scan_licences(table, notices, texts=()).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        units = [*enumerate((text or "").split("\n")), (0, text)]
+        best = max(((cosine(vector(u), vector(t)), -at, name) for at, u in units if split(u) for name, t in notices), default=(0, 1, None), key=lambda x: (round(x[0], 9), x[1]))
+        if best[0] < licences.THRESHOLD:
+            best = (0, 1, None)
+        assert got[i].own == best[2] and got[i].line == -best[1] and abs(got[i].score - best[0]) < 1e-9, (text, best, got[i])
+    assert got[0].own == "Apache-2.0"
