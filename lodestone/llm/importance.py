@@ -94,8 +94,7 @@ def top_k(df: DataFrame, key: str, tie: str, k: int, out: str) -> DataFrame:
 def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = 1, target_rows: int = TARGET_ROWS) -> DataFrame:
     """(doc_id, n_features, log_weight, gumbel_key, selected) for every row.
 
-    log_weight is the mean log ratio a feature times the square root of their
-    number (so long documents do not dominate); ``share`` of the rows are
+    log_weight is the summed log ratio of the features; ``share`` of the rows are
     selected; target rows are those with label quality 1 and not toxic.
 
     Defined cases: null and empty texts have no features and weight 0; null ids
@@ -115,7 +114,6 @@ def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int
         target[r["bucket"]] += r["good"]
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum()) if len(ids) else np.zeros(BUCKETS)
     weighed = d.mapInArrow(_weigh(ratio), "doc_id long, noise double, n_features long, log_weight double")
-    weighed = weighed.withColumn("log_weight", F.col("log_weight") / F.sqrt(F.greatest(F.lit(1), "n_features")))
     weighed = table(weighed.select("doc_id", "n_features", "log_weight", (F.col("log_weight") + F.col("noise")).alias("gumbel_key")), "weights")
     k = round(weighed.count() * share)
     return top_k(weighed.withColumn("__tie", F.xxhash64("doc_id")), "gumbel_key", "__tie", k, "selected").drop("__tie")
