@@ -33,11 +33,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """5: keep the document with the smallest doc_id of each class of
-    near-duplicates. Rows with one id are one document; of a class without ids
-    all rows stay."""
-    classes = ngram_join.jaccard_classes(docs, k=WORDS, percent=PERCENT)
-    gone = common.table(classes.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["__gone"]), "left_anti")
+    near-duplicates. Rows are told apart by id and shingle set; rows of a class
+    with its smallest id all stay, and so do all rows of a class without ids."""
+    classes = ngram_join.identified_classes(docs, k=WORDS, percent=PERCENT)
+    lost = classes.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("__gone"), F.col("sig").alias("__set"))
+    gone = common.table(lost.distinct(), "gone")
+    rows = ngram_join.with_identity(docs, WORDS)
+    same = rows["doc_id"].cast("long").eqNullSafe(gone["__gone"]) & (rows["__sig"] == gone["__set"])
+    return rows.join(gone, same, "left_anti").drop("__sig")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

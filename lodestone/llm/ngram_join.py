@@ -248,6 +248,17 @@ def _reordered(sets: DataFrame, percent: int) -> DataFrame:
     return table(d.select("cluster", "sig", "copies", "tokens", "prefix", "n"), "reordered")
 
 
+def with_identity(docs: DataFrame, k: int) -> DataFrame:
+    """``docs`` and the identity of each row's shingle set as ``__sig``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            sig = pa.array([_identity(tokens) for tokens in _sets(batch, k)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, sig], names=[*batch.schema.names, "__sig"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__sig", T.LongType())]))
+
+
 def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) for every row of ``docs``.
 
@@ -261,6 +272,12 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, block: int =
     takes part and never names a class unless the whole class has none; other
     columns are ignored; an empty table gives an empty result.
     """
+    return identified_classes(docs, k, percent, block).drop("sig")
+
+
+def identified_classes(docs: DataFrame, k: int, percent: int, block: int = BLOCK) -> DataFrame:
+    """``jaccard_classes`` with the identity of each row's set as ``sig`` (null:
+    an empty set)."""
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = table(scanned.mapInArrow(_scan(k, percent), "doc_id long, n long, sig long, m long, tok array<long>"), "sets")
     full = own.where("n > 0")
@@ -331,5 +348,5 @@ def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, block: int =
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "sig",
     )
