@@ -159,7 +159,7 @@ def m11(spark, d):
 @query("m11_random_arm", None, "random_ndcg10")
 def m11b(spark, d):
     """The sampled random arm, by NumPy's generator."""
-    return budget.random_arm(_metrics(spark, d), 20)
+    return budget.random_arm(_metrics(spark, d))
 
 
 @query("m12_budget_per_query", f"{_BUDGET} SELECT query_id, source, ndcg_stage1, ndcg_full, gain AS delta_ndcg10, gain > 0.01 AS beneficial, o <= CAST(round_even(n * b_star / 100.0::DOUBLE, 0) AS BIGINT) AS selected_at_b_star, stage2_ms, stage2_flops FROM pl, st", "ndcg_stage1 ndcg_full delta_ndcg10")
@@ -234,12 +234,12 @@ def n7(spark, d):
 @query("n1_bootstrap_mean", None, "low high")
 def n1(spark, d):
     """NumPy's stream; checked against NumPy in the tests."""
-    return stats.bootstrap_mean(_deltas(spark, d), "delta", 2000)
+    return stats.bootstrap_mean(_deltas(spark, d), "delta")
 
 
 @query("n2_bootstrap_ratio", None, "low high")
 def n2(spark, d):
-    return stats.bootstrap_ratio(_metrics(spark, d), "ndcg_stage1", "ndcg_full", 2000)
+    return stats.bootstrap_ratio(_metrics(spark, d), "ndcg_stage1", "ndcg_full")
 
 
 @query("n1_bootstrap_hashed", f"""WITH {_DELTA}, v AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS i, delta AS x, count(*) OVER () AS n FROM d),
