@@ -88,7 +88,7 @@ def _in_grid_order(metrics: DataFrame, keys) -> DataFrame:
 
 def _fold(names=NAMES) -> Column:
     """The best element of ``rows``: each is compared with the best before it."""
-    return F.aggregate(F.slice("rows", 2, 10_000), F.col("rows")[0], lambda best, x: F.when(_better(x, best, names), x).otherwise(best))
+    return F.aggregate(F.slice("rows", 2, F.size("rows")), F.col("rows")[0], lambda best, x: F.when(_better(x, best, names), x).otherwise(best))
 
 
 def best_profile(metrics: DataFrame, keys, names=NAMES) -> DataFrame:
