@@ -10,14 +10,16 @@ is emitted once for each integer boundary that its part of the sum crosses.
 All documents of a source expect the same number of copies, so the running sum
 before a document is its position times that number, and only positions are
 needed. They are found without putting a source into one task: counts by
-(source, size, one of 256 buckets of ids) give every bucket its first position, and ranks
-are taken inside buckets.
+(source, size, one of 256 buckets of ids) give every bucket its first position,
+and positions are summed up inside buckets. Rows that no column tells apart are
+one counted row there, so a row repeated very often is no group of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -25,37 +27,50 @@ SEED = "mix-1"
 #: No word holds any of these (space, tab, line feed, vertical tab, form feed, carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
+#: Most rows that one row becomes in a step.
+_STEP = 10_000
 
 
 def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _summed(rows: DataFrame, order: list[Column], before: dict[str, str], name: str) -> DataFrame:
+    """``rows`` and, for each (new column, column), the sum of the column over
+    all rows that ``order`` puts before; the rows are dealt by ranges, so one
+    task sums a range, and only the sums of ranges meet in one task."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = table(rows.repartitionByRange(parts, *order).withColumn("__range", F.spark_partition_id()), name)
+    earlier = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__range").agg(*[F.sum(c).alias(f"__{c}") for c in before.values()])
+    starts = totals.select("__range", *[F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__{new}") for new, c in before.items()])
+    inside = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = [(F.col(f"__{new}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(new) for new, c in before.items()]
+    return dealt.join(starts, "__range").select(*rows.columns, *sums)
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
     """(source, source_size, target) from (source, source_size).
 
-    Sources in code-point order, null last, have the weights in turn. They share
-    the sum of all sizes by weight; none gets more than ``cap`` times its size,
-    and what is cut is shared again among the others by weight. With sources
-    sorted by cap over weight the capped ones come first, so the level at which
-    nothing is cut any more is found with running sums over the source table
-    (one row a source).
+    Sources in code-point order, null last, have the weights in turn, those of
+    size 0 too. They share the sum of all sizes by weight; none gets more than
+    ``cap`` times its size, and what is cut is shared again among the others by
+    weight. With sources sorted by cap over weight the capped ones come first,
+    so the level at which nothing is cut any more is found with running sums
+    over the source table (one row a source), range by range.
     """
-    everything = Window.partitionBy(F.lit(0))
-    by_name = everything.orderBy(F.col("source").isNull(), "source")
-    n = F.row_number().over(by_name)
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), ((n - 1) % len(weights) + 1).cast("int")).cast("long")
-    s = sizes.where("source_size > 0").select("source", "source_size").withColumn("w", weight).withColumn("most", F.col("source_size") * cap)
-    by_ratio = everything.orderBy(F.col("most") / F.col("w"), F.col("source").isNull(), "source")
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    s = (
-        s.withColumn("cut", F.coalesce(F.sum("most").over(before), F.lit(0)))
-        .withColumn("left", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0)))
-        .withColumn("level", (F.sum("source_size").over(everything) - F.col("cut")) / F.col("left"))
-        .withColumn("free", F.when(F.col("level") * F.col("w") <= F.col("most"), F.col("level")))
-        .withColumn("level", F.coalesce(F.first("free", ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(float("inf"))))
-    )
-    return s.select("source", "source_size", F.least(F.col("level") * F.col("w"), F.col("most").cast("double")).alias("target"))
+    by_name = [F.col("source").isNull(), F.col("source")]
+    numbered = _summed(sizes.select("source", "source_size", F.lit(1).cast("long").alias("one")), by_name, {"number": "one"}, "sources")
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("number") % len(weights) + 1).cast("int")).cast("long")
+    s = numbered.select("source", "source_size", weight.alias("w"), (F.col("source_size") * cap).alias("most"))
+    s = s.withColumn("ratio", F.col("most").cast("double") / F.col("w").cast("double"))
+    s = _summed(s, [F.col("ratio"), *by_name], {"cut": "most", "spent": "w"}, "caps")
+    total, all_w = s.agg(F.sum("source_size"), F.sum("w")).first()
+    s = s.withColumn("level", (F.lit(total or 0).cast("long") - F.col("cut")) / (F.lit(all_w or 0).cast("long") - F.col("spent")))
+    fits = F.when(F.col("level") * F.col("w") <= F.col("most"), F.struct("ratio", F.col("source").isNull().alias("last"), "source", "level"))
+    free = s.agg(F.min(fits)["level"]).first()[0]
+    level = F.lit(float("inf") if free is None else free)
+    return s.select("source", "source_size", F.least(level * F.col("w"), F.col("most").cast("double")).alias("target"))
 
 
 def offset(source):
@@ -64,18 +79,13 @@ def offset(source):
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def systematic_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies) for every row.
-
-    Defined cases: null and empty texts have size 0 and take no copies of any
-    effect; a null source is a source, the last; a source of total size 0 has
-    target 0 and no copies; equal rows are ranked as different documents (their
-    copies are interchangeable); an empty table gives an empty result. Columns
-    beyond doc_id, text and source are ignored.
-    """
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    d = table(d.withColumn("bucket", F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 2), 16, 10).cast("int")), "sizes")
-    cells = d.groupBy("source", "size", "bucket").agg(F.count(F.lit(1)).alias("n"))
+def _taken(d: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
+    """(source, size, doc_id, more, n, source_size, target, total) of every
+    distinct (source, size, doc_id, more) of ``d``: n is the number of its rows,
+    total what all of them take."""
+    bucket = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id"), F.col("more")).cast("string").cast("binary")), 1, 2), 16, 10).cast("int")
+    d = table(d.groupBy("source", "size", "doc_id", "more").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", bucket), "sizes")
+    cells = d.groupBy("source", "size", "bucket").agg(F.sum("n").alias("n"))
     levels = cells.groupBy("source", "size").agg(F.sum("n").alias("n"))
     want = table(targets(levels.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights=weights, cap=cap), "targets")
     before = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
@@ -84,23 +94,60 @@ def systematic_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: i
     level = levels.select("source", "size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("level_at"))
     cell = cells.select("source", "size", "bucket", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("cell_at"))
     start = cell.alias("c").join(level.alias("l"), same("c", "l", "source", "size")).select("c.source", "c.size", "c.bucket", (F.col("cell_at") + F.col("level_at")).alias("at"))
-    start = start.alias("s").join(want.alias("t"), same("s", "t", "source"), "left").select(
-        "s.*", F.coalesce("t.source_size", F.lit(0)).cast("long").alias("source_size"), F.coalesce("t.target", F.lit(0.0)).alias("target")
-    )
-    rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id"))
-    ranked = d.withColumn("rank", rank)
+    start = start.alias("s").join(want.alias("t"), same("s", "t", "source")).select("s.*", "t.source_size", "t.target")
+    upto = Window.partitionBy("source", "size", "bucket").orderBy("doc_id", "more").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = d.withColumn("earlier", F.coalesce(F.sum("n").over(upto), F.lit(0)))
     placed = ranked.alias("d").join(start.alias("s"), same("d", "s", "source", "size", "bucket")).select(
-        "d.doc_id", "d.source", "d.size", "s.source_size", "s.target", (F.col("at") + F.col("rank")).cast("double").alias("upto")
+        "d.source", "d.size", "d.doc_id", "d.more", "d.n", "s.source_size", "s.target", (F.col("at") + F.col("earlier")).alias("first")
     )
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(F.col("upto") * each + offset(F.col("source"))) - F.floor((F.col("upto") - 1) * each + offset(F.col("source")))
-    return placed.select("doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"))
+    crossed = lambda at: F.floor(at.cast("double") * each + offset(F.col("source")))
+    return placed.withColumn("total", (crossed(F.col("first") + F.col("n")) - crossed(F.col("first"))).cast("long")).drop("first")
+
+
+def systematic_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies) for every row.
+
+    Defined cases: null and empty texts have size 0 and take no copies of any
+    effect; a null source is a source, the last; a source of total size 0 has
+    its turn among the weights, target 0 and no copies; rows equal in doc_id,
+    source and size share what they take as evenly as whole copies allow; an
+    empty table gives an empty result. Columns beyond doc_id, text and source
+    are ignored.
+    """
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.lit(0).cast("long").alias("more"))
+    taken = _taken(d, weights, cap)
+    one = taken.where("n = 1").withColumn("copies", F.col("total"))
+    # rows that repeat: in steps, as one row stands for all of them
+    many = taken.where("n > 1").withColumn("step", F.explode(F.expr(f"sequence(0L, (n - 1) div {_STEP})")))
+    many = many.withColumn("i", F.explode(F.expr(f"sequence(step * {_STEP}, least(n, (step + 1) * {_STEP}) - 1)")))
+    many = many.withColumn("copies", F.expr("total div n + if(i < total % n, 1, 0)")).drop("step", "i")
+    return one.unionByName(many).select("doc_id", "source", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"))
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CAP) -> DataFrame:
     """The mixed documents: every column of ``docs`` and ``copy`` (1, 2, ...),
-    one row for each copy of a row. Rows that share a doc_id are one document to
-    the join, and all take the most copies that one of them gets."""
-    taken = systematic_mix(docs, weights, cap).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").cast("int").alias("__n")).where("__n > 0")
-    whole = docs.drop("copy").join(taken, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")))
-    return whole.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__id", "__n")
+    one row for each copy of a row.
+
+    A row is identified by all its columns, so rows that share a doc_id or have
+    none are mixed each for itself, and only fully equal rows share what they
+    take: each gets the same number of copies, and what is left over is emitted
+    from one of them. ``copy`` of the input is replaced.
+    """
+    docs = docs.drop("copy")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.to_json(F.struct(c)) if isinstance(f.dataType, T.MapType) else c for c, f in zip(columns, docs.schema.fields)]
+    row = F.xxhash64(F.lit("row"), *plain, *[c.isNull() for c in columns])
+    marked = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__row", row)
+    d = marked.select(F.col("__id").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.col("__row").alias("more"))
+    taken = _taken(d, weights, cap).where("total > 0").select(F.col("doc_id").alias("__id"), F.col("more").alias("__row"), "n", "total")
+    taken = table(taken, "taken")
+    each = lambda rows: marked.alias("d").join(rows.alias("t"), F.expr("d.__id <=> t.__id AND d.__row = t.__row")).select("d.*", F.col("t.n").alias("__n"), F.col("t.total").alias("__total"))
+    out = each(taken).withColumn("copy", F.explode(F.expr("if(__total >= __n, sequence(1, cast(__total div __n as int)), array())"))).select(*columns, "copy")
+    left = taken.where("n > 1 AND total % n > 0")
+    if left.isEmpty():
+        return out
+    spare = each(left).groupBy("__id", "__row", "__n", "__total").agg(F.first(F.struct(*columns)).alias("r")).withColumn("__left", F.expr("__total % __n"))
+    spare = spare.withColumn("__step", F.explode(F.expr(f"sequence(0L, (__left - 1) div {_STEP})")))
+    spare = spare.withColumn("__i", F.explode(F.expr(f"sequence(__step * {_STEP}, least(__left, (__step + 1) * {_STEP}) - 1)")))
+    return out.unionByName(spare.select("r.*", F.expr("cast(__total div __n as int) + 1").alias("copy")))

@@ -35,7 +35,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS n FROM d GROUP BY source HAVING sum(size) > 0),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS n FROM d GROUP BY source),
 w AS (SELECT *, (n - 1) % 3 + 1 AS w, 3 * source_size AS most FROM s),
 o AS (
   SELECT *, coalesce(sum(most) OVER before, 0) AS cut, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS remaining, sum(source_size) OVER () AS total
@@ -45,7 +45,7 @@ v AS (SELECT level FROM l WHERE level * w <= most ORDER BY CAST(most AS DOUBLE)
 t AS (SELECT source, source_size, least(coalesce((SELECT level FROM v), CAST('inf' AS DOUBLE)) * w, CAST(most AS DOUBLE)) AS target FROM l),
 p AS (
   SELECT d.doc_id, d.size, coalesce(t.source_size, 0) AS source_size, coalesce(t.target, 0.0) AS target,
-    coalesce(t.target / CAST(t.source_size AS DOUBLE), 0.0) AS each,
+    CASE WHEN t.source_size > 0 THEN t.target / CAST(t.source_size AS DOUBLE) ELSE 0.0 END AS each,
     CAST(CAST('0x' || substr(md5('mix-1' || CASE WHEN d.source IS NULL THEN '/null' ELSE '/=' || d.source END), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u,
     d.source
   FROM d LEFT JOIN t ON d.source IS NOT DISTINCT FROM t.source),

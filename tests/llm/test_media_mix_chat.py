@@ -66,7 +66,7 @@ def test_hash_of_similar_images():
 
 def _targets(sizes, weights, cap):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
-    w = {n: weights[i % len(weights)] for i, n in enumerate(n for n in names if sizes[n])}
+    w = {n: weights[i % len(weights)] for i, n in enumerate(names)}
     left, free, out = float(sum(sizes.values())), set(w), {}
     while free:
         share = {n: left * w[n] / sum(w[m] for m in free) for n in free}
@@ -86,13 +86,13 @@ def test_mixing_against_brute_force(spark):
     sizes = defaultdict(int)
     for r in rows():
         sizes[r[3]] += len(words(r[1]))
-    want = _targets({k: v for k, v in sizes.items() if v}, (1, 2, 3), 3)
+    want = _targets(sizes, (1, 2, 3), 3)
     by = defaultdict(list)
     for g in got:
         assert g.source_size == sizes[g.source] and abs(g.target - want.get(g.source, 0)) < 1e-6 and 0 <= g.copies <= 3
         by[g.source].append(g)
     for s, gs in by.items():
-        if s in want:
+        if want[s]:
             expected = len(gs) * want[s] / sizes[s]
             assert math.floor(expected) <= sum(g.copies for g in gs) <= math.ceil(expected)
     again = mixing.systematic_mix(table(spark).repartition(7)).collect()
@@ -101,6 +101,38 @@ def test_mixing_against_brute_force(spark):
     assert mixing.systematic_mix(table(spark, [])).collect() == []
 
 
+def test_sources_without_words_keep_their_turn(spark):
+    data = [(i, s, t) for i, (s, t) in enumerate([("a", "w " * 10)] * 100 + [("b", ""), ("b", None)] + [("c", "w " * 10)] * 100)]
+    got = mixing.systematic_mix(spark.createDataFrame(data, "doc_id long, source string, text string")).collect()
+    assert {(g.source, g.target) for g in got} == {("a", 500.0), ("b", 0.0), ("c", 1500.0)}
+    assert {g.copies for g in got if g.source == "b"} == {0}
+
+
+def test_many_sources_over_ranges(spark):
+    sizes = {f"h{i:03}": (i * 37) % 50 for i in range(400)} | {None: 9}
+    got = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
+    want = _targets(sizes, (1, 2, 3), 3)
+    assert all(abs(g.target - want[g.source]) < 1e-9 for g in got) and len(got) == 401
+
+
+def test_mixture_of_rows_without_ids_and_repeated_ids(spark):
+    data = [(None, "a", "same words here", i % 2) for i in range(60)] + [(None, "b", "same words here", 0)] * 60 + [(7, "c", f"text {i} here", 0) for i in range(60)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string, copy int")
+    got = mixing.mixture(docs).collect()
+    per = defaultdict(int)
+    for g in got:
+        per[g.source] += 1
+    assert all(abs(per[s] - n) <= 1 for s, n in {"a": 30, "b": 60, "c": 90}.items())
+    again = mixing.mixture(docs.repartition(5)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+    rows = defaultdict(int)
+    for g in got:
+        if g.source == "c":
+            rows[g.text] += 1
+    assert set(rows.values()) <= {1, 2}
+    assert mixing.mixture(docs.limit(0)).collect() == []
+
+
 def test_mixture_emits_copies(spark):
     data = [(i, "some words here", "en", f"s{i % 3}", 1, None, None, None) for i in range(90)]
     got = mixing.mixture(table(spark, data)).collect()
