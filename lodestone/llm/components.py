@@ -1,9 +1,11 @@
 """Connected components of a link table, by alternating star contractions.
 
-Every round is two grouped minima joined back to the links, so a node with very
-many links is pre-aggregated and its join side can be split; nothing is
-collected. Links are written to the shared folder between rounds, and the
-number of rounds grows with the logarithm of the number of nodes.
+Every round gives each node the minimum of its neighbours. Links are grouped by
+(node, one of some slots of the neighbour) first, so the rows of a node with very
+many links are spread over that many groups; the minimum of a node is taken over
+its slots, sent back to the slots and from there to the links. Nothing is
+collected. Links are written to the shared folder between rounds, and the number
+of rounds grows with the logarithm of the number of nodes.
 """
 
 from __future__ import annotations
@@ -13,18 +15,28 @@ from pyspark.sql import functions as F
 
 from .common import drop, table
 
+#: Groups that the links of one node are spread over.
+SLOTS = 64
+
+
+def _lowest(links: DataFrame) -> DataFrame:
+    """(a, b, m): links with the smallest b of all links of a."""
+    dealt = links.withColumn("slot", F.pmod(F.xxhash64("b"), F.lit(SLOTS)).cast("int"))
+    slots = dealt.groupBy("a", "slot").agg(F.min("b").alias("m"))
+    low = slots.groupBy("a").agg(F.min("m").alias("m"))
+    spread = slots.select("a", "slot").join(low, "a")
+    return dealt.join(spread, ["a", "slot"]).select("a", "b", "m")
+
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _lowest(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(low.select("a", F.col("m").alias("b")))
+    low = _lowest(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    # a node's smallest neighbour keeps its link to the node, the others get one to the smallest
+    return low.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:

@@ -5,13 +5,16 @@ reaches a threshold. A global order of tokens (shingle hashes) and a threshold
 give every set a short prefix such that linked sets share a prefix token; this
 holds for *every* order, so candidates must share a prefix token under each of
 several orders, and only pairs that pass all of them are verified.
+(Tables that a frequent token is joined with are written first: both sides of
+such a join are then plain shuffles, which adaptive execution splits by skew.)
 
 Orders
   A  tokens of a fixed slice of the hash space come first, rarest first by their
      document count, then all others (rarest first among the sets that need
-     them). It is the order that generates candidates.
+     them). It brings candidates together, and is a pair filter like the others.
   B  all tokens by their count inside a cluster of candidates, so that sets
-     with enough tokens of their own leave and clusters fall apart.
+     with enough tokens of their own leave and clusters fall apart; then a pair
+     filter too.
   C, D  two seeded random orders, used as pair filters.
 
 Plan
@@ -151,12 +154,13 @@ def _overlaps(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(percent: int):
-    def group(sig, block, copies, prefix, tokens, two: bool) -> pa.RecordBatch | None:
+    def group(sig, block, copies, lead, prefix, tokens, two: bool) -> pa.RecordBatch | None:
         sig, first = np.unique(sig, return_index=True)
         block, copies = block[first], copies[first]
         sets = [np.sort(tokens[i].view(np.uint64)) for i in first]
         n = np.array([len(s) for s in sets])
-        candidate = _overlaps([prefix[i] for i in first]) > 0
+        candidate = _overlaps([lead[i] for i in first]) > 0
+        candidate &= _overlaps([prefix[i] for i in first]) > 0
         for seed in _SEEDS:
             own = []
             for s in sets:
@@ -198,14 +202,14 @@ def _verify(percent: int):
 
         def done():
             cols = list(zip(*held))
-            return group(np.array(cols[0]), np.array(cols[1]), np.array(cols[2]), cols[3], cols[4], key[1] != key[2])
+            return group(np.array(cols[0]), np.array(cols[1]), np.array(cols[2]), *cols[3:], key[1] != key[2])
 
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
             keys = np.stack([get(c).to_numpy(zero_copy_only=False) for c in ("cluster", "lo", "hi")], 1)
             sig, block, copies = (get(c).to_numpy(zero_copy_only=False) for c in ("sig", "block", "copies"))
             parts = []
-            for c in ("prefix", "tokens"):
+            for c in ("lead", "prefix", "tokens"):
                 col = get(c)
                 off, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
                 parts.append([flat[off[i] : off[i + 1]] for i in range(len(off) - 1)])
@@ -215,7 +219,7 @@ def _verify(percent: int):
                     if len(held) > 1 and (out := done()) is not None:
                         yield out
                     held, key = [], k
-                held.append((sig[i], block[i], copies[i], parts[0][i].copy(), parts[1][i].copy()))
+                held.append((sig[i], block[i], copies[i], *(p[i].copy() for p in parts)))
         if len(held) > 1 and (out := done()) is not None:
             yield out
 
@@ -227,11 +231,12 @@ def _clusters(sets: DataFrame) -> DataFrame:
     others, inside the cluster they come with. Sets that share none leave."""
     holders = sets.select("cluster", "sig", F.explode("prefix").alias("t"))
     pivots = holders.groupBy("cluster", "t").agg(F.min("sig").alias("pivot"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    pivots = table(pivots, "pivots")
     stars = holders.join(pivots, ["cluster", "t"]).select(F.col("sig").alias("a"), F.col("pivot").alias("b"))
     pairs = components(stars)
     near = pairs.select(F.col("a").alias("sig"), F.col("b").alias("cluster"))
     out = table(near.union(near.select("cluster", "cluster").distinct()), "clusters")
-    drop(pairs)
+    drop(pairs, pivots)
     return out
 
 
@@ -239,13 +244,15 @@ def _reordered(sets: DataFrame, percent: int) -> DataFrame:
     """Prefixes under the order by counts inside each cluster, over all tokens;
     sets with enough tokens of their own leave."""
     tokens = sets.select("cluster", "sig", F.explode("tokens").alias("t"))
-    counts = tokens.groupBy("cluster", "t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    counts = table(tokens.groupBy("cluster", "t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
     shared = tokens.join(counts, ["cluster", "t"]).groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("shared"))
-    d = sets.drop("prefix").join(shared, "sig").withColumn("n", F.size("tokens"))
+    d = sets.withColumnRenamed("prefix", "lead").join(shared, "sig").withColumn("n", F.size("tokens"))
     spare = f"cast(n - ({percent} * n + 99) div 100 + 1 - (n - size(shared)) as int)"
     d = d.withColumn("spare", F.expr(spare)).where("spare > 0")
     d = d.withColumn("prefix", F.expr("transform(slice(shared, 1, spare), x -> x.t)"))
-    return table(d.select("cluster", "sig", "copies", "tokens", "prefix", "n"), "reordered")
+    out = table(d.select("cluster", "sig", "copies", "tokens", "lead", "prefix", "n"), "reordered")
+    drop(counts)
+    return out
 
 
 def with_identity(docs: DataFrame, k: int) -> DataFrame:
@@ -284,7 +291,7 @@ def identified_classes(docs: DataFrame, k: int, percent: int, block: int = BLOCK
 
     # 2: which tokens of the counted slice do other sets have?
     tokens = full.select("sig", F.explode("tok").alias("t"))
-    counts = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    counts = table(tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "counts")
     shared = tokens.join(counts, "t").groupBy("sig").agg(F.array_sort(F.collect_set(F.struct("df", "t"))).alias("shared"))
     state = (
         full.groupBy("sig").agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("m").alias("m"))
@@ -295,6 +302,7 @@ def identified_classes(docs: DataFrame, k: int, percent: int, block: int = BLOCK
         .drop("shared")
     )
     state = table(state, "state")
+    drop(counts)
     alive = state.where("unique < p")
 
     # 3: whole sets of those left, fetched by the row that stands for each
@@ -306,12 +314,12 @@ def identified_classes(docs: DataFrame, k: int, percent: int, block: int = BLOCK
     fetched = table(whole.dropDuplicates(["sig"]), "whole")
     whole = fetched.join(alive, "sig")
     rest = whole.where("m < p").select("sig", F.explode("tokens").alias("t")).where(~F.col("t").between(0, min(counted_below(k, percent), 2**63) - 1))
-    rest_counts = rest.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+    rest_counts = table(rest.groupBy("t").agg(F.count(F.lit(1)).alias("df")), "counts")
     tail = rest.join(rest_counts, "t").groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("others"))
     whole = whole.join(tail, "sig", "left").withColumn("tail", F.expr("transform(slice(coalesce(others, array()), 1, greatest(0, p - cast(m as int))), x -> x.t)"))
     whole = table(whole.select("sig", "copies", "tokens", F.concat("lead", "tail").alias("prefix")), "prefixes")
     rows = table(own.select("doc_id", "n", "sig"), "rows")
-    drop(fetched, own)
+    drop(fetched, own, rest_counts)
 
     near = _clusters(whole.select(F.lit(0).cast("long").alias("cluster"), "sig", "prefix"))
 
@@ -322,15 +330,16 @@ def identified_classes(docs: DataFrame, k: int, percent: int, block: int = BLOCK
     sized = finer.join(ordered.select("sig", "n"), "sig").groupBy("cluster").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks")
     )
+    sized = table(sized, "sizes")
     placed = ordered.drop("cluster", "n").join(finer.join(sized, "cluster"), "sig")
 
     # 4: exact verification inside bounded blocks
     members = placed.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    members = members.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sig", "block", "copies", "prefix", "tokens")
+    members = members.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "sig", "block", "copies", "lead", "prefix", "tokens")
     members = members.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
     found = table(members.mapInArrow(_verify(percent), "sig long, root long, links long"), "found")
-    drop(ordered, finer)
+    drop(ordered, finer, sized)
 
     # 5: classes
     pairs = components(found, "sig", "root")
@@ -341,12 +350,38 @@ def identified_classes(docs: DataFrame, k: int, percent: int, block: int = BLOCK
         .join(classes, "sig", "left").join(links, "sig", "left")
         .select("sig", "doc", F.coalesce("root", "sig").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    smallest = named.groupBy("root").agg(F.min("doc").alias("component_id"))
+    smallest = table(named.groupBy("root").agg(F.min("doc").alias("component_id")), "smallest")
     result = table(named.join(smallest, named["root"] == smallest["root"]).select("sig", "component_id", "n_links"), "classes")
-    drop(state, found, pairs)
+    drop(state, found, pairs, smallest)
     joined = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sig")).alias("sig")).join(result, "sig", "left")
     return joined.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "sig",
     )
+
+
+def first_of_classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` with the smallest doc_id of their class of linked
+    rows; all columns pass through.
+
+    Rows are told apart by id and shingle set: rows of a class with its smallest
+    id all stay, and so do all rows of a class without ids. An id whose rows all
+    go is a join by id; shingle sets are computed once more only for rows without
+    an id and for ids of which some rows stay and others go.
+    """
+    classes = identified_classes(docs, k, percent).select("doc_id", "sig", (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("lost"))
+    lost = table(classes.groupBy("doc_id", "sig").agg(F.first("lost").alias("lost")), "lost")
+    ids = lost.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("lost").alias("whole"), F.max("lost").alias("any"))
+    ids = table(ids.where("any").select(F.col("doc_id").alias("__gone"), "whole"), "gone")
+    key = F.col("doc_id").cast("long")
+    marked = docs.where("doc_id IS NOT NULL").join(ids, key == F.col("__gone"), "left")
+    out = marked.where("__gone IS NULL").select(docs.columns)
+    split, nameless = ids.where("NOT whole"), docs.where("doc_id IS NULL")
+    parts = ([] if nameless.isEmpty() else [nameless]) + ([] if split.isEmpty() else [docs.join(split, key == F.col("__gone"), "left_semi")])
+    gone = lost.where("lost AND sig IS NOT NULL").select(F.col("doc_id").alias("__gone"), F.col("sig").alias("__set"))
+    for part in parts:
+        rows = with_identity(part, k)
+        same = rows["doc_id"].cast("long").eqNullSafe(gone["__gone"]) & (rows["__sig"] == gone["__set"])
+        out = out.unionByName(rows.join(gone, same, "left_anti").drop("__sig"))
+    return out
