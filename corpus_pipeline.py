@@ -33,14 +33,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """5: keep the document with the smallest doc_id of each class of
-    near-duplicates. Rows are told apart by id and shingle set; rows of a class
-    with its smallest id all stay, and so do all rows of a class without ids."""
-    classes = ngram_join.identified_classes(docs, k=WORDS, percent=PERCENT)
-    lost = classes.where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("__gone"), F.col("sig").alias("__set"))
-    gone = common.table(lost.distinct(), "gone")
-    rows = ngram_join.with_identity(docs, WORDS)
-    same = rows["doc_id"].cast("long").eqNullSafe(gone["__gone"]) & (rows["__sig"] == gone["__set"])
-    return rows.join(gone, same, "left_anti").drop("__sig")
+    near-duplicates."""
+    return ngram_join.first_of_classes(docs, WORDS, PERCENT)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +51,12 @@ STAGES = [("language_id", language), ("line_dedup", lines), ("near_duplicates",
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = common.table(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            common.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
