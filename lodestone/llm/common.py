@@ -104,7 +104,7 @@ class Spans:
     so a span's cost does not depend on its length."""
 
     def __init__(self, data: np.ndarray):
-        n = len(data)
+        n, self.data = len(data), data
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE_CODE[data] * _power("up", _BASE, n), out=self.sums[1:])
         self.down = _power("down", _BASE_INVERSE, n + 1)
