@@ -175,10 +175,16 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     if n == 0:
         return h
     width = min(k, n)
-    out = np.full(n - width + 1, U64(width))
-    for i in range(width):
-        out += h[i : n - width + 1 + i] * U64((0xD6E8FEB86659FD93 * (2 * i + 1)) % 2**64 | 1)
-    return mix(out)
+    m = n - width + 1
+    if width > 8:  # read off one running sum, whatever the width
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(h * _power("up", _BASE, n), out=sums[1:])
+        out = (sums[width:] - sums[:m]) * _power("down", _BASE_INVERSE, m)
+    else:
+        out = h[:m].copy()
+        for i in range(1, width):
+            out += h[i : m + i] * U64(pow(_BASE, i, 2**64))
+    return mix(out + U64(width))
 
 
 def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:

@@ -10,19 +10,23 @@ words under tiles is its coverage. As tiles may come in any order, a reordered
 passage is covered like a verbatim one.
 
 The benchmark is a query set: it is cut into blocks of bounded bytes, and each
-block is matched against all documents in one scan without a shuffle.
+block's seeds are joined with all documents in one scan, as an index that is sent
+to the executors and taken back before the next block's is built. What a block
+finds is a small table of its own, written once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_MARK, U64, Words, shingles, slices, table
+from .common import IS_MARK, U64, Words, drop, shingles, slices, table
 
 BLOCK_BYTES = 16 << 20
 SCHEMA = "doc_id long, item_id long, item_words long, covered long, coverage double, tiles long, longest long"
@@ -38,6 +42,18 @@ def _windows(h: np.ndarray, width: int, free: np.ndarray) -> tuple[np.ndarray, n
     return starts, shingles(h, width)[starts]
 
 
+def _run(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, step: int = 64) -> int:
+    """Length of the common free beginning of two sequences."""
+    limit, at = min(len(a), len(b)), 0
+    while at < limit:
+        to = min(limit, at + step)
+        same = (a[at:to] == b[at:to]) & free_a[at:to] & free_b[at:to]
+        if not same.all():
+            return at + int(same.argmin())
+        at, step = to, 2 * step
+    return limit
+
+
 def tiles(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(start in text, start in item, length) of the greedy tiles of two
     sequences of word hashes; earlier starts first among equal lengths."""
@@ -49,28 +65,28 @@ def tiles(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int
         # longest first: windows of this width, extended to maximal runs
         a, ha = _windows(item, width, free_item)
         b, hb = _windows(text, width, free_text)
-        hit = np.isin(hb, ha)
+        order = np.argsort(ha, kind="stable")
+        a, ha = a[order], ha[order]
+        low, high = np.searchsorted(ha, hb, "left"), np.searchsorted(ha, hb, "right")
         found = []
-        if hit.any():
-            order = np.argsort(ha, kind="stable")
-            for start, h in zip(b[hit], hb[hit]):
-                low, high = np.searchsorted(ha[order], [h, h + U64(0)], "left")[0], np.searchsorted(ha[order], h, "right")
-                for at in a[order[low:high]]:
-                    n = width
-                    limit = min(len(text) - start, len(item) - at)
-                    while n < limit and text[start + n] == item[at + n] and free_text[start + n] and free_item[at + n]:
-                        n += 1
-                    found.append((-n, int(start), int(at)))
-        for n, start, at in sorted(found):
-            n = -n
-            if free_text[start : start + n].all() and free_item[at : at + n].all():
-                free_text[start : start + n] = False
-                free_item[at : at + n] = False
-                out.append((start, at, n))
+        for j in np.flatnonzero(high > low):
+            start = int(b[j])
+            for at in a[low[j] : high[j]].tolist():
+                n = width + _run(text[start + width :], item[at + width :], free_text[start + width :], free_item[at + width :])
+                found.append((-n, start, at))
+        heapify(found)
+        while found:
+            n, start, at = heappop(found)
+            free = free_text[start : start - n] & free_item[at : at - n]
+            left = -n if free.all() else int(free.argmin())
+            if left == -n:
+                free_text[start : start + left] = False
+                free_item[at : at + left] = False
+                out.append((start, at, left))
+            elif left >= width:
+                heappush(found, (-left, start, at))  # what an earlier tile left of it
         if free_item.sum() < least:
             break
-        if hit.any() and any(-n > width for n, _, _ in found):
-            continue  # parts of overlapped runs may still be this long
         width = width // 2 if width // 2 > least else least if width > least else 0
     return out
 
@@ -84,10 +100,11 @@ class _Block:
         self.least = least
         self.ids = [i for i, _ in rows]
         self.items = [h[words.bounds[i] : words.bounds[i + 1]] for i in range(len(rows))]
-        self.seeds = {}
+        self.seeds, self.windows = {}, {}
         widths = np.array([min(least, len(x)) for x in self.items])
         for width in np.unique(widths[widths > 0]):
             own = [(shingles(self.items[i], int(width)), i) for i in np.flatnonzero(widths == width)]
+            self.windows |= {int(i): s for s, i in own}
             seed = np.concatenate([s for s, _ in own])
             item = np.repeat([i for _, i in own], [len(s) for s, _ in own])
             order = np.argsort(seed, kind="stable")
@@ -96,29 +113,47 @@ class _Block:
             bitmap[(seed >> U64(64 - _BITS)).astype(np.int64)] = True
             self.seeds[int(width)] = seed, item, bitmap
 
-    def candidates(self, h: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(text, item) pairs that share a seed, of a batch of texts."""
-        pairs = []
+    def candidates(self, h: np.ndarray, bounds: np.ndarray, threshold: float) -> Iterator[tuple[int, int]]:
+        """(text, item) pairs that share a seed, of a batch of texts, where the
+        item's words in shared seeds reach the threshold: tiles hold no others."""
+        found = []
         for width, (seed, item, bitmap) in self.seeds.items():
             if len(h) < width:
                 continue
             g = shingles(h, width)
             maybe = np.flatnonzero(bitmap[(g >> U64(64 - _BITS)).astype(np.int64)])
-            low, high = np.searchsorted(seed, g[maybe], "left"), np.searchsorted(seed, g[maybe], "right")
-            maybe, low, high = maybe[high > low], low[high > low], high[high > low]
-            text = np.searchsorted(bounds, maybe, "right") - 1
-            inside = maybe + width <= bounds[text + 1]
-            for t, a, b in zip(text[inside], low[inside], high[inside]):
-                pairs.append(np.stack([np.full(b - a, t), item[a:b]], 1))
-        if pairs:
-            yield from map(tuple, np.unique(np.concatenate(pairs), axis=0))
+            low = np.searchsorted(seed, g[maybe], "left")
+            hit = seed[np.minimum(low, len(seed) - 1)] == g[maybe]
+            text = np.searchsorted(bounds, maybe[hit], "right") - 1
+            inside = maybe[hit] + width <= bounds[text + 1]
+            found.append((width, text[inside], g[maybe[hit]][inside]))
+        texts = np.unique(np.concatenate([t for _, t, _ in found])) if found else []
+        for t in texts:
+            near = np.zeros(len(self.items), bool)
+            own = {}
+            for width, text, g in found:
+                a, b = np.searchsorted(text, [t, t + 1])
+                own[width] = np.unique(g[a:b])
+                seed, item, _ = self.seeds[width]
+                # one text at a time, each of its seeds once
+                for low, high in zip(np.searchsorted(seed, own[width], "left"), np.searchsorted(seed, own[width], "right")):
+                    near[item[low:high]] = True
+            for i in np.flatnonzero(near):
+                n = len(self.items[i])
+                width = min(self.least, n)
+                starts = np.flatnonzero(np.isin(self.windows[i], own[width]))
+                inside = np.zeros(n + 1, np.int64)
+                np.add.at(inside, starts, 1)
+                np.add.at(inside, starts + width, -1)
+                if (np.cumsum(inside[:n]) > 0).sum() >= threshold * n:
+                    yield int(t), int(i)
 
 
 def _leaks(block: _Block, batch: pa.RecordBatch, threshold: float) -> Iterator[tuple]:
     """(text number, item, covered, tiles, longest) of a batch."""
     words = Words(batch.column(batch.schema.get_field_index("text")).cast(pa.string()), IS_MARK)
     h = words.hashes()
-    for t, i in block.candidates(h, words.bounds):
+    for t, i in block.candidates(h, words.bounds, threshold):
         found = tiles(h[words.bounds[t] : words.bounds[t + 1]], block.items[i], block.least)
         covered = sum(n for _, _, n in found)
         if found and covered >= threshold * len(block.items[i]):
@@ -151,18 +186,33 @@ def _drop(shared, threshold: float):
     return run
 
 
-def _blocks(benchmark: DataFrame, least: int, block_bytes: int) -> Iterator:
-    """The items in blocks of bounded bytes, each sent to the executors once."""
+def _leaking(shared, threshold: float):
+    """The digests of texts with a leak."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        for batch in slices(batches):
+            leaks = sorted({t for t, *_ in _leaks(block, batch, threshold)})
+            if leaks:
+                yield batch.select(["h1", "h2"]).take(pa.array(leaks))
+
+    return run
+
+
+def _blocks(benchmark: DataFrame, least: int, block_bytes: int) -> Iterator[tuple]:
+    """The items in blocks of bounded bytes (of UTF-8), each sent to the
+    executors once; with each, whether it is the only one."""
     sc = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    rows, size = [], 0
+    rows, size, blocks = [], 0, 0
     for r in items.toLocalIterator():
-        rows.append((r["item_id"], r["text"]))
-        size += len(r["text"])
         if size >= block_bytes:
-            yield sc.broadcast(_Block(rows, least))
+            blocks += 1
+            yield sc.broadcast(_Block(rows, least)), False
             rows, size = [], 0
-    yield sc.broadcast(_Block(rows, least))
+        rows.append((r["item_id"], r["text"]))
+        size += len(r["text"].encode())
+    yield sc.broadcast(_Block(rows, least)), not blocks
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -175,16 +225,29 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, least: int = 5, thresh
     null; other columns are ignored; empty tables give an empty result.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    done: DataFrame | None = None
-    for shared in _blocks(benchmark, least, block_bytes):
+    parts = []
+    for shared, only in _blocks(benchmark, least, block_bytes):
         part = d.mapInArrow(_match(shared, threshold), SCHEMA)
-        done = part if done is None else table(done, "tiles").unionByName(part)
-    return done
+        if only:
+            return part
+        parts.append(table(part, "tiles"))
+        shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows whose text has a contamination; all columns
-    pass through, and no shuffle is needed."""
-    for shared in _blocks(benchmark, least, block_bytes):
-        docs = docs.mapInArrow(_drop(shared, threshold), docs.schema)
-    return docs
+    pass through. With one block of items no shuffle is needed; with several,
+    every block leaves the digests of leaking texts, which are joined out."""
+    parts = []
+    one, two = F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")
+    for shared, only in _blocks(benchmark, least, block_bytes):
+        if only:
+            return docs.mapInArrow(_drop(shared, threshold), docs.schema)
+        texts = docs.select(F.col("text").cast("string").alias("text")).select("text", one.alias("h1"), two.alias("h2"))
+        parts.append(table(texts.mapInArrow(_leaking(shared, threshold), "h1 long, h2 long"), "leaks"))
+        shared.destroy()
+    gone = table(reduce(DataFrame.unionByName, parts).distinct(), "leaks")
+    drop(*parts)
+    text = F.col("text").cast("string")
+    return docs.join(gone, (F.xxhash64(text) == gone["h1"]) & (F.xxhash64(F.lit("second"), text) == gone["h2"]), "left_anti")
