@@ -6,8 +6,9 @@ its probabilities under them. Adding independent Gumbel noise and taking the k
 largest sums draws k documents without replacement with odds proportional to
 the ratio.
 
-The k-th largest key is found by radix selection over counts of key prefixes,
-so neither a global sort nor a collection of keys is needed.
+The k-th largest key is found by radix selection over counts of the leading bits
+of the keys (all 64 bits of the double, in the order of the numbers), so neither
+a global sort nor a collection of keys is needed.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, Words, shingles, slices, table
@@ -43,10 +44,11 @@ def _count(targets: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, good = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in slices(batches):
-            ids = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+            named = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             docs, grams = _features(batch.column(batch.schema.get_field_index("text")))
             raw += np.bincount(grams, minlength=BUCKETS)
-            good += np.bincount(grams[np.isin(ids, targets)[docs]], minlength=BUCKETS)
+            good += np.bincount(grams[(named & np.isin(ids, targets))[docs]], minlength=BUCKETS)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(good[some])], names=["bucket", "raw", "good"])
 
@@ -61,59 +63,92 @@ def _weigh(ratio: np.ndarray):
             # bucket order makes equal texts sum in the same order in any batch
             order = np.lexsort((grams, docs))
             sums = np.bincount(docs[order], ratio[grams[order]], minlength=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(sums)], names=["doc_id", "noise", "n_features", "log_weight"])
+            key = sums + batch.column(1).to_numpy(zero_copy_only=False)
+            cols = [batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(sums), pa.array(key), pa.array(ordered(key))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "tie", "n_features", "log_weight", "gumbel_key", "bits"])
 
     return run
 
 
-def _ordered_bits(x: Column) -> Column:
-    """A hex string whose order is that of the doubles (no NaN)."""
-    fixed = F.floor(x * 1e6).cast("decimal(20,0)") + F.lit(10**15).cast("decimal(20,0)")
-    return F.lpad(F.hex(F.greatest(F.lit(0), F.least(F.lit(2 * 10**15), fixed)).cast("long")), 13, "0")
+def ordered(x: np.ndarray) -> np.ndarray:
+    """64-bit integers in the order of the doubles (no NaN); -0 is 0."""
+    bits = (x + 0.0).view(np.int64)
+    return np.where(bits < 0, np.int64(-(2**63)) - bits - 1, bits)
 
 
-def top_k(df: DataFrame, key: str, tie: str, k: int, out: str) -> DataFrame:
-    """``df`` with a boolean ``out``: among the k largest by (key, tie). Keys are
-    compared to a millionth."""
-    bits = F.concat(_ordered_bits(F.col(key)), F.lpad(F.hex(F.col(tie)), 16, "0"))
-    d = df.withColumn("__b", bits)
-    prefix, left, width = "", k, 29
-    for at in range(0, width, 3):
-        rows = d.where(F.col("__b").startswith(prefix)).groupBy(F.substring("__b", at + 1, 3).alias("p")).count().collect()  # 4,096 at most
-        for r in sorted(rows, key=lambda r: r["p"], reverse=True):
-            if left <= r["count"]:
-                prefix += r["p"]
+_STEP = 12
+
+
+def _cut(df: DataFrame, column: str, k: int) -> tuple[int, int]:
+    """(v, left): the rows above v in a 64-bit column are fewer than ``k`` and
+    lack ``left`` rows of those equal to v; left is 0 if these are to go in whole.
+    ``k`` is between 1 and the number of rows."""
+    flipped = F.col(column).bitwiseXOR(F.lit(-(2**63)).cast("long"))
+    low = 64
+    rows, prefix = df, 0
+    while True:
+        low = max(0, low - _STEP)
+        part = F.shiftrightunsigned(flipped, low)
+        # 2^12 groups at most
+        counts = sorted(((r["p"] % 2**64, r["count"]) for r in rows.groupBy(part.alias("p")).count().collect()), reverse=True)
+        for p, n in counts:
+            if k <= n:
                 break
-            left -= r["count"]
+            k -= n
+        prefix = p
+        if k == n or not low:  # whole prefixes suffice, or all bits are read
+            v = (prefix << low) - 2**63
+            return (v - 1 if k == n else v), (0 if k == n else k)
+        rows = rows.where(part == F.lit(prefix - 2**64 if prefix >= 2**63 else prefix).cast("long"))
+
+
+def top_k(df: DataFrame, columns: list[str], k: int, out: str) -> DataFrame:
+    """``df`` with a boolean ``out``, true in the ``k`` rows that are largest by
+    the 64-bit ``columns``. Rows equal in all of them are taken all or none, so
+    the last column should tell all rows apart. ``df`` should be a written table."""
+    if k <= 0:
+        return df.withColumn(out, F.lit(False))
+    if k >= df.count():
+        return df.withColumn(out, F.lit(True))
+    chosen, same, rows = F.lit(False), F.lit(True), df
+    for c in columns:
+        v, k = _cut(rows, c, k)
+        if v >= -(2**63):
+            chosen = chosen | (same & (F.col(c) > F.lit(v)))
         else:
-            prefix = ""  # fewer rows than k
+            chosen = chosen | same
+        if not k:
             break
-    return d.withColumn(out, F.col("__b") >= F.lit(prefix) if k > 0 else F.lit(False)).drop("__b")
+        same, rows = same & (F.col(c) == F.lit(v)), rows.where(F.col(c) == F.lit(v))
+    return df.withColumn(out, chosen)
 
 
 def resample(docs: DataFrame, labels: DataFrame, share: float = SHARE, seed: int = 1, target_rows: int = TARGET_ROWS) -> DataFrame:
     """(doc_id, n_features, log_weight, gumbel_key, selected) for every row.
 
     log_weight is the summed log ratio of the features; ``share`` of the rows are
-    selected; target rows are those with label quality 1 and not toxic.
-
-    Defined cases: null and empty texts have no features and weight 0; null ids
-    share one noise value; repeated rows are kept, and tie (all of them or, at
-    the very edge, none are selected); with no target rows every weight is 0 and
-    the draw is uniform; labels without a document are ignored; other columns
-    are ignored; an empty table gives an empty result.
+    selected, exactly (rounded half to even); target rows are those with label
+    quality 1 and not toxic.
+
+    Defined cases: null and empty texts have no features and weight 0; a row
+    without an id is never a target and draws its noise by its text; rows equal
+    in id and text have one key and are separated by their place in the table;
+    equal keys of other rows by a hash of id and text; with no target rows every
+    weight is 0 and the draw is uniform; labels without a document are ignored;
+    other columns are ignored; an empty table gives an empty result.
     """
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id")).distinct()
     ids = np.array([r["id"] for r in good.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(target_rows).collect()], np.int64)
-    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (-F.ln(-F.ln(uniform))).alias("noise"), F.col("text").cast("string").alias("text"))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit("text"), "text", F.lit(seed))).otherwise(F.xxhash64("doc_id", F.lit(seed)))
+    uniform = (F.pmod(key, F.lit(1 << 53)).cast("double") + 0.5) / float(1 << 53)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    d = d.select("doc_id", (-F.ln(-F.ln(uniform))).alias("noise"), F.xxhash64("doc_id", "text").alias("tie"), "text")
     counts = d.select("doc_id", "text").mapInArrow(_count(ids), "bucket long, raw long, good long")
     raw, target = np.full(BUCKETS, 1.0), np.full(BUCKETS, 1.0)
     for r in counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect():  # one row a bucket
         raw[r["bucket"]] += r["raw"]
         target[r["bucket"]] += r["good"]
     ratio = np.log(target / target.sum()) - np.log(raw / raw.sum()) if len(ids) else np.zeros(BUCKETS)
-    weighed = d.mapInArrow(_weigh(ratio), "doc_id long, noise double, n_features long, log_weight double")
-    weighed = table(weighed.select("doc_id", "n_features", "log_weight", (F.col("log_weight") + F.col("noise")).alias("gumbel_key")), "weights")
-    k = round(weighed.count() * share)
-    return top_k(weighed.withColumn("__tie", F.xxhash64("doc_id")), "gumbel_key", "__tie", k, "selected").drop("__tie")
+    weighed = d.mapInArrow(_weigh(ratio), "doc_id long, tie long, n_features long, log_weight double, gumbel_key double, bits long")
+    weighed = table(weighed.withColumn("place", F.monotonically_increasing_id()), "weights")
+    return top_k(weighed, ["bits", "tie", "place"], round(weighed.count() * share), "selected").drop("bits", "tie", "place")

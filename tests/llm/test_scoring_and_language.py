@@ -106,9 +106,8 @@ def test_importance(spark):
         if r[0] in features:
             assert features[r[0]] == max(0, 2 * len(words(r[1])) - 1)
     assert all(r.log_weight == 0 for r in got if r.n_features == 0)
-    cut = min(r.gumbel_key for r in got if r.selected)
-    assert all(r.selected == (r.gumbel_key >= cut - 2e-6) for r in got if abs(r.gumbel_key - cut) > 2e-6)
-    assert abs(sum(r.selected for r in got) - round(len(got) / 2)) <= 3
+    chosen = sorted((r.gumbel_key for r in got if r.selected), reverse=True)
+    assert chosen == sorted((r.gumbel_key for r in got), reverse=True)[: round(len(got) / 2)]
     assert importance.resample(table(spark, []), labels).collect() == []
 
 
@@ -120,7 +119,22 @@ def test_importance_prefers_target(spark):
 
 
 def test_top_k(spark):
-    df = spark.createDataFrame([(float(x), x) for x in (-5, 3, 3, 8, -1000, 0, 7)], "key double, tie long")
-    for k in range(8):
-        got = [(r.key, r.tie) for r in importance.top_k(df, "key", "tie", k, "sel").where("sel").collect()]
-        assert sorted(x for x, _ in got) == sorted(sorted([-5.0, 3.0, 3.0, 8.0, -1000.0, 0.0, 7.0])[7 - k :] + ([3.0] if k == 3 else []))
+    values = [-5.0, 3.0, 3.0, 8.0, -1000.0, 0.0, -0.0, 7.0, 1e300, -1e300, 3.0000000001, 1e-300]
+    bits = importance.ordered(np.array(values)).tolist()
+    assert sorted(values) == [v for _, v in sorted(zip(bits, values))]
+    df = spark.createDataFrame([(v, b, i % 2, i) for i, (v, b) in enumerate(zip(values, bits))], "key double, bits long, tie long, place long")
+    for k in range(len(values) + 2):
+        got = sorted(r.place for r in importance.top_k(df, ["bits", "tie", "place"], k, "sel").where("sel").collect())
+        want = sorted(range(len(values)), key=lambda i: (bits[i], i % 2, i), reverse=True)[:k]
+        assert got == sorted(want)
+
+
+def test_exact_share_of_equal_rows_and_rows_without_ids(spark):
+    labels = spark.createDataFrame([(-1, 1, 0), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    same = [(1, "the same words here", None, None, None, None, None, None)] * 10
+    assert sum(r.selected for r in importance.resample(table(spark, same), labels, share=0.5).collect()) == 5
+    data = [(None, f"words of row {i}", None, None, None, None, None, None) for i in range(40)] + [(3, "target words", None, None, None, None, None, None)]
+    got = importance.resample(table(spark, data), labels).collect()
+    assert sum(r.selected for r in got) == 20 and len({r.gumbel_key - r.log_weight for r in got}) == 41
+    target = next(r for r in got if r.doc_id == 3)
+    assert all(r.log_weight < target.log_weight for r in got if r.doc_id is None)
