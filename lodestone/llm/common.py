@@ -9,8 +9,10 @@ lower-casing the letters A-Z only.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,12 @@ _powers: dict[str, np.ndarray] = {}
 
 # ---------------------------------------------------------------- tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where
-    the session names none (single-machine tests)."""
+    """The folder that driver and executors share. Only where the session names
+    none and all runs on this machine is a temporary one made."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
         base = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -49,17 +53,33 @@ def run_dir(spark: SparkSession, name: str) -> str:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writing, _before = threading.Lock(), {}, {}
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Jobs in here drop their shuffle files at their end. The session's setting
+    comes back when the last thread leaves."""
+    key = id(spark)
+    with _lock:
+        _writing[key] = _writing.get(key, 0) + 1
+        if _writing[key] == 1:
+            _before[key] = spark.conf.get(_CLEANUP, "false")
+            spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing[key] -= 1
+            if not _writing[key]:
+                spark.conf.set(_CLEANUP, _before.pop(key))
 
 
 def write(df: DataFrame, path: str) -> DataFrame:
     """Write Parquet, drop the shuffle files of that job at its end, read back."""
     spark = df.sparkSession
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with shuffles_dropped(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

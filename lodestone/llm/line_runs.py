@@ -15,11 +15,12 @@ keeper.
 from __future__ import annotations
 
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, run_dir, table, write
+from .common import drop, run_dir, shuffles_dropped, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRIPPED = " \t\n\x0b\f\r"
@@ -31,7 +32,8 @@ def line_key(line: Column) -> Column:
 
 
 def _hash(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit("second")).alias("h2"))
+    """128 bits: two hashes of the key from different seeds."""
+    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"))
 
 
 def split_lines(text: Column) -> Column:
@@ -39,11 +41,17 @@ def split_lines(text: Column) -> Column:
 
 
 class LineRuns:
-    """Sorted runs of (h1, h2, n, keeper) in levels."""
+    """Sorted runs of (h1, h2, n, keeper) in levels.
 
-    def __init__(self, spark: SparkSession, fanout: int = 3):
-        self.spark, self.fanout = spark, fanout
+    A run is dealt into a fixed number of files by the hash of its keys, each
+    sorted by key, so joining and merging runs neither shuffles nor sorts them.
+    """
+
+    def __init__(self, spark: SparkSession, fanout: int = 3, files: int = 1):
+        self.spark, self.fanout, self.files = spark, fanout, files
         self.levels: list[list[DataFrame]] = []
+        # one sorted file a bucket: the scan may then count as sorted
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
@@ -51,79 +59,110 @@ class LineRuns:
     def _store(self, records: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        path = run_dir(self.spark, f"run{level}")
-        self.levels[level].append(write(records.repartition(*KEY).sortWithinPartitions(*KEY), path))
+        path, name = run_dir(self.spark, f"run{level}"), f"lodestone_run_{uuid4().hex}"
+        with shuffles_dropped(self.spark):
+            records.write.bucketBy(self.files, *KEY).sortBy(*KEY).format("parquet").option("path", path).saveAsTable(name)
+        run = self.spark.table(name)
+        run.scratch_path, run.scratch_name = path, name
+        self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
             merged, self.levels[level] = self.levels[level], []
             self._store(self._merged(merged), level + 1)
-            drop(*merged)
+            self.forget(merged)
+
+    def forget(self, runs: list[DataFrame]) -> None:
+        drop(*runs)
+        for r in runs:
+            self.spark.sql(f"DROP TABLE {r.scratch_name}")
 
     @staticmethod
     def _merged(runs: list[DataFrame]) -> DataFrame:
-        together = reduce(DataFrame.unionByName, runs)
-        return together.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
+        """Runs merged by key, two by two, as each holds a key once. (Grouping a
+        union would not do: Spark 4.1 plans it without a shuffle over bucketed
+        scans, but does not bring equal buckets together.)"""
+
+        def two(a: DataFrame, b: DataFrame) -> DataFrame:
+            b = b.withColumnsRenamed({"n": "n2", "keeper": "keeper2"})
+            n = F.coalesce("n", F.lit(0)) + F.coalesce("n2", F.lit(0))
+            return a.join(b.hint("merge"), KEY, "full").select(*KEY, n.alias("n"), F.greatest("keeper", "keeper2").alias("keeper"))
+
+        return reduce(two, [r.select(*KEY, "n", "keeper") for r in runs])
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch of (doc_id, h1, h2), one row for each distinct key of a
         document. Batches must come in descending order of doc_id."""
-        batch = None
-        own = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
-        if self.runs():
-            known = reduce(DataFrame.unionByName, [r.select(*KEY) for r in self.runs()])
-            own = batch = table(own, "batch")
-            fresh = own.join(known, KEY, "left_anti")
-            seen = own.join(known, KEY, "left_semi").withColumn("keeper", F.lit(None).cast("long"))
-            own = fresh.unionByName(seen)
+        own = lines.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).repartition(self.files, *KEY)
+        for r in self.runs():
+            # the anti-join of a merge: what no run has keeps its keeper, what one has is only counted
+            own = own.join(r.select(*KEY, F.lit(True).alias("__old")).hint("merge"), KEY, "left")
+            own = own.withColumn("keeper", F.when(F.col("__old").isNull(), F.col("keeper"))).drop("__old")
         self._store(own, 0)
-        if batch is not None:
-            drop(batch)
 
     def frequent(self, least: int) -> DataFrame:
         """Keys that ``least`` documents or more hold."""
         return self._merged(self.runs()).where(F.col("n") >= least).select(*KEY, "keeper")
 
 
+#: Line records of a batch and of a file of a run.
+BATCH_ROWS, FILE_ROWS = 1_000_000_000, 4_000_000
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
     """``docs`` with its text less repeated lines, and n_lines and n_dropped.
 
-    Keys of at least ``min_chars`` code points that ``min_docs`` rows or more
-    hold stay only in the rows of the largest doc_id among them.
+    Keys of at least ``min_chars`` code points that ``min_docs`` documents or
+    more hold stay only in the rows of the largest doc_id among them. There are
+    ``batches`` batches, or more if one would exceed BATCH_ROWS records.
 
     Defined cases: a null or empty text is one empty line and reads as empty
-    afterwards; every row counts as a document, repeated rows included, and rows
-    that tie for the largest id all keep the line; a null doc_id ranks below all
-    others and keeps nothing while another row holds the key; if only rows with
-    null ids hold a key, it stays in all; lines that repeat inside a text count
-    once and go or stay together; an empty table gives an empty result. Other
-    columns pass through; n_lines and n_dropped of the input are replaced.
+    afterwards; rows that share a doc_id are one document, so they count once
+    and keep or lose a key together; every row without an id is a document of
+    its own, ranks below all others and keeps nothing while a row with an id
+    holds the key; if only rows without ids hold a key, it stays in all; lines
+    that repeat inside a text count once and go or stay together; an empty table
+    gives an empty result. Other columns pass through; n_lines and n_dropped of
+    the input are replaced.
     """
     spark = docs.sparkSession
-    lines = F.transform(split_lines(F.col("text")), line_key)
-    keys = F.array_distinct(F.transform(F.filter(lines, lambda x: F.length(x) >= min_chars), _hash))
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(keys).alias("k")).select("doc_id", "k.h1", "k.h2")
-    held = table(held, "lines")
-    cuts = held.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    runs = LineRuns(spark, fanout)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.xxhash64(text).alias("row")
+    # one record a long line, those of a text sorted by key, so the first of each key is known
+    long = F.filter(F.transform(split_lines(text), lambda x, i: F.struct(line_key(x).alias("key"), i.alias("i"))), lambda x: F.length(x["key"]) >= min_chars)
+    sorted_ = F.array_sort(F.transform(long, lambda x: F.struct(_hash(x["key"]).alias("k"), x["i"].alias("i"))))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, sorted_.alias("s"))
+    new = F.transform("s", lambda x, j: F.struct(x["k"]["h1"].alias("h1"), x["k"]["h2"].alias("h2"), x["i"].alias("i"), ((j == 0) | (F.get("s", j - 1)["k"] != x["k"])).alias("first")))
+    held = table(own.select("doc_id", "row", F.explode(new).alias("l")).select("doc_id", "row", "l.*"), "lines")
+    single = held.where("first").select("doc_id", *KEY)
+    repeated = table(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    if not repeated.isEmpty():
+        single = single.join(repeated, "doc_id", "left_anti").unionByName(single.join(repeated, "doc_id", "left_semi").distinct())
+    size = held.count()
+    batches = max(batches, -(-size // BATCH_ROWS))
+    cuts = held.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], max(1000, 10 * batches))).first()[0] if batches > 1 else None
+    cuts = sorted(set(cuts or []), reverse=True)
+    runs = LineRuns(spark, fanout, max(spark.sparkContext.defaultParallelism, -(-size // FILE_ROWS)))
     high = None
     for low in [*cuts, None]:
-        batch = held if high is None else held.where((F.col("doc_id") <= high) | F.col("doc_id").isNull())
+        batch = single if high is None else single.where((F.col("doc_id") <= high) | F.col("doc_id").isNull())
         if low is not None:
             batch = batch.where(F.col("doc_id") > low)
         runs.add(batch)
         high = low
     frequent = table(runs.frequent(min_docs), "frequent")
     gone = held.join(frequent, KEY).where((F.col("doc_id") < F.col("keeper")) | (F.col("doc_id").isNull() & F.col("keeper").isNotNull()))
-    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("__gone"))
-    gone = table(gone, "gone")
-    drop(held, frequent, *runs.runs())
-    out = docs.drop("n_lines", "n_dropped", "__gone")
+    gone = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("i")).alias("__gone"))
+    gone = table(gone.withColumnsRenamed({"doc_id": "__gone_id", "row": "__gone_row"}), "gone")
+    runs.forget(runs.runs())
+    drop(held, frequent, repeated)
+    out = docs.drop("n_lines", "n_dropped", "__gone", "__gone_id", "__gone_row")
     # joined by a shuffle at every size: the lists grow with the documents
-    gone = gone.withColumnRenamed("doc_id", "__gone_id").hint("merge")
-    out = out.join(gone, out["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]), "left").drop("__gone_id")
-    all_lines = split_lines(F.col("text"))
-    kept = F.filter(all_lines, lambda x: ~F.array_contains(F.col("__gone"), _hash(line_key(x))))
-    out = out.withColumn("n_lines", F.size(all_lines).cast("long"))
-    out = out.withColumn("__kept", F.when(F.col("__gone").isNotNull(), kept))
-    out = out.withColumn("n_dropped", F.when(F.col("__gone").isNotNull(), F.col("n_lines") - F.size("__kept")).otherwise(F.lit(0)).cast("long"))
-    return out.withColumn("text", F.when(F.col("__gone").isNotNull(), F.array_join("__kept", "\n")).otherwise(F.coalesce("text", F.lit("")))).drop("__gone", "__kept")
+    same = out["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]) & (row == gone["__gone_row"])
+    out = out.join(gone.hint("merge"), same, "left").drop("__gone_id", "__gone_row")
+    out = out.withColumn("text", text).withColumn("__lines", split_lines(F.col("text")))
+    out = out.withColumn("n_lines", F.size("__lines").cast("long"))
+    # the stretches of lines between the dropped ones
+    out = out.withColumn("__cuts", F.concat(F.array(F.lit(-1)), F.col("__gone"), F.array(F.size("__lines"))))
+    stretch = lambda j: F.slice(F.col("__lines"), F.get("__cuts", j) + 2, F.get("__cuts", j + 1) - F.get("__cuts", j) - 1)
+    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("__gone")), stretch)), "\n")
+    out = out.withColumn("text", F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col("text")))
+    return out.withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).drop("__gone", "__cuts", "__lines").select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

@@ -101,12 +101,12 @@ def test_words_and_hashes():
 def brute_lines(data, least, chars):
     upper = {c: c + 32 for c in range(65, 91)}
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate(upper)
-    held = defaultdict(list)
-    for r in data:
+    held = defaultdict(set)
+    for i, r in enumerate(data):
         for k in {key(x) for x in (r[1] or "").split("\n")}:
             if len(k) >= chars:
-                held[k].append(-1 if r[0] is None else r[0])
-    keeper = {k: max(v) for k, v in held.items() if len(v) >= least}
+                held[k].add((-1, i) if r[0] is None else (r[0], 0))  # a document is an id, or a row without one
+    keeper = {k: max(v)[0] for k, v in held.items() if len(v) >= least}
     out = []
     for r in data:
         lines = (r[1] or "").split("\n")
@@ -127,6 +127,39 @@ def test_line_runs_without_rows(spark):
     assert line_runs.dedup_lines(table(spark, [])).collect() == []
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    line = "this line is long enough to count as a repeated line"
+    row = lambda i, t: (i, t, None, None, None, None, None, None)
+    data = [row(1, line)] * 5 + [row(2, line)]
+    for extra in ([], [row(3, line), row(4, "x\n" + line + "\ny"), row(5, line + "\n" + line)], [row(None, line)] * 3, [row(None, "a\n" + line)] * 7):
+        got = line_runs.dedup_lines(table(spark, data + extra))
+        got = sorted(((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in got.collect()), key=repr)
+        assert got == brute_lines(data + extra, 5, 40)
+
+
+def test_many_dropped_lines_of_one_text(spark):
+    lines = [f"line number {i:06} of a very long text, long enough" for i in range(30_000)]
+    text = "\n".join(x for i, line in enumerate(lines) for x in ([line, "short"] if i % 3 else [line, line.upper()]))
+    data = [(i, "\n".join(lines), None, None, None, None, None, None) for i in range(2, 7)] + [(1, text, None, None, None, None, None, None)]
+    got = {r.doc_id: r for r in line_runs.dedup_lines(table(spark, data)).collect()}
+    assert got[1].text == "\n".join(["short"] * 20_000) and got[1].n_dropped == 40_000 and got[1].n_lines == 60_000
+    assert got[6].text == "\n".join(lines) and got[3].text == "" and got[3].n_dropped == 30_000
+
+
+def test_runs_are_read_without_shuffle_or_sort(spark):
+    runs = line_runs.LineRuns(spark, fanout=9, files=3)
+    for i in range(3):
+        runs.add(spark.createDataFrame([(10 - i, j * i, 2) for j in range(50)], "doc_id long, h1 long, h2 long"))
+    merged = runs._merged(runs.runs()[:2])
+    assert sorted((r.h1, r.n, r.keeper) for r in merged.collect()) == [(0, 51, 10), *((j, 1, 9) for j in range(1, 50))]
+    assert "Exchange" not in merged._jdf.queryExecution().executedPlan().toString()
+    a, b = (r.select("h1", "h2") for r in runs.runs()[:2])
+    joined = a.join(b.hint("merge"), ["h1", "h2"], "left_anti")
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+
+
 def test_runs_are_compacted(spark):
     runs = line_runs.LineRuns(spark, fanout=2)
     for i in range(4):
