@@ -371,7 +371,9 @@ def first_of_classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     an id and for ids of which some rows stay and others go.
     """
     classes = identified_classes(docs, k, percent).select("doc_id", "sig", (~F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("lost"))
+    classes = table(classes, "classes")  # its last join may then split a frequent set
     lost = table(classes.groupBy("doc_id", "sig").agg(F.first("lost").alias("lost")), "lost")
+    drop(classes)
     ids = lost.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("lost").alias("whole"), F.max("lost").alias("any"))
     ids = table(ids.where("any").select(F.col("doc_id").alias("__gone"), "whole"), "gone")
     key = F.col("doc_id").cast("long")
