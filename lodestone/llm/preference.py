@@ -3,18 +3,22 @@ operations only.
 
 The longest common prefix of turns is rendered once as the prompt; what follows
 in each conversation becomes its completion, with a mask that is set where a
-model should learn (the assistant's turns). The result is one row for each
-rendered turn, so no conversation, however long, is gathered into one row or
-task: the shared length is a grouped minimum over turn positions where the two
-sides differ, joined back to the turns.
+model should learn (the assistant's turns). The result pairs the completions:
+one row a pair, or for very long conversations one row for each stretch of
+``STRETCH`` turn numbers, so that no conversation, however long, is gathered
+into one row or task. Both sides of a stretch come together in one grouping;
+the pair's shared length is a minimum over its stretches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OPEN, SHUT = "<|{}|>\n", "<|end|>\n"
+from .common import table
+
+#: Turn numbers of one row.
+STRETCH = 64
 
 
 def render(role, text):
@@ -22,63 +26,60 @@ def render(role, text):
     return F.concat(F.lit("<|"), F.coalesce(role, F.lit("unknown")), F.lit("|>\n"), F.coalesce(text, F.lit("")), F.lit("\n<|end|>\n"))
 
 
-def _messages(side: DataFrame) -> DataFrame:
-    d = side.select(F.col("pair_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return d.where("pair_id IS NOT NULL AND turn IS NOT NULL").distinct()
+def _side(side: DataFrame, name: str) -> DataFrame:
+    d = side.select(F.col("pair_id").cast("long").alias("pair_id"), F.lit(name).alias("side"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    return d.where("pair_id IS NOT NULL AND turn IS NOT NULL")
 
 
-def _digests(messages: DataFrame, name: str) -> DataFrame:
-    """One 128-bit digest of the set of messages of every turn."""
-    row = [F.coalesce("role", F.lit("")), F.col("role").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull()]
-    one, two = F.xxhash64(*row), F.xxhash64(F.lit("second"), *row)
-    return messages.groupBy("pair_id", "turn").agg(F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y")).alias(name))
+def _of(name: str, extra=None) -> Column:
+    """The messages of one side (less its name), in the order of turn, role and text."""
+    keep = lambda m: (m["side"] == name) if extra is None else (m["side"] == name) & extra(m)
+    return F.transform(F.filter("messages", keep), lambda m: F.struct(m["turn"].alias("turn"), m["role"].alias("role"), m["text"].alias("text")))
 
 
-def format_preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """(pair_id, part, turn, role, rendered, mask, n_prompt) from two tables of
-    (pair_id, turn, role, text).
+def format_preferences(chosen: DataFrame, rejected: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """(pair_id, part, prompt, chosen, chosen_mask, rejected, rejected_mask,
+    n_prompt) from two tables of (pair_id, turn, role, text).
 
-    part is prompt, chosen or rejected; ``turn`` gives the order inside a part;
-    mask is 1 where a completion is to be learnt (assistant turns), 0 elsewhere;
-    n_prompt is the pair's number of shared leading turns.
+    prompt is the rendered shared beginning; chosen and rejected are arrays of
+    the rendered messages that follow in each conversation, the masks arrays
+    beside them: 1 where a message is to be learnt (the assistant's), else 0.
+    n_prompt is the pair's number of shared leading turns. part numbers the rows
+    of a pair from 0 in the order of turns; a row covers ``stretch`` turn
+    numbers, so conversations of fewer turns are one row, and the rows of longer
+    ones are to be read one after another.
 
-    Defined cases: turns are aligned by their number; rows without pair_id or
-    turn are left out; fully equal rows of a turn count once; different rows of
-    one turn are several messages of it, read in the order of role and text, and
-    the turn is shared if all of them are; null roles and texts compare equal to
-    each other; pairs of which one side is missing are left out; conversations
-    that are equal throughout have no completions; one that ends inside the
-    other has none on its side; empty tables give an empty result. Other columns
-    are ignored.
+    Defined cases: turns are aligned by their number less the first of their own
+    conversation; rows without pair_id or turn are left out; fully equal rows of
+    a turn count once; different rows of one turn are several messages of it,
+    read in the order of role and text (null first), and the turn is shared if
+    all of them are; null roles and texts compare equal to each other; pairs of
+    which one side is missing are left out; conversations that are equal
+    throughout have no completions; one that ends inside the other has none on
+    its side; empty tables give an empty result. Other columns are ignored.
     """
-    good, bad = _messages(chosen), _messages(rejected)
-    both = _digests(good, "chosen").join(_digests(bad, "rejected"), ["pair_id", "turn"], "full")
-    split = both.groupBy("pair_id").agg(
-        F.min(F.when(~F.col("chosen").eqNullSafe(F.col("rejected")), F.col("turn"))).alias("split"),
-        F.count("chosen").alias("n_chosen"), F.count("rejected").alias("n_rejected"),
-    ).where("n_chosen > 0 AND n_rejected > 0").select("pair_id", "split")
-    shared = F.col("split").isNull() | (F.col("turn") < F.col("split"))
-    length = both.join(split, "pair_id").groupBy("pair_id", "split").agg(F.count(F.when(shared, 1)).alias("n_prompt"))
-    left = good.join(length, "pair_id").withColumn("part", F.when(shared, "prompt").otherwise("chosen"))
-    right = bad.join(length, "pair_id").where(~shared).withColumn("part", F.lit("rejected"))
-    return left.unionByName(right).select(
-        "pair_id", "part", "turn", "role", render(F.col("role"), F.col("text")).alias("rendered"),
-        F.when((F.col("part") != "prompt") & F.col("role").eqNullSafe(F.lit("assistant")), 1).otherwise(0).cast("long").alias("mask"),
-        "n_prompt",
+    both = _side(chosen, "chosen").unionByName(_side(rejected, "rejected"))
+    turn = lambda side: F.min(F.when(F.col("side") == side, F.col("turn")))
+    begin = both.groupBy("pair_id").agg(turn("chosen").alias("a"), turn("rejected").alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    # a written table, so that the join may split a pair with very many turns
+    begin = table(begin, "begins")
+    moved = both.join(begin, "pair_id").withColumn("turn", F.col("turn") - F.when(F.col("side") == "chosen", F.col("a")).otherwise(F.col("b")))
+    message = F.struct("side", "turn", "role", "text")
+    rows = moved.groupBy("pair_id", F.expr(f"turn div {stretch}").alias("part")).agg(F.array_sort(F.collect_set(message)).alias("messages"))
+    good, bad = _of("chosen"), _of("rejected")
+    turns = F.array_distinct(F.transform("messages", lambda m: m["turn"]))
+    # the first turn whose messages differ
+    apart = F.array_min(F.transform(F.concat(F.array_except(good, bad), F.array_except(bad, good)), lambda m: m["turn"]))
+    rows = table(rows.withColumn("apart", F.when(good != bad, apart)), "stretches")
+    split = table(rows.groupBy("pair_id").agg(F.min("apart").alias("split")), "splits")
+    n = F.sum(F.size(F.filter(turns, lambda t: F.col("split").isNull() | (t < F.col("split")))))
+    split = table(rows.join(split, "pair_id").groupBy("pair_id", "split").agg(n.cast("long").alias("n_prompt")), "splits")
+    shared = lambda m: F.col("split").isNull() | (m["turn"] < F.col("split"))
+    after = lambda m: ~shared(m)
+    rendered = lambda x: F.transform(x, lambda m: render(m["role"], m["text"]))
+    mask = lambda x: F.transform(x, lambda m: F.when(m["role"].eqNullSafe(F.lit("assistant")), 1).otherwise(0).cast("long"))
+    return rows.join(split, "pair_id").select(
+        "pair_id", "part", F.array_join(rendered(_of("chosen", shared)), "").alias("prompt"),
+        rendered(_of("chosen", after)).alias("chosen"), mask(_of("chosen", after)).alias("chosen_mask"),
+        rendered(_of("rejected", after)).alias("rejected"), mask(_of("rejected", after)).alias("rejected_mask"), "n_prompt",
     )
-
-
-def assembled(parts: DataFrame) -> DataFrame:
-    """One row a pair: prompt, chosen, rejected as whole strings, with the masks
-    as arrays over messages. For pairs that fit in a row."""
-    def gather(part: str, value: str, kind: str):
-        rows = F.sort_array(F.collect_list(F.when(F.col("part") == part, F.struct("turn", "role", "rendered", F.col(value).alias("v")))))
-        return F.transform(rows, lambda x: x["v"].cast(kind))
-
-    return parts.groupBy("pair_id").agg(
-        F.array_join(gather("prompt", "rendered", "string"), "").alias("prompt"),
-        F.array_join(gather("chosen", "rendered", "string"), "").alias("chosen"),
-        F.array_join(gather("rejected", "rendered", "string"), "").alias("rejected"),
-        gather("chosen", "mask", "long").alias("chosen_mask"),
-        gather("rejected", "mask", "long").alias("rejected_mask"),
-    )

@@ -59,21 +59,35 @@ FROM r
 
 
 def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k are taken as chosen and 2k + 1 as rejected of pair k."""
+    """Conversations 2k are taken as chosen and 2k + 1 as rejected of pair k;
+    completions are joined to strings, their masks to digits."""
     c = _read(spark, sf_dir, "conversations")
     pair = c.withColumn("pair_id", F.expr("conv_id div 2"))
-    return preference.format_preferences(pair.where("conv_id % 2 = 0"), pair.where("conv_id % 2 = 1"))
+    pairs = preference.format_preferences(pair.where("conv_id % 2 = 0"), pair.where("conv_id % 2 = 1"))
+    digits = lambda x: F.array_join(F.transform(x, lambda m: m.cast("string")), "").alias(x)
+    return pairs.select("pair_id", "part", "prompt", F.array_join("chosen", "").alias("chosen"), digits("chosen_mask"), F.array_join("rejected", "").alias("rejected"), digits("rejected_mask"), "n_prompt")
 
 
-OP6_SQL = """
-WITH c AS (SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+OP6_SQL = f"""
+WITH r AS (SELECT DISTINCT conv_id // 2 AS pair_id, conv_id % 2 AS side, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+b AS (SELECT pair_id, min(CASE WHEN side = 0 THEN turn END) AS a0, min(CASE WHEN side = 1 THEN turn END) AS b0 FROM r GROUP BY 1),
+c AS (SELECT r.pair_id, side, turn - CASE WHEN side = 0 THEN a0 ELSE b0 END AS turn, role, text FROM r JOIN b ON b.pair_id = r.pair_id WHERE a0 IS NOT NULL AND b0 IS NOT NULL),
 d AS (SELECT pair_id, turn, list_sort(list(struct_pack(r := role, t := text)) FILTER (WHERE side = 0)) AS a, list_sort(list(struct_pack(r := role, t := text)) FILTER (WHERE side = 1)) AS b FROM c GROUP BY 1, 2),
-s AS (SELECT pair_id, min(CASE WHEN a IS DISTINCT FROM b THEN turn END) AS split FROM d GROUP BY 1 HAVING count(a) > 0 AND count(b) > 0),
-n AS (SELECT s.pair_id, s.split, count(CASE WHEN s.split IS NULL OR d.turn < s.split THEN 1 END) AS n_prompt FROM s JOIN d USING (pair_id) GROUP BY 1, 2)
-SELECT c.pair_id, CASE WHEN n.split IS NULL OR turn < n.split THEN 'prompt' WHEN side = 0 THEN 'chosen' ELSE 'rejected' END AS part, turn, role,
-  '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS rendered,
-  CAST(CASE WHEN turn >= n.split AND role = 'assistant' THEN 1 ELSE 0 END AS BIGINT) AS mask, n.n_prompt
-FROM c JOIN n USING (pair_id) WHERE side = 0 OR turn >= n.split
+s AS (SELECT pair_id, min(CASE WHEN a IS DISTINCT FROM b THEN turn END) AS split FROM d GROUP BY 1),
+n AS (SELECT s.pair_id, s.split, count(CASE WHEN s.split IS NULL OR d.turn < s.split THEN 1 END) AS n_prompt FROM s JOIN d USING (pair_id) GROUP BY 1, 2),
+m AS (
+  SELECT c.pair_id, turn // {preference.STRETCH} AS part, turn, side, role, text, n_prompt, n.split IS NOT NULL AND turn >= n.split AS after,
+    '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) AS rendered,
+    CASE WHEN role = 'assistant' THEN '1' ELSE '0' END AS learn
+  FROM c JOIN n USING (pair_id))
+SELECT pair_id, part,
+  coalesce(string_agg(rendered, '' ORDER BY turn, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE side = 0 AND NOT after), '') AS prompt,
+  coalesce(string_agg(rendered, '' ORDER BY turn, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE side = 0 AND after), '') AS chosen,
+  coalesce(string_agg(learn, '' ORDER BY turn, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE side = 0 AND after), '') AS chosen_mask,
+  coalesce(string_agg(rendered, '' ORDER BY turn, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE side = 1 AND after), '') AS rejected,
+  coalesce(string_agg(learn, '' ORDER BY turn, role NULLS FIRST, text NULLS FIRST) FILTER (WHERE side = 1 AND after), '') AS rejected_mask,
+  CAST(n_prompt AS BIGINT) AS n_prompt
+FROM m GROUP BY pair_id, part, n_prompt
 """
 
 

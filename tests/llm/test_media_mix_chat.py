@@ -151,11 +151,19 @@ def _pairs():
 def test_preferences(spark):
     schema = "pair_id long, turn long, role string, text string, mask string, part int"
     a, b = (spark.createDataFrame([(*r, "extra", 0) for r in side], schema) for side in _pairs())
-    got = sorted((r.pair_id, r.part, r.turn, r.mask, r.n_prompt) for r in preference.format_preferences(a, b).collect())
-    assert got == sorted([(1, "prompt", 0, 0, 3), (1, "prompt", 1, 0, 3), (1, "prompt", 2, 0, 3), (1, "chosen", 3, 1, 3), (1, "rejected", 3, 1, 3), (1, "rejected", 4, 0, 3), (2, "chosen", 0, 0, 0), (2, "rejected", 0, 0, 0), (3, "prompt", 0, 0, 2), (3, "prompt", 1, 0, 2)])
-    whole = {r.pair_id: r for r in preference.assembled(preference.format_preferences(a, b)).collect()}
-    assert whole[1].prompt.startswith("<|user|>\nhi\n<|end|>\n<|assistant|>\nyes") and whole[1].chosen == "<|assistant|>\nA\n<|end|>\n" and whole[1].rejected_mask == [1, 0]
-    assert whole[3].chosen == "" and whole[3].prompt.startswith("<|unknown|>\n\n")
+    t = lambda role, text: f"<|{role}|>\n{text}\n<|end|>\n"
+    shared = t("user", "hi") + t("assistant", "yes") + t("user", "more")
+    want = [
+        (1, 0, shared, [t("assistant", "A")], [1], [t("assistant", "B"), t("user", "bye")], [1, 0], 3),
+        (2, 0, "", [t("user", "x")], [0], [t("user", "y")], [0], 0), (3, 0, t("unknown", "") + t("assistant", "same"), [], [], [], [], 2),
+    ]
+    assert sorted(map(tuple, preference.format_preferences(a, b).collect())) == want
+    # numbers that begin elsewhere, and rows of two turns
+    later = b.withColumn("turn", b.turn + 5)
+    assert sorted(map(tuple, preference.format_preferences(a, later).collect())) == want
+    parts = sorted(map(tuple, preference.format_preferences(a, b, stretch=2).collect()))
+    assert [p[:2] for p in parts] == [(1, 0), (1, 1), (1, 2), (2, 0), (3, 0)] and "".join(p[2] for p in parts if p[0] == 1) == shared
+    assert parts[1][3] == [t("assistant", "A")] and parts[1][5] + parts[2][5] == want[0][5]
     assert preference.format_preferences(a.limit(0), b).collect() == []
 
 
