@@ -26,7 +26,10 @@ from pyspark.sql import functions as F
 from .common import IS_SPACE, LOWER, U64, lists, slices, text_buffers
 
 BUCKETS = 1 << 14
-#: Most languages a model may have; more is an error, not a silent cut.
+#: Most languages a model may have. If ``lang`` has more values, those with the
+#: most training rows (the first in code-point order among equals) are learnt, and rows of the
+#: others count as rows without lang: a value that few rows have is no language
+#: that could be told apart.
 MOST_LANGUAGES = 256
 _SLICE = 1 << 20
 #: Log likelihood that a fit may miss, for short texts a thousandth of it an n-gram.
@@ -86,14 +89,20 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and their (languages, buckets) n-gram probabilities from
     (text, lang); rows without lang are left out."""
     d = docs.where("lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    common = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
+    if not common:
+        return [], np.zeros((0, BUCKETS))
+    if len(common) > MOST_LANGUAGES:
+        d = d.where(F.col("lang").isin([r["lang"] for r in common[:MOST_LANGUAGES]]))
     counts = d.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    rows = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).limit(MOST_LANGUAGES + 1).collect()
-    if len(rows) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    # one row a language, MOST_LANGUAGES at most
+    rows = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).collect()
+    empty = {r["lang"] for r in common[:MOST_LANGUAGES]} - {r["lang"] for r in rows}
+    rows += [{"lang": x, "c": []} for x in empty]
     rows.sort(key=lambda r: r["lang"])
     p = np.full((len(rows), BUCKETS), 0.5)
     for i, r in enumerate(rows):
-        at, n = np.array([tuple(x) for x in r["c"]], np.int64).T
+        at, n = np.array([tuple(x) for x in r["c"]], np.int64).reshape(-1, 2).T
         p[i, at] += n
     return [r["lang"] for r in rows], p / p.sum(1, keepdims=True)
 
@@ -271,7 +280,8 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     languages in code-point order.
 
     Trains on rows with a lang whose crc32(doc_id as text) mod ``folds`` is not
-    ``held``. Prediction sees the text alone.
+    ``held``. Prediction sees the text alone. At most MOST_LANGUAGES values of
+    lang are learnt.
 
     Defined cases: null texts and texts without a letter are ``und`` with score
     0, and so is everything if nothing could be learnt; a null doc_id hashes as

@@ -309,6 +309,7 @@ def scan_licences(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEM
     above = own.select("dir").where("dir IS NOT NULL").distinct().select("dir", parts.alias("parts"), level.alias("level"))
     above = above.select("dir", "level", F.array_join(F.slice("parts", 1, F.col("level")), "/").alias("holder"))
     nearest = above.join(holders, "holder").groupBy("dir").agg(F.max(F.struct("level", "holder", "given")).alias("top"))
+    nearest = table(nearest, "nearest")  # the join below may then split a directory of very many files
     out = own.join(nearest, "dir", "left")
     return out.select(
         "file_id", "path", "own", "score", "line",

@@ -37,21 +37,32 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(body, zlib.crc32(kind)))
 
 
+#: Rows of an image that the encoder works on at once.
+_BAND = 4096
+
+
 def encode_png(samples: np.ndarray, level: int = 6) -> bytes:
-    """A greyscale PNG of a (rows, width) uint8 array."""
+    """A greyscale PNG of a (rows, width) uint8 array, filtered band by band."""
     rows, width = samples.shape
-    left = samples.copy()
-    left[:, 1:] -= samples[:, :-1]
-    up = samples.copy()
-    up[1:] -= samples[:-1]
-    choices = np.stack([samples, left, up])
-    cost = np.abs(choices.view(np.int8).astype(np.int16)).sum(2)
-    kind = cost.argmin(0).astype(np.uint8)
-    lines = np.empty((rows, width + 1), np.uint8)
-    lines[:, 0] = kind
-    lines[:, 1:] = choices[kind, np.arange(rows)]
+    packer, packed = zlib.compressobj(level), []
+    for at in range(0, rows, _BAND):
+        band = samples[at : at + _BAND]
+        left = band.copy()
+        left[:, 1:] -= band[:, :-1]
+        up = band.copy()
+        up[1:] -= band[:-1]
+        if at:
+            up[0] -= samples[at - 1]
+        choices = np.stack([band, left, up])
+        cost = np.abs(choices.view(np.int8).astype(np.int16)).sum(2)
+        kind = cost.argmin(0).astype(np.uint8)
+        lines = np.empty((len(band), width + 1), np.uint8)
+        lines[:, 0] = kind
+        lines[:, 1:] = choices[kind, np.arange(len(band))]
+        packed.append(packer.compress(lines.tobytes()))
+    packed.append(packer.flush())
     header = struct.pack(">IIBBBBB", width, rows, 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", b"".join(packed)) + _chunk(b"IEND", b"")
 
 
 def _chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -81,23 +92,33 @@ def unfilter(lines: np.ndarray) -> np.ndarray:
         if kind[a] == 2:
             out[a:b] = np.cumsum(np.concatenate([above[None], out[a:b]]), axis=0, dtype=np.uint8)[1:]
         elif kind[a] > 2:
-            for y in range(a, b):
-                up = (out[y - 1] if y else np.zeros(out.shape[1], np.uint8)).astype(int)
-                row, west, north_west = out[y].astype(int), 0, 0
-                for x in range(len(row)):
-                    north = up[x]
-                    if kind[a] == 3:
-                        guess = (west + north) // 2
-                    else:
-                        e = west + north - north_west
-                        d = (abs(e - west), abs(e - north), abs(e - north_west))
-                        guess = west if d[0] <= d[1] and d[0] <= d[2] else north if d[1] <= d[2] else north_west
-                    west, north_west = (row[x] + guess) & 255, north
-                    row[x] = west
-                out[y] = row
+            out[a:b] = _predicted(out[a:b], above, kind[a] == 4)
     return out
 
 
+def _predicted(rows: np.ndarray, above: np.ndarray, paeth: bool) -> np.ndarray:
+    """Undo the average or the Paeth filter of consecutive rows. A sample needs
+    its left, upper and upper left neighbours, so samples whose row and column
+    add up to the same number are independent, and each such diagonal is one
+    step over all rows."""
+    n, width = rows.shape
+    out = np.zeros((n + 1, width + 1), np.int16)  # a row above and a column of zeros
+    out[0, 1:] = above
+    for d in range(n + width - 1):
+        y = np.arange(max(0, d - width + 1), min(n, d + 1))
+        x = d - y
+        west, north = out[y + 1, x], out[y, x + 1]
+        if paeth:
+            north_west = out[y, x]
+            e = west + north - north_west
+            to_west, to_north, to_both = np.abs(e - west), np.abs(e - north), np.abs(e - north_west)
+            guess = np.where((to_west <= to_north) & (to_west <= to_both), west, np.where(to_north <= to_both, north, north_west))
+        else:
+            guess = (west + north) // 2
+        out[y + 1, x + 1] = (rows[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def decode_png(data: bytes) -> np.ndarray:
     """The (rows, width) samples of an 8-bit greyscale PNG; MediaError if any
     checksum fails or the image is of another kind."""

@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import importance, langmix, lattice, licences, line_runs, media, mixing, ngram_join, preference, tiling
+from . import common, importance, langmix, lattice, licences, line_runs, media, mixing, ngram_join, preference, tiling
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of documents.text, as a DuckDB list.
@@ -25,7 +25,9 @@ def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.to_media(_read(spark, sf_dir, "documents")))
+    """The images are a binary column of a written table, which is read back."""
+    stored = common.table(media.to_media(_read(spark, sf_dir, "documents")), "media")
+    return media.media_features(stored)
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

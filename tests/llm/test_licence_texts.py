@@ -66,3 +66,38 @@ def test_cosines_with_the_counts_of_all_words(spark):
             best = (0, 1, None)
         assert got[i].own == best[2] and got[i].line == -best[1] and abs(got[i].score - best[0]) < 1e-9, (text, best, got[i])
     assert got[0].own == "Apache-2.0"
+
+
+def test_inheritance_against_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    notes = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0."}
+    folders = ["", "a", "a/b", "a/b/c", "a/b/c/d", "e", "e/f"]
+    files = []
+    for i in range(120):
+        name, text = f"f{i}.py", "plain code"
+        if rng.random() < 0.08:
+            name, text = f"LICENSE-{i}", notes[rng.choice(sorted(notes))]
+        elif rng.random() < 0.1:
+            text = notes["MIT"]
+        folder = rng.choice(folders)
+        files.append((i, f"{folder}/{name}" if folder else name, text))
+    files += [(200 + i, f"flat/x{i}.py", "plain code") for i in range(300)] + [(600, "flat/LICENSE", notes["MIT"])]
+    own = {i: next((n for n, t in notes.items() if t == text), None) for i, _, text in files}
+    folder = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
+    given = {}
+    for i, path, _ in files:
+        if own[i] and path.rsplit("/", 1)[-1].startswith("LICENSE"):
+            given.setdefault(folder(path), []).append(own[i])
+    got = {r.file_id: r for r in licences.scan_licences(spark.createDataFrame(files, "file_id long, path string, text string")).collect()}
+    score = {r.own: r.score for r in got.values() if r.own}
+    for i, path, _ in files:
+        up, want = folder(path), (own[i], "own", None) if own[i] else None
+        while want is None:
+            if up in given:
+                want = min(given[up], key=lambda n: (-score[n], n)), "inherited", up
+            elif not up:
+                want = None, "none", None
+            up = folder(up)
+        assert (got[i].licence, got[i].origin, got[i].holder) == want
