@@ -59,13 +59,17 @@ def rotated_box(box: Column, width: Column, height: Column, degrees: Column) ->
     )
 
 
-def changes(left: dict, right: dict, path: str = "") -> dict[str, list]:
-    """Differing leaves of two nested dicts by dotted path, as [left, right]."""
-    out = {}
-    for k in sorted({*left, *right}, key=str):
-        a, b, p = left.get(k), right.get(k), f"{path}.{k}" if path else str(k)
-        if isinstance(a, dict) and isinstance(b, dict):
-            out |= changes(a, b, p)
-        elif a != b or (k in left) != (k in right):
-            out[p] = [a, b]
-    return out
+_ABSENT = object()
+
+
+def changes(left: dict, right: dict) -> dict[str, list]:
+    """What differs in two nested dicts, by dotted path, as [left, right], None
+    where one side lacks it. Values of different types differ (1, 1.0, True)."""
+    found, todo = {}, [((), left, right)]
+    while todo:
+        path, *pair = todo.pop()
+        if all(isinstance(x, dict) for x in pair):
+            todo += [((*path, str(k)), *(x.get(k, _ABSENT) for x in pair)) for k in {*pair[0], *pair[1]}]
+        elif type(pair[0]) is not type(pair[1]) or pair[0] != pair[1]:
+            found[".".join(path)] = [None if x is _ABSENT else x for x in pair]
+    return dict(sorted(found.items()))

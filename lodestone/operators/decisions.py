@@ -12,6 +12,8 @@ CONFIRMATION_FRACTION = 0.20
 NO_GO_GAIN = 0.01
 NO_GO_SHARE = 0.90
 COVERAGE = 0.95
+#: The thresholds of the budget study.
+FULL_GAIN, FRACTION, B_STAR, NO_GO_B_STAR, CONTROL_GAP, RETENTION = 0.02, 0.20, 50, 70, 0.01, 0.98
 
 
 def all_of(conditions: list[Column]) -> Column:
@@ -47,6 +49,23 @@ def confirmation(grids=("w7", "w66")) -> Column:
     return first_match([(strong, "pass"), (weak, "fail")], "inconclusive")
 
 
+def budget_confirmation(discovery: str = "discovery", confirmation: str = "confirmation") -> Column:
+    """pass if both samples are strong, fail if the confirming one gains too
+    little or needs too much, from two struct columns with the fields of a budget
+    summary and retention_low. A missing value is inconclusive."""
+    def strong(s: str) -> Column:
+        x = lambda name: F.col(s)[name]
+        return all_of([
+            x("full_minus_stage1") >= FULL_GAIN, x("beneficial_fraction") >= FRACTION, x("non_beneficial_fraction") >= FRACTION,
+            x("b_star") <= B_STAR, x("control_gap") >= CONTROL_GAP, x("retention_low") >= RETENTION,
+        ])
+
+    names = ("full_minus_stage1", "beneficial_fraction", "non_beneficial_fraction", "b_star", "control_gap", "retention_low")
+    missing = ~all_of([F.col(s)[n].isNotNull() for s in (discovery, confirmation) for n in names])
+    weak = (F.col(confirmation)["full_minus_stage1"] < NO_GO_GAIN) | (F.col(confirmation)["b_star"] > NO_GO_B_STAR)
+    return first_match([(missing, "inconclusive"), (strong(discovery) & strong(confirmation), "pass"), (weak, "fail")], "inconclusive")
+
+
 def final(fusion: str = "fusion_gate", budget: str = "budget_gate") -> Column:
     f, b = F.col(fusion), F.col(budget)
     return first_match([(b == "pass", "budget_aware"), (f == "pass", "page_fusion"), ((b == "fail") & (f == "fail"), "reject_both")], "inconclusive")

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import discount, dot3, length_feature, softmax3, softplus
 from .contracts import CHANNELS, label_free
 from .normalize import minmax_of
-from .ranking import median_margin, normalized_rank, rank_of, reciprocal_rank, spread
+from .decisions import loss_alignment as aligned
+from .ranking import average_rank, median_margin, normalized_rank, rank_of, reciprocal_rank, spread
 
 SHORT = [c.removesuffix("_score") for c in CHANNELS]
 FEATURES = [*[f"{c}_minmax" for c in SHORT], *[f"{c}_rr" for c in SHORT], *[f"{c}_gap" for c in SHORT], *[f"{a}_{b}_apart" for a, b in combinations(SHORT, 2)], "query_length"]
@@ -126,6 +127,31 @@ def listwise_loss(units: DataFrame) -> DataFrame:
     return per.agg(F.avg(F.col("lse") - F.col("s") / F.col("n")).alias("loss"), F.count(F.lit(1)).alias("queries"))
 
 
+def loss_alignment(scored: DataFrame, means: DataFrame, k: int = 10) -> DataFrame:
+    """(kind, rho, least_profile, gap, gate), one row for the plain and one for the
+    weighted pairwise loss, from (query_id, profile, page_id, score, relevance)
+    and the profiles' mean ndcg10.
+
+    rho is the rank correlation of loss and nDCG over the profiles, gap what the
+    first profile of the least loss lacks to the best nDCG. Losses and means are
+    compared to nine digits. Pairs stay inside a query's pool.
+    """
+    d = scored.withColumn("rank", rank_of("score", ("query_id", "profile")))
+    d = d.select("query_id", "profile", "score", "relevance", F.when(F.col("rank") <= k, discount("rank")).otherwise(0.0).alias("cut"))
+    pos = d.where("relevance > 0").select("query_id", "profile", F.col("score").alias("p"), F.col("cut").alias("pc"))
+    neg = d.where("relevance <= 0").select("query_id", "profile", F.col("score").alias("n"), F.col("cut").alias("nc"))
+    pairs = pos.join(neg, ["query_id", "profile"]).select("query_id", "profile", softplus(F.col("n") - F.col("p")).alias("loss"), F.abs(F.col("pc") - F.col("nc")).alias("w"))
+    weighted = F.coalesce(F.try_divide(F.sum(F.col("loss") * F.col("w")), F.sum("w")), F.lit(0.0))
+    per = pairs.groupBy("query_id", "profile").agg(F.avg("loss").alias("plain"), weighted.alias("weighted"))
+    loss = per.groupBy("profile").agg(F.round(F.avg("plain"), 9).alias("plain"), F.round(F.avg("weighted"), 9).alias("weighted"))
+    j = loss.join(means.select("profile", F.round("ndcg10", 9).alias("ndcg10")), "profile")
+    j = j.select("profile", "ndcg10", F.expr("stack(2, 'plain', plain, 'weighted', weighted) AS (kind, loss)"))
+    j = j.withColumn("x", average_rank("loss", ["kind"])).withColumn("y", average_rank("ndcg10", ["kind"]))
+    least = F.min(F.struct("loss", "profile", "ndcg10"))
+    out = j.groupBy("kind").agg(F.corr("x", "y").alias("rho"), least["profile"].alias("least_profile"), (F.max("ndcg10") - least["ndcg10"]).alias("gap"))
+    return out.withColumn("gate", aligned())
+
+
 def train(feats: DataFrame, epochs: int = 5, rate: float = 0.5, temperature: float = 1.0, names=FEATURES) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Weights (3 x features), bias and losses of a page gate on the pairwise
     logistic loss, by full-batch gradient descent.

@@ -47,7 +47,7 @@ def stratified(df: DataFrame, strata: list[str], key: str, n: int, seed: str) ->
     condition = on[0]
     for x in on[1:]:
         condition = condition & x
-    return ranked.join(F.broadcast(shares), condition).where("__r <= share").select(*[ranked[c] for c in df.columns])
+    return ranked.join(shares, condition).where("__r <= share").select(*[ranked[c] for c in df.columns])
 
 
 def positions(df: DataFrame, strata: list[str], key: str, seed: str, dev: int, holdout: int) -> DataFrame:

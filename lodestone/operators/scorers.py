@@ -48,9 +48,10 @@ def unit(v) -> Column:
 
 def dense(pages: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, page_id, score) of all pairs of (query_id, vector) and (page_id,
-    vector). The query list is the broadcast side."""
+    vector), a query set against all rows. Catalyst broadcasts the smaller side if
+    its size allows, and pairs blocks of both otherwise."""
     q = queries.select("query_id", F.col("vector").alias("q"))
-    return pages.select("page_id", F.col("vector").alias("p")).crossJoin(F.broadcast(q)).select("query_id", "page_id", dot("q", "p").alias("score"))
+    return pages.select("page_id", F.col("vector").alias("p")).crossJoin(q).select("query_id", "page_id", dot("q", "p").alias("score"))
 
 
 def dense_blocks(pages: DataFrame, queries: DataFrame, block: int = 1024) -> DataFrame:
@@ -88,7 +89,7 @@ def max_sim(pages: DataFrame, queries: DataFrame) -> DataFrame:
     query vector its best page vector, summed."""
     best = F.transform("q", lambda a: F.array_max(F.transform("p", lambda b: dot(a, b))))
     q = queries.select("query_id", F.col("vectors").alias("q"))
-    pairs = pages.select("page_id", F.col("vectors").alias("p")).crossJoin(F.broadcast(q))
+    pairs = pages.select("page_id", F.col("vectors").alias("p")).crossJoin(q)
     return pairs.select("query_id", "page_id", F.aggregate(best, F.lit(0.0), lambda s, x: s + x).alias("score"))
 
 

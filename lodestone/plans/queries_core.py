@@ -314,8 +314,13 @@ def x2(spark, d):
     return pool.expand_top_document(ad.scores(spark, d), ad.DEPTH)
 
 
-@query("x16_missed_relevant", f"""WITH {ad.POOL}, u AS ({' UNION ALL '.join(f"SELECT query_id, page_id, '{c}' AS channel, {c}_score AS raw_score, {c}_rank AS rank, max(CASE WHEN {c}_rank = {ad.DEPTH} THEN {c}_score END) OVER (PARTITION BY query_id) AS cutoff, relevance FROM ranked" for c in ('bm25', 'dense', 'visual'))})
-  SELECT query_id, page_id, channel, raw_score, CAST(rank AS INTEGER) AS rank, cutoff FROM u ANTI JOIN pool USING (query_id, page_id) WHERE relevance > 0""")
+_SHORT = ("bm25", "dense", "visual")
+
+
+@query("x16_missed_relevant", f"""WITH {ad.RAW}, r AS MATERIALIZED (SELECT query_id, page_id, relevance, {', '.join(f"{c}_score, row_number() OVER (PARTITION BY query_id ORDER BY {c}_score DESC, page_id) AS {c}_rank" for c in _SHORT)} FROM raw),
+  k AS (SELECT query_id, {', '.join(f"max(CASE WHEN {c}_rank = {ad.DEPTH} THEN {c}_score END) AS {c}_cutoff" for c in _SHORT)} FROM r GROUP BY 1),
+  p AS (SELECT * FROM r JOIN k USING (query_id) WHERE relevance > 0 AND least({', '.join(f"{c}_rank" for c in _SHORT)}) > {ad.DEPTH})
+  {' UNION ALL '.join(f"SELECT query_id, page_id, '{c}' AS channel, CAST({c}_score AS DOUBLE) AS raw_score, CAST({c}_rank AS INTEGER) AS rank, CAST({c}_cutoff AS DOUBLE) AS cutoff FROM p" for c in _SHORT)}""")
 def x16(spark, d):
     """Where positives outside the pool stand in each channel."""
     from ..operators.audit import missed_relevant

@@ -293,3 +293,38 @@ def test_weights_are_bound_to_settings():
     assert w.tolist() == [[1.0, 2.0]] and b.tolist() == [0.5]
     with pytest.raises(ValueError):
         gate.load(held, {"k": 2})
+
+
+def test_standard_library_draws(spark):
+    import random
+
+    from lodestone.operators import stats
+
+    rng = random.Random(stats.SEED)
+    assert stats._below(stats.SEED, 7, 3000).tolist() == [rng.randrange(7) for _ in range(3000)]
+    deltas = [0.1, -0.2, 0.0, 0.4, 0.05]
+    got = stats.paired_bootstrap(spark.createDataFrame([(str(i), x) for i, x in enumerate(deltas)], "query_id string, delta double"), resamples=200).first()
+    rng = random.Random(stats.SEED)
+    means = sorted(sum(deltas[rng.randrange(5)] for _ in range(5)) / 5 for _ in range(200))
+    at = lambda p: means[int(p)] + (means[int(p) + 1] - means[int(p)]) * (p % 1)
+    assert abs(got.low - at(199 * 0.025)) < 1e-12 and abs(got.high - at(199 * 0.975)) < 1e-12
+    assert (got.wins, got.ties, got.losses) == (3, 1, 1)
+
+
+def test_budget_confirmation(spark):
+    from pyspark.sql import functions as F
+
+    from lodestone.operators import decisions
+
+    good = (0.03, 0.4, 0.6, 30, 0.02, 0.99)
+    cases = [(good, good, "pass"), (good, (0.005, *good[1:]), "fail"), (good, (*good[:3], 80, *good[4:]), "fail"), ((*good[:5], 0.9), good, "inconclusive"), (good, (*good[:5], None), "inconclusive")]
+    s = "struct<full_minus_stage1:double,beneficial_fraction:double,non_beneficial_fraction:double,b_star:int,control_gap:double,retention_low:double>"
+    df = spark.createDataFrame(cases, f"discovery {s}, confirmation {s}, want string")
+    assert df.where(decisions.budget_confirmation() != F.col("want")).count() == 0
+
+
+def test_changes_of_type():
+    from lodestone.functions import text
+
+    assert text.changes({"a": 1, "b": {"c": True, "d": 2}}, {"a": 1.0, "b": {"c": 1, "d": 2}}) == {"a": [1, 1.0], "b.c": [True, 1]}
+    assert text.changes({"a": {"b": 1}}, {"a": 5}) == {"a": [{"b": 1}, 5]}
