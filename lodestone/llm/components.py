@@ -5,7 +5,8 @@ Every round gives each node the minimum of its neighbours. Links are grouped by
 many links are spread over that many groups; the minimum of a node is taken over
 its slots, sent back to the slots and from there to the links. Nothing is
 collected. Links are written to the shared folder between rounds, and the number
-of rounds grows with the logarithm of the number of nodes.
+of rounds grows with the logarithm of the number of nodes. Rounds end as soon as
+all links form stars, which a round would leave as they are.
 """
 
 from __future__ import annotations
@@ -39,6 +40,14 @@ def _small_star(links: DataFrame) -> DataFrame:
     return low.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
 
 
+def _all_stars(links: DataFrame) -> bool:
+    """Whether, of distinct links with b < a, no node is an a twice, or both an
+    a and a b."""
+    ends = links.select(F.explode(F.expr("array(struct(a AS node, 1 AS leaf), struct(b AS node, 0 AS leaf))")).alias("e")).select("e.*")
+    nodes = ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.min("leaf").alias("all_leaf"))
+    return not nodes.where("leaf > 1 OR (leaf = 1 AND all_leaf = 0)").agg(F.count(F.lit(1))).first()[0]
+
+
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """(a, b): each linked node with the smallest node of its component, that
     node itself left out. Nodes without links do not appear. Repeated links and
@@ -46,12 +55,8 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     The result is a written table of its own."""
     now = links.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
     now = table(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))"), F.expr("sum(b % 1000003)")).first()
-        if mark == seen:
-            return now
-        seen = mark
+    while not _all_stars(now):
         after = table(_small_star(_large_star(now)).where("a <> b").distinct(), "links")
         drop(now)
         now = after
+    return now
