@@ -9,7 +9,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, importance, langmix, lattice, licences, line_runs, media, mixing, ngram_join, preference, tiling
+from . import block_norms, common, importance, langmix, lattice, licences, line_runs, media, mixing, ngram_join, periodic_runs, preference, tiling, url_templates
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of documents.text, as a DuckDB list.
@@ -156,14 +156,94 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.lattice_scores(_read(spark, sf_dir, "documents"))
 
 
+def op11_block_norm_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = block_norms.cluster_vectors(_read(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+
+
+def _op11_sql() -> str:
+    k, dim = block_norms.CLUSTERS, block_norms.DIMENSION
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({block_norms.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+x AS MATERIALIZED (SELECT r, unnest(range({dim})) AS d, unnest(q) AS q FROM v),
+s AS (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)) NULLS LAST, q) - 1 AS c, q FROM v QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT c, unnest(range({dim})) AS d, unnest(q) AS v FROM s)"""]
+    for i in range(block_norms.ROUNDS + 1):
+        steps.append(f"""
+d{i} AS (SELECT r, c, sum((q - v) * (q - v)) AS dist FROM x JOIN c{i} USING (d) GROUP BY r, c),
+a{i} AS MATERIALIZED (SELECT r, c, dist FROM d{i} QUALIFY row_number() OVER (PARTITION BY r ORDER BY dist, c) = 1)""")
+        if i < block_norms.ROUNDS:
+            steps.append(f"""
+m{i} AS (SELECT c, d, sum(q) AS t, CAST(count(*) AS HUGEINT) AS n FROM a{i} JOIN x USING (r) GROUP BY c, d),
+c{i + 1} AS MATERIALIZED (SELECT c, d, CAST(CASE WHEN n IS NULL THEN v ELSE (t - ((t % n) + n) % n) // n END AS BIGINT) AS v FROM c{i} LEFT JOIN m{i} USING (c, d))""")
+    last = block_norms.ROUNDS
+    return "WITH" + ",".join(steps) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(dist AS BIGINT) AS distance, CAST(sum(dist) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(dist) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{last} JOIN v USING (r) JOIN (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY d)) AS h FROM c{last} GROUP BY c) USING (c)
+"""
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_read(spark, sf_dir, "documents"), repeat=True)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+#: The rules of the query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op13_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_templates.judge_urls(_read(spark, sf_dir, "pages"), URL_RULES).drop("purity")
+
+
+def _op13_sql() -> str:
+    t, depth = url_templates, url_templates.DEPTH
+    longest = sorted(URL_RULES, key=lambda r: -len(r[1]))
+    host = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}')" for h, p in (r[1].split("/", 1) for r in longest)]
+    rule = "CASE " + " ".join(f"WHEN {c} THEN '{r[1]}'" for c, r in zip(host, longest)) + " END"
+    ruled = "CASE " + " ".join(f"WHEN {c} THEN '{r[0]}'" for c, r in zip(host, longest)) + " END"
+    one = f"CASE WHEN length(s) > {t.LONGEST} OR length(regexp_replace(s, '[0-9]+', '#', 'g')) - length(replace(regexp_replace(s, '[0-9]+', '#', 'g'), '#', '')) > {t.MOST_RUNS} THEN '*' ELSE regexp_replace(s, '[0-9]+', '#', 'g') END"
+    steps = [rf"""
+u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+p AS MATERIALIZED (
+  SELECT page_id, host, path, {rule} AS rule, {ruled} AS ruled,
+    list_transform(string_split(path, '/')[2:{depth + 1}], lambda s: {one}) || CASE WHEN len(string_split(path, '/')) > {depth + 1} THEN ['**'] ELSE [] END AS segs
+  FROM h),
+g AS (SELECT host, segs, count(*) AS n, CAST(count(CASE WHEN ruled = 'allow' THEN 1 END) AS DOUBLE) AS a, CAST(count(CASE WHEN ruled = 'block' THEN 1 END) AS DOUBLE) AS b FROM p GROUP BY 1, 2),
+prior AS (SELECT CASE WHEN sum(a) + sum(b) > 0 THEN sum(b) / (sum(a) + sum(b)) ELSE 0.0 END AS prior FROM g),
+s0 AS MATERIALIZED (
+  SELECT g.*, '' AS node, (sum(b) OVER w + {t.SMOOTH}::DOUBLE * prior) / (sum(a) OVER w + sum(b) OVER w + {t.SMOOTH}::DOUBLE) AS purity FROM g, prior WINDOW w AS (PARTITION BY host))"""]
+    for i in range(depth + 1):
+        steps.append(f"""
+k{i} AS (SELECT host, node, segs[{i + 1}] AS seg, sum(n) AS n, sum(a) AS a, sum(b) AS b, max(purity) AS purity FROM s{i} WHERE len(segs) > {i} GROUP BY 1, 2, 3),
+w{i} AS (SELECT *, CASE WHEN count(*) OVER w > {t.VARIANTS} AND n * {t.VARIANTS} < sum(n) OVER w THEN '*' ELSE seg END AS kind, sum(a) OVER w AS of_a, sum(b) OVER w AS of_b FROM k{i} WINDOW w AS (PARTITION BY host, node)),
+f{i} AS (SELECT host, node, kind, sum(a) + sum(b) AS m, sum(b) AS b, max(of_a) AS of_a, max(of_b) AS of_b, max(purity) AS purity FROM w{i} GROUP BY 1, 2, 3),
+t{i} AS (SELECT *, of_a + of_b - m AS rest, b * (of_a + of_b - m) - (of_b - b) * m AS gap FROM f{i}),
+b{i} AS (
+  SELECT *, CASE WHEN NOT (m > 0 AND rest > 0 AND of_a > 0 AND of_b > 0 AND gap * gap * (of_a + of_b) >= {t.SQUARED_Z}::DOUBLE * (of_b * of_a * m * rest)) THEN '=' WHEN gap > 0 THEN '+' ELSE '-' END AS branch FROM t{i}),
+l{i} AS (SELECT *, (sum(b) OVER w + {t.SMOOTH}::DOUBLE * purity) / (sum(m) OVER w + {t.SMOOTH}::DOUBLE) AS lower FROM b{i} WINDOW w AS (PARTITION BY host, node, branch)),
+s{i + 1} AS MATERIALIZED (
+  SELECT s.host, s.segs, s.n, s.a, s.b, s.node || coalesce('/' || l.branch, '') AS node, coalesce(l.lower, s.purity) AS purity
+  FROM s{i} s LEFT JOIN w{i} w ON w.host = s.host AND w.node = s.node AND w.seg = s.segs[{i + 1}] LEFT JOIN l{i} l ON l.host = w.host AND l.node = w.node AND l.kind = w.kind)""")
+    return "WITH" + ",".join(steps) + f"""
+SELECT page_id, p.host, path, rule, coalesce(ruled, CASE WHEN purity >= {t.REJECT}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN s{depth + 1} s ON s.host = p.host AND s.segs = p.segs
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_importance_resampling, op2_media_columns, op3_mix_sources, op4_benchmark_tiling, op5_ngram_jaccard_join,
         op6_preference_format, op7_line_dedup, op8_language_id, op9_licence_scan, op10_lattice_scores,
+        op11_block_norm_clusters, op12_periodic_runs, op13_url_templates,
     ]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return sql | {"op3_mix_sources": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_preference_format": OP6_SQL, "op7_line_dedup": OP7_SQL}
+    return sql | {"op3_mix_sources": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op6_preference_format": OP6_SQL, "op7_line_dedup": OP7_SQL, "op11_block_norm_clusters": _op11_sql(), "op13_url_templates": _op13_sql()}
