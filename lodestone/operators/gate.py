@@ -1,8 +1,7 @@
 """The learned gate: features, scoring, losses and training.
 
 Features and scores are column expressions over windows that share one
-partitioning. Training is gradient descent whose gradients are sums over rows,
-so each epoch is one grouped aggregate; only the weights live on the driver.
+partitioning. Training is in ``training``.
 """
 
 from __future__ import annotations
@@ -152,44 +151,6 @@ def loss_alignment(scored: DataFrame, means: DataFrame, k: int = 10) -> DataFram
     return out.withColumn("gate", aligned())
 
 
-def train(feats: DataFrame, epochs: int = 5, rate: float = 0.5, temperature: float = 1.0, names=FEATURES) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Weights (3 x features), bias and losses of a page gate on the pairwise
-    logistic loss, by full-batch gradient descent.
-
-    With g = softmax(Wf + b), a score is s = sum g_c x_c and ds/dlogit_c is
-    g_c (x_c - s); the gradient of each epoch is one aggregate of the pairs.
-    ``feats`` holds the features and relevance.
-    """
-    w, b, losses = np.zeros((3, len(names))), np.zeros(3), []
-    xs = [f"{c}_minmax" for c in SHORT]
-    feats = feats.persist()
-    try:
-        for _ in range(epochs):
-            gate = softmax3(*linear_logits(w, b, names), temperature=temperature)
-            d = feats.withColumns(dict(zip(("g0", "g1", "g2"), gate)))
-            d = d.withColumn("s", dot3(*xs, [F.col("g0"), F.col("g1"), F.col("g2")]))
-            slope = F.array(*[F.col(f"g{i}") * (F.col(xs[i]) - F.col("s")) / temperature for i in range(3)])
-            d = d.select("query_id", "s", "relevance", slope.alias("slope"), F.array(*names, F.lit(1.0)).alias("f"))
-            pos, neg = d.where("relevance > 0"), d.where("relevance <= 0")
-            pairs = pos.alias("p").join(neg.alias("n"), "query_id")
-            pull = 1.0 / (1.0 + F.exp(F.col("p.s") - F.col("n.s")))
-            aggs = [F.avg(softplus(F.col("n.s") - F.col("p.s"))).alias("loss")]
-            for i in range(3):
-                for j in range(len(names) + 1):
-                    aggs.append(F.avg(pull * (F.col("n.slope")[i] * F.col("n.f")[j] - F.col("p.slope")[i] * F.col("p.f")[j])).alias(f"d{i}_{j}"))
-            means = pairs.groupBy("query_id").agg(*aggs)
-            row = means.agg(*[F.avg(c).alias(c) for c in means.columns if c != "query_id"]).first()
-            if row["loss"] is None:
-                break
-            losses.append(row["loss"])
-            step = np.array([[row[f"d{i}_{j}"] for j in range(len(names) + 1)] for i in range(3)])
-            step *= min(1.0, 5.0 / max(np.linalg.norm(step), 1e-12))
-            w, b = w - rate * step[:, :-1], b - rate * step[:, -1]
-    finally:
-        feats.unpersist()
-    return w, b, losses
-
-
 def save(weights, bias, settings: dict) -> str:
     """Weights as JSON, bound to a hash of the settings they were trained with."""
     return json.dumps({"weights": np.asarray(weights).tolist(), "bias": np.asarray(bias).tolist(), "settings": _bound(settings)})

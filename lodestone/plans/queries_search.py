@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import budget, decisions, gate, metrics, normalize, oracle, page_oracle, stats
+from ..operators import budget, decisions, gate, metrics, normalize, oracle, page_oracle, stats, training
 from ..operators.contracts import CHANNELS
 
 from . import adapters as ad
@@ -366,7 +366,7 @@ def q2(spark, d):
 def q7(spark, d):
     """Losses of a few epochs of training; must fall (tests)."""
     feats = gate.features(ad.candidates(spark, d))
-    _, _, losses = gate.train(ad.with_labels(feats, ad.qrels(spark, d)), epochs=3)
+    _, losses = training.descend(ad.with_labels(feats, ad.qrels(spark, d)), epochs=3)
     return spark.createDataFrame(list(enumerate(losses)), "epoch int, loss double")
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars
-from lodestone.operators import budget, contracts, decisions, fusion, gate, metrics, normalize, oracle, page_oracle, pool, ranking, scorers, stats
+from lodestone.operators import budget, contracts, decisions, fusion, gate, metrics, normalize, oracle, page_oracle, pool, ranking, scorers, stats, training
 
 ROW = "query_id string, page_id string, bm25_score double, dense_score double, visual_score double"
 
@@ -230,14 +230,15 @@ def test_training_gradient_by_differences(spark):
     df = spark.createDataFrame(rows, ROW + ", relevance double")
     feats = gate.features(df.drop("relevance")).join(df.select("query_id", "page_id", "relevance"), ["query_id", "page_id"]).cache()
     loss = lambda w, b: gate.pairwise_loss(gate.predict(feats, w, b).join(feats.select("query_id", "page_id", "relevance"), ["query_id", "page_id"])).first().loss
-    w, b, losses = gate.train(feats, epochs=1, rate=1e-3)
+    p, losses = training.descend(feats, epochs=1, rate=1e-3)
+    w, b = training.unpack(p, training.Settings())
     assert abs(losses[0] - loss([[0.0] * 13] * 3, [0.0] * 3)) < 1e-9
     for i, j in ((0, 0), (2, 5)):
         up = [[0.0] * 13 for _ in range(3)]
         up[i][j] = 1e-4
         slope = (loss(up, [0.0] * 3) - losses[0]) / 1e-4
         assert abs(-w[i, j] / 1e-3 - slope) < 1e-3
-    *_, more = gate.train(feats, epochs=6, rate=2.0)
+    _, more = training.descend(feats, epochs=6, rate=2.0)
     assert more[-1] < more[0]
 
 
