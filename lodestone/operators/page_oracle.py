@@ -3,6 +3,8 @@ runs per query in a grouped function over that query's pool."""
 
 from __future__ import annotations
 
+from bisect import bisect, bisect_left, insort
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,45 +17,46 @@ _SCHEMA = "query_id string, query_profile int, query_ndcg10 double, page_ndcg10
 
 
 class _Ranking:
-    """Pages in a fixed id order with current scores; nDCG@10 after moving one
-    page, for many candidate scores at once."""
+    """Pages in a fixed id order with current scores, kept sorted; nDCG@10 after
+    moving one page. Only the ten first of the other pages matter for that, and
+    they are among the eleven first of all: a move costs those ten places and,
+    once it is made, a search and an insertion in the order."""
 
     def __init__(self, relevance: np.ndarray, scores: np.ndarray):
-        self.gain = np.exp2(relevance) - 1
-        self.n = len(relevance)
-        self.discount = np.zeros(self.n + 1)
-        k = min(self.n, TOP)
-        self.discount[:k] = 1 / np.log2(np.arange(2, k + 2))
-        self.ideal = float((np.sort(self.gain)[::-1] * self.discount[: self.n]).sum())
-        self.scores = scores.copy()
-        self.sort()
-
-    def sort(self) -> None:
-        # pages come in ascending id order, so a stable sort breaks ties by id
-        self.order = np.argsort(-self.scores, kind="stable")
-        self.place = np.empty(self.n, int)
-        self.place[self.order] = np.arange(self.n)
+        self.gain = (np.exp2(relevance) - 1).tolist()
+        k = min(len(relevance), TOP)
+        self.discount = (1 / np.log2(np.arange(2, k + 2))).tolist()
+        self.ideal = sum(g * d for g, d in zip(sorted(self.gain, reverse=True), self.discount))
+        self.scores = scores.tolist()
+        # pages come in ascending id order, so their numbers break ties
+        self.order = sorted((-s, i) for i, s in enumerate(self.scores))
+
+    def _value(self, pages: list[int]) -> float:
+        return min(1.0, max(0.0, sum(self.gain[p] * d for p, d in zip(pages, self.discount)) / self.ideal)) if self.ideal > 0 else 0.0
 
     def ndcg(self) -> float:
-        return float((self.gain[self.order] * self.discount[: self.n]).sum()) / self.ideal if self.ideal > 0 else 0.0
-
-    def moved(self, page: int, values: np.ndarray) -> np.ndarray:
-        """nDCG if ``page`` had each of ``values``: the page's new place among
-        the others, whose places behind it shift by one."""
-        rest = np.delete(self.order, self.place[page])
-        s = self.scores[rest]
-        low = np.searchsorted(-s, -values, "left")
-        high = np.searchsorted(-s, -values, "right")
-        place = np.array([a + int((rest[a:b] < page).sum()) for a, b in zip(low, high)])
-        g = self.gain[rest]
-        ahead = np.concatenate([[0.0], np.cumsum(g * self.discount[: self.n - 1])])
-        behind = np.concatenate([[0.0], np.cumsum(g * self.discount[1 : self.n])])
-        dcg = ahead[place] + self.gain[page] * self.discount[place] + behind[-1] - behind[place]
-        return np.clip(dcg / self.ideal, 0, 1)
+        return self._value([p for _, p in self.order[:TOP]])
+
+    def moved(self, page: int, score: float) -> float:
+        """nDCG if ``page`` had this score."""
+        first = [x for x in self.order[: TOP + 1] if x[1] != page][:TOP]
+        first.insert(bisect(first, (-score, page)), (-score, page))
+        return self._value([p for _, p in first[:TOP]])
+
+    def move(self, page: int, score: float) -> None:
+        self.order.pop(bisect_left(self.order, (-self.scores[page], page)))
+        self.scores[page] = score
+        insort(self.order, (-score, page))
+
+    def reaches(self, page: int, best: float) -> bool:
+        """Whether moving ``page`` to some score up to ``best`` can change the
+        first ten pages."""
+        last = self.order[min(len(self.order), TOP) - 1]
+        return (-self.scores[page], page) <= last or (-best, page) < last
 
 
 def _metrics(ranking: _Ranking, relevance: np.ndarray) -> tuple[float, float, float]:
-    hits = relevance[ranking.order] > 0
+    hits = relevance[[p for _, p in ranking.order]] > 0
     total = hits.sum()
     first = np.flatnonzero(hits[:TOP])
     return ranking.ndcg(), float(hits[:3].sum() / total) if total else 0.0, 1.0 / (first[0] + 1) if len(first) else 0.0
@@ -73,18 +76,19 @@ def search(channels: np.ndarray, relevance: np.ndarray, profiles: np.ndarray, sw
     if ranking.ideal <= 0:
         return best, top[0], top[0], chosen, 0
     now, updates = top[0], 0
+    rows, highest, start = fused.tolist(), fused.max(1).tolist(), np.argsort(-fused[:, best], kind="stable").tolist()
     for _ in range(sweeps):
         before = updates
-        for page in np.argsort(-fused[:, best], kind="stable"):
-            values = ranking.moved(page, fused[page])
+        for page in start:
+            if not ranking.reaches(page, highest[page]):
+                continue
             pick, value = chosen[page], now
-            for i, v in enumerate(values):
-                if i != chosen[page] and v > value + TOLERANCE:
+            for i, score in enumerate(rows[page]):
+                if i != chosen[page] and score != ranking.scores[page] and (v := ranking.moved(page, score)) > value + TOLERANCE:
                     pick, value = i, v
             if pick != chosen[page]:
                 chosen[page] = pick
-                ranking.scores[page] = fused[page, pick]
-                ranking.sort()
+                ranking.move(page, rows[page][pick])
                 now, updates = ranking.ndcg(), updates + 1
         if updates == before:
             break
