@@ -6,7 +6,7 @@ request (``duplicate_pairs``), and leakage needs only the splits of a group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import page_id, squeeze
@@ -112,10 +112,14 @@ def binding_report(left: DataFrame, right: DataFrame, key: str, value: str) -> D
     )
 
 
+def fingerprint_of(columns: list[str]) -> list[Column]:
+    h = F.xxhash64(*columns)
+    return [F.count(F.lit(1)).alias("row_count"), F.bit_xor(h).alias("xor"), F.sum(F.pmod(h, F.lit(1_000_003))).alias("total")]
+
+
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row that does not depend on row order: count, xor and sum of row hashes."""
-    h = F.xxhash64(*columns)
-    return df.agg(F.count(F.lit(1)).alias("row_count"), F.bit_xor(h).alias("xor"), F.sum(F.pmod(h, F.lit(1_000_003))).alias("total"))
+    return df.agg(*fingerprint_of(columns))
 
 
 def prediction_parity(left: DataFrame, right: DataFrame, score: str = "score", keys=("query_id",)) -> DataFrame:

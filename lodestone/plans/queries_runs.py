@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import gate, sampling, training
+from ..operators import gate, oracle, sampling, training
+from ..sources.ledger import shared_dir
 
 from . import adapters as ad
+from . import sharded
+from .queries_search import _ROWS
 from .registry import query
 
 SETTINGS = training.Settings()
@@ -26,3 +31,11 @@ def q7(spark, d):
     rows = split_features(spark, d)
     best = training.train(rows.where("role = 'train'"), rows.where("role = 'validation'"), SETTINGS).best
     return spark.createDataFrame([(best["epoch"], best["ndcg10"], i, v) for i, v in enumerate(best["parameters"])], "epoch int, ndcg10 double, parameter int, value double")
+
+
+@query("m10_x19_sharded_search", f"{_ROWS} SELECT query_id, global_profile, global_ndcg10, query_profile, query_ndcg10 FROM o", "global_ndcg10 query_ndcg10")
+def m10(spark, d):
+    """The search over shards of queries, each entered in a chained log."""
+    folder = f"{shared_dir(spark)}/lodestone/search-{uuid.uuid4().hex}"
+    run = sharded.ShardedSearch(ad.labelled(spark, d), oracle.W7, folder)
+    return run.run().select("query_id", "global_profile", "global_ndcg10", "query_profile", "query_ndcg10")

@@ -5,10 +5,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.audit import binding_report, fingerprint
+from ..operators.audit import binding_report, fingerprint_of
 from ..operators.contracts import same_rows
 
 
@@ -17,6 +17,15 @@ def write_once(df: DataFrame, path: str, kind: str = "parquet", **options) -> No
     df.write.mode("errorifexists").options(**options).format(kind).save(path)
 
 
+def write_observed(df: DataFrame, path: str, mode: str = "errorifexists", by: list[str] | None = None, **options) -> dict[str, str]:
+    """Write Parquet and give its order-free fingerprint (row_count, xor, total),
+    taken of the rows as they are written, without reading them again."""
+    seen = Observation()
+    out = df.observe(seen, *fingerprint_of(sorted(df.columns)))
+    out.write.mode(mode).options(**options).partitionBy(*(by or [])).parquet(path)
+    return {k: str(v) for k, v in seen.get.items()}
+
+
 def write_wide(long: DataFrame, path: str, methods: list[str], keys=("query_id", "page_id")) -> None:
     """Gzipped CSV with a column a method."""
     wide = pivot_methods(long, methods, keys)
@@ -28,15 +37,14 @@ def pivot_methods(long: DataFrame, methods: list[str], keys=("query_id", "page_i
 
 
 def publish(tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Write tables and a manifest of their row counts and fingerprints; returns
-    the manifest."""
+    """Write tables and a manifest of their row counts and fingerprints, which are
+    taken while the rows are written; returns the manifest."""
     rows = []
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
-        write_once(df, f"{folder}/{name}", compression="zstd")
-        back = spark.read.parquet(f"{folder}/{name}")
-        f = fingerprint(back, sorted(back.columns)).first()
-        rows.append((name, f["row_count"], str(f["xor"]), str(f["total"]), json.dumps(back.schema.jsonValue())))
+        f = write_observed(df, f"{folder}/{name}", compression="zstd")
+        schema = spark.read.parquet(f"{folder}/{name}").schema  # of the files' footers
+        rows.append((name, int(f["row_count"]), f["xor"], f["total"], json.dumps(schema.jsonValue())))
     manifest = spark.createDataFrame(rows, "table string, row_count long, xor string, total string, schema string")
     write_once(manifest, f"{folder}/_manifest", "json")
     return manifest
