@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..operators import gate, oracle, sampling, training
+from ..operators import fusion, gate, oracle, sampling, training
+from ..sources.clustered import apply_clustered, write_clustered
 from ..sources.ledger import shared_dir
 
 from . import adapters as ad
 from . import sharded
+from .queries_core import METRICS, _EVAL, _UNI
 from .queries_search import _ROWS
 from .registry import query
 
@@ -39,3 +42,31 @@ def m10(spark, d):
     folder = f"{shared_dir(spark)}/lodestone/search-{uuid.uuid4().hex}"
     run = sharded.ShardedSearch(ad.labelled(spark, d), oracle.W7, folder)
     return run.run().select("query_id", "global_profile", "global_ndcg10", "query_profile", "query_ndcg10")
+
+
+_FRAME = "query_id string, ndcg10 double, recall1 double, recall3 double, mrr10 double"
+
+
+def frame_metrics(frame: pa.Table) -> pa.Table:
+    """The graded metrics of one query's frame, whose pages must ascend."""
+    pages, relevance, score = (frame.column(c).to_numpy() for c in ("page_id", "relevance", "score"))
+    if (pages[1:] <= pages[:-1]).any():
+        raise ValueError(f"pages of {frame.column('query_id')[0].as_py()} do not ascend")
+    n, weight = len(pages), 1 / np.log2(np.arange(2, 12))
+    if not n:
+        return pa.table({c.split()[0]: pa.array([], pa.string() if i == 0 else pa.float64()) for i, c in enumerate(_FRAME.split(", "))})
+    gain, order = np.exp2(relevance) - 1, np.argsort(-score, kind="stable")
+    ideal, hits = (np.sort(gain)[::-1][:10] * weight[:n]).sum(), relevance[order] > 0
+    first = np.flatnonzero(hits[:10])
+    share = lambda k: hits[:k].sum() / hits.sum() if hits.any() else 0.0
+    row = [(gain[order][:10] * weight[:n]).sum() / ideal if ideal else 0.0, share(1), share(3), 1 / (first[0] + 1) if len(first) else 0.0]
+    return pa.table({"query_id": [frame.column("query_id")[0].as_py()]} | {c: [float(v)] for c, v in zip(("ndcg10", "recall1", "recall3", "mrr10"), row)})
+
+
+@query("a6_a8_streamed_frames", _EVAL(_UNI), METRICS)
+def a6(spark, d):
+    """Whole queries from files ordered by query, without a shuffle
+    of their rows."""
+    rows = ad.labelled(spark, d).withColumn("score", fusion.uniform()).select("query_id", "page_id", "relevance", "score")
+    ordered = write_clustered(rows, f"{shared_dir(spark)}/lodestone/ordered-{uuid.uuid4().hex}", "query_id", "page_id")
+    return apply_clustered(ordered, "query_id", frame_metrics, _FRAME)
