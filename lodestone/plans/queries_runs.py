@@ -7,10 +7,12 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import fusion, gate, oracle, sampling, training
 from ..sources.clustered import apply_clustered, write_clustered
 from ..sources.ledger import shared_dir
+from ..sources.matrices import read_matrices, write_matrices
 
 from . import adapters as ad
 from . import sharded
@@ -70,3 +72,22 @@ def a6(spark, d):
     rows = ad.labelled(spark, d).withColumn("score", fusion.uniform()).select("query_id", "page_id", "relevance", "score")
     ordered = write_clustered(rows, f"{shared_dir(spark)}/lodestone/ordered-{uuid.uuid4().hex}", "query_id", "page_id")
     return apply_clustered(ordered, "query_id", frame_metrics, _FRAME)
+
+
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
+@query("a22_b10_score_matrices", f"""WITH n AS (SELECT DISTINCT c_nationkey AS k FROM customer), s AS (SELECT unnest({_SEGMENTS!r}) AS page_id),
+  c AS (SELECT c_nationkey AS k, c_mktsegment AS page_id, count(*) AS n, max(c_acctbal) AS most FROM customer GROUP BY 1, 2)
+  SELECT CAST(n.k AS VARCHAR) AS query_id, s.page_id, ch.channel, coalesce(CASE WHEN channel = 'count' THEN CAST(c.n AS DOUBLE) ELSE CAST(most AS DOUBLE) END, 0.0) AS score
+  FROM n CROSS JOIN s CROSS JOIN (SELECT unnest(['count', 'most']) AS channel) ch LEFT JOIN c ON c.k = n.k AND c.page_id = s.page_id""", "score")
+def a22(spark, d):
+    """Written as array files with receipts and read back: nations by market
+    segments, two channels."""
+    c = ad.table(spark, d, "customer").groupBy(F.col("c_nationkey").cast("string").alias("query_id"))
+    wide = c.pivot("c_mktsegment", _SEGMENTS).agg(F.count(F.lit(1)).cast("double").alias("count"), F.max("c_acctbal").cast("double").alias("most")).na.fill(0.0)
+    cell = [F.struct(F.lit(s).alias("page_id"), F.lit(m).alias("channel"), F.col(f"{s}_{m}").alias("score")) for s in _SEGMENTS for m in ("count", "most")]
+    rows = wide.select("query_id", F.explode(F.array(*cell)).alias("c")).select("query_id", "c.*")
+    folder = f"{shared_dir(spark)}/lodestone/matrices-{uuid.uuid4().hex}"
+    write_matrices(rows, folder, _SEGMENTS, "customers")
+    return read_matrices(spark, folder, identity="customers")
