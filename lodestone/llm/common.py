@@ -207,6 +207,14 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out + U64(width))
 
 
+def running_hashes(h: np.ndarray):
+    """A function of (starts, lengths) to hashes of the windows of ``h``."""
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _power("up", _BASE, len(h)), out=sums[1:])
+    down = _power("down", _BASE_INVERSE, len(h) + 1)
+    return lambda at, n: mix((sums[at + n] - sums[at]) * down[at] + n.astype(np.uint64))
+
+
 def lists(values: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column from flat values and row lengths."""
     offsets = np.zeros(len(lengths) + 1, np.int32)

@@ -19,14 +19,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_MARK, U64, Words, drop, shingles, slices, table
+from .common import IS_MARK, U64, Words, drop, running_hashes, shingles, slices, table
 
 BLOCK_BYTES = 16 << 20
 SCHEMA = "doc_id long, item_id long, item_words long, covered long, coverage double, tiles long, longest long"
@@ -42,16 +42,54 @@ def _windows(h: np.ndarray, width: int, free: np.ndarray) -> tuple[np.ndarray, n
     return starts, shingles(h, width)[starts]
 
 
-def _run(a: np.ndarray, b: np.ndarray, free_a: np.ndarray, free_b: np.ndarray, step: int = 64) -> int:
-    """Length of the common free beginning of two sequences."""
-    limit, at = min(len(a), len(b)), 0
-    while at < limit:
-        to = min(limit, at + step)
-        same = (a[at:to] == b[at:to]) & free_a[at:to] & free_b[at:to]
-        if not same.all():
-            return at + int(same.argmin())
-        at, step = to, 2 * step
-    return limit
+class _Common:
+    """Lengths of common beginnings of two sequences of word hashes, for many
+    pairs of places at once: bisection over hashes read off running sums."""
+
+    def __init__(self, text: np.ndarray, item: np.ndarray):
+        self.text, self.item = running_hashes(text), running_hashes(item)
+
+    def lengths(self, start: np.ndarray, at: np.ndarray, known: int, limit: np.ndarray) -> np.ndarray:
+        """Lengths from ``known`` to ``limit``."""
+        low, high = np.full(len(start), known), limit.copy()
+        while (open_ := np.flatnonzero(low < high)).size:
+            middle = (low[open_] + high[open_] + 1) // 2
+            same = self.text(start[open_], middle) == self.item(at[open_], middle)
+            low[open_], high[open_] = np.where(same, middle, low[open_]), np.where(same, high[open_], middle - 1)
+        return low
+
+
+def _reach(free: np.ndarray) -> np.ndarray:
+    """How many free words stand from each place on."""
+    n = len(free)
+    used = np.where(free, n, np.arange(n))
+    return np.minimum.accumulate(used[::-1])[::-1] - np.arange(n)
+
+
+def _beginnings(a: np.ndarray, ha: np.ndarray, b: np.ndarray, hb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start in text, start in item) of the equal windows before which, on both
+    sides, no equal windows stand: each common run once. Which places of the item
+    these are depends on the hashes of a text's window and the one before alone,
+    so equal pairs of hashes are looked up once."""
+    kinds, of = np.unique(ha, return_inverse=True)
+    order = np.argsort(of, kind="stable")
+    places = np.split(a[order], np.cumsum(np.bincount(of, minlength=len(kinds)))[:-1]) if len(kinds) else []
+    at = np.searchsorted(kinds, hb)
+    kind = np.where((at < len(kinds)) & (kinds[np.minimum(at, len(kinds) - 1)] == hb), at, -1) if len(kinds) else np.full(len(hb), -1)
+    before = np.full(len(b), -1)
+    before[1:] = np.where(b[1:] == b[:-1] + 1, kind[:-1], -1)
+    hit = np.flatnonzero(kind >= 0)
+    pairs, number = np.unique(np.stack([before[hit], kind[hit]], 1), axis=0, return_inverse=True)
+    firsts = [places[k] if p < 0 else np.setdiff1d(places[k], places[p] + 1, assume_unique=True) for p, k in pairs.tolist()]
+    count = np.array([len(f) for f in firsts], np.int64)
+    number = number.reshape(-1)
+    return np.repeat(b[hit], count[number]), np.concatenate([np.zeros(0, np.int64), *[firsts[i] for i in number.tolist()]])
+
+
+def _pieces(free: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(start, length) of the free stretches of at least ``least`` words."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+    return [(x, y - x) for x, y in edges.reshape(-1, 2).tolist() if y - x >= least]
 
 
 def tiles(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -60,31 +98,32 @@ def tiles(text: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int
     least = min(least, len(item)) or 1
     free_text, free_item = np.ones(len(text), bool), np.ones(len(item), bool)
     out: list[tuple[int, int, int]] = []
-    width = len(item)
+    width, common = len(item), None
     while width >= least and len(text):
         # longest first: windows of this width, extended to maximal runs
         a, ha = _windows(item, width, free_item)
         b, hb = _windows(text, width, free_text)
-        order = np.argsort(ha, kind="stable")
-        a, ha = a[order], ha[order]
-        low, high = np.searchsorted(ha, hb, "left"), np.searchsorted(ha, hb, "right")
-        found = []
-        for j in np.flatnonzero(high > low):
-            start = int(b[j])
-            for at in a[low[j] : high[j]].tolist():
-                n = width + _run(text[start + width :], item[at + width :], free_text[start + width :], free_item[at + width :])
-                found.append((-n, start, at))
-        heapify(found)
-        while found:
-            n, start, at = heappop(found)
-            free = free_text[start : start - n] & free_item[at : at - n]
-            left = -n if free.all() else int(free.argmin())
-            if left == -n:
-                free_text[start : start + left] = False
-                free_item[at : at + left] = False
-                out.append((start, at, left))
-            elif left >= width:
-                heappush(found, (-left, start, at))  # what an earlier tile left of it
+        start, at = _beginnings(a, ha, b, hb)
+        if len(start):
+            common = common or _Common(text, item)
+            n = common.lengths(start, at, width, np.minimum(_reach(free_text)[start], _reach(free_item)[at]))
+            order = np.lexsort((at, start, -n))
+            found, left = np.stack([-n, start, at], 1)[order], []
+            i = 0
+            while i < len(found) or left:
+                if left and (i == len(found) or left[0] < tuple(found[i].tolist())):
+                    n, s, t = heappop(left)
+                else:
+                    (n, s, t), i = found[i].tolist(), i + 1
+                free = free_text[s : s - n] & free_item[t : t - n]
+                if not free.all():
+                    for x, size in _pieces(free, width):  # what earlier tiles left of it
+                        heappush(left, (-size, s + x, t + x))
+                    continue
+                free_text[s : s - n] = free_item[t : t - n] = False
+                out.append((s, t, -n))
+                if not _pieces(free_item, width):
+                    break
         if free_item.sum() < least:
             break
         width = width // 2 if width // 2 > least else least if width > least else 0

@@ -1,5 +1,6 @@
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,37 @@ def test_text_of_one_repeated_word():
     assert time.time() - begin < 30
 
 
+def test_repeated_word_and_another():
+    """The item's last word keeps it from being covered by one run."""
+    for n, m in ((100_000, 1_000), (2_000, 400)):
+        text, item = np.full(n, 7, np.uint64), np.concatenate([np.full(m, 7, np.uint64), [np.uint64(9)]])
+        tracemalloc.start()
+        begin = time.time()
+        assert tiling.tiles(text, item, 5) == [(0, 0, m)]
+        assert time.time() - begin < 5 and tracemalloc.get_traced_memory()[1] < 100 << 20
+        tracemalloc.stop()
+
+
+def test_blocks_of_a_repeated_word():
+    text = np.array(([7] * 60 + [8]) * 300, np.uint64)
+    item = np.array(([7] * 25 + [9]) * 20, np.uint64)
+    begin = time.time()
+    found = tiling.tiles(text, item, 5)
+    assert time.time() - begin < 10 and sum(n for *_, n in found) == 500 and [n for *_, n in found] == [25] * 20
+
+
+@pytest.mark.parametrize("period", [1, 2, 3])
+def test_near_periodic_texts_against_plain_greedy_tiling(period):
+    rng = random.Random(period)
+    for _ in range(60):
+        text = list("abc"[:period]) * rng.randint(1, 20)
+        item = list("abc"[:period]) * rng.randint(1, 12)
+        for x in (text, item):
+            for _ in range(rng.randint(0, 3)):
+                x[rng.randrange(len(x))] = rng.choice("abcz")
+        assert sum(n for *_, n in tiling.tiles(_hashes(text), _hashes(item), 3)) == _covered(text, item, 3)
+
+
 def _table(spark, kind, texts):
     return spark.createDataFrame([(i if i % 7 else None, t, "h") for i, t in enumerate(texts)], f"{kind} long, text string, h1 string")
 
