@@ -23,14 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, U64, lists, slices, text_buffers
+from .common import IS_SPACE, LOWER, U64, fresh, lists, slices, text_buffers
 
 BUCKETS = 1 << 14
-#: Most languages a model may have. If ``lang`` has more values, those with the
-#: most training rows (the first in code-point order among equals) are learnt, and rows of the
-#: others count as rows without lang: a value that few rows have is no language
-#: that could be told apart.
-MOST_LANGUAGES = 256
 _SLICE = 1 << 20
 #: Log likelihood that a fit may miss, for short texts a thousandth of it an n-gram.
 _MISSING = 1e-3
@@ -86,25 +81,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their (languages, buckets) n-gram probabilities from
-    (text, lang); rows without lang are left out."""
+    """Languages, every value of lang, and their (languages, buckets) n-gram
+    probabilities from (text, lang); rows without lang are left out. The model
+    takes BUCKETS doubles a value, 128 KB."""
     d = docs.where("lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    common = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()
-    if not common:
-        return [], np.zeros((0, BUCKETS))
-    if len(common) > MOST_LANGUAGES:
-        d = d.where(F.col("lang").isin([r["lang"] for r in common[:MOST_LANGUAGES]]))
     counts = d.mapInArrow(_count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # one row a language, MOST_LANGUAGES at most
-    rows = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).collect()
-    empty = {r["lang"] for r in common[:MOST_LANGUAGES]} - {r["lang"] for r in rows}
-    rows += [{"lang": x, "c": []} for x in empty]
-    rows.sort(key=lambda r: r["lang"])
-    p = np.full((len(rows), BUCKETS), 0.5)
-    for i, r in enumerate(rows):
-        at, n = np.array([tuple(x) for x in r["c"]], np.int64).reshape(-1, 2).T
-        p[i, at] += n
-    return [r["lang"] for r in rows], p / p.sum(1, keepdims=True)
+    names = sorted(r["lang"] for r in d.select("lang").distinct().collect())  # also those without n-grams
+    found = counts.toArrow()  # a row a language and bucket: the model, which every task gets
+    p = np.full((len(names), BUCKETS), 0.5)
+    row = {x: i for i, x in enumerate(names)}
+    at = np.array([row[x] for x in found["lang"].to_pylist()], np.int64)
+    p[at, found["bucket"].to_numpy()] += found["n"].to_numpy()
+    return names, p / p.sum(1, keepdims=True)
 
 
 def _newton(like: np.ndarray, share: np.ndarray, p: np.ndarray, slope: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -223,12 +211,12 @@ def mixtures(docs: np.ndarray, grams: np.ndarray, n_docs: int, p: np.ndarray) ->
     return out
 
 
-def _shares(part: pa.RecordBatch, langs: list[str], p: np.ndarray):
+def _shares(part: pa.RecordBatch, langs: list[str], p: np.ndarray, letters: str = "letters"):
     """Shares of the languages, their first largest and its share of every row;
     rows without letters or n-grams have none."""
     n = part.num_rows
     shares = mixtures(*_ngrams(part.column(part.schema.get_field_index("text"))), n, p) if langs else np.zeros((n, 1))
-    known = part.column(part.schema.get_field_index("__letters")).to_numpy(zero_copy_only=False).astype(bool)
+    known = part.column(part.schema.get_field_index(letters)).to_numpy(zero_copy_only=False).astype(bool)
     return np.where(known[:, None], shares, 0)
 
 
@@ -249,7 +237,7 @@ def _predict(langs: list[str], p: np.ndarray):
 
 
 def _letters():
-    return F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("__letters")
+    return F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)).alias("letters")
 
 
 def _held(folds: int, held: int):
@@ -257,13 +245,13 @@ def _held(folds: int, held: int):
     return (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds == held).alias("held_out")
 
 
-def _dominant(langs: list[str], p: np.ndarray, least: float):
+def _dominant(langs: list[str], p: np.ndarray, least: float, letters: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=_SLICE):
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                top = _shares(part, langs, p).max(1)
-                yield part.filter(pa.array((top > 0) & (top >= least))).drop_columns(["__letters"])
+                top = _shares(part, langs, p, letters).max(1)
+                yield part.filter(pa.array((top > 0) & (top >= least))).drop_columns([letters])
 
     return run
 
@@ -272,7 +260,8 @@ def keep_identified(docs: DataFrame, least_share: float, folds: int = 4, held: i
     """``docs`` without the rows that are ``und`` or whose main language has less
     than ``least_share`` of the text; all columns pass through one scan."""
     langs, p = fit(docs.where(~_held(folds, held)))
-    return docs.withColumn("__letters", _letters()).mapInArrow(_dominant(langs, p, least_share), docs.schema)
+    (letters,) = fresh(docs, "letters")
+    return docs.withColumn(letters, _letters()).mapInArrow(_dominant(langs, p, least_share, letters), docs.schema)
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
@@ -280,8 +269,7 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     languages in code-point order.
 
     Trains on rows with a lang whose crc32(doc_id as text) mod ``folds`` is not
-    ``held``. Prediction sees the text alone. At most MOST_LANGUAGES values of
-    lang are learnt.
+    ``held``. Prediction sees the text alone. Every value of lang is learnt.
 
     Defined cases: null texts and texts without a letter are ``und`` with score
     0, and so is everything if nothing could be learnt; a null doc_id hashes as
