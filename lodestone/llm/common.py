@@ -99,6 +99,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return write(df, run_dir(df.sparkSession, name))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 # ---------------------------------------------------------------- hashing
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective avalanche) over a uint64 array."""

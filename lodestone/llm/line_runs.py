@@ -20,7 +20,7 @@ from uuid import uuid4
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop, run_dir, shuffles_dropped, table
+from .common import drop, fresh, run_dir, shuffles_dropped, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRIPPED = " \t\n\x0b\f\r"
@@ -150,19 +150,21 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         high = low
     frequent = table(runs.frequent(min_docs), "frequent")
     gone = held.join(frequent, KEY).where((F.col("doc_id") < F.col("keeper")) | (F.col("doc_id").isNull() & F.col("keeper").isNotNull()))
-    gone = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("i")).alias("__gone"))
-    gone = table(gone.withColumnsRenamed({"doc_id": "__gone_id", "row": "__gone_row"}), "gone")
+    out = docs.drop("n_lines", "n_dropped")
+    lost, lost_id, lost_row, ls, cuts = fresh(out, "gone", "gone_id", "gone_row", "lines", "cuts")
+    gone = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("i")).alias(lost))
+    gone = table(gone.withColumnsRenamed({"doc_id": lost_id, "row": lost_row}), "gone")
     runs.forget(runs.runs())
     drop(held, frequent, repeated)
-    out = docs.drop("n_lines", "n_dropped", "__gone", "__gone_id", "__gone_row")
     # joined by a shuffle at every size: the lists grow with the documents
-    same = out["doc_id"].cast("long").eqNullSafe(gone["__gone_id"]) & (row == gone["__gone_row"])
-    out = out.join(gone.hint("merge"), same, "left").drop("__gone_id", "__gone_row")
-    out = out.withColumn("text", text).withColumn("__lines", split_lines(F.col("text")))
-    out = out.withColumn("n_lines", F.size("__lines").cast("long"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(lost_id)) & (row == F.col(lost_row))
+    out = out.join(gone.hint("merge"), same, "left").drop(lost_id, lost_row)
+    out = out.withColumn("text", text).withColumn(ls, split_lines(F.col("text")))
+    out = out.withColumn("n_lines", F.size(ls).cast("long"))
     # the stretches of lines between the dropped ones
-    out = out.withColumn("__cuts", F.concat(F.array(F.lit(-1)), F.col("__gone"), F.array(F.size("__lines"))))
-    stretch = lambda j: F.slice(F.col("__lines"), F.get("__cuts", j) + 2, F.get("__cuts", j + 1) - F.get("__cuts", j) - 1)
-    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("__gone")), stretch)), "\n")
-    out = out.withColumn("text", F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col("text")))
-    return out.withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).drop("__gone", "__cuts", "__lines").select(*[c for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+    out = out.withColumn(cuts, F.concat(F.array(F.lit(-1)), F.col(lost), F.array(F.size(ls))))
+    stretch = lambda j: F.slice(F.col(ls), F.get(cuts, j) + 2, F.get(cuts, j + 1) - F.get(cuts, j) - 1)
+    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(lost)), stretch)), "\n")
+    out = out.withColumn("text", F.when(F.col(lost).isNotNull(), kept).otherwise(F.col("text")))
+    out = out.withColumn("n_dropped", F.coalesce(F.size(lost), F.lit(0)).cast("long")).drop(lost, cuts, ls)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import fresh, table
 
 SEED = "mix-1"
 #: No word holds any of these (space, tab, line feed, vertical tab, form feed, carriage return).
@@ -136,18 +136,32 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = CA
     """
     docs = docs.drop("copy")
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    plain = [F.to_json(F.struct(c)) if isinstance(f.dataType, T.MapType) else c for c, f in zip(columns, docs.schema.fields)]
+    plain = [F.to_json(F.struct(c)) if _holds_map(f.dataType) else c for c, f in zip(columns, docs.schema.fields)]
     row = F.xxhash64(F.lit("row"), *plain, *[c.isNull() for c in columns])
-    marked = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__row", row)
-    d = marked.select(F.col("__id").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.col("__row").alias("more"))
-    taken = _taken(d, weights, cap).where("total > 0").select(F.col("doc_id").alias("__id"), F.col("more").alias("__row"), "n", "total")
+    id_, mark, n, total, left, step, i = fresh(docs, "id_", "mark", "n", "total", "left", "step", "i")
+    marked = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(mark, row)
+    d = marked.select(F.col(id_).alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.col(mark).alias("more"))
+    taken = _taken(d, weights, cap).where("total > 0").select("doc_id", "more", "n", "total")
     taken = table(taken, "taken")
-    each = lambda rows: marked.alias("d").join(rows.alias("t"), F.expr("d.__id <=> t.__id AND d.__row = t.__row")).select("d.*", F.col("t.n").alias("__n"), F.col("t.total").alias("__total"))
-    out = each(taken).withColumn("copy", F.explode(F.expr("if(__total >= __n, sequence(1, cast(__total div __n as int)), array())"))).select(*columns, "copy")
-    left = taken.where("n > 1 AND total % n > 0")
-    if left.isEmpty():
+
+    def each(rows: DataFrame) -> DataFrame:
+        """The rows of ``docs`` with what is taken of them."""
+        named = rows.select(F.col("doc_id").alias("t_id"), F.col("more").alias("t_mark"), F.col("n").alias(n), F.col("total").alias(total))
+        same = F.col(f"d.{id_}").eqNullSafe(F.col("t.t_id")) & (F.col(f"d.{mark}") == F.col("t.t_mark"))
+        return marked.alias("d").join(named.alias("t"), same).select("d.*", f"t.{n}", f"t.{total}")
+
+    out = each(taken).withColumn("copy", F.explode(F.expr(f"if({total} >= {n}, sequence(1, cast({total} div {n} as int)), array())"))).select(*columns, "copy")
+    spares = taken.where("n > 1 AND total % n > 0")
+    if spares.isEmpty():
         return out
-    spare = each(left).groupBy("__id", "__row", "__n", "__total").agg(F.first(F.struct(*columns)).alias("r")).withColumn("__left", F.expr("__total % __n"))
-    spare = spare.withColumn("__step", F.explode(F.expr(f"sequence(0L, (__left - 1) div {_STEP})")))
-    spare = spare.withColumn("__i", F.explode(F.expr(f"sequence(__step * {_STEP}, least(__left, (__step + 1) * {_STEP}) - 1)")))
-    return out.unionByName(spare.select("r.*", F.expr("cast(__total div __n as int) + 1").alias("copy")))
+    spare = each(spares).groupBy(id_, mark, n, total).agg(F.first(F.struct(*columns)).alias("r")).withColumn(left, F.expr(f"{total} % {n}"))
+    spare = spare.withColumn(step, F.explode(F.expr(f"sequence(0L, ({left} - 1) div {_STEP})")))
+    spare = spare.withColumn(i, F.explode(F.expr(f"sequence({step} * {_STEP}, least({left}, ({step} + 1) * {_STEP}) - 1)")))
+    return out.unionByName(spare.select("r.*", F.expr(f"cast({total} div {n} as int) + 1").alias("copy")))
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    """Whether a type is or holds a map, which has no hash of its own."""
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.StructType) and any(_holds_map(f.dataType) for f in kind.fields)

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Words, drop, lists, mix, shingles, slices, table
+from .common import U64, Words, drop, fresh, lists, mix, shingles, slices, table
 from .components import components
 
 #: Sets and tokens of a block; larger components are cut into pairs of blocks.
@@ -255,15 +255,15 @@ def _reordered(sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
-def with_identity(docs: DataFrame, k: int) -> DataFrame:
-    """``docs`` and the identity of each row's shingle set as ``__sig``."""
+def with_identity(docs: DataFrame, k: int, name: str) -> DataFrame:
+    """``docs`` and the identity of each row's shingle set as ``name``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sig = pa.array([_identity(tokens) for tokens in _sets(batch, k)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, sig], names=[*batch.schema.names, "__sig"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, sig], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__sig", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def jaccard_classes(docs: DataFrame, k: int = 3, percent: int = 90, block: int = BLOCK) -> DataFrame:
@@ -375,15 +375,15 @@ def first_of_classes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     lost = table(classes.groupBy("doc_id", "sig").agg(F.first("lost").alias("lost")), "lost")
     drop(classes)
     ids = lost.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("lost").alias("whole"), F.max("lost").alias("any"))
-    ids = table(ids.where("any").select(F.col("doc_id").alias("__gone"), "whole"), "gone")
+    id_, sig, own = fresh(docs, "gone", "set", "own")
+    ids = table(ids.where("any").select(F.col("doc_id").alias(id_), "whole"), "gone")
     key = F.col("doc_id").cast("long")
-    marked = docs.where("doc_id IS NOT NULL").join(ids, key == F.col("__gone"), "left")
-    out = marked.where("__gone IS NULL").select(docs.columns)
-    split, nameless = ids.where("NOT whole"), docs.where("doc_id IS NULL")
-    parts = ([] if nameless.isEmpty() else [nameless]) + ([] if split.isEmpty() else [docs.join(split, key == F.col("__gone"), "left_semi")])
-    gone = lost.where("lost AND sig IS NOT NULL").select(F.col("doc_id").alias("__gone"), F.col("sig").alias("__set"))
+    out = docs.where("doc_id IS NOT NULL").join(ids.select(id_), key == F.col(id_), "left_anti")
+    split, nameless = ids.where("NOT whole").select(id_), docs.where("doc_id IS NULL")
+    parts = ([] if nameless.isEmpty() else [nameless]) + ([] if split.isEmpty() else [docs.join(split, key == F.col(id_), "left_semi")])
+    gone = lost.where("lost AND sig IS NOT NULL").select(F.col("doc_id").alias(id_), F.col("sig").alias(sig))
     for part in parts:
-        rows = with_identity(part, k)
-        same = rows["doc_id"].cast("long").eqNullSafe(gone["__gone"]) & (rows["__sig"] == gone["__set"])
-        out = out.unionByName(rows.join(gone, same, "left_anti").drop("__sig"))
+        rows = with_identity(part, k, own)
+        same = key.eqNullSafe(F.col(id_)) & (F.col(own) == F.col(sig))
+        out = out.unionByName(rows.join(gone, same, "left_anti").drop(own))
     return out
