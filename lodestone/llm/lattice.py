@@ -411,7 +411,8 @@ def lattice_scores(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int =
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.crc32(key) % folds != held).alias("train"))
     size = d.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(F.col("train"), 1)).alias("ends")).first()
     shards = max(1, -(-(size["bytes"] or 0) // shard_bytes))
-    dealt = d.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
+    # dealt by their place, so that equal rows part, and written, so that every pass meets the same shards
+    dealt = table(d.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")), "dealt")
     dealt = dealt.repartitionById(shards, "shard")  # one shard a task
     distinct = dealt.mapInArrow(_distinct, "shard int, h long, n long, word binary")
     distinct = table(distinct, "distinct")

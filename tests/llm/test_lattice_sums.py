@@ -76,3 +76,23 @@ def test_scores_of_whole_texts_after_fitting(spark):
 
     got = sorted((repr(g.doc_id), round(g.score, 6)) for g in lattice.lattice_scores(table(spark, data), shard_bytes=3000).collect())
     assert got == sorted((repr(r[0]), score(r[1])) for r in data)
+
+
+def test_equal_rows_part(spark):
+    """Rows equal in id and text are dealt to several shards and scored alike."""
+    df = spark.createDataFrame([(None, "the same words again and again")] * 400 + [(7, "others")], "doc_id long, text string").repartition(4)
+    spread, monkey = [], lattice.table
+
+    def seen(d, name, *by):
+        out = monkey(d, name, *by)
+        if name == "dealt":
+            spread.extend(r["count"] for r in out.groupBy("shard").count().collect())
+        return out
+
+    lattice.table = seen
+    try:
+        got = lattice.lattice_scores(df, shard_bytes=2000).collect()
+    finally:
+        lattice.table = monkey
+    assert len(got) == 401 and len({r.score for r in got if r.doc_id is None}) == 1
+    assert len(spread) > 3 and max(spread) < 200
