@@ -75,11 +75,12 @@ def shuffles_dropped(spark: SparkSession):
                 spark.conf.set(_CLEANUP, _before.pop(key))
 
 
-def write(df: DataFrame, path: str) -> DataFrame:
-    """Write Parquet, drop the shuffle files of that job at its end, read back."""
+def write(df: DataFrame, path: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write Parquet, in folders by the columns ``by``, drop the shuffle files of
+    that job at its end, read back."""
     spark = df.sparkSession
     with shuffles_dropped(spark):
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
@@ -93,10 +94,10 @@ def drop(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
+def table(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: the lineage is
     cut, and a lost executor costs only a re-read."""
-    return write(df, run_dir(df.sparkSession, name))
+    return write(df, run_dir(df.sparkSession, name), by)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

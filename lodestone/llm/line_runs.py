@@ -25,6 +25,7 @@ from .common import drop, fresh, run_dir, shuffles_dropped, table
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STRIPPED = " \t\n\x0b\f\r"
 KEY = ["h1", "h2"]
+_ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: Column) -> Column:
@@ -51,7 +52,17 @@ class LineRuns:
         self.spark, self.fanout, self.files = spark, fanout, files
         self.levels: list[list[DataFrame]] = []
         # one sorted file a bucket: the scan may then count as sorted
-        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        self.before = spark.conf.get(_ORDERED)
+        spark.conf.set(_ORDERED, "true")
+
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *error) -> None:
+        """Runs leave the catalog and the folder, and the session its setting."""
+        self.spark.conf.set(_ORDERED, self.before)
+        self.forget(self.runs())
+        self.levels = []
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
@@ -103,16 +114,18 @@ class LineRuns:
         return self._merged(self.runs()).where(F.col("n") >= least).select(*KEY, "keeper")
 
 
-#: Line records of a batch and of a file of a run.
-BATCH_ROWS, FILE_ROWS = 1_000_000_000, 4_000_000
+#: Line records of a file of a run.
+FILE_ROWS = 4_000_000
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
     """``docs`` with its text less repeated lines, and n_lines and n_dropped.
 
     Keys of at least ``min_chars`` code points that ``min_docs`` documents or
-    more hold stay only in the rows of the largest doc_id among them. There are
-    ``batches`` batches, or more if one would exceed BATCH_ROWS records.
+    more hold stay only in the rows of the largest doc_id among them. Each of
+    the ``batches`` batches but the first has as many documents as all before
+    it, so what a batch reads of the runs is no more than itself, at every size;
+    line records are written once, by batch, and each batch reads its own.
 
     Defined cases: a null or empty text is one empty line and reads as empty
     afterwards; rows that share a doc_id are one document, so they count once
@@ -131,30 +144,28 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     sorted_ = F.array_sort(F.transform(long, lambda x: F.struct(_hash(x["key"]).alias("k"), x["i"].alias("i"))))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row, sorted_.alias("s"))
     new = F.transform("s", lambda x, j: F.struct(x["k"]["h1"].alias("h1"), x["k"]["h2"].alias("h2"), x["i"].alias("i"), ((j == 0) | (F.get("s", j - 1)["k"] != x["k"])).alias("first")))
-    held = table(own.select("doc_id", "row", F.explode(new).alias("l")).select("doc_id", "row", "l.*"), "lines")
-    single = held.where("first").select("doc_id", *KEY)
-    repeated = table(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
-    if not repeated.isEmpty():
-        single = single.join(repeated, "doc_id", "left_anti").unionByName(single.join(repeated, "doc_id", "left_semi").distinct())
-    size = held.count()
-    batches = max(batches, -(-size // BATCH_ROWS))
-    cuts = held.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], max(1000, 10 * batches))).first()[0] if batches > 1 else None
+    halves = [1 - 0.5**i for i in range(1, batches)]
+    cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), halves, 10_000)).first()[0] if halves else None
     cuts = sorted(set(cuts or []), reverse=True)
-    runs = LineRuns(spark, fanout, max(spark.sparkContext.defaultParallelism, -(-size // FILE_ROWS)))
-    high = None
-    for low in [*cuts, None]:
-        batch = single if high is None else single.where((F.col("doc_id") <= high) | F.col("doc_id").isNull())
-        if low is not None:
-            batch = batch.where(F.col("doc_id") > low)
-        runs.add(batch)
-        high = low
-    frequent = table(runs.frequent(min_docs), "frequent")
+    batch = F.lit(len(cuts))
+    for i, low in reversed(list(enumerate(cuts))):
+        batch = F.when(F.col("doc_id") > low, i).otherwise(batch)
+    held = table(own.select("doc_id", "row", F.explode(new).alias("l"), batch.alias("batch")).select("doc_id", "row", "l.*", "batch"), "lines", "batch")
+    repeated = table(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    some_repeated = not repeated.isEmpty()
+    files = max(spark.sparkContext.defaultParallelism, -(-held.count() // FILE_ROWS))
+    with LineRuns(spark, fanout, files) as runs:
+        for i in range(len(cuts) + 1):
+            single = held.where(F.col("first") & (F.col("batch") == i)).select("doc_id", *KEY)
+            if some_repeated:
+                single = single.join(repeated, "doc_id", "left_anti").unionByName(single.join(repeated, "doc_id", "left_semi").distinct())
+            runs.add(single)
+        frequent = table(runs.frequent(min_docs), "frequent")
     gone = held.join(frequent, KEY).where((F.col("doc_id") < F.col("keeper")) | (F.col("doc_id").isNull() & F.col("keeper").isNotNull()))
     out = docs.drop("n_lines", "n_dropped")
     lost, lost_id, lost_row, ls, cuts = fresh(out, "gone", "gone_id", "gone_row", "lines", "cuts")
     gone = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("i")).alias(lost))
     gone = table(gone.withColumnsRenamed({"doc_id": lost_id, "row": lost_row}), "gone")
-    runs.forget(runs.runs())
     drop(held, frequent, repeated)
     # joined by a shuffle at every size: the lists grow with the documents
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(lost_id)) & (row == F.col(lost_row))

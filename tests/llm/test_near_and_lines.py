@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from helpers import SCHEMA, rows, table, words
+from helpers import LINE, SCHEMA, rows, table, words
 
 from lodestone.llm import common, components, line_runs, ngram_join
 
@@ -166,3 +166,26 @@ def test_runs_are_compacted(spark):
         runs.add(spark.createDataFrame([(10 - i, 1, 1), (10 - i, i, 2)], "doc_id long, h1 long, h2 long"))
     assert [len(level) for level in runs.levels] == [0, 0, 1]
     assert [tuple(r) for r in runs.frequent(4).collect()] == [(1, 1, 10)]
+
+
+def test_runs_leave_nothing_behind(spark, monkeypatch):
+    names = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("lodestone_run_")}
+    key, before = "spark.sql.legacy.bucketedTableScan.outputOrdering", names()
+    old = spark.conf.get(key)
+    line_runs.dedup_lines(table(spark)).count()
+    assert spark.conf.get(key) == old and names() == before
+    monkeypatch.setattr(line_runs.LineRuns, "frequent", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        line_runs.dedup_lines(table(spark))
+    assert spark.conf.get(key) == old and names() == before
+
+
+def test_batches_read_records_once_and_double(spark, monkeypatch):
+    """What a batch adds is at most all before it and itself is read once."""
+    data = [(i, f"{LINE} number {i // 6} of all the lines that are here", None, None, None, None, None, None) for i in range(1600)]
+    sizes = []
+    add = line_runs.LineRuns.add
+    monkeypatch.setattr(line_runs.LineRuns, "add", lambda self, lines: (sizes.append(lines.count()), add(self, lines))[1])
+    out = line_runs.dedup_lines(table(spark, data), batches=5)
+    assert sum(r.n_dropped for r in out.collect()) == sum(5 for i in range(0, 1596, 6)) and sum(sizes) == 1600
+    assert len(sizes) == 5 and all(abs(x - 1600 / 2 ** min(5 - i, 4)) < 20 for i, x in enumerate(sizes))
