@@ -3,18 +3,44 @@ of page text between its native layer and OCR."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import words
+from ..sources.scratch import scratch
+from .ranking import top
 
 K1, B = 1.5, 0.75
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(words("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def _stats(tokens: DataFrame) -> DataFrame:
+    return tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
+
+
+def _part(k1: float, b: float) -> Column:
+    """What a term of a page adds to a query that has it once."""
+    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + k1 * (1.0 - b + b * F.col("len") / F.col("avg_len")))
+
+
+def _tf(tokens: DataFrame, asked: DataFrame) -> DataFrame:
+    # other terms go before anything is shuffled by page
+    held = tokens.select("page_id", "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    return held.groupBy("page_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _tokens(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", words("text").alias("w")).select("page_id", F.size("w").alias("len"), "w")
+
+
 def bm25(pages: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, page_id, score) of pairs that share a term; other pairs have 0.
 
@@ -22,17 +48,28 @@ def bm25(pages: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) ->
     are kept, so the join is on terms that both sides have; a term's postings are
     joined by key, and a very frequent one is split by adaptive execution.
     """
-    asked = queries.select("query_id", F.explode(words("text")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    tokens = pages.select("page_id", words("text").alias("w")).select("page_id", F.size("w").alias("len"), "w")
-    stats = tokens.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
-    # other terms go before anything is shuffled by page
-    held = tokens.select("page_id", "len", F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = held.groupBy("page_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    asked, tokens = _asked(queries), _tokens(pages)
+    tf = _tf(tokens, asked)
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    hit = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats))
-    idf = F.log(1.0 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (F.col("tf") * (k1 + 1.0)) / (F.col("tf") + k1 * (1.0 - b + b * F.col("len") / F.col("avg_len")))
-    return hit.groupBy("query_id", "page_id").agg(F.sum(F.col("qtf") * part).alias("score"))
+    hit = tf.join(df, "term").join(asked, "term").crossJoin(F.broadcast(_stats(tokens)))
+    return hit.groupBy("query_id", "page_id").agg(F.sum(F.col("qtf") * _part(k1, b)).alias("score"))
+
+
+def bm25_top(pages: DataFrame, queries: DataFrame, k: int = 100, k1: float = K1, b: float = B, digits: int = 9) -> DataFrame:
+    """The ``k`` best rows of ``bm25`` for every query, by score to ``digits``
+    digits, then page_id.
+
+    Texts are shuffled by page once. A page's terms are counted and its scores
+    summed where it lies, with the terms' facts, which are written first so that
+    their size is known: sent to all tasks if that allows, joined otherwise. A
+    task passes on its k best pages a query; pairs are never shuffled.
+    """
+    asked, tokens = scratch(_asked(queries), "asked"), _tokens(pages)
+    once = tokens.select(F.explode(F.array_distinct("w")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    facts = scratch(once.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(_stats(tokens))), "terms")
+    hit = _tf(_tokens(pages.select("page_id", "text").repartition("page_id")), asked).join(facts, "term").join(asked, "term")
+    score = hit.groupBy("query_id", "page_id").agg(F.sum(F.col("qtf") * _part(k1, b)).alias("score"))
+    return top(score.withColumn("rounded", F.round("score", digits)), "rounded", k).select("query_id", "page_id", "score")
 
 
 def dot(a, b) -> Column:
@@ -48,45 +85,97 @@ def unit(v) -> Column:
 
 def dense(pages: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, page_id, score) of all pairs of (query_id, vector) and (page_id,
-    vector), a query set against all rows. Catalyst broadcasts the smaller side if
-    its size allows, and pairs blocks of both otherwise."""
+    vector), for a query set that is small by definition; ``dense_top`` makes the
+    best pairs only."""
     q = queries.select("query_id", F.col("vector").alias("q"))
     return pages.select("page_id", F.col("vector").alias("p")).crossJoin(q).select("query_id", "page_id", dot("q", "p").alias("score"))
 
 
-def dense_blocks(pages: DataFrame, queries: DataFrame, block: int = 1024) -> DataFrame:
-    """``dense`` as matrix products: the query list is cut into blocks of bounded
-    size, each multiplied with every Arrow batch of pages."""
-    rows, parts = [], []
+#: Vectors of a block of pages and of queries.
+PAGE_BLOCK, QUERY_BLOCK = 16_384, 2_048
+
+
+def _blocked(df: DataFrame, key: str, size: int, own: str, other: str, others: int) -> DataFrame:
+    """``df`` with its block, once for each block of the other side."""
+    blocks = max(1, -(-df.count() // size))
+    return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a column of lists of vectors, and where each row's begin."""
+    c = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+    inner = c.flatten()
+    edges = np.concatenate([[0], np.cumsum(pc.list_value_length(c).to_numpy(zero_copy_only=False))]).astype(int)
+    flat = inner.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(inner), -1), edges
+
+
+def _block_top(k: int, names: list[str]):
+    """The k best pages of a block for every query of a block; pages are scored a
+    slice at a time, and each slice leaves its k best with those before it."""
+    step = 2_048
+
+    def run(pages: pa.Table, queries: pa.Table) -> pa.Table:
+        if not pages.num_rows or not queries.num_rows:
+            return pa.table({n: pa.array([], t.field(c).type if t is not None else pa.float64()) for n, t, c in zip(names, (queries.schema, pages.schema, None), ("query_id", "page_id", ""))})
+        pages = pages.sort_by("page_id")
+        q, q_edges = _matrix(queries.column("asked"))
+        held_score, held_page = np.zeros((queries.num_rows, 0)), np.zeros((queries.num_rows, 0), int)
+        for at in range(0, pages.num_rows, step):
+            p, p_edges = _matrix(pages.column("vectors").slice(at, step))
+            # the best vector of a page for each vector of a query, summed over these
+            best = np.maximum.reduceat(q @ p.T, p_edges[:-1], axis=1)
+            score = np.add.reduceat(best, q_edges[:-1], axis=0)
+            number = np.broadcast_to(np.arange(at, at + score.shape[1]), score.shape)
+            score, number = np.concatenate([held_score, score], 1), np.concatenate([held_page, number], 1)
+            order = np.lexsort((number, -np.round(score, DIGITS)), axis=1)[:, :k]
+            held_score, held_page = np.take_along_axis(score, order, 1), np.take_along_axis(number, order, 1)
+        rows = np.repeat(np.arange(queries.num_rows), held_page.shape[1])
+        columns = queries.column("query_id").take(pa.array(rows)), pages.column("page_id").take(pa.array(held_page.ravel())), pa.array(held_score.ravel())
+        return pa.table(dict(zip(names, columns)))
+
+    return run
+
+
+#: Scores that agree in so many digits are ties, which the page's id breaks.
+DIGITS = 9
+
+
+def max_sim_top(pages: DataFrame, queries: DataFrame, k: int = 100, page_block: int = PAGE_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """The ``k`` best pages of every query, as (query_id, page_id, score), by late
+    interaction of (query_id, vectors) and (page_id, vectors).
+
+    Both sides are dealt into blocks by key, each block of pages meets each of
+    queries once, and a pair of blocks leaves the k best pages a query; the plan
+    is the same for any number of queries. Rows without vectors are left out.
+    """
+    # columns of both sides are told apart even where they come from one table
+    p = pages.where(F.size("vectors") > 0).select(F.col("page_id").alias("page_id"), F.col("vectors").alias("vectors"))
+    q = queries.where(F.size("vectors") > 0).select(F.col("query_id").alias("query_id"), F.col("vectors").alias("asked"))
+    page_blocks, query_blocks = (max(1, -(-df.count() // size)) for df, size in ((p, page_block), (q, query_block)))
+    p = _blocked(p, "page_id", page_block, "pb", "qb", query_blocks)
+    q = _blocked(q, "query_id", query_block, "qb", "pb", page_blocks)
+    kinds = dict(queries.dtypes)["query_id"], dict(pages.dtypes)["page_id"]
+    best = p.groupBy("pb", "qb").cogroup(q.groupBy("pb", "qb")).applyInArrow(_block_top(k, ["query_id", "page_id", "score"]), f"query_id {kinds[0]}, page_id {kinds[1]}, score double")
+    return top(best.withColumn("rounded", F.round("score", DIGITS)), "rounded", k).select("query_id", "page_id", "score")
 
-    def part(rows):
-        ids, q = [r["query_id"] for r in rows], np.array([r["vector"] for r in rows], float)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                if len(pdf):
-                    s = np.stack(pdf["vector"].to_numpy()).astype(float) @ q.T
-                    yield pd.DataFrame({"query_id": np.tile(ids, len(pdf)), "page_id": np.repeat(pdf["page_id"].to_numpy(), len(ids)), "score": s.ravel()})
+def dense_top(pages: DataFrame, queries: DataFrame, k: int = 100, **blocks) -> DataFrame:
+    """``max_sim_top`` of one vector a page and query: the dot products."""
+    one = lambda df, key: df.select(key, F.when(F.col("vector").isNotNull(), F.array("vector")).alias("vectors"))
+    return max_sim_top(one(pages, "page_id"), one(queries, "query_id"), k, **blocks)
 
-        kind = dict(queries.dtypes)["query_id"], dict(pages.dtypes)["page_id"]
-        return pages.select("page_id", "vector").mapInPandas(run, f"query_id {kind[0]}, page_id {kind[1]}, score double")
 
-    for r in queries.select("query_id", "vector").toLocalIterator():
-        rows.append(r)
-        if len(rows) == block:
-            parts.append(part(rows))
-            rows = []
-    if rows or not parts:
-        parts.append(part(rows) if rows else dense(pages, queries))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def dense_blocks(pages: DataFrame, queries: DataFrame, **blocks) -> DataFrame:
+    """``dense`` as matrix products of blocks: all pairs, for small query sets."""
+    return dense_top(pages, queries, max(1, pages.count()), **blocks)
 
 
 def max_sim(pages: DataFrame, queries: DataFrame) -> DataFrame:
-    """Late interaction of (query_id, vectors) and (page_id, vectors): for every
-    query vector its best page vector, summed."""
+    """Late interaction of (query_id, vectors) and (page_id, vectors), all pairs
+    of a query set that is small by definition: for every query vector its best
+    page vector, summed."""
     best = F.transform("q", lambda a: F.array_max(F.transform("p", lambda b: dot(a, b))))
     q = queries.select("query_id", F.col("vectors").alias("q"))
     pairs = pages.select("page_id", F.col("vectors").alias("p")).crossJoin(q)

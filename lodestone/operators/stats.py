@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,31 +75,115 @@ def spearman(df: DataFrame, a: str, b: str, keys=()) -> DataFrame:
     return d.groupBy(*group).agg(F.corr("__a", "__b").alias("rho")).select(*keys, "rho")
 
 
-def bootstrap_mean(df: DataFrame, value: str, resamples: int = 10_000, seed: int = SEED, order: str = "query_id") -> DataFrame:
+#: Words of the generator that a task looks through at once.
+RANGE_WORDS = 1 << 22
+#: Numbers of a chunk of resamples.
+CHUNK = 1 << 21
+
+
+def _draws(seed: int, at: int, words: int, n: int) -> np.ndarray:
+    """The numbers below ``n`` (under 2^32) that NumPy's default generator makes
+    of its 32-bit words [at, at + words), ``at`` even: the state is advanced to
+    the place, low halves come before high ones, and words that would favour some
+    numbers are passed over."""
+    state = np.random.PCG64(seed).advance(at // 2)
+    w = state.random_raw(-(-words // 2)).view(np.uint32)[:words] if words else np.zeros(0, np.uint32)
+    wide = w.astype(np.uint64) * np.uint64(n)
+    return (wide >> np.uint64(32))[(wide & np.uint64(0xFFFFFFFF)) >= (2**32 - n) % n].astype(np.int64)
+
+
+def _resampled(df: DataFrame, values: list[str], order: str, resamples: int, seed: int, statistic, words: int) -> DataFrame:
+    """(v): ``statistic`` of the columns' resampled means, a row a resample.
+
+    The resamples are those of one stream of NumPy's default generator over the
+    rows in the given order. Ranges of the stream's words are counted by as many
+    tasks, as a few words give no number; with these counts every task finds the
+    place of its own resamples. A task holds the values, one row a query, and a
+    chunk of numbers.
+    """
+    spark = df.sparkSession
+    n = df.count()
+    if not n:
+        return spark.createDataFrame([], "v double")
+    if n == 1:  # one number takes no word
+        words_needed, ranges = 0, 1
+    else:
+        words_needed = resamples * n
+        # a word gives no number with a chance below n / 2^32
+        ranges = -(-int(words_needed * 1.001 / (1 - n / 2**32) + 1024) // words)
+
+    def count(batches):
+        for b in batches:
+            ids = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([len(_draws(seed, i * words, words, n)) for i in ids])], names=["id", "n"])
+
+    firsts = np.zeros(ranges + 1, np.int64)
+    if words_needed:
+        for r in spark.range(ranges, numPartitions=ranges).mapInArrow(count, "id long, n long").collect():  # a row a range
+            firsts[r["id"] + 1] = r["n"]
+        firsts = np.cumsum(firsts)
+        if firsts[-1] < words_needed:
+            raise ValueError("the generator's words do not suffice")
+    each = max(1, -(-resamples // ranges))
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            columns = [b.column(i + 1)[0].values.to_numpy(zero_copy_only=False) for i in range(len(values))]
+            for part in b.column(0).to_pylist():
+                low, high = part * each, min(resamples, (part + 1) * each)
+                place, held = int(np.searchsorted(firsts, low * n, "right")) - 1, np.zeros(0, np.int64)
+                skip = low * n - int(firsts[place]) if words_needed else 0
+                at, rows, out = place * words, max(1, CHUNK // n), []
+                for r in range(low, high, rows):
+                    size = min(rows, high - r) * n
+                    while len(held) - skip < size and words_needed:
+                        take = min(words, 2 * (-(-(size - len(held) + skip) // 2)) + 64)
+                        held, at = np.concatenate([held, _draws(seed, at, take, n)]), at + take
+                    pick = held[skip : skip + size].reshape(-1, n) if words_needed else np.zeros((size, 1), np.int64)
+                    held, skip = held[skip + size :], 0
+                    out.append(statistic(*[x[pick].mean(1) for x in columns]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["v"])
+
+    rows = F.array_sort(F.collect_list(F.struct(order, *values)))
+    one = df.select(order, *[F.col(v).cast("double").alias(v) for v in values]).agg(rows.alias("r")).select(*[F.col(f"r.{v}").alias(v) for v in values])
+    parts = spark.range(-(-resamples // each), numPartitions=-(-resamples // each))
+    return parts.crossJoin(F.broadcast(one)).mapInArrow(run, "v double")  # one row, as long as the query list
+
+
+def _interval(v: DataFrame) -> DataFrame:
+    return v.agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
+
+
+def bootstrap_mean(df: DataFrame, value: str, resamples: int = 10_000, seed: int = SEED, order: str = "query_id", words: int = RANGE_WORDS) -> DataFrame:
     """One row (low, high): 95 % percentile interval of the mean with NumPy's
     generator, over the rows in the given order. One row a query."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        means = np.concatenate([x[rng.integers(0, len(x), (min(256, resamples - i), len(x)))].mean(1) for i in range(0, resamples, 256)])
-        low, high = np.quantile(means, [0.025, 0.975])
-        return pd.DataFrame({"low": [low], "high": [high]})
-
-    return df.select(order, value).groupBy().applyInPandas(run, "low double, high double")
+    return _interval(_resampled(df, [value], order, resamples, seed, lambda x: x, words))
 
 
-def _below(seed: int, n: int, size: int) -> np.ndarray:
-    """The next ``size`` numbers that the standard library's generator draws
-    below ``n`` (under 2^32): its words' leading bits, less those too large."""
+def _below(seed: int, n: int):
+    """A function that gives the next numbers that the standard library's
+    generator draws below ``n`` (under 2^32): its words' leading bits, less those
+    too large."""
     state = random.Random(seed).getstate()[1]
     words = np.random.MT19937()
     words.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
-    held, have = [], 0
-    while have < size:
-        x = words.random_raw(max(1024, (size - have) * 5 // 4)) >> np.uint64(32 - n.bit_length())
-        held.append(x[x < n].astype(np.int64))
-        have += len(held[-1])
-    return np.concatenate(held)[:size]
+    held = np.zeros(0, np.int64)
+
+    def take(size: int) -> np.ndarray:
+        nonlocal held
+        parts, have = [held], len(held)
+        while have < size:
+            x = words.random_raw(max(1024, (size - have) * 5 // 4)) >> np.uint64(32 - n.bit_length())
+            parts.append(x[x < n].astype(np.int64))
+            have += len(parts[-1])
+        out = np.concatenate(parts)
+        held = out[size:]
+        return out[:size]
+
+    return take
 
 
 def paired_bootstrap(df: DataFrame, value: str = "delta", resamples: int = 10_000, seed: int = SEED, tol: float = TOLERANCE, order: str = "query_id") -> DataFrame:
@@ -107,28 +192,20 @@ def paired_bootstrap(df: DataFrame, value: str = "delta", resamples: int = 10_00
     order. One row a query."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values(order)[value].to_numpy(float)
-        means = x[_below(seed, len(x), resamples * len(x))].reshape(resamples, len(x)).mean(1)
+        stream, n = _below(seed, len(x)), len(x)
+        rows = max(1, CHUNK // max(n, 1))
+        means = np.concatenate([x[stream(min(rows, resamples - i) * n)].reshape(-1, n).mean(1) for i in range(0, resamples, rows)])
         low, high = np.quantile(means, [0.025, 0.975])
         return pd.DataFrame({"mean_delta": [x.mean()], "low": [low], "high": [high], "wins": [int((x > tol).sum())], "ties": [int((np.abs(x) <= tol).sum())], "losses": [int((x < -tol).sum())]})
 
     return df.select(order, value).groupBy().applyInPandas(run, "mean_delta double, low double, high double, wins long, ties long, losses long")
 
 
-def bootstrap_ratio(df: DataFrame, numerator: str, denominator: str, resamples: int = 10_000, seed: int = SEED, order: str = "query_id") -> DataFrame:
+def bootstrap_ratio(df: DataFrame, numerator: str, denominator: str, resamples: int = 10_000, seed: int = SEED, order: str = "query_id", words: int = RANGE_WORDS) -> DataFrame:
     """One row (low, high): interval of the ratio of means, 1 where the
     denominator vanishes."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        a, b = pdf[numerator].to_numpy(float), pdf[denominator].to_numpy(float)
-        rng, out = np.random.default_rng(seed), []
-        for i in range(0, resamples, 256):
-            pick = rng.integers(0, len(a), (min(256, resamples - i), len(a)))
-            x, y = a[pick].mean(1), b[pick].mean(1)
-            out.append(np.where(np.abs(y) > 1e-15, x / np.where(y == 0, 1, y), 1.0))
-        low, high = np.quantile(np.concatenate(out), [0.025, 0.975])
-        return pd.DataFrame({"low": [low], "high": [high]})
-
-    return df.select(order, numerator, denominator).groupBy().applyInPandas(run, "low double, high double")
+    ratio = lambda x, y: np.where(np.abs(y) > 1e-15, x / np.where(y == 0, 1, y), 1.0)
+    return _interval(_resampled(df, [numerator, denominator], order, resamples, seed, ratio, words))
 
 
 def bootstrap_hashed(df: DataFrame, value: str, resamples: int = 200, order: str = "query_id") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion, gate, oracle, sampling, training
 from ..sources.clustered import apply_clustered, write_clustered
-from ..sources.ledger import shared_dir
 from ..sources.matrices import read_matrices, write_matrices
+from ..sources.scratch import folder
 
 from . import adapters as ad
 from . import sharded
@@ -41,8 +39,7 @@ def q7(spark, d):
 @query("m10_x19_sharded_search", f"{_ROWS} SELECT query_id, global_profile, global_ndcg10, query_profile, query_ndcg10 FROM o", "global_ndcg10 query_ndcg10")
 def m10(spark, d):
     """The search over shards of queries, each entered in a chained log."""
-    folder = f"{shared_dir(spark)}/lodestone/search-{uuid.uuid4().hex}"
-    run = sharded.ShardedSearch(ad.labelled(spark, d), oracle.W7, folder)
+    run = sharded.ShardedSearch(ad.labelled(spark, d), oracle.W7, folder(spark, "search"))
     return run.run().select("query_id", "global_profile", "global_ndcg10", "query_profile", "query_ndcg10")
 
 
@@ -70,7 +67,7 @@ def a6(spark, d):
     """Whole queries from files ordered by query, without a shuffle
     of their rows."""
     rows = ad.labelled(spark, d).withColumn("score", fusion.uniform()).select("query_id", "page_id", "relevance", "score")
-    ordered = write_clustered(rows, f"{shared_dir(spark)}/lodestone/ordered-{uuid.uuid4().hex}", "query_id", "page_id")
+    ordered = write_clustered(rows, folder(spark, "ordered"), "query_id", "page_id")
     return apply_clustered(ordered, "query_id", frame_metrics, _FRAME)
 
 
@@ -88,6 +85,6 @@ def a22(spark, d):
     wide = c.pivot("c_mktsegment", _SEGMENTS).agg(F.count(F.lit(1)).cast("double").alias("count"), F.max("c_acctbal").cast("double").alias("most")).na.fill(0.0)
     cell = [F.struct(F.lit(s).alias("page_id"), F.lit(m).alias("channel"), F.col(f"{s}_{m}").alias("score")) for s in _SEGMENTS for m in ("count", "most")]
     rows = wide.select("query_id", F.explode(F.array(*cell)).alias("c")).select("query_id", "c.*")
-    folder = f"{shared_dir(spark)}/lodestone/matrices-{uuid.uuid4().hex}"
-    write_matrices(rows, folder, _SEGMENTS, "customers")
-    return read_matrices(spark, folder, identity="customers")
+    at = folder(spark, "matrices")
+    write_matrices(rows, at, _SEGMENTS, "customers")
+    return read_matrices(spark, at, identity="customers")

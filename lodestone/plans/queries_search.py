@@ -244,13 +244,22 @@ def n2(spark, d):
     return stats.bootstrap_ratio(_metrics(spark, d), "ndcg_stage1", "ndcg_full")
 
 
-@query("n1_bootstrap_hashed", f"""WITH {_DELTA}, v AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS i, delta AS x, count(*) OVER () AS n FROM d),
+_HASHED = f"""WITH {_DELTA}, v AS (SELECT row_number() OVER (ORDER BY query_id) - 1 AS i, delta AS x, count(*) OVER () AS n FROM d),
   k AS (SELECT b, CAST('0x' || substr(md5(CAST(b AS VARCHAR) || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) % n AS i FROM v, range(100) t(b)), m AS (SELECT b, avg(x) AS m FROM k JOIN v USING (i) GROUP BY 1)
-  SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m""", "low high")
+  SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m"""
+
+
+@query("n1_bootstrap_hashed", _HASHED, "low high")
 def n1c(spark, d):
     return stats.bootstrap_hashed(_deltas(spark, d), "delta", 100)
 
 
+@query("n1_bootstrap_hashed_whole", _HASHED.replace("range(100)", "range(10000)"), "low high")
+def n1d(spark, d):
+    """With the study's number of resamples."""
+    return stats.bootstrap_hashed(_deltas(spark, d), "delta", 10_000)
+
+
 # ------------------------------------------------------------ gates
 _GATE = "g(name, w7_mean_delta, w7_low, w66_mean_delta, w66_low, w7_gain_ge_005, w66_gain_ge_005, w7_top_5pct_share, coverage) AS (VALUES ('a', 0.05, 0.01, 0.04, 0.02, 0.3, 0.4, 0.2, 0.99), ('b', 0.005, -0.01, 0.04, 0.02, 0.3, 0.4, 0.2, 0.99), ('c', 0.02, 0.01, 0.015, 0.01, 0.1, 0.1, 0.95, 0.9), ('d', 0.015, 0.001, 0.03, 0.02, 0.15, 0.1, 0.5, 0.97))"
 

@@ -106,10 +106,8 @@ def _bm25(spark, d):
 @query("j1_bm25", f"WITH {_BM25} SELECT query_id, page_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, page_id) AS r FROM sc) WHERE r <= 100", "score")
 def j1(spark, d):
     """The hundred best pages of each query."""
-    from ..operators.ranking import top
-
-    b = _bm25(spark, d).withColumn("s", F.round("score", 9))
-    return top(b, "s", 100).select("query_id", "page_id", "score")
+    pages = ad.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    return scorers.bm25_top(pages, ad.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"), 100)
 
 
 @query("j1_bm25_retrieval", rf"""WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, page_id) AS r FROM sc), h AS (SELECT item_id AS query_id, doc_id AS page_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))
@@ -142,13 +140,32 @@ def j4b(spark, d):
     return scorers.dense_blocks(*_vectors(spark, d))
 
 
-@query("j5_max_sim", """WITH e AS (SELECT vec_id, [list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE)), list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE))] AS v FROM embeddings)
-  SELECT q.vec_id AS query_id, p.vec_id AS page_id, greatest(list_inner_product(q.v[1], p.v[1]), list_inner_product(q.v[1], p.v[2])) + greatest(list_inner_product(q.v[2], p.v[1]), list_inner_product(q.v[2], p.v[2])) AS score FROM e q, e p WHERE q.vec_id % 100 = 0""", "score")
+_BEST100 = "SELECT query_id, page_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, page_id) AS r FROM ({})) WHERE r <= 100"
+
+
+@query("j4_dense_top", _BEST100.format(f"WITH {_UNIT} SELECT q.vec_id AS query_id, p.vec_id AS page_id, list_inner_product(q.v, p.v) AS score FROM u q, u p WHERE q.vec_id % 100 = 0"), "score")
+def j4c(spark, d):
+    """The hundred best of each query, from blocks; the other pairs are not made."""
+    return scorers.dense_top(*_vectors(spark, d))
+
+
+_MAX_SIM = """WITH e AS (SELECT vec_id, [list_transform(embedding[1:32], lambda x: CAST(x AS DOUBLE)), list_transform(embedding[33:64], lambda x: CAST(x AS DOUBLE))] AS v FROM embeddings)
+  SELECT q.vec_id AS query_id, p.vec_id AS page_id, greatest(list_inner_product(q.v[1], p.v[1]), list_inner_product(q.v[1], p.v[2])) + greatest(list_inner_product(q.v[2], p.v[1]), list_inner_product(q.v[2], p.v[2])) AS score FROM e q, e p WHERE q.vec_id % 100 = 0"""
+
+
+@query("j5_max_sim", _MAX_SIM, "score")
 def j5(spark, d):
     e = ad.table(spark, d, "embeddings").select("vec_id", F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("vectors"))
     return scorers.max_sim(e.withColumnRenamed("vec_id", "page_id"), e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"))
 
 
+@query("j5_max_sim_top", _BEST100.format(_MAX_SIM), "score")
+def j5b(spark, d):
+    """The hundred best pages of each query by late interaction."""
+    e = ad.table(spark, d, "embeddings").select("vec_id", F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("vectors"))
+    return scorers.max_sim_top(e.withColumnRenamed("vec_id", "page_id"), e.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"))
+
+
 @query("j6_parity", "SELECT (SELECT count(*) FROM embeddings) * (SELECT count(*) FROM embeddings WHERE vec_id % 100 = 0) AS pairs, true AS close")
 def j6(spark, d):
     p, q = _vectors(spark, d)

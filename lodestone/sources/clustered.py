@@ -9,7 +9,6 @@ descend, and parts of one file that overlap, raise: the file is not ordered.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.contracts import ContractError
-from .ledger import shared_dir
+from .scratch import scratch
 
 _FILE, _START = "__file", "__start"
 
@@ -94,11 +93,7 @@ def apply_clustered(df: DataFrame, key: str, function: Callable[[pa.Table], pa.T
     A key that comes again in another file is one group only where it stands at
     the ends of both.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/groups-{uuid.uuid4().hex}"
-    held = split_groups(df, key, function, schema)
-    held.write.parquet(path)
-    held = spark.read.schema(held.schema).parquet(path)
+    held = scratch(split_groups(df, key, function, schema), "groups")
     edges = held.where("edge IS NOT NULL")
     # parts of a file follow each other
     parts = edges.groupBy("file", "start").agg(F.min(f"edge.{key}").alias("low"), F.max(f"edge.{key}").alias("high"))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -19,17 +18,6 @@ class LedgerError(ValueError):
     pass
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names
-    none and all runs on this machine is a temporary one made."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise LedgerError("spark.checkpoint.dir names no folder that the driver and the executors share")
-    return tempfile.mkdtemp(prefix="lodestone-")
-
-
 def hashed(before: str, content: dict) -> str:
     return hashlib.sha256(json.dumps([before, content], sort_keys=True).encode()).hexdigest()
 

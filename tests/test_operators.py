@@ -302,7 +302,7 @@ def test_standard_library_draws(spark):
     from lodestone.operators import stats
 
     rng = random.Random(stats.SEED)
-    assert stats._below(stats.SEED, 7, 3000).tolist() == [rng.randrange(7) for _ in range(3000)]
+    assert stats._below(stats.SEED, 7)(3000).tolist() == [rng.randrange(7) for _ in range(3000)]
     deltas = [0.1, -0.2, 0.0, 0.4, 0.05]
     got = stats.paired_bootstrap(spark.createDataFrame([(str(i), x) for i, x in enumerate(deltas)], "query_id string, delta double"), resamples=200).first()
     rng = random.Random(stats.SEED)
