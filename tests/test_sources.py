@@ -3,11 +3,14 @@
 import io
 import json
 import tarfile
+import time
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import metrics
 from lodestone.operators.contracts import ContractError
 from lodestone.sources import readers, writers
 from lodestone.streaming import scores
@@ -89,9 +92,28 @@ def test_streams(spark, sf, tmp_path):
 
 
 def test_score_stream(spark, tmp_path):
-    df = spark.createDataFrame([("q1", "a", 1.0, 1.0), ("q1", "b", 2.0, 0.0), ("q2", "a", 1.0, 1.0)], "query_id string, page_id string, score double, relevance double")
-    df.write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
-    scores.evaluate_stream(stream, f"{tmp_path}/store", f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    got = {r.query_id: r.mrr10 for r in spark.read.parquet(f"{tmp_path}/out").collect()}
-    assert got == {"q1": 0.5, "q2": 1.0}
+    """After every batch, the metrics of its queries are those of all rows so far;
+    a batch reads its own file only."""
+    rng = np.random.default_rng(6)
+    kinds = "query_id string, page_id string, score double, relevance double"
+    parts = [[(f"q{rng.integers(5)}", f"p{b}{i:02d}", float(rng.integers(0, 6)), float(rng.integers(0, 4) * (rng.random() < 0.3))) for i in range(30)] for b in range(4)]
+    for part in parts:
+        spark.createDataFrame(part, kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        time.sleep(1.1)  # files come in the order of their times
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = scores.evaluate_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
+    query.awaitTermination()
+    assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [30] * 4
+    for b in range(4):
+        known = [r for part in parts[: b + 1] for r in part]
+        want = {r.query_id: r for r in metrics.evaluate(spark.createDataFrame(known, kinds), "score").collect()}
+        got = spark.read.parquet(f"{tmp_path}/out/part={b}").collect()
+        assert {r.query_id for r in got} == {r[0] for r in parts[b]}
+        for r in got:
+            w = want[r.query_id]
+            assert all(getattr(r, c) == pytest.approx(getattr(w, c), abs=1e-12) for c in ("ndcg10", "recall1", "recall3", "mrr10"))
+    # a later run goes on from the state
+    spark.createDataFrame([("q0", "new", 99.0, 3.0)], kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    scores.evaluate_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    last = spark.read.parquet(f"{tmp_path}/out/part=4").collect()
+    assert [(r.query_id, r.mrr10) for r in last] == [("q0", 1.0)]
