@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_audit, queries_bundle, queries_core, queries_more, queries_replay, queries_runs, queries_search, queries_text  # noqa: F401  (they register)
+from . import queries_audit, queries_bundle, queries_core, queries_gates, queries_more, queries_replay, queries_runs, queries_search, queries_text  # noqa: F401  (they register)
 from .registry import QUERIES, SQL
 
 
