@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import changes
 from .gate import FEATURES, SHORT
 from .ranking import hash_numbers
 
@@ -99,6 +100,17 @@ def start(s: Settings) -> State:
     return State(p, np.zeros_like(p), np.zeros_like(p))
 
 
+def matched(left: Settings, right: Settings) -> None:
+    """Two trainings may be compared if their settings differ in the level alone;
+    then they start from the same parameters and meet the queries in the same
+    order. Raises ValueError with what else differs."""
+    apart = changes(asdict(left), asdict(right))
+    if set(apart) != {"level"}:
+        raise ValueError(f"matched settings differ in the level alone, these in {apart}")
+    if not np.array_equal(start(left).parameters, start(right).parameters):
+        raise ValueError("matched trainings start from the same parameters")
+
+
 # ---------------------------------------------------------------- one record
 def forward(parameters: np.ndarray, s: Settings, f: np.ndarray, x: np.ndarray):
     """Scores of a record's pages, and what the gradient needs."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import audit, decisions, sampling
+from ..sources import readers, writers
+from ..sources.scratch import folder
 from ..streaming import scores as streaming
 from . import adapters as ad
 from .registry import query
@@ -64,6 +66,32 @@ def p1(spark, d):
     return audit.page_manifest(ad.corpus_pages(spark, d)).select("page_id", "content_sha256", "canonical", "case_twins")
 
 
+@query("b8_g7_canonical_manifest", f"WITH {ad.PAGES} SELECT count(*) AS rows, 0::BIGINT AS descents, false AS overlaps, min(page_id) AS first_page, max(page_id) AS last_page FROM pages_t")
+def b8(spark, d):
+    """The manifest as a list in canonical order, read again as it stands."""
+    at, kinds = folder(spark, "manifest"), "document_id string, page_id string, page_number int, source_path string, content_sha256 string, split string"
+    pages = audit.page_manifest(ad.corpus_pages(spark, d)).select("document_id", "page_id", "page_number", F.col("source").alias("source_path"), "content_sha256", "split")
+    writers.write_canonical(pages, at, "manifest")
+    f = writers.canonical_faults(spark, at, "manifest", kinds)
+    return f.agg(F.sum("rows").alias("rows"), F.sum("descents").alias("descents"), F.bool_or("overlaps").alias("overlaps"), F.min("first.page_id").alias("first_page"), F.max("last.page_id").alias("last_page"))
+
+
+@query("a14_annotation_faults", """WITH a AS (SELECT printf('%040x_%d', doc_id // 3, doc_id % 3) AS query_id, coalesce(text, '') AS text,
+  CASE WHEN doc_id % 41 = 5 THEN printf('%040x', doc_id // 3 + 1) ELSE printf('%040x', doc_id // 3) END AS document_id, CASE WHEN doc_id % 29 = 2 THEN [1, 1] WHEN doc_id % 23 = 7 THEN [0] WHEN doc_id % 19 = 3 THEN [] ELSE [1, doc_id % 5 + 2] END AS pages FROM documents)
+  SELECT query_id, CASE WHEN document_id <> split_part(query_id, '_', 1) THEN 'file_name' WHEN trim(text, ' ') = '' THEN 'query' WHEN len(pages) = 0 THEN 'no_pages' WHEN list_min(pages) < 1 THEN 'page_number' WHEN len(list_distinct(pages)) < len(pages) THEN 'repeated_page' END AS fault
+  FROM a WHERE fault IS NOT NULL""")
+def a14(spark, d):
+    """Documents as annotated queries, three a document, with planted faults."""
+    i = F.col("doc_id")
+    document = lambda x: F.lpad(F.lower(F.hex(x)), 40, "0")
+    whole = F.expr("doc_id div 3")
+    pages = F.when(i % 29 == 2, F.array(F.lit(1), F.lit(1))).when(i % 23 == 7, F.array(F.lit(0))).when(i % 19 == 3, F.array().cast("array<int>")).otherwise(F.array(F.lit(1), (i % 5 + 2).cast("int")))
+    q = ad.table(spark, d, "documents").select(
+        F.concat_ws("_", document(whole), (i % 3).cast("string")).alias("query_id"), F.coalesce("text", F.lit("")).alias("text"), F.when(i % 41 == 5, document(whole + 1)).otherwise(document(whole)).alias("document_id"), pages.alias("pages")
+    )
+    return readers.annotation_faults(q)
+
+
 _GROUPS = f"{ad.PAGES}, h AS (SELECT *, sha256(content) AS content_sha256 FROM pages_t), g AS (SELECT content_sha256, count(*) AS pages, list_sort(list(DISTINCT split)) AS splits FROM h GROUP BY 1 HAVING count(*) > 1)"
 
 

@@ -9,7 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,8 +60,6 @@ def for_queries(df: DataFrame, queries: DataFrame) -> DataFrame:
 def query_order(df: DataFrame) -> DataFrame:
     """(query_id, query_index): first-seen order made explicit by id order, with
     duplicates counted in n."""
-    from pyspark.sql import Window
-
     g = df.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     return g.withColumn("query_index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("query_id")) - 1)
 
@@ -86,6 +84,35 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
     return e.select(F.col("uid").alias("query_id"), F.col("query").alias("text"), F.regexp_replace(m["file_name"], r"\.[^.]*$", "").alias("document_id"), m["reference_page"].alias("pages"), source.alias("source"))
 
 
+#: Fixed value: the form of a document's id in an annotation's uid.
+DOCUMENT = "^[0-9a-f]{40}$"
+
+
+def annotation_faults(queries: DataFrame, document: str = DOCUMENT) -> DataFrame:
+    """(query_id, fault) of annotations that break a rule, the first each: the uid
+    is a document's id, ``_`` and a suffix; it comes once; the file is that of the
+    document; the query has a text; pages are there, positive and named once."""
+    of_uid = F.regexp_extract("query_id", "^(.*)_[^_]+$", 1)
+    n = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    rules = [
+        ("uid", of_uid.rlike(document)), ("repeated_uid", n == 1), ("file_name", F.col("document_id") == of_uid), ("query", F.trim("text") != ""),
+        ("no_pages", F.size("pages") > 0), ("page_number", F.forall("pages", lambda p: F.coalesce(p >= 1, F.lit(False)))), ("repeated_page", F.size(F.array_distinct("pages")) == F.size("pages")),
+    ]
+    fault = F.lit(None).cast("string")
+    for name, rule in reversed(rules):
+        fault = F.when(~F.coalesce(rule, F.lit(False)), name).otherwise(fault)
+    return queries.select("query_id", fault.alias("fault")).where("fault IS NOT NULL")
+
+
+def checked_annotations(spark: SparkSession, path: str, document: str = DOCUMENT) -> DataFrame:
+    """``annotations``, or ContractError that counts what is wrong with them."""
+    out = annotations(spark, path)
+    broken = {r["fault"]: r["n"] for r in annotation_faults(out, document).groupBy("fault").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a rule
+    if broken:
+        raise ContractError(f"annotations: {broken}")
+    return out
+
+
 def annotation_qrels(queries: DataFrame) -> DataFrame:
     """(query_id, page_id, relevance): each referenced page once."""
     d = queries.select("query_id", "document_id", F.explode("pages").alias("number")).distinct()

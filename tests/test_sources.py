@@ -1,5 +1,6 @@
 """Readers, writers and streams."""
 
+import csv
 import io
 import json
 import tarfile
@@ -117,3 +118,44 @@ def test_score_stream(spark, tmp_path):
     scores.evaluate_stream(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     last = spark.read.parquet(f"{tmp_path}/out/part=4").collect()
     assert [(r.query_id, r.mrr10) for r in last] == [("q0", 1.0)]
+
+
+def test_canonical_lists(spark, tmp_path):
+    rows = [(f"d{i % 7}", f"d{i % 7}_page_{i:04d}", i, None if i % 5 == 0 else f'a "quoted", path\n{i}', i % 2 == 0) for i in range(200)]
+    kinds = "document_id string, page_id string, page_number int, source_path string, leak boolean"
+    df = spark.createDataFrame(rows, kinds).repartition(6)
+    writers.write_canonical(df, f"{tmp_path}/m", "manifest")
+    lines = []
+    for f in sorted((tmp_path / "m").glob("part-*.csv")):
+        with f.open(newline="") as stream:
+            head, *body = list(csv.reader(stream))
+        assert head == ["document_id", "page_id", "page_number", "source_path", "leak"]
+        lines += body
+    want = sorted(rows, key=lambda r: (r[0], r[2], r[1]))
+    assert lines == [[r[0], r[1], str(r[2]), r[3] or "", str(r[4]).lower()] for r in want]
+    plain = df.drop("source_path")
+    writers.write_canonical(plain, f"{tmp_path}/p", "manifest")
+    ok = writers.canonical_faults(spark, f"{tmp_path}/p", "manifest", "document_id string, page_id string, page_number int, leak boolean").collect()
+    assert sum(r.rows for r in ok) == 200 and not any(r.descents or r.overlaps for r in ok)
+    plain.orderBy(F.desc("page_number")).coalesce(1).write.csv(f"{tmp_path}/x", header=True)
+    odd = writers.canonical_faults(spark, f"{tmp_path}/x", "manifest", "document_id string, page_id string, page_number int, leak boolean").first()
+    assert odd.descents > 100
+    with pytest.raises(Exception, match="already exists"):
+        writers.write_canonical(df, f"{tmp_path}/m", "manifest")
+
+
+def test_annotation_faults(spark, tmp_path):
+    doc = "a" * 40
+    one = lambda uid, query="q", file=f"{doc}.pdf", pages=(1, 2): {"uid": uid, "query": query, "meta_info": {"file_name": file, "reference_page": list(pages), "source_type": "t", "query_type": "s"}}
+    good = [one(f"{doc}_1"), one(f"{doc}_2")]
+    (tmp_path / "good.json").write_text(json.dumps({"examples": good}))
+    assert readers.checked_annotations(spark, f"{tmp_path}/good.json").count() == 2
+    bad = [one("short_1"), one(f"{doc}_3", file="other.pdf"), one(f"{doc}_4", query="  "), one(f"{doc}_5", pages=()), one(f"{doc}_6", pages=(0,)), one(f"{doc}_7", pages=(2, 2)), one(f"{doc}_8"), one(f"{doc}_8"), one(f"{doc}_"), one(doc)]
+    (tmp_path / "bad.json").write_text(json.dumps({"examples": good + bad}))
+    found = {}
+    for r in readers.annotation_faults(readers.annotations(spark, f"{tmp_path}/bad.json")).collect():
+        found.setdefault(r.fault, []).append(r.query_id.removeprefix(doc))
+    assert found == {"uid": found["uid"], "file_name": ["_3"], "query": ["_4"], "no_pages": ["_5"], "page_number": ["_6"], "repeated_page": ["_7"], "repeated_uid": ["_8", "_8"]}
+    assert sorted(found["uid"]) == ["", "_", "short_1"]
+    with pytest.raises(ContractError, match="'repeated_uid': 2"):
+        readers.checked_annotations(spark, f"{tmp_path}/bad.json")

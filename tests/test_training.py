@@ -136,3 +136,10 @@ def test_query_equals_one_process(spark, sf, monkeypatch):
     s = Settings(epochs=got[0].epoch)  # the parameters are those of the best epoch
     p, _ = plain_train(rows["train"], rows["validation"], s)
     assert np.abs(np.array([r.value for r in got]) - p).max() < 1e-6  # the query rounds to six digits
+
+
+def test_matched_settings():
+    training.matched(Settings(level="query", hidden=3), Settings(level="page", hidden=3))
+    for other in (Settings(level="page"), Settings(level="query", seed=1), Settings(level="query", hidden=2), Settings(level="query", epochs=20, rate=1)):
+        with pytest.raises(ValueError, match="level alone"):
+            training.matched(Settings(level="page"), other)
