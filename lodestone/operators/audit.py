@@ -45,6 +45,14 @@ def duplicate_pairs(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return a.join(b, "content_sha256").where("left_id < right_id").drop("content_sha256")
 
 
+def duplicate_members(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """(content_sha256, member, representative) of contents on several pages: each
+    page with the smallest of its content. ``duplicate_pairs`` has the square of
+    that; a popular content should not be expanded."""
+    g = pages.groupBy("content_sha256").agg(F.min(key).alias("representative"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return pages.select("content_sha256", F.col(key).alias("member")).join(g, "content_sha256")
+
+
 def leaks(groups: DataFrame) -> DataFrame:
     """Duplicate groups whose pages lie in several closed splits."""
     closed = F.filter("splits", lambda s: ~s.isin(*OPEN_SPLITS))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
 from .contracts import CHANNELS, label_free
 
 QUERY = ["query_id"]
@@ -125,10 +126,24 @@ def hash_numbers(df: DataFrame, digest: Column, ties: list[str], out: str = "pos
     return (d.withColumn(total, F.col("__n")) if total else d).drop("__h", "__p", "__s", "__n")
 
 
+def numbered(df: DataFrame, order: list, out: str = "number", total: str | None = None) -> DataFrame:
+    """``df`` with 1-based positions in any order, without putting the table into
+    one task: rows are dealt into ranges of the order and written, a range's rows
+    are numbered where they are, and the counts of the ranges before give each
+    its first number. Equal rows of the order share a range, so ``order`` should
+    tell most rows apart."""
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    d = scratch(df.repartitionByRange(*columns).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = d.groupBy("__range").agg(F.count(F.lit(1)).alias("__c"))  # a row a range
+    whole = Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("__c").over(whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__range", before.alias("__s"), F.sum("__c").over(whole).alias("__n"))
+    d = d.join(F.broadcast(starts), "__range").withColumn(out, F.row_number().over(Window.partitionBy("__range").orderBy(*columns)) + F.col("__s"))
+    return (d.withColumn(total, F.col("__n")) if total else d).drop("__range", "__s", "__n")
+
+
 def systematic(df: DataFrame, order: list[str], k: int) -> DataFrame:
-    """k rows at positions floor(i * n / k) of the order. ``df`` is a query list."""
-    d = df.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    d = d.withColumn("__n", n)
+    """k rows at positions floor(i * n / k) of the order."""
+    d = numbered(df, order, "position", "__n").withColumn("position", F.col("position") - 1)
     i = F.ceil(F.col("position") * k / F.col("__n"))
     return d.where((F.floor(i * F.col("__n") / k) == F.col("position")) & (i < k)).drop("__n")

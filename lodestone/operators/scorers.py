@@ -7,12 +7,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import words
 from ..sources.scratch import scratch
-from .ranking import top
+from .ranking import numbered, top
 
 K1, B = 1.5, 0.75
 
@@ -72,6 +72,27 @@ def bm25_top(pages: DataFrame, queries: DataFrame, k: int = 100, k1: float = K1,
     return top(score.withColumn("rounded", F.round("score", digits)), "rounded", k).select("query_id", "page_id", "score")
 
 
+def containing(pages: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, page_id) of the pages whose text contains a passage's.
+
+    The words inside a passage, without its first and last, are whole words of any
+    text that contains it: pages that have the rarest of them are looked at, no
+    others. Passages of one or two words meet all pages. Null texts contain and
+    are contained in nothing.
+    """
+    p, q = pages.select("page_id", F.col("text").alias("text")), passages.select("query_id", F.col("text").alias("passage")).where("passage IS NOT NULL")
+    q = q.withColumn("w", words("passage"))
+    inner = q.where(F.size("w") > 2).select("query_id", F.explode(F.array_distinct(F.expr("slice(w, 2, size(w) - 2)"))).alias("term"))
+    held = p.select("page_id", F.explode(F.array_distinct(words("text"))).alias("term"))
+    held = scratch(held.join(inner.select("term").distinct(), "term", "left_semi"), "held")
+    df = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # a word that no page has rules its passage out
+    rarest = inner.join(df, "term", "left").groupBy("query_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).select("query_id", F.col("r.term").alias("term"))
+    near = rarest.join(held, "term").join(q.select("query_id", "passage"), "query_id").join(p, "page_id").where(F.contains("text", "passage"))
+    short = p.join(q.where("size(w) <= 2").select("query_id", "passage"), F.contains("text", "passage"))
+    return near.select("query_id", "page_id").unionByName(short.select("query_id", "page_id"))
+
+
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -237,5 +258,5 @@ def union_area(boxes: pd.Series) -> pd.Series:
 
 def dense_index(pages: DataFrame) -> DataFrame:
     """``pages`` with document_index: documents numbered from 0 in id order."""
-    ids = pages.select("document_id").distinct().withColumn("document_index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("document_id")) - 1)
+    ids = numbered(pages.select("document_id").distinct(), ["document_id"], "document_index").withColumn("document_index", F.col("document_index") - 1)
     return pages.join(ids, "document_id")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import average_rank
+from .ranking import average_rank, numbered
 
 SEED = 20260820  # fixed value: the bootstrap's seed
 TOLERANCE = 1e-12
@@ -24,11 +24,12 @@ def win_tie_loss(delta: str, tol: float = TOLERANCE) -> list[Column]:
 def top_share(df: DataFrame, delta: str, share: float = 0.05, out: str = "top_5pct_share") -> DataFrame:
     """One row: the part of all positive values that the largest ``share`` of the
     rows hold (at least one row). ``df`` has one row a query."""
-    whole = Window.partitionBy(F.lit(0))
-    d = df.select(F.greatest(F.col(delta), F.lit(0.0)).alias("x")).withColumn("r", F.row_number().over(whole.orderBy(F.desc("x"))))
-    d = d.withColumn("n", F.count(F.lit(1)).over(whole))
+    x = F.greatest(F.col(delta), F.lit(0.0))
+    count = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(x), F.lit(0.0)).alias("s"))
+    # values of zero add nothing, wherever they stand
+    d = numbered(df.select(x.alias("x")).where("x > 0"), [F.desc("x")], "r").crossJoin(F.broadcast(count))
     keep = F.col("r") <= F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n")))
-    return d.agg(F.coalesce(F.try_divide(F.sum(F.when(keep, F.col("x"))), F.sum("x")), F.lit(0.0)).alias(out))
+    return d.agg(F.coalesce(F.try_divide(F.sum(F.when(keep, F.col("x"))), F.max("s")), F.lit(0.0)).alias(out))
 
 
 def paired(df: DataFrame, left: str, right: str, value: str, keys=("query_id",)) -> DataFrame:
@@ -62,8 +63,8 @@ def seed_spread(per_seed: DataFrame) -> DataFrame:
 
 def median_split(df: DataFrame, value: str, measure: str) -> DataFrame:
     """Means of ``measure`` over queries above and not above the median of ``value``."""
-    m = F.median(value).over(Window.partitionBy(F.lit(0)))
-    d = df.withColumn("band", F.when(F.col(value) > m, "high").otherwise("low"))
+    middle = df.agg(F.median(value).alias("__middle"))
+    d = df.crossJoin(F.broadcast(middle)).withColumn("band", F.when(F.col(value) > F.col("__middle"), "high").otherwise("low"))
     return d.groupBy("band").agg(F.count(F.lit(1)).alias("queries"), F.avg(measure).alias("mean"))
 
 

@@ -105,6 +105,12 @@ def d10(spark, d):
     return audit.duplicate_pairs(audit.page_manifest(ad.corpus_pages(spark, d)))
 
 
+@query("d10_duplicate_members", f"WITH {_GROUPS}, m AS (SELECT content_sha256, min(page_id) AS representative FROM h GROUP BY 1 HAVING count(*) > 1) SELECT h.content_sha256, page_id AS member, representative FROM h JOIN m USING (content_sha256)")
+def d10b(spark, d):
+    """Membership instead of all pairs."""
+    return audit.duplicate_members(audit.page_manifest(ad.corpus_pages(spark, d)))
+
+
 @query("p4_d11_leaks", f"WITH {_GROUPS} SELECT content_sha256, pages, array_to_string(list_filter(splits, lambda s: s NOT IN ('shared', 'unassigned')), ',') AS closed FROM g WHERE len(list_filter(splits, lambda s: s NOT IN ('shared', 'unassigned'))) > 1")
 def p4(spark, d):
     g = audit.leaks(audit.duplicate_groups(audit.page_manifest(ad.corpus_pages(spark, d))))

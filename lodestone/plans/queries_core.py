@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
@@ -486,5 +485,5 @@ def x9(spark, d):
 
 @query("x20_workload", "SELECT c_custkey, pass, position < 20 AS warm_up FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer) c, range(6) g(pass)")
 def x20(spark, d):
-    c = ad.table(spark, d, "customer").select("c_custkey", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("c_custkey")) - 1).alias("position"))
+    c = ranking.numbered(ad.table(spark, d, "customer").select("c_custkey"), ["c_custkey"], "position").withColumn("position", F.col("position") - 1)
     return c.select("c_custkey", F.explode(F.expr("sequence(0L, 5L)")).alias("pass"), (F.col("position") < 20).alias("warm_up"))

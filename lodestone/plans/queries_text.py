@@ -117,8 +117,8 @@ def j1b(spark, d):
     from ..operators.ranking import rank_of
 
     b = _bm25(spark, d).withColumn("s", F.round("score", 9)).withColumn("r", rank_of("s"))
-    items = ad.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    held = ad.table(spark, d, "documents").join(items, F.expr("contains(text, passage)")).select("query_id", F.col("doc_id").alias("page_id"))
+    pages = ad.table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    held = scorers.containing(pages, ad.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
     return b.join(held, ["query_id", "page_id"]).groupBy("query_id").agg(F.min("r").alias("first_rank"), F.count(F.lit(1)).alias("hits"))
 
 

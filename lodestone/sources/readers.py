@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import page_id
 from ..operators.contracts import CONTRACTS, ContractError, exact_columns
+from ..operators.ranking import numbered
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -61,7 +62,7 @@ def query_order(df: DataFrame) -> DataFrame:
     """(query_id, query_index): first-seen order made explicit by id order, with
     duplicates counted in n."""
     g = df.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    return g.withColumn("query_index", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("query_id")) - 1)
+    return numbered(g, ["query_id"], "query_index").withColumn("query_index", F.col("query_index") - 1)
 
 
 def read_splits(spark: SparkSession, folder: str, roles=("train", "validation", "test")) -> DataFrame:

@@ -68,3 +68,32 @@ def test_plan_does_not_grow_with_queries(spark):
         plans.append(plan.count("\n"))
         assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert plans[0] == plans[1]
+
+
+def test_containing(spark):
+    pages = [("a", "One two three four five"), ("b", "xone two threex"), ("c", "one two"), ("d", None), ("e", ""), ("f", "ONE TWO THREE")]
+    passages = [("whole", "One two three"), ("cut", "ne two three"), ("two", "one two"), ("single", "x"), ("none", "zero one two three"), ("absent", "one seven three"), ("null", None), ("empty", "")]
+    p, q = spark.createDataFrame(pages, "page_id string, text string"), spark.createDataFrame(passages, "query_id string, text string")
+    want = sorted((i, a) for i, x in passages for a, t in pages if x is not None and t is not None and x in t)
+    assert sorted(map(tuple, scorers.containing(p, q).collect())) == want
+
+
+def test_numbers_without_one_task(spark):
+    from lodestone.operators import ranking
+
+    rng = random.Random(2)
+    rows = [(f"k{i:04d}", rng.choice([None, 0.0, 0.5, float(i)])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = ranking.numbered(df, [F.desc("v"), "k"], "n", "all")
+    want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert [(r.k, r.n, r["all"]) for r in sorted(got.collect(), key=lambda r: r.n)] == [(k, i + 1, 500) for i, (k, _) in enumerate(want)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") <= 1  # the counts of ranges
+    assert ranking.numbered(df.where("false"), ["k"]).collect() == []
+
+
+def test_duplicate_members(spark):
+    from lodestone.operators import audit
+
+    df = spark.createDataFrame([("p1", "a", "x"), ("p2", "b", "x"), ("p3", "a", "y"), ("p0", "a", "z")], "page_id string, content_sha256 string, split string")
+    assert sorted(map(tuple, audit.duplicate_members(df).collect())) == [("a", "p0", "p0"), ("a", "p1", "p0"), ("a", "p3", "p0")]
