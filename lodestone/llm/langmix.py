@@ -29,6 +29,8 @@ BUCKETS = 1 << 14
 _SLICE = 1 << 20
 #: Log likelihood that a fit may miss, for short texts a thousandth of it an n-gram.
 _MISSING = 1e-3
+#: A fit starts near the best single language, with so much spread over all.
+_SPREAD = 0.02
 #: Most languages for Newton steps.
 _NEWTON = 16
 #: Numbers of a group's likelihood array (small enough for a cache).
@@ -117,7 +119,7 @@ def _newton(like: np.ndarray, share: np.ndarray, p: np.ndarray, slope: np.ndarra
     return np.where(whole > 0, pi / np.maximum(whole, 1e-300), 1 / k)
 
 
-def _em(like: np.ndarray, count: np.ndarray, total: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _em(like: np.ndarray, count: np.ndarray, total: np.ndarray, pi: np.ndarray, enough: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (texts x languages) and log likelihoods at the maximum, from
     the proportions ``pi`` on. ``like`` is (texts, languages, cells).
 
@@ -125,12 +127,16 @@ def _em(like: np.ndarray, count: np.ndarray, total: np.ndarray, pi: np.ndarray)
     number of n-grams bounds what is missing to the maximum. Every text iterates
     until that bound is below its tolerance. A Newton step is tried between
     rounds of EM, and taken back unless it halves the bound.
+    A text whose likelihood can be shown to stay below ``enough`` is left there,
+    with minus infinity.
     """
     out, ll = pi.copy(), np.empty(len(pi))
     k, live, limit = pi.shape[1], np.arange(len(pi)), np.minimum(_MISSING, total * _MISSING / 1000)
     # the bound and the EM step of the last point that was kept
     bound, step = np.full(len(pi), np.inf), pi
     tried = np.zeros(len(pi), bool)
+    # further from its maximum than this, a likelihood cannot be shown to stay below
+    room = None if enough is None else 0.5 * np.log(np.maximum(total, 2))
     while True:
         p = pi[:, :1] * like[:, 0]
         for i in range(1, k):
@@ -139,12 +145,18 @@ def _em(like: np.ndarray, count: np.ndarray, total: np.ndarray, pi: np.ndarray)
         slope = np.stack([np.einsum("tc,tc->t", like[:, i], share) for i in range(k)], 1)
         missing = slope.max(1) - total
         done = missing <= limit
-        if done.any():
+        below = np.zeros(len(done), bool)
+        if enough is not None and (near := np.flatnonzero(missing <= room)).size:
+            below[near] = np.einsum("tc,tc->t", count[near], np.log(p[near])) + missing[near] <= enough[near]
+            done &= ~below
+        if done.any() or below.any():
             out[live[done]], ll[live[done]] = pi[done], np.einsum("tc,tc->t", count[done], np.log(p[done]))
+            ll[live[below]] = -np.inf
+            done |= below
             if done.all():
                 return out, ll
-            like, count, total, pi, live, limit, bound, step, tried, p, share, slope, missing = (
-                x[~done] for x in (like, count, total, pi, live, limit, bound, step, tried, p, share, slope, missing)
+            like, count, total, pi, live, limit, bound, step, tried, p, share, slope, missing, enough, room = (
+                None if x is None else x[~done] for x in (like, count, total, pi, live, limit, bound, step, tried, p, share, slope, missing, enough, room)
             )
         kept = ~tried | (missing <= bound / 2)
         after = np.maximum(pi * slope / total[:, None], 1e-12)
@@ -158,16 +170,28 @@ def _em(like: np.ndarray, count: np.ndarray, total: np.ndarray, pi: np.ndarray)
             pi[tried] = _newton(*(x[tried] for x in (like, share, p, slope, total)))
 
 
-def _choose(like: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """Proportions of the chosen languages for texts of one table width."""
+def _choose(like: np.ndarray, count: np.ndarray, single: np.ndarray) -> np.ndarray:
+    """Proportions of the chosen languages for texts of one table width, of which
+    ``single`` has the log likelihood of every language alone.
+
+    Whatever languages a set has, its likelihood is at most that of all, which
+    during the fit is at most the likelihood so far and the slope's excess. Where
+    that is no more than the best single language and one penalty, no set of two
+    or more can win, and that language is chosen without further fits.
+    """
     texts, k = like.shape[:2]
     total = count.sum(1)
     penalty = 0.5 * np.log(np.maximum(total, 2))
     best, score = np.zeros((texts, k)), np.full(texts, -np.inf)
-    active, langs, pi = np.arange(texts), np.tile(np.arange(k), (texts, 1)), np.full((texts, k), 1 / k)
+    active, langs, pi = np.arange(texts), np.tile(np.arange(k), (texts, 1)), np.full((texts, k), _SPREAD / k)
+    pi[np.arange(texts), single.argmax(1)] += 1 - _SPREAD
     for left in range(k, 0, -1):
-        pi, ll = _em(like, count, total[active], pi)
+        first = left == k and k > 1
+        pi, ll = _em(like, count, total[active], pi, single.max(1) + penalty if first else None)
         value = ll - penalty[active] * (left - 1)
+        if first and (alone := np.isneginf(ll)).any():
+            best[alone, single[alone].argmax(1)] = 1
+            score[alone] = np.inf
         better = value >= score[active]
         active, langs, pi, like, count = (x[better] for x in (active, langs, pi, like, count))
         score[active] = value[better]
@@ -195,6 +219,7 @@ def mixtures(docs: np.ndarray, grams: np.ndarray, n_docs: int, p: np.ndarray) ->
     some, starts, cells = np.unique(owner, return_index=True, return_counts=True)
     at = np.arange(len(cell)) - np.repeat(starts, cells)
     like = p / p.mean(0)
+    alone = np.stack([np.add.reduceat(count * x[gram], starts) for x in np.log(like)], 1)
     # texts of similar size are one array, padded to a width that only the
     # text's own size decides, so equal texts are summed alike in any batch
     unit = np.maximum(16, 2 ** np.ceil(np.log2(cells)).astype(int) // 16)
@@ -207,7 +232,7 @@ def mixtures(docs: np.ndarray, grams: np.ndarray, n_docs: int, p: np.ndarray) ->
             row = np.repeat(np.arange(len(group)), cells[group])
             n, bucket = np.zeros((len(group), width)), np.zeros((len(group), width), np.int64)
             n[row, at[mine]], bucket[row, at[mine]] = count[mine], gram[mine]
-            out[some[group]] = _choose(like[:, bucket].transpose(1, 0, 2).copy(), n)
+            out[some[group]] = _choose(like[:, bucket].transpose(1, 0, 2).copy(), n, alone[group])
     return out
 
 
