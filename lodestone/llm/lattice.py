@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Spans, Words, slices, span_hashes, table
+from .common import U64, Spans, Words, drop, slices, span_hashes, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SHARD_BYTES = 32 << 20
@@ -300,7 +300,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         at = batch.schema.get_field_index
         shards = batch.column(at("shard")).to_numpy(zero_copy_only=False)
-        train = batch.column(at("train")).to_numpy(zero_copy_only=False).astype(bool)
+        train = batch.column(at("n")).to_numpy(zero_copy_only=False) * batch.column(at("train")).to_numpy(zero_copy_only=False).astype(np.int64)
         order = np.argsort(shards, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(shards[order])) + 1):
             shard = int(shards[own[0]])
@@ -387,11 +387,38 @@ def _score(known_end: int, end_base: float, end_score: float, floor: float):
 
             out.append([n + 1, total((c[at] > 0).astype(float)).astype(np.int64) + known_end, total(base[at]) + end_base, total(lp[at]) + end_score])
         cols = [np.concatenate(x) for x in zip(*out)]
-        return pa.table([docs["doc_id"], docs["train"], *map(pa.array, cols)], names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"])
+        return pa.table([docs["doc_id"], docs["train"], docs["n"], *map(pa.array, cols)], names=["doc_id", "train", "n", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
+#: Rows equal in id and text that are this share of all rows are scored once.
+REPEATED = 1000
+_STEP = 100_000
+
+
+def _folded(d: DataFrame, rows: int) -> tuple[DataFrame, bool]:
+    """``d`` with n, the number of rows that a row stands for, and whether some
+    stand for several: rows equal in id and text all fall into one shard, so
+    those that are many, of a thousand kinds at most, are made one row each."""
+    key = F.xxhash64(F.lit("row"), "doc_id", "text")
+    many = d.groupBy(key.alias("many")).count().where((F.col("count") > 1) & (F.col("count") * REPEATED >= rows)).select("many")
+    many = table(many, "many")
+    if many.isEmpty():
+        drop(many)
+        return d.withColumn("n", F.lit(1).cast("long")), False
+    many = F.broadcast(many)  # REPEATED rows at most
+    few = d.join(many, key == F.col("many"), "left_anti").withColumn("n", F.lit(1).cast("long"))
+    return few.unionByName(d.join(many, key == F.col("many"), "left_semi").groupBy(*d.columns).agg(F.count(F.lit(1)).alias("n"))), True
+
+
+def _unfolded(scored: DataFrame) -> DataFrame:
+    """Each row as often as it stands for rows, in steps that tasks share."""
+    steps = scored.where("n > 1").withColumn("step", F.explode(F.expr(f"sequence(0L, (n - 1) div {_STEP})"))).repartition("doc_id", "n", "score", "step")
+    every = steps.withColumn("i", F.explode(F.expr(f"sequence(step * {_STEP}, least(n, (step + 1) * {_STEP}) - 1)")))
+    return scored.where("n = 1").unionByName(every.drop("step", "i"))
+
+
 def lattice_scores(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = 1, folds: int = 5, held: int = 1, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score).
 
@@ -409,10 +436,10 @@ def lattice_scores(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int =
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (F.crc32(key) % folds != held).alias("train"))
-    size = d.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(F.col("train"), 1)).alias("ends")).first()
+    size = d.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.when(F.col("train"), 1)).alias("ends"), F.count(F.lit(1)).alias("rows")).first()
     shards = max(1, -(-(size["bytes"] or 0) // shard_bytes))
-    # dealt by their place, so that equal rows part, and written, so that every pass meets the same shards
-    dealt = table(d.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int")), "dealt")
+    d, repeats = _folded(d, size["rows"])
+    dealt = d.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
     dealt = dealt.repartitionById(shards, "shard")  # one shard a task
     distinct = dealt.mapInArrow(_distinct, "shard int, h long, n long, word binary")
     distinct = table(distinct, "distinct")
@@ -435,5 +462,7 @@ def lattice_scores(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int =
     entries = distinct.select("shard", "h").join(scored, "h").repartitionById(shards, "shard")
     floor = -np.log10(n_train + 0.5 * (types + 1))
     run = _score(int(ends > 0), float(np.log10(ends + 0.5) + floor), end_weight / log(10), float(floor))
-    out = dealt.groupBy("shard").cogroup(entries.groupBy("shard")).applyInArrow(run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    out = dealt.groupBy("shard").cogroup(entries.groupBy("shard")).applyInArrow(run, "doc_id long, train boolean, n long, n_tokens long, n_known long, base_score double, score double")
+    if repeats:
+        out = _unfolded(table(out, "scores"))
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")

@@ -78,21 +78,17 @@ def test_scores_of_whole_texts_after_fitting(spark):
     assert got == sorted((repr(r[0]), score(r[1])) for r in data)
 
 
-def test_equal_rows_part(spark):
-    """Rows equal in id and text are dealt to several shards and scored alike."""
-    df = spark.createDataFrame([(None, "the same words again and again")] * 400 + [(7, "others")], "doc_id long, text string").repartition(4)
-    spread, monkey = [], lattice.table
-
-    def seen(d, name, *by):
-        out = monkey(d, name, *by)
-        if name == "dealt":
-            spread.extend(r["count"] for r in out.groupBy("shard").count().collect())
-        return out
-
-    lattice.table = seen
-    try:
-        got = lattice.lattice_scores(df, shard_bytes=2000).collect()
-    finally:
-        lattice.table = monkey
-    assert len(got) == 401 and len({r.score for r in got if r.doc_id is None}) == 1
-    assert len(spread) > 3 and max(spread) < 200
+def test_equal_rows_are_scored_once(spark, monkeypatch):
+    """Rows equal in id and text are one row of a shard, and come out each."""
+    same = [(None, "the same words again and again")] * 400 + [(8, None)] * 30 + [(7, "others"), (3, "others"), (3, "once more")]
+    df = spark.createDataFrame(same, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(lattice, "_STEP", 7)
+    d = df.selectExpr("doc_id", "coalesce(text, '') AS text", "true AS train")
+    folded, some = lattice._folded(d, len(same))
+    assert some and sorted(r.n for r in folded.collect()) == [1, 1, 1, 30, 400]
+    got = sorted((tuple(r) for r in lattice.lattice_scores(df).collect()), key=repr)
+    monkeypatch.setattr(lattice, "_folded", lambda d, rows: (d.selectExpr("*", "1L AS n"), False))
+    want = sorted((tuple(r) for r in lattice.lattice_scores(df).collect()), key=repr)
+    assert len(got) == len(want) == 433
+    for a, b in zip(got, want):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-9)
