@@ -69,8 +69,11 @@ HEADER = re.compile(rb"\s*(?:/\*.*?\*/\s*|<!--.*?-->\s*|\"\"\".*?\"\"\"\s*|'''.*
 
 @cache
 def licence_texts() -> tuple[tuple[str, str], ...]:
-    """Whole licence texts, by file name."""
+    """Whole licence texts, by file name. A library without them would miss whole
+    licences without a word, so it raises."""
     folder = Path(__file__).resolve().parent / "licence_texts"
+    if not any(folder.glob("*.txt")):
+        raise FileNotFoundError(f"no licence texts in {folder}")
     return tuple((p.name.removesuffix(".txt"), p.read_text(encoding="utf-8")) for p in sorted(folder.glob("*.txt")))
 
 
