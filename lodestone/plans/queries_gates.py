@@ -11,17 +11,10 @@ from ..operators import budget, decisions, oracle, stats
 
 from . import adapters as ad
 
-from .queries_search import _BUDGET, _ROWS, W7, W66, _metrics, _profile_sql
+from .queries_search import _BUDGET, _ROWS, W7, _metrics
 from .registry import query
 
 
-@query("m8_weighed_profiles", f"{_profile_sql(W66)}, a AS (SELECT profile, avg(ndcg10) AS ndcg10, avg(mrr10) AS mrr10 FROM pm GROUP BY 1) SELECT profile, wa AS w_bm25, wb AS w_dense, wc AS w_visual, ndcg10, mrr10 FROM grid JOIN a USING (profile)", "w_bm25 w_dense w_visual ndcg10 mrr10")
-def m8(spark, d):
-    """The profiles of the fine grid with what each brings on these tables."""
-    means = oracle.global_means(oracle.profile_metrics(ad.labelled(spark, d), W66)).select("profile", "ndcg10", "mrr10")
-    return oracle.grid_table(spark, oracle.grid("w66")).join(means, "profile")
-
-
 _HALF = "CAST(query_id AS BIGINT) % 2"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import budget, decisions, gate, metrics, normalize, oracle, page_oracle, stats, training
@@ -25,9 +26,11 @@ _PM7 = _profile_sql(W7)
 _GLOBAL = "gm AS (SELECT profile, round(avg(ndcg10), 9) AS ndcg10, round(avg(recall1), 9) AS recall1, round(avg(recall3), 9) AS recall3, round(avg(mrr10), 9) AS mrr10 FROM pm GROUP BY 1), gb AS (SELECT * FROM gm ORDER BY ndcg10 DESC, recall3 DESC, mrr10 DESC, profile LIMIT 1)"
 
 
-@query("m8_profile_grid", f"WITH {ad.profiles_sql(W66)} SELECT profile, wa AS w_bm25, wb AS w_dense, wc AS w_visual FROM grid", "w_bm25 w_dense w_visual")
+@query("m8_profile_grid", f"{_profile_sql(W66)}, a AS (SELECT profile, avg(ndcg10) AS ndcg10, avg(mrr10) AS mrr10 FROM pm GROUP BY 1) SELECT profile, wa AS w_bm25, wb AS w_dense, wc AS w_visual, ndcg10, mrr10 FROM grid JOIN a USING (profile)", "w_bm25 w_dense w_visual ndcg10 mrr10")
 def m8(spark, d):
-    return oracle.grid_table(spark, oracle.grid("w66"))
+    """The profiles of the fine grid with what each brings on these tables."""
+    means = oracle.global_means(oracle.profile_metrics(ad.labelled(spark, d), W66)).select("profile", "ndcg10", "mrr10")
+    return oracle.grid_table(spark, oracle.grid("w66")).join(means, "profile")
 
 
 @query("m_profile_metrics", f"{_PM7} SELECT * FROM pm", METRICS)
@@ -261,29 +264,56 @@ def n1d(spark, d):
 
 
 # ------------------------------------------------------------ gates
-_GATE = "g(name, w7_mean_delta, w7_low, w66_mean_delta, w66_low, w7_gain_ge_005, w66_gain_ge_005, w7_top_5pct_share, coverage) AS (VALUES ('a', 0.05, 0.01, 0.04, 0.02, 0.3, 0.4, 0.2, 0.99), ('b', 0.005, -0.01, 0.04, 0.02, 0.3, 0.4, 0.2, 0.99), ('c', 0.02, 0.01, 0.015, 0.01, 0.1, 0.1, 0.95, 0.9), ('d', 0.015, 0.001, 0.03, 0.02, 0.15, 0.1, 0.5, 0.97))"
+_GROUP = "'g' || CAST(CAST(query_id AS BIGINT) % 5 AS VARCHAR)"
 
 
-def _gates(spark):
-    rows = [("a", 0.05, 0.01, 0.04, 0.02, 0.3, 0.4, 0.2, 0.99), ("b", 0.005, -0.01, 0.04, 0.02, 0.3, 0.4, 0.2, 0.99), ("c", 0.02, 0.01, 0.015, 0.01, 0.1, 0.1, 0.95, 0.9), ("d", 0.015, 0.001, 0.03, 0.02, 0.15, 0.1, 0.5, 0.97)]
-    return spark.createDataFrame(rows, "name string, w7_mean_delta double, w7_low double, w66_mean_delta double, w66_low double, w7_gain_ge_005 double, w66_gain_ge_005 double, w7_top_5pct_share double, coverage double")
+def _group_sql(name: str, profiles) -> str:
+    """A row a group of queries: what the best profile of a query brings over the mean one."""
+    return f"""(SELECT name, avg(delta) AS {name}_mean_delta, avg(delta) - 1.96::DOUBLE * coalesce(stddev_samp(delta), 0.0) / sqrt(CAST(count(*) AS DOUBLE)) AS {name}_low, avg(CASE WHEN delta >= 0.05 THEN 1.0::DOUBLE ELSE 0.0 END) AS {name}_gain_ge_005,
+    coalesce(sum(CASE WHEN r <= greatest(1, ceil(0.05 * n)) THEN delta END) / nullif(sum(delta), 0), 0.0) AS {name}_top_5pct_share
+    FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY delta DESC) AS r, count(*) OVER (PARTITION BY name) AS n FROM (SELECT {_GROUP} AS name, delta FROM ({_profile_sql(profiles)} SELECT query_id, max(ndcg10) - avg(ndcg10) AS delta FROM pm GROUP BY 1))) GROUP BY 1)"""
+
+
+_GATE = f"""a AS {_group_sql('w7', W7)}, b AS {_group_sql('w66', W66)},
+  k AS (SELECT name, avg(CASE WHEN held THEN 1.0::DOUBLE ELSE 0.0 END) AS coverage FROM (WITH {ad.NORM} SELECT {_GROUP} AS name, n.page_id IS NOT NULL AS held FROM raw LEFT JOIN norm n USING (query_id, page_id) WHERE raw.relevance > 0) GROUP BY 1),
+  f AS (SELECT {_GROUP} AS name, avg(ndcg_full - ndcg_stage1) AS full_gain FROM ({_QM}) GROUP BY 1), g AS (SELECT * FROM a JOIN b USING (name) JOIN k USING (name) JOIN f USING (name))"""
+
+
+def _gates(spark, d):
+    """The inputs of the gates, measured on five groups of queries."""
+    group = F.concat(F.lit("g"), F.expr("string(cast(query_id as bigint) % 5)")).alias("name")
+    rows, out = ad.labelled(spark, d), None
+    for name, grid in (("w7", W7), ("w66", W66)):
+        pm = oracle.profile_metrics(rows, grid).withColumn("ndcg10", F.round("ndcg10", 9))
+        delta = pm.groupBy("query_id").agg((F.max("ndcg10") - F.avg("ndcg10")).alias("delta")).select(group, "delta")
+        w = Window.partitionBy("name")  # a fifth of the query list
+        ranked = delta.withColumn("r", F.row_number().over(w.orderBy(F.desc("delta")))).withColumn("n", F.count(F.lit(1)).over(w))
+        x, largest = F.col("delta"), F.col("r") <= F.greatest(F.lit(1), F.ceil(0.05 * F.col("n")))
+        low = F.avg(x) - 1.96 * F.coalesce(F.stddev_samp(x), F.lit(0.0)) / F.sqrt(F.count(F.lit(1)).cast("double"))
+        share = F.coalesce(F.try_divide(F.sum(F.when(largest, x)), F.sum(x)), F.lit(0.0))
+        one = ranked.groupBy("name").agg(F.avg(x).alias(f"{name}_mean_delta"), low.alias(f"{name}_low"), F.avg((x >= 0.05).cast("double")).alias(f"{name}_gain_ge_005"), share.alias(f"{name}_top_5pct_share"))
+        out = one if out is None else out.join(one, "name")
+    pooled = rows.where("relevance > 0").select("query_id", "page_id", F.lit(1.0).alias("held"))
+    cover = ad.raw(spark, d).where("relevance > 0").join(pooled, ["query_id", "page_id"], "left").groupBy(group).agg(F.avg(F.coalesce("held", F.lit(0.0))).alias("coverage"))
+    full = _metrics(spark, d).groupBy(group).agg(F.avg(F.col("ndcg_full") - F.col("ndcg_stage1")).alias("full_gain"))
+    return out.join(cover, "name").join(full, "name")
 
 
 @query("r1_r5_study_gates", f"""WITH {_GATE}, x AS (SELECT *, CASE WHEN w7_mean_delta >= 0.03 AND w7_low > 0 AND w66_mean_delta >= 0.03 AND w66_low > 0 THEN 'pass' WHEN w7_mean_delta < 0.01 THEN 'fail' ELSE 'inconclusive' END AS discovery,
   CASE WHEN w7_mean_delta >= 0.03 AND w66_mean_delta >= 0.03 AND w7_low > 0 AND w66_low > 0 AND w7_gain_ge_005 >= 0.2 AND w66_gain_ge_005 >= 0.2 THEN 'pass' WHEN w7_mean_delta < 0.01 OR w7_top_5pct_share >= 0.9 THEN 'fail' ELSE 'inconclusive' END AS fusion_gate,
-  CASE WHEN name = 'b' THEN 'fail' ELSE 'inconclusive' END AS budget_gate FROM g)
+  CASE WHEN full_gain < 0.01 THEN 'fail' ELSE 'inconclusive' END AS budget_gate FROM g)
   SELECT name, discovery, fusion_gate, CASE WHEN budget_gate = 'pass' THEN 'budget_aware' WHEN fusion_gate = 'pass' THEN 'page_fusion' WHEN budget_gate = 'fail' AND fusion_gate = 'fail' THEN 'reject_both' ELSE 'inconclusive' END AS final,
   CASE WHEN coverage < 0.95 THEN 'invalid_candidate_coverage' WHEN w7_mean_delta >= 0.03 AND w7_low > 0 AND w7_gain_ge_005 >= 0.1 AND w7_top_5pct_share < 0.9 THEN 'strong_signal' WHEN w7_mean_delta >= 0.01 AND w7_low > 0 AND w7_gain_ge_005 >= 0.1 AND w7_top_5pct_share < 0.9 THEN 'feasible_signal' ELSE 'no_clear_signal' END AS pilot FROM x""")
 def r1(spark, d):
-    g = _gates(spark).withColumns({"discovery_w7_mean_delta": F.col("w7_mean_delta"), "discovery_w66_mean_delta": F.col("w66_mean_delta")})
-    g = g.withColumns({"discovery": decisions.discovery(), "fusion_gate": decisions.confirmation(), "budget_gate": F.when(F.col("name") == "b", "fail").otherwise("inconclusive")})
+    g = _gates(spark, d).withColumns({"discovery_w7_mean_delta": F.col("w7_mean_delta"), "discovery_w66_mean_delta": F.col("w66_mean_delta")})
+    g = g.withColumns({"discovery": decisions.discovery(), "fusion_gate": decisions.confirmation(), "budget_gate": F.when(F.col("full_gain") < budget.NO_GO_GAIN, "fail").otherwise("inconclusive")})
     g = g.withColumns({"mean_delta": F.col("w7_mean_delta"), "low": F.col("w7_low"), "gain_ge_003": F.col("w7_gain_ge_005"), "top_5pct_share": F.col("w7_top_5pct_share")})
     return g.select("name", "discovery", "fusion_gate", decisions.final().alias("final"), decisions.feasibility().alias("pilot"))
 
 
 @query("r7_r8_outcomes", f"WITH {_GATE} SELECT name, CASE WHEN coverage < 0.95 THEN 'BLOCKED' WHEN w7_mean_delta < 0.01 THEN 'NO-GO' WHEN w7_low < 0.005 THEN 'LIMITED' ELSE 'GO' END AS outcome, CASE WHEN -w7_gain_ge_005 * 2 <= -0.5 AND w7_low <= 0.01 THEN 'pass' ELSE 'fail' END AS loss_gate FROM g")
 def r7(spark, d):
-    g = _gates(spark).withColumns({"rho": -F.col("w7_gain_ge_005") * 2, "gap": F.col("w7_low")})
+    g = _gates(spark, d).withColumns({"rho": -F.col("w7_gain_ge_005") * 2, "gap": F.col("w7_low")})
     return g.select("name", decisions.outcome(F.col("coverage") < 0.95, F.col("w7_mean_delta") < 0.01, F.col("w7_low") < 0.005).alias("outcome"), decisions.loss_alignment().alias("loss_gate"))
 
 
