@@ -12,6 +12,7 @@ from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,22 +127,40 @@ def listwise_loss(units: DataFrame) -> DataFrame:
     return per.agg(F.avg(F.col("lse") - F.col("s") / F.col("n")).alias("loss"), F.count(F.lit(1)).alias("queries"))
 
 
-def loss_alignment(scored: DataFrame, means: DataFrame, k: int = 10) -> DataFrame:
+def _profile_losses(profiles, k: int):
+    """Mean plain and weighted pairwise losses of a query under every profile."""
+    weights, names = np.array(profiles, float), ["query_id", "profile", "plain", "weighted"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("page_id")
+        x, hit = pdf[CHANNELS].to_numpy(float), pdf["relevance"].to_numpy(float) > 0
+        if hit.all() or not hit.any():
+            return pd.DataFrame(columns=names)
+        rows, gain = [], np.zeros(len(hit))
+        gain[: min(k, len(hit))] = 1 / np.log2(np.arange(2, min(k, len(hit)) + 2))
+        for i, (a, b, c) in enumerate(weights):
+            score, cut = x[:, 0] * a + x[:, 1] * b + x[:, 2] * c, np.empty(len(hit))
+            cut[np.argsort(-score, kind="stable")] = gain
+            loss = np.logaddexp(0, score[~hit][None, :] - score[hit][:, None])
+            w = np.abs(cut[hit][:, None] - cut[~hit][None, :])
+            rows.append((pdf["query_id"].iloc[0], i, loss.mean(), (loss * w).sum() / w.sum() if w.any() else 0.0))
+        return pd.DataFrame(rows, columns=names)
+
+    return run
+
+
+def loss_alignment(rows: DataFrame, profiles, means: DataFrame, k: int = 10) -> DataFrame:
     """(kind, rho, least_profile, gap, gate), one row for the plain and one for the
-    weighted pairwise loss, from (query_id, profile, page_id, score, relevance)
-    and the profiles' mean ndcg10.
+    weighted pairwise loss, from rows of channels and relevance and the profiles'
+    mean ndcg10.
 
     rho is the rank correlation of loss and nDCG over the profiles, gap what the
     first profile of the least loss lacks to the best nDCG. Losses and means are
-    compared to nine digits. Pairs stay inside a query's pool.
+    compared to nine digits. A query's pairs are matrices inside its pool, one
+    profile after another; one row a query and profile leaves it.
     """
-    d = scored.withColumn("rank", rank_of("score", ("query_id", "profile")))
-    d = d.select("query_id", "profile", "score", "relevance", F.when(F.col("rank") <= k, discount("rank")).otherwise(0.0).alias("cut"))
-    pos = d.where("relevance > 0").select("query_id", "profile", F.col("score").alias("p"), F.col("cut").alias("pc"))
-    neg = d.where("relevance <= 0").select("query_id", "profile", F.col("score").alias("n"), F.col("cut").alias("nc"))
-    pairs = pos.join(neg, ["query_id", "profile"]).select("query_id", "profile", softplus(F.col("n") - F.col("p")).alias("loss"), F.abs(F.col("pc") - F.col("nc")).alias("w"))
-    weighted = F.coalesce(F.try_divide(F.sum(F.col("loss") * F.col("w")), F.sum("w")), F.lit(0.0))
-    per = pairs.groupBy("query_id", "profile").agg(F.avg("loss").alias("plain"), weighted.alias("weighted"))
+    d = rows.select("query_id", "page_id", "relevance", *CHANNELS)
+    per = d.groupBy("query_id").applyInPandas(_profile_losses(profiles, k), "query_id string, profile int, plain double, weighted double")
     loss = per.groupBy("profile").agg(F.round(F.avg("plain"), 9).alias("plain"), F.round(F.avg("weighted"), 9).alias("weighted"))
     j = loss.join(means.select("profile", F.round("ndcg10", 9).alias("ndcg10")), "profile")
     j = j.select("profile", "ndcg10", F.expr("stack(2, 'plain', plain, 'weighted', weighted) AS (kind, loss)"))

@@ -427,7 +427,7 @@ def n8(spark, d):
     as nDCG does? Rank correlation over the grid, and the nDCG gap of the first
     profile with the least loss, with the gate of each loss."""
     rows = ad.labelled(spark, d)
-    return gate.loss_alignment(oracle.profile_scores(rows, W66), oracle.global_means(oracle.profile_metrics(rows, W66)))
+    return gate.loss_alignment(rows, W66, oracle.global_means(oracle.profile_metrics(rows, W66)))
 
 
 @query("n4_paired_summary", None, "mean_delta low high")
