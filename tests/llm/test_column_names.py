@@ -9,7 +9,7 @@ from lodestone.llm import langmix, line_runs, mixing, ngram_join, tiling
 
 INSIDE = """gone gone_id gone_row lines cuts whole any own sig set lost letters id_ mark n total left step i row r d t t_id t_mark more h1 h2 keeper
   copies root shape __gone __gone_id __gone_row __lines __cuts __id __row __n __total __sig __letters __set component_id held_out n_links number""".split()
-AT_A_TIME = 12
+AT_A_TIME = 30
 
 
 def crowded(spark, names):
@@ -25,7 +25,6 @@ def rows(df, columns):
 @pytest.mark.parametrize("at", range(0, len(INSIDE), AT_A_TIME))
 def test_names_used_inside(spark, sf, at):
     names = INSIDE[at : at + AT_A_TIME]
-    names += [c.upper() for c in names[:0]]
     plain, docs = crowded(spark, []), crowded(spark, names)
     benchmark = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, None)], "item_id long, text string")
     cases = {
