@@ -20,7 +20,7 @@ from ..functions.scalars import discount, dot3, length_feature, softmax3, softpl
 from .contracts import CHANNELS, label_free
 from .normalize import minmax_of
 from .decisions import loss_alignment as aligned
-from .ranking import average_rank, median_margin, normalized_rank, rank_of, reciprocal_rank, spread
+from .ranking import average_rank, median_margin, normalized_rank, rank_of, spread
 
 SHORT = [c.removesuffix("_score") for c in CHANNELS]
 FEATURES = [*[f"{c}_minmax" for c in SHORT], *[f"{c}_rr" for c in SHORT], *[f"{c}_gap" for c in SHORT], *[f"{a}_{b}_apart" for a, b in combinations(SHORT, 2)], "query_length"]
