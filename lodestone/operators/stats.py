@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
 from .ranking import average_rank, numbered
 
 SEED = 20260820  # fixed value: the bootstrap's seed
@@ -209,12 +211,105 @@ def bootstrap_ratio(df: DataFrame, numerator: str, denominator: str, resamples:
     return _interval(_resampled(df, [numerator, denominator], order, resamples, seed, ratio, words))
 
 
+#: Numbers hashed at once, so that they stay in a core's cache, and rows of a block of values.
+HASHED, BLOCK = 1 << 14, 1 << 16
+_TURNS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
+_SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
+
+
+def _md5_head(words: list) -> np.ndarray:
+    """The first 32 bits of the MD5 of many messages of one block each, as the
+    number that its first eight hex digits are. ``words``: the block's 16 words,
+    arrays or, where all messages agree, numbers."""
+    size = max(np.size(w) for w in words)
+    a, b, c, d = (np.full(size, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    f, y = np.empty(size, np.uint32), np.empty(size, np.uint32)
+    for i in range(61):  # the last three rounds do not reach the first word
+        if i < 32:  # the second sixteen as the first, with d, b and c for b, c and d
+            u, v, w = (b, c, d) if i < 16 else (d, b, c)
+            np.bitwise_xor(v, w, f)
+            np.bitwise_and(f, u, f)
+            np.bitwise_xor(f, w, f)
+        elif i < 48:
+            np.bitwise_xor(b, c, f)
+            np.bitwise_xor(f, d, f)
+        else:
+            np.invert(d, f)
+            np.bitwise_or(f, b, f)
+            np.bitwise_xor(f, c, f)
+        g = (i, 5 * i + 1, 3 * i + 5, 7 * i)[i // 16] % 16
+        word, sine = words[g], _SINES[i]
+        if isinstance(word, np.ndarray):
+            np.add(f, word, f)
+        else:
+            sine = (sine + int(word)) & 0xFFFFFFFF
+        np.add(f, np.uint32(sine), f)
+        np.add(f, a, f)
+        np.left_shift(f, np.uint32(_TURNS[i]), y)
+        np.right_shift(f, np.uint32(32 - _TURNS[i]), f)
+        np.bitwise_or(f, y, f)
+        np.add(f, b, a)
+        a, b, c, d = d, a, b, c
+    return (b + np.uint32(0x67452301)).byteswap()
+
+
+def _hashed_draws(low: int, high: int, resamples: range):
+    """(b, draws) for every resample: the first 32 bits of md5("b:i") for i from
+    ``low`` to ``high``, numbers of equally many digits."""
+    numbers, digits = np.arange(low, high), len(str(low))
+    held, before = None, None
+    for b in resamples:
+        head = f"{b}:".encode()
+        if len(head) != before:  # only the head differs between resamples of as many digits
+            block = np.zeros((len(numbers), 64), np.uint8)
+            for j in range(digits):
+                block[:, len(head) + j] = numbers // 10 ** (digits - 1 - j) % 10 + 48
+            block[:, len(head) + digits] = 128
+            words = np.ascontiguousarray(block.view("<u4").T)
+            last = (len(head) + digits) // 4
+            held, before = [words[j] if j <= last else 0 for j in range(16)], len(head)
+            held[14] = 8 * (len(head) + digits)
+        fixed = np.frombuffer(head.ljust(64, b"\0"), "<u4")
+        with np.errstate(over="ignore"):
+            yield b, _md5_head([w + f if f else w for w, f in zip(held, fixed)])
+
+
 def bootstrap_hashed(df: DataFrame, value: str, resamples: int = 200, order: str = "query_id") -> DataFrame:
     """One row (low, high) like bootstrap_mean, with draws from a hash instead of
-    a generator: relational, the same on any engine with MD5."""
-    whole = Window.partitionBy(F.lit(0))
-    d = df.select((F.row_number().over(whole.orderBy(order)) - 1).alias("i"), F.col(value).alias("x"), F.count(F.lit(1)).over(whole).alias("n"))
-    slots = d.select("i", "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", "b", "i").cast("binary")), 1, 8), 16, 10).cast("long")
-    picked = slots.select("b", F.pmod(draw, F.col("n")).alias("i")).join(d.select("i", "x"), "i")
-    return picked.groupBy("b").agg(F.avg("x").alias("m")).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+    a generator: the same on any engine with MD5. Null values are left out of a
+    mean.
+
+    Values are numbered in ranges and written as blocks. A task reads the blocks
+    (8 bytes a query), makes the draws of its own resamples a slice at a time and
+    gives a row a resample: no draw becomes a row, nothing passes through the
+    driver."""
+    spark = df.sparkSession
+    d = numbered(df.select(F.col(order).alias("k"), F.col(value).cast("double").alias("x")), ["k"], "i").withColumn("i", F.col("i") - 1)
+    rows = F.array_sort(F.collect_list(F.struct("i", "x")))
+    blocks = scratch(d.groupBy(F.expr(f"i div {BLOCK}").alias("block")).agg(rows.alias("r")).select("block", "r.x"), "values")
+    n = blocks.agg(F.sum(F.size("x"))).first()[0] or 0
+    parts = min(resamples, max(1, n * resamples >> 22), 4 * spark.sparkContext.defaultParallelism)
+    if not parts:
+        return _interval(spark.createDataFrame([], "v double"))
+
+    def run(batches):
+        held = {}
+        for batch in batches:
+            for part, block, x in zip(*(batch.column(c) for c in range(3))):
+                held.setdefault(part.as_py(), {})[block.as_py()] = x.values
+        for part, found in held.items():
+            x = pa.chunked_array([found[b] for b in sorted(found)], pa.float64())
+            there = None if not x.null_count else x.is_valid().to_numpy().astype(float)
+            x = x.fill_null(0.0).to_numpy() if x.null_count else x.to_numpy()
+            own = range(part * resamples // parts, (part + 1) * resamples // parts)
+            sums, counts = np.zeros(len(own)), np.zeros(len(own))
+            edges = sorted({0, len(x), *range(0, len(x), HASHED), *(10**j for j in range(1, 20) if 10**j < len(x))})
+            for low, high in zip(edges, edges[1:]):
+                for b, draws in _hashed_draws(low, high, own):
+                    pick = draws % np.uint32(len(x)) if len(x) < 1 << 32 else draws
+                    sums[b - own.start] += x[pick].sum()
+                    counts[b - own.start] += high - low if there is None else there[pick].sum()
+            yield pa.RecordBatch.from_arrays([pa.array([s / c if c else None for s, c in zip(sums, counts)], pa.float64())], names=["v"])
+
+    each = spark.range(0, parts, 1, parts).select(F.col("id").alias("part"))
+    return _interval(each.crossJoin(blocks.coalesce(1).hint("shuffle_replicate_nl")).mapInArrow(run, "v double"))

@@ -1,5 +1,6 @@
 """Resampling over many tasks gives the numbers of one generator."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -56,3 +57,26 @@ def test_standard_library_stream_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(stats, "CHUNK", 53 * 7)
     got = stats.paired_bootstrap(df.withColumnRenamed("a", "delta"), resamples=200).first()
     assert (got.low, got.high) == (pytest.approx(np.quantile(means, 0.025), abs=1e-12), pytest.approx(np.quantile(means, 0.975), abs=1e-12))
+
+
+@pytest.mark.parametrize("n,resamples", [(1, 7), (9, 30), (1234, 113)])
+def test_hashed_draws_are_md5s_and_no_rows(spark, n, resamples, monkeypatch):
+    monkeypatch.setattr(stats, "HASHED", 100)
+    monkeypatch.setattr(stats, "BLOCK", 64)
+    rows, df = values(spark, n)
+    x = [None if i % 5 == 4 else r[1] for i, r in enumerate(rows)]
+    df = spark.createDataFrame([(r[0], v) for r, v in zip(rows, x)][::-1], "query_id string, a double").repartition(3)
+    means = []
+    for b in range(resamples):
+        picked = [x[int(hashlib.md5(f"{b}:{i}".encode()).hexdigest()[:8], 16) % n] for i in range(n)]
+        means.append(np.mean([v for v in picked if v is not None]))
+    want = np.quantile(means, [0.025, 0.975])
+    got = stats.bootstrap_hashed(df, "a", resamples)
+    assert got.first().low == pytest.approx(want[0], abs=1e-12) and got.first().high == pytest.approx(want[1], abs=1e-12)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan  # a draw is no row, the list in no single task
+
+
+def test_hashed_without_rows(spark):
+    _, df = values(spark, 3)
+    assert stats.bootstrap_hashed(df.where("false"), "a", 10).first().low is None
