@@ -2,10 +2,12 @@
 
 A query's candidates are one record: its features, normalized scores and labels
 in page order. An epoch orders the queries by a seeded hash and cuts them into
-batches of equal size; a batch's loss and gradient are sums over its records,
-taken where the records lie. The sums are whole numbers of 2**-44, so they do
-not depend on the order of tasks, and a run gives the same bits every time,
-interrupted or not. The driver holds the parameters and the optimiser's moments.
+batches of equal size; a batch's loss and gradient are sums over its records.
+The sums are whole numbers of 2**-44, so they do not depend on the order of
+records, and a run gives the same bits every time, interrupted or not. A step
+starts from the one before it, so a task goes through the batches of a range of
+some thousand records and hands the parameters and the optimiser's moments to
+the next range by the driver: a job a range, not one a batch.
 
 After every epoch the validation queries are ranked and the epoch with the best
 mean nDCG@10 is remembered, the earlier one among equals. A state is a line of
@@ -17,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ XS = [f"{c}_minmax" for c in SHORT]
 #: Sums are whole numbers of this.
 UNIT = 2.0**-44
 TOP = 10
+#: Records that a task steps through.
+RANGE = 4096
 _BETA1, _BETA2, _EPSILON = 0.9, 0.999, 1e-8
 
 
@@ -184,12 +188,16 @@ def _sum_of(rows: DataFrame, run, n: int) -> tuple[int, np.ndarray]:
     return total["n"], np.array([float(total[f"v{i}"] or 0) * UNIT for i in range(n)])
 
 
+def _exact(v: np.ndarray) -> np.ndarray:
+    if not np.isfinite(v).all() or np.abs(v).max() >= 1 << 17:
+        raise ValueError("a loss or gradient is not finite")
+    return _whole(v).astype(np.int64)
+
+
 def _task(values: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
     count, sums = 0, None
     for v in values:
-        if not np.isfinite(v).all() or np.abs(v).max() >= 1 << 17:
-            raise ValueError("a loss or gradient is not finite")
-        count, sums = count + 1, _whole(v).astype(np.int64) + (0 if sums is None else sums)
+        count, sums = count + 1, _exact(v) + (0 if sums is None else sums)
     if count:
         yield pa.RecordBatch.from_arrays([pa.array([count]), pa.array([sums.tolist()], pa.list_(pa.int64()))], names=["n", "v"])
 
@@ -230,9 +238,10 @@ def order_key(epoch: int, seed: int) -> Column:
 
 
 def batched(rows: DataFrame, epoch: int, s: Settings) -> DataFrame:
-    """``rows`` with their batch in an epoch, rows of a batch together."""
-    d = hash_numbers(rows, order_key(epoch, s.seed), ["query_id"], "number")
-    return d.withColumn("batch", F.floor((F.col("number") - 1) / s.batch).cast("long")).drop("number")
+    """``rows``, one a query, with their batch in an epoch. Only the ids are
+    numbered, the records stay where they are."""
+    ids = hash_numbers(rows.select("query_id"), order_key(epoch, s.seed), ["query_id"], "number")
+    return rows.join(ids.select("query_id", F.floor((F.col("number") - 1) / s.batch).cast("long").alias("batch")), "query_id")
 
 
 def train(
@@ -265,17 +274,53 @@ def train(
         held.unpersist()
 
 
+def _steps(own: DataFrame, state: State, s: Settings) -> list[float]:
+    """The losses of the steps over a range of batches, which lie in one partition
+    in their order; ``state`` moves on. A task makes one step after another, as
+    each starts from the one before, and holds one batch's sums."""
+
+    def run(batches):
+        moved, losses, at, count, sums = replace(state), [], None, 0, None
+
+        def leave():
+            if count:
+                mean = np.array([float(x) * UNIT for x in sums]) / count
+                step(moved, mean[1:], s)
+                losses.append(float(mean[0]))
+
+        for b in batches:
+            for number, (_, f, x, hit) in zip(b.column(b.schema.get_field_index("batch")).to_pylist(), _each(iter([b]), s)):
+                if number != at:
+                    leave()
+                    at, count, sums = number, 0, None
+                g = gradient(moved.parameters, s, f, x, hit)
+                if g is not None:
+                    count, sums = count + 1, _exact(np.concatenate([[g[0]], g[1]])) + (0 if sums is None else sums)
+        leave()
+        if losses:
+            arrays = [pa.array([v], pa.list_(pa.float64())) for v in (moved.parameters.tolist(), moved.first.tolist(), moved.second.tolist(), losses)]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([moved.steps])], names=["parameters", "first", "second", "losses", "steps"])
+
+    row = own.mapInArrow(run, "parameters array<double>, first array<double>, second array<double>, losses array<double>, steps long").collect()
+    if not row:
+        return []
+    (row,) = row  # the state of one task
+    for name in ("parameters", "first", "second"):
+        setattr(state, name, np.array(row[name]))
+    state.steps = row["steps"]
+    return row["losses"]
+
+
 def _epoch(state: State, rows: DataFrame, held: DataFrame, total: int, s: Settings) -> State:
     state = State(**vars(state) | {"epoch": state.epoch + 1, "history": list(state.history)})
-    parts = min(max(1, total // 256), 4 * rows.sparkSession.sparkContext.defaultParallelism)
-    own = batched(rows, state.epoch, s).repartitionByRange(parts, "batch").sortWithinPartitions("batch").persist()
+    batches, each = -(-total // s.batch), max(1, RANGE // s.batch)
+    ranges = -(-batches // each)
+    own = batched(rows, state.epoch, s).withColumn("range", F.floor(F.col("batch") / each))
+    own = own.repartition(min(ranges, 4 * rows.sparkSession.sparkContext.defaultParallelism), "range").sortWithinPartitions("batch").persist()
     losses = []
     try:
-        for b in range(-(-total // s.batch)):
-            n, loss, slope = batch_gradient(own.where(F.col("batch") == b), state.parameters, s)
-            if n:
-                step(state, slope, s)
-                losses.append(loss)
+        for r in range(ranges):
+            losses += _steps(own.where(F.col("range") == r), state, s)
     finally:
         own.unpersist()
     if not np.isfinite(state.parameters).all():

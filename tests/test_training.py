@@ -143,3 +143,15 @@ def test_matched_settings():
     for other in (Settings(level="page"), Settings(level="query", seed=1), Settings(level="query", hidden=2), Settings(level="query", epochs=20, rate=1)):
         with pytest.raises(ValueError, match="level alone"):
             training.matched(Settings(level="page"), other)
+
+
+def test_ranges_are_jobs_and_batches_are_not(spark, monkeypatch):
+    rows, check = table(spark, rows_of(40, 11)), table(spark, rows_of(6, 12))
+    s, seen = Settings(epochs=2, batch=4), []
+    inner = training._steps
+    monkeypatch.setattr(training, "_steps", lambda *a: seen.append(1) or inner(*a))
+    whole = training.train(rows, check, s)
+    assert len(seen) == 2 and whole.steps > 10  # a job an epoch
+    monkeypatch.setattr(training, "RANGE", 8)
+    cut = training.train(rows.repartition(3), check, s)
+    assert len(seen) == 2 + 2 * 5 and same(cut, whole)
