@@ -1,22 +1,26 @@
 """Weight searches over a profile grid: one profile for all queries, one for each
 query, and the closed form for each page.
 
-Every candidate row is scored under all profiles as columns of one projection,
-turned into (query, profile) rankings, and cut to ten rows each by limited
-sorts; the metrics table of (query, profile) is what the searches read. Metric
+Candidate rows are shuffled once by query and scored under all profiles where
+they lie, in page order, a task keeping the ten best of the query at hand; the
+metrics table of (query, profile) is what the searches read. Metric
 comparison has a tolerance, which makes it order-dependent: profiles are folded
 in grid order.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions.scalars import ratio
 from .contracts import CHANNELS
 from .fusion import THIRD
-from .metrics import _of_top, graded_ideals, ideal_binary
+from .metrics import _of_top, ideal_binary
 from .ranking import rank_of
 
 TOLERANCE = 1e-12
@@ -58,15 +62,92 @@ def profile_scores(df: DataFrame, profiles, keys=("query_id",)) -> DataFrame:
     return df.select(*keys, "page_id", "relevance", F.posexplode(scores).alias("profile", "score"))
 
 
+def _best_ten(score: np.ndarray) -> np.ndarray:
+    """Places of the ten largest of each row, the first among equals."""
+    n = min(K, score.shape[1])
+    if not np.isfinite(score).all():  # NaN is the largest
+        return np.lexsort((-score, ~np.isnan(score)), axis=1)[:, :n]
+    left, rows, out = score.copy(), np.arange(len(score)), np.empty((len(score), n), int)
+    for i in range(n):
+        out[:, i] = left.argmax(1)
+        left[rows, out[:, i]] = -np.inf
+    return out
+
+
+class _Rankings:
+    """The ten best rows of one query under each profile so far, and what its
+    labels allow, from runs of its rows in page order."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights, self.positives = weights, 0
+        self.score, self.label, self.most = np.zeros((len(weights), 0)), np.zeros((len(weights), 0)), np.zeros(0)
+
+    def add(self, channels: np.ndarray, label: np.ndarray, lacking: np.ndarray) -> None:
+        (a, b, c), w = channels, self.weights
+        with np.errstate(invalid="ignore"):
+            score = np.where(lacking > 0, -np.inf, w[:, :1] * a + w[:, 1:2] * b + w[:, 2:] * c)
+        score, labels = np.concatenate([self.score, score], 1), np.concatenate([self.label, np.broadcast_to(label, score.shape)], 1)
+        best = _best_ten(score)
+        self.score, self.label = np.take_along_axis(score, best, 1), np.take_along_axis(labels, best, 1)
+        self.positives += int((label > 0).sum())
+        self.most = -np.sort(-np.concatenate([self.most, label]))[:K]
+
+    def metrics(self) -> list[np.ndarray]:
+        hit = self.label > 0
+        gain = lambda x: np.exp2(x) - 1.0
+        ideal, dcg = (gain(self.most) * _DISCOUNT[: len(self.most)]).sum(), (gain(self.label) * _DISCOUNT[: hit.shape[1]]).sum(1)
+        share = lambda k: hit[:, :k].sum(1) / self.positives if self.positives else np.zeros(len(hit))
+        return [dcg / ideal if ideal > 0 else np.zeros(len(dcg)), share(1), share(3), np.where(hit.any(1), 1.0 / (hit.argmax(1) + 1), 0.0)]
+
+
+K = 10
+_DISCOUNT = 1.0 / (np.log(np.arange(1, K + 1) + 1.0) / np.log(2.0))
+
+
 def profile_metrics(df: DataFrame, profiles, keys=("query_id",)) -> DataFrame:
-    """(keys, profile, ndcg10, recall1, recall3, mrr10), graded, pool ideals."""
-    keys = list(keys)
-    top = profile_scores(df, profiles, keys).withColumn("rank", rank_of("score", [*keys, "profile"])).where("rank <= 10")
-    out = _of_top(top, [*keys, "profile"], graded=True).join(graded_ideals(df, keys), keys)
-    return out.select(
-        *keys, "profile", F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0).alias("ndcg10"),
-        ratio("hit1", "positives", 0.0).alias("recall1"), ratio("hit3", "positives", 0.0).alias("recall3"), "mrr10",
+    """(keys, profile, ndcg10, recall1, recall3, mrr10), graded, pool ideals.
+
+    Rows are shuffled once by their keys and come in page order; a task keeps the
+    ten best rows of the query at hand under every profile. A row under a profile
+    is never a row of a table. Rows without a label count as 0, those without a
+    score come last.
+    """
+    keys, weights = list(keys), np.array(checked(profiles))
+    d = df.select(
+        *keys, "page_id", F.coalesce(F.col("relevance").cast("double"), F.lit(0.0)).alias("relevance"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in CHANNELS],
+        F.greatest(*[F.col(c).isNull().cast("double") for c in CHANNELS]).alias("lacking"),
     )
+    schema = StructType([d.schema[k] for k in keys] + [StructField("profile", IntegerType(), False)] + [StructField(n, DoubleType()) for n in ("ndcg10", "recall1", "recall3", "mrr10")])
+
+    def run(batches):
+        held, last = None, None
+
+        def leave(done):
+            found = [np.concatenate(x) for x in zip(*[r.metrics() for _, r in done])]
+            owner = pa.array(np.repeat(np.arange(len(done)), len(weights)))
+            ids = [pa.concat_arrays([k[i] for k, _ in done]).take(owner) for i in range(len(keys))]
+            number = pa.array(np.tile(np.arange(len(weights), dtype=np.int32), len(done)))
+            return pa.RecordBatch.from_arrays([*ids, number, *map(pa.array, found)], names=schema.names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes = np.stack([pc.fill_null(b.column(i).dictionary_encode().indices, -1).to_numpy() for i in range(len(keys))])
+            edges = [0, *(np.flatnonzero((codes[:, 1:] != codes[:, :-1]).any(0)) + 1).tolist(), b.num_rows]
+            values, done = np.stack([b.column(b.schema.get_field_index(c)).to_numpy() for c in (*CHANNELS, "relevance", "lacking")]), []
+            for low, high in zip(edges, edges[1:]):
+                own = [b.column(i).slice(low, 1) for i in range(len(keys))]
+                if held is None or any(x.to_pylist() != y.to_pylist() for x, y in zip(own, last)):
+                    if held is not None:
+                        done.append((last, held))
+                    held, last = _Rankings(weights), own
+                held.add(values[:3, low:high], *values[3:, low:high])
+            if done:
+                yield leave(done)
+        if held is not None:
+            yield leave([(last, held)])
+
+    return d.repartition(*keys).sortWithinPartitions(*keys, "page_id").mapInArrow(run, schema)
 
 
 def _better(x: Column, y: Column, names) -> Column:

@@ -21,16 +21,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Lines of a partition of the score table.
+LINES = 250_000
+
+
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw score table of the study."""
+    """The raw score table of the study. Lines are dealt out by query, into more
+    partitions the more there are: the pages of a query and their rankings need
+    no further shuffle, and a task's share does not grow."""
     returned = F.col("l_returnflag") == "R"
-    d = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(
+    lines = table(spark, sf_dir, "lineitem").withColumn("query_id", F.col("l_suppkey").cast("string"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // LINES))
+    d = lines.repartition(parts, "query_id").groupBy("query_id", "l_suppkey", "l_partkey").agg(
         F.least(F.lit(3), F.count_if(returned & (F.col("l_discount") >= 0.09))).cast("double").alias("relevance"),
         F.sum("l_quantity").alias("bm25_score"), F.max("l_discount").alias("dense_score"), F.max("l_extendedprice").alias("visual_score"),
         (F.max("l_quantity") + 100.0 * F.max("l_tax")).alias("stage1_score"), (F.max("l_extendedprice") + 1000.0 * F.count_if(returned)).alias("full_score"),
     )
     return d.select(
-        F.lit("tpch").alias("dataset"), F.col("l_suppkey").cast("string").alias("query_id"),
+        F.lit("tpch").alias("dataset"), "query_id",
         F.format_string("doc%05d_page_%04d", F.expr("l_partkey div 10"), F.expr("l_partkey % 10")).alias("page_id"),
         F.when(F.col("l_suppkey") % 2 == 0, "chart").otherwise("table").alias("source"), "relevance", "bm25_score", "dense_score", "stage1_score", "visual_score", "full_score",
         (5.0 + F.col("l_suppkey") % 7).alias("stage2_ms"), (100.0 + F.col("l_suppkey") % 11).alias("stage2_flops"),
@@ -43,7 +51,13 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw(spark, sf_dir).where("relevance > 0").select("query_id", "page_id", "relevance")
+    """The relevant pages: those of the lines that count as such, and no other
+    line is shuffled."""
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_discount >= 0.09").groupBy("l_suppkey", "l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    return lines.select(
+        F.col("l_suppkey").cast("string").alias("query_id"), F.format_string("doc%05d_page_%04d", F.expr("l_partkey div 10"), F.expr("l_partkey % 10")).alias("page_id"),
+        F.least(F.lit(3), "n").cast("double").alias("relevance"),
+    )
 
 
 def with_labels(df: DataFrame, labels: DataFrame) -> DataFrame:

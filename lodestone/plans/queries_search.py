@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import budget, decisions, gate, metrics, normalize, oracle, page_oracle, stats, training
 from ..operators.contracts import CHANNELS
+from ..sources.scratch import scratch
 
 from . import adapters as ad
 from .queries_core import _QM, METRICS
@@ -282,7 +283,7 @@ _GATE = f"""a AS {_group_sql('w7', W7)}, b AS {_group_sql('w66', W66)},
 def _gates(spark, d):
     """The inputs of the gates, measured on five groups of queries."""
     group = F.concat(F.lit("g"), F.expr("string(cast(query_id as bigint) % 5)")).alias("name")
-    rows, out = ad.labelled(spark, d), None
+    rows, out = scratch(ad.labelled(spark, d), "rows"), None
     for name, grid in (("w7", W7), ("w66", W66)):
         pm = oracle.profile_metrics(rows, grid).withColumn("ndcg10", F.round("ndcg10", 9))
         delta = pm.groupBy("query_id").agg((F.max("ndcg10") - F.avg("ndcg10")).alias("delta")).select(group, "delta")
@@ -294,7 +295,7 @@ def _gates(spark, d):
         one = ranked.groupBy("name").agg(F.avg(x).alias(f"{name}_mean_delta"), low.alias(f"{name}_low"), F.avg((x >= 0.05).cast("double")).alias(f"{name}_gain_ge_005"), share.alias(f"{name}_top_5pct_share"))
         out = one if out is None else out.join(one, "name")
     pooled = rows.where("relevance > 0").select("query_id", "page_id", F.lit(1.0).alias("held"))
-    cover = ad.raw(spark, d).where("relevance > 0").join(pooled, ["query_id", "page_id"], "left").groupBy(group).agg(F.avg(F.coalesce("held", F.lit(0.0))).alias("coverage"))
+    cover = ad.qrels(spark, d).join(pooled, ["query_id", "page_id"], "left").groupBy(group).agg(F.avg(F.coalesce("held", F.lit(0.0))).alias("coverage"))
     full = _metrics(spark, d).groupBy(group).agg(F.avg(F.col("ndcg_full") - F.col("ndcg_stage1")).alias("full_gain"))
     return out.join(cover, "name").join(full, "name")
 
@@ -426,7 +427,7 @@ def n8(spark, d):
     """Do the plain and the weighted pairwise loss order the 66 static profiles
     as nDCG does? Rank correlation over the grid, and the nDCG gap of the first
     profile with the least loss, with the gate of each loss."""
-    rows = ad.labelled(spark, d)
+    rows = scratch(ad.labelled(spark, d), "rows")
     return gate.loss_alignment(rows, W66, oracle.global_means(oracle.profile_metrics(rows, W66)))
 
 
@@ -458,7 +459,7 @@ def r_data(spark, d):
     profile over the mean one. The budget summaries hold b* at 50, the control
     gap at 0.01 and retention at 0.98, so that means and fractions decide."""
     half = F.expr("cast(query_id as bigint) % 2").alias("half")
-    rows, sides = ad.labelled(spark, d), None
+    rows, sides = scratch(ad.labelled(spark, d), "rows"), None
     for name, grid in (("w7", W7), ("w66", W66)):
         pm = oracle.profile_metrics(rows, grid).withColumn("ndcg10", F.round("ndcg10", 9))
         delta = pm.groupBy("query_id").agg((F.max("ndcg10") - F.avg("ndcg10")).alias("delta"))
