@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import unicodedata
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,18 +17,33 @@ def composed(text: pd.Series) -> pd.Series:
 
 
 def sequence_edits(a, b) -> int:
-    """Least insertions, deletions and substitutions between two sequences: one
-    row of the table at a time, insertions by a running minimum."""
-    ids = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = np.array([ids[w] for w in a], int), np.array([ids[w] for w in b], int)
-    at = np.arange(len(y) + 1)
-    row = at.copy()
-    for i, w in enumerate(x, 1):
-        best = np.empty_like(row)
-        best[0] = i
-        best[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != w))
-        row = np.minimum.accumulate(best - at) + at
-    return int(row[-1])
+    """Least insertions, deletions and substitutions between two sequences. A
+    column of the table is two whole numbers, whose bits say where it rises and
+    falls by one down the longer sequence; a step of the shorter one is a few
+    operations on them (Myers 1999, Hyyro 2003)."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    if not b:
+        return len(a)
+    at: dict = {}
+    for i, w in enumerate(a):
+        at.setdefault(w, []).append(i)
+    wanted, size = set(b), len(a) // 8 + 1
+    equal = {}
+    for w in wanted & at.keys():
+        bits = bytearray(size)
+        for i in at[w]:
+            bits[i >> 3] |= 1 << (i & 7)
+        equal[w] = int.from_bytes(bits, "little")
+    every, last = (1 << len(a)) - 1, len(a) - 1
+    rises, falls, edits = every, 0, len(a)
+    for w in b:
+        eq = equal.get(w, 0)
+        across = ((((eq & rises) + rises) ^ rises) | eq) & every
+        up, down = falls | ((across | rises) ^ every), rises & across
+        edits += (up >> last & 1) - (down >> last & 1)
+        up, down, x = (up << 1 | 1) & every, (down << 1) & every, eq | falls
+        rises, falls = down | ((x | up) ^ every), up & x
+    return edits
 
 
 @F.pandas_udf(T.DoubleType())

@@ -44,11 +44,18 @@ def i3(spark, d):
     return ad.table(spark, d, "documents").select("doc_id", text.composed("text").alias("t"))
 
 
+#: Documents of a task that counts word edits.
+EDITED = 2_000
+
+
 @query("i4_word_errors", None, "rate")
 def i4w(spark, d):
-    """Word edits between neighbouring documents; brute force in the tests."""
+    """Word edits between neighbouring documents; brute force in the tests. They
+    are dealt into more tasks the more there are, as edits take longer than reading."""
     t = ad.table(spark, d, "documents").select("doc_id", "text")
-    other = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-t.count() // EDITED))
+    other = t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")).repartition(parts, "doc_id")
+    t = t.repartition(parts, "doc_id")
     return t.join(other, "doc_id").select("doc_id", text.word_error_rate("text", "other").alias("rate"))
 
 

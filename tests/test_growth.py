@@ -1,5 +1,6 @@
 """Shares of a task that stay the same however large the tables are."""
 
+import time
 import tracemalloc
 
 import numpy as np
@@ -39,3 +40,27 @@ def test_dense_query_uses_blocks(spark, sf):
     from lodestone.plans.queries_text import j4
 
     assert "FlatMapCoGroupsInArrow" in plan(j4(spark, sf))
+
+
+def test_word_edits_are_dealt_out_by_documents(spark, sf, monkeypatch):
+    from lodestone.plans import queries_more
+
+    monkeypatch.setattr(queries_more, "EDITED", 10)
+    n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    d = queries_more.i4w(spark, sf)
+    assert "hashpartitioning(doc_id" in plan(d) and f", {-(-n // 10)})" in plan(d)
+
+
+def test_long_word_sequences():
+    from lodestone.functions.text import sequence_edits
+
+    a = [str(i) for i in np.random.default_rng(1).integers(0, 400, 30_000)]
+    began = time.process_time()
+    assert sequence_edits(a, a[7:] + ["end"] * 5) == 12 == sequence_edits(a[7:] + ["end"] * 5, a)
+    assert time.process_time() - began < 4  # a table of 9e8 cells
+
+
+def test_outcomes_read_the_tables_beforehand(spark, sf):
+    from lodestone.plans.queries_gates import r5
+
+    assert "lineitem" not in plan(r5(spark, sf))
