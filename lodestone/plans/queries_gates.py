@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import budget, decisions, oracle, stats
+from ..sources.scratch import scratch
 
 from . import adapters as ad
 
@@ -59,15 +60,17 @@ _LOW = "avg(delta) - 1.96 * coalesce(stddev_samp(delta), 0) / sqrt(CAST(count(*)
 def r5(spark, d):
     """A pilot of each source: what a query's own profile brings over the one for
     all, and how much of the relevant pages the pool holds."""
-    raw, rows = ad.raw(spark, d), ad.labelled(spark, d)
-    source = raw.groupBy("query_id").agg(F.first("source").alias("source"))
-    deltas = oracle.oracle_rows(rows, W7).join(source, "query_id").select("query_id", "source", "delta")
+    positive = F.count_if(F.col("relevance") > 0)
+    rows = scratch(ad.labelled(spark, d), "rows")
+    per = ad.raw(spark, d).groupBy("query_id").agg(F.first("source").alias("source"), positive.alias("wanted")).join(rows.groupBy("query_id").agg(positive.alias("held")), "query_id", "left")
+    found = oracle.oracle_rows(rows, W7, metrics=scratch(oracle.profile_metrics(rows, W7), "metrics"))
+    per = scratch(per.join(found.select("query_id", "delta"), "query_id", "left"), "queries")  # a row a query
+    deltas = per.where("delta IS NOT NULL")
     x = F.col("delta")
     low = F.avg(x) - 1.96 * F.coalesce(F.stddev_samp(x), F.lit(0.0)) / F.sqrt(F.count(F.lit(1)).cast("double"))
     g = deltas.groupBy("source").agg(F.count(F.lit(1)).alias("queries"), F.avg(x).alias("mean_delta"), low.alias("low"), F.avg((x >= 0.03).cast("double")).alias("gain_ge_003"))
     shares = [stats.top_share(deltas.where(F.col("source") == s), "delta").withColumn("source", F.lit(s)) for s in ("chart", "table")]
-    pooled = rows.where("relevance > 0").select("query_id", "page_id", F.lit(1).alias("held"))
-    cover = raw.where("relevance > 0").join(pooled, ["query_id", "page_id"], "left").groupBy("source").agg(F.avg(F.coalesce("held", F.lit(0)).cast("double")).alias("coverage"))
+    cover = per.groupBy("source").agg(F.try_divide(F.coalesce(F.sum("held"), F.lit(0)), F.sum("wanted")).alias("coverage"))
     g = g.join(reduce(DataFrame.unionByName, shares), "source").join(cover, "source", "left").na.fill(1.0, ["coverage"])
     outcome = decisions.outcome(F.col("coverage") < 0.95, F.col("mean_delta") < 0.01, F.col("low") <= 0)
     return g.withColumns({"pilot": decisions.feasibility(), "outcome": outcome})
