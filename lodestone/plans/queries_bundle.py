@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bundle, normalize, ranking
 from ..operators.contracts import KEY
+from ..sources.scratch import scratch
 
 from . import adapters as ad
 from .registry import query
@@ -50,8 +51,10 @@ def c16(spark, d):
     unit = unit.withColumn("branch_ranks", F.to_json(F.struct(*[F.col(r).alias(b) for b, r in _RANKS.items()])))
     moved, dropped = F.endswith("page_id", F.lit("_0007")), F.endswith("page_id", F.lit("_0003")) & (F.col("query_id").cast("int") % 7 == 0)
     scores = unit.withColumn("bm25_score", F.when(moved, F.col("bm25_score") + 1e-6).otherwise(F.col("bm25_score"))).where(~dropped)
-    hit = F.count_if(F.col("relevance") > 0)
-    audit = raw.groupBy(*KEY).agg(hit.cast("int").alias("relevant_selected"))
-    cover = scores.agg(hit.alias("kept")).crossJoin(raw.agg(hit.alias("all"))).select((F.col("kept") / F.col("all")).alias("final_coverage"), F.lit(0.95).alias("minimum_required"))
-    facts = raw.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("query_id").alias("queries")).first()
-    return bundle.check(raw, scores, audit, cover, rows=facts["rows"], queries=facts["queries"]).drop("example")
+    hit = F.col("relevance") > 0
+    # what the rest needs to know of the rows is a row a query, made in one pass
+    per = scratch(raw.groupBy(*KEY).agg(F.count(F.lit(1)).alias("rows"), F.count_if(hit).alias("all"), F.count_if(hit & ~dropped).alias("kept")), "queries")
+    audit = per.select(*KEY, F.col("all").cast("int").alias("relevant_selected"))
+    cover = per.agg((F.sum("kept") / F.sum("all")).alias("final_coverage"), F.lit(0.95).alias("minimum_required"))
+    facts = per.agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("queries")).first()
+    return bundle.check(raw, scores, audit, cover, rows=facts["rows"] or 0, queries=facts["queries"]).drop("example")

@@ -64,3 +64,10 @@ def test_outcomes_read_the_tables_beforehand(spark, sf):
     from lodestone.plans.queries_gates import r5
 
     assert "lineitem" not in plan(r5(spark, sf))
+
+
+def test_bundle_facts_are_a_row_a_query(spark, sf):
+    """What the bundle's check is told of the whole is read from a written table."""
+    from lodestone.plans.queries_bundle import c16
+
+    assert plan(c16(spark, sf)).count("lineitem.parquet") <= 2  # once a side
