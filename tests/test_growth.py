@@ -71,3 +71,23 @@ def test_bundle_facts_are_a_row_a_query(spark, sf):
     from lodestone.plans.queries_bundle import c16
 
     assert plan(c16(spark, sf)).count("lineitem.parquet") <= 2  # once a side
+
+
+def test_bm25_is_dealt_out_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(scorers, "TASK_PAIRS", 20)
+    monkeypatch.setattr(scorers, "LEAST_PAGES", 5)
+    p = spark.createDataFrame([(f"p{i:03d}", f"some words w{i % 7} w{i % 3}") for i in range(60)], "page_id string, text string")
+    q = spark.createDataFrame([("a", "w1 w2"), ("b", "words w0")], "query_id string, text string")
+    d = scorers.bm25_top(p, q, 4)
+    assert "hashpartitioning(page_id" in plan(d) and ", 6)" in plan(d) and rows(d) == best(scorers.bm25(p, q), 4)
+
+
+def test_blocks_are_ranked_in_slices():
+    r = np.random.default_rng(2)
+    some = lambda n: pa.array([[list(v)] for v in r.integers(-9, 9, (n, 4)).astype(float)])
+    pages, queries = pa.table({"page_id": pa.array(range(5_000)), "vectors": some(5_000)}), pa.table({"query_id": pa.array(range(1_500)), "asked": some(1_500)})
+    tracemalloc.start()
+    out = scorers._block_top(10, ["query_id", "page_id", "score"])(pages, queries)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows == 15_000 and peak < 50_000_000
