@@ -134,8 +134,11 @@ class Pieces:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-#: Bytes of words handled at once; a longer word is handled window by window.
+#: A longer word is handled window by window.
 WINDOW = 1 << 20
+#: Bytes of words handled at once, with some 300 bytes of arrays for each; a
+#: longer word is handled alone.
+TOGETHER = 1 << 18
 #: Longest stretch of a word whose positions are steps over all stretches.
 _SHORT = 64
 _TINY, _LIFT = 1e-100, 1e100
@@ -259,7 +262,7 @@ def word_likelihoods(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, pie
     used = np.zeros(len(pieces.strings)) if counts is not None else None
     at = 0
     while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + WINDOW, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + min(TOGETHER, WINDOW), "right")))
         spans = Spans(data[starts[at] : ends[to - 1]])
         a, b = starts[at:to] - starts[at], ends[at:to] - starts[at]
         if b[-1] > WINDOW:
@@ -324,7 +327,7 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], size: int = 2 * WINDOW) -> Iterator[pa.Table]:
+def _gathered(batches: Iterator[pa.RecordBatch], size: int = 2 * TOGETHER) -> Iterator[pa.Table]:
     """Small batches put together and large ones cut, by bytes of words: the
     cost of a call has a part that does not depend on its rows."""
     held, n = [], 0
