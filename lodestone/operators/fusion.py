@@ -37,6 +37,12 @@ def rrf_of(channels, keys, k: int = 60) -> Column:
     return sum(parts[1:], parts[0])
 
 
+def rrf_of_ranks(channels, k: int = 60) -> Column:
+    """``rrf_of`` where the rows have their ``<channel>_rank`` already."""
+    parts = [1.0 / (k + F.col(c.removesuffix("_score") + "_rank")) for c in channels]
+    return sum(parts[1:], parts[0])
+
+
 def rrf_from_ranks(branch_ranks: str, branches=("bm25", "dense", "visual"), k: int = 60) -> Column:
     ranks = F.from_json(branch_ranks, "bm25 INT, dense INT, stage1 INT, visual INT")
     parts = [1.0 / (k + ranks[b]) for b in branches]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import document_of, ratio
 from .contracts import CHANNELS, label_free
-from .fusion import rrf_of
+from .fusion import rrf_of_ranks
 from .ranking import channel_top_lists, with_ranks
 
 DEPTHS = {"initial": (200, 100, 100), "final": (300, 200, 200)}
@@ -106,27 +106,32 @@ def rescued(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "query_id").where("b < 1").select("query_id", F.when(F.col("a") >= 1, "rescued").otherwise("still_uncovered").alias("state"))
 
 
+def _fused(scores: DataFrame, k: int) -> DataFrame:
+    """``scores`` with the channels' ranks, their reciprocal-rank fusion, from the
+    same ranks, and the page's document."""
+    ranked = with_ranks(label_free(scores), CHANNELS)
+    return ranked.withColumn("rrf_score", rrf_of_ranks(CHANNELS, k)).withColumn("document_id", document_of("page_id"))
+
+
+def _first() -> Column:
+    """The best page's fusion, negative, and its document; first id among equals."""
+    return F.min(F.struct((-F.col("rrf_score")).alias("less"), "document_id"))
+
+
 def top_document(scores: DataFrame, k: int = 60) -> DataFrame:
     """(query_id, document_id, document_rrf): the document whose best page has
     the highest reciprocal-rank fusion over the whole corpus, first id among equals."""
-    fused = label_free(scores).withColumn("rrf", rrf_of(CHANNELS, ["query_id"], k)).withColumn("document_id", document_of("page_id"))
-    best = fused.groupBy("query_id", "document_id").agg(F.max("rrf").alias("document_rrf"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("document_rrf"), "document_id")
-    return best.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
+    best = _fused(scores, k).groupBy("query_id").agg(_first().alias("best"))
+    return best.select("query_id", "best.document_id", (-F.col("best.less")).alias("document_rrf"))
 
 
 def expand_top_document(scores: DataFrame, k: int, rrf_k: int = 60) -> DataFrame:
     """(query_id, page_id, document_id, priority, rrf_score): pages of the top
     document that the union pool lacks, best first, up to 3k pages a query."""
-    d = label_free(scores).withColumn("rrf_score", rrf_of(CHANNELS, ["query_id"], rrf_k)).withColumn("document_id", document_of("page_id"))
-    ranked = with_ranks(d, CHANNELS)
-    ranked = ranked.withColumn("base", F.least("bm25_rank", "dense_rank", "visual_rank") <= k)
     w = Window.partitionBy("query_id")
-    ranked = ranked.withColumn("base_count", F.count_if("base").over(w))
-    per_doc = Window.partitionBy("query_id", "document_id")
-    ranked = ranked.withColumn("document_rrf", F.max("rrf_score").over(per_doc))
-    top = F.first("document_id").over(w.orderBy(F.desc("document_rrf"), "document_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    missing = ranked.withColumn("top", top).where("document_id = top AND NOT base")
+    ranked = _fused(scores, rrf_k).withColumn("base", F.least("bm25_rank", "dense_rank", "visual_rank") <= k)
+    ranked = ranked.withColumns({"base_count": F.count_if("base").over(w), "top": _first().over(w)["document_id"]})
+    missing = ranked.where("document_id = top AND NOT base")
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), "page_id")
     missing = missing.withColumn("priority", F.row_number().over(order)).where(F.col("priority") <= 3 * k - F.col("base_count"))
     return missing.select("query_id", "page_id", "document_id", "priority", "rrf_score")
