@@ -127,24 +127,32 @@ def listwise_loss(units: DataFrame) -> DataFrame:
     return per.agg(F.avg(F.col("lse") - F.col("s") / F.col("n")).alias("loss"), F.count(F.lit(1)).alias("queries"))
 
 
+#: Pairs of pages, each under some profiles, that are compared at once.
+PAIRS = 1 << 18
+
+
 def _profile_losses(profiles, k: int):
     """Mean plain and weighted pairwise losses of a query under every profile."""
     weights, names = np.array(profiles, float), ["query_id", "profile", "plain", "weighted"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("page_id")
-        x, hit = pdf[CHANNELS].to_numpy(float), pdf["relevance"].to_numpy(float) > 0
+        (a, b, c), hit = pdf[CHANNELS].to_numpy(float).T, pdf["relevance"].to_numpy(float) > 0
         if hit.all() or not hit.any():
             return pd.DataFrame(columns=names)
-        rows, gain = [], np.zeros(len(hit))
+        score = weights[:, :1] * a + weights[:, 1:2] * b + weights[:, 2:] * c
+        gain, cut = np.zeros(len(hit)), np.empty(score.shape)
         gain[: min(k, len(hit))] = 1 / np.log2(np.arange(2, min(k, len(hit)) + 2))
-        for i, (a, b, c) in enumerate(weights):
-            score, cut = x[:, 0] * a + x[:, 1] * b + x[:, 2] * c, np.empty(len(hit))
-            cut[np.argsort(-score, kind="stable")] = gain
-            loss = np.logaddexp(0, score[~hit][None, :] - score[hit][:, None])
-            w = np.abs(cut[hit][:, None] - cut[~hit][None, :])
-            rows.append((pdf["query_id"].iloc[0], i, loss.mean(), (loss * w).sum() / w.sum() if w.any() else 0.0))
-        return pd.DataFrame(rows, columns=names)
+        np.put_along_axis(cut, np.argsort(-score, axis=1, kind="stable"), np.broadcast_to(gain, score.shape), 1)
+        step, plain, weighted = max(1, PAIRS // int(hit.sum() * (~hit).sum())), [], []
+        for at in range(0, len(weights), step):
+            s, t = score[at : at + step], cut[at : at + step]
+            loss = np.logaddexp(0, s[:, None, ~hit] - s[:, hit, None])
+            w = np.abs(t[:, hit, None] - t[:, None, ~hit])
+            total = w.sum((1, 2))
+            plain.append(loss.mean((1, 2)))
+            weighted.append(np.divide((loss * w).sum((1, 2)), total, out=np.zeros(len(s)), where=total != 0))
+        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "profile": np.arange(len(weights)), "plain": np.concatenate(plain), "weighted": np.concatenate(weighted)})
 
     return run
 
@@ -156,8 +164,9 @@ def loss_alignment(rows: DataFrame, profiles, means: DataFrame, k: int = 10) ->
 
     rho is the rank correlation of loss and nDCG over the profiles, gap what the
     first profile of the least loss lacks to the best nDCG. Losses and means are
-    compared to nine digits. A query's pairs are matrices inside its pool, one
-    profile after another; one row a query and profile leaves it.
+    compared to nine digits. A query's pairs are matrices inside its pool, for
+    so many profiles together as make PAIRS of them; one row a query and profile
+    leaves it.
     """
     d = rows.select("query_id", "page_id", "relevance", *CHANNELS)
     per = d.groupBy("query_id").applyInPandas(_profile_losses(profiles, k), "query_id string, profile int, plain double, weighted double")

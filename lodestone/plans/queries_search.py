@@ -426,8 +426,9 @@ _ALIGN = f"""{_profile_sql(W66)}, gn AS (SELECT profile, round(avg(ndcg10), 9) A
 def n8(spark, d):
     """Do the plain and the weighted pairwise loss order the 66 static profiles
     as nDCG does? Rank correlation over the grid, and the nDCG gap of the first
-    profile with the least loss, with the gate of each loss."""
-    rows = scratch(ad.labelled(spark, d), "rows")
+    profile with the least loss, with the gate of each loss. Losses and metrics
+    read one exchange of the rows."""
+    rows = scratch(ad.labelled(spark, d).select("query_id", "page_id", "relevance", *CHANNELS), "rows").repartition("query_id")
     return gate.loss_alignment(rows, W66, oracle.global_means(oracle.profile_metrics(rows, W66)))
 
 
