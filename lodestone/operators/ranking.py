@@ -112,17 +112,19 @@ def first_relevant(df: DataFrame, score: str, k: int = 10, keys=QUERY) -> DataFr
     return d.groupBy(*keys).agg(F.min(F.when(F.col("relevance") > 0, F.col("rank"))).alias("first_rank"), F.min_by("page_id", "rank").alias("top_page"))
 
 
-def hash_numbers(df: DataFrame, digest: Column, ties: list[str], out: str = "position", total: str | None = None) -> DataFrame:
+def hash_numbers(df: DataFrame, digest: Column, ties: list[str], out: str = "position", total: str | None = None, keys: list[str] | None = None) -> DataFrame:
     """``df`` with 1-based positions in the order of a hex digest, without putting
     the table into one task: rows are numbered inside the 4,096 prefixes of the
-    digest, and counts of prefixes give each its first number."""
+    digest, and counts of prefixes give each its first number. With ``keys``, which
+    have few values and no nulls, each of them is numbered for itself."""
+    keys = keys or []
     d = df.withColumn("__h", digest).withColumn("__p", F.substring("__h", 1, 3))
-    counts = d.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
-    whole = Window.partitionBy(F.lit(0))
+    counts = d.groupBy(*keys, "__p").agg(F.count(F.lit(1)).alias("__c"))
+    whole = Window.partitionBy(*(keys or [F.lit(0)]))
     before = F.coalesce(F.sum("__c").over(whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("__p", before.alias("__s"), F.sum("__c").over(whole).alias("__n"))
-    number = F.row_number().over(Window.partitionBy("__p").orderBy("__h", *ties)) + F.col("__s")
-    d = d.join(F.broadcast(starts), "__p").withColumn(out, number)
+    starts = counts.select(*keys, "__p", before.alias("__s"), F.sum("__c").over(whole).alias("__n"))
+    number = F.row_number().over(Window.partitionBy(*keys, "__p").orderBy("__h", *ties)) + F.col("__s")
+    d = d.join(F.broadcast(starts), [*keys, "__p"]).withColumn(out, number)
     return (d.withColumn(total, F.col("__n")) if total else d).drop("__h", "__p", "__s", "__n")
 
 

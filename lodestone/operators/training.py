@@ -1,13 +1,15 @@
 """Training of the gate by stochastic gradient steps.
 
 A query's candidates are one record: its features, normalized scores and labels
-in page order. An epoch orders the queries by a seeded hash and cuts them into
-batches of equal size; a batch's loss and gradient are sums over its records.
-The sums are whole numbers of 2**-44, so they do not depend on the order of
-records, and a run gives the same bits every time, interrupted or not. A step
-starts from the one before it, so a task goes through the batches of a range of
-some thousand records and hands the parameters and the optimiser's moments to
-the next range by the driver: a job a range, not one a batch.
+in page order, packed into bytes once. An epoch orders the queries by a seeded
+hash and cuts them into batches of equal size; a batch's loss and gradient are
+sums over its records, which are computed side by side. The sums are whole
+numbers of 2**-44, so they do not depend on the order of records, and a run gives
+the same bits every time, interrupted or not. A step starts from the one before
+it, so a task goes through the batches of a range of some thousand records and
+hands the parameters and the optimiser's moments to the next range by the driver:
+a job of one task a range, not one a batch. The orders of many epochs are made in
+one pass; an epoch moves each record once.
 
 After every epoch the validation queries are ranked and the epoch with the best
 mean nDCG@10 is remembered, the earlier one among equals. A state is a line of
@@ -23,6 +25,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,8 +37,11 @@ XS = [f"{c}_minmax" for c in SHORT]
 #: Sums are whole numbers of this.
 UNIT = 2.0**-44
 TOP = 10
-#: Records that a task steps through.
-RANGE = 4096
+#: Records that a task steps through, and those that it is handed at a time, so
+#: that it computes while the next are read.
+RANGE, HANDED = 8192, 512
+#: Epochs whose orders are made in one pass.
+ORDERS = 20
 _BETA1, _BETA2, _EPSILON = 0.9, 0.999, 1e-8
 
 
@@ -155,26 +161,128 @@ def ndcg(score: np.ndarray, positive: np.ndarray, total: int) -> float:
     return float((positive[order] * weight[: len(order)]).sum() / ideal) if ideal else 0.0
 
 
+# ---------------------------------------------------------------- side by side
+def _slopes(score: np.ndarray, hit: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean logistic losses of records' positive over negative pages, whose scores
+    lie one after another, and their gradient by the scores. A record's pairs are
+    products of exponentials of its pages, filled up with zeros to the longest."""
+    records = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    slope, places, sides = np.empty(len(score)), [], []
+    for own, sign in ((hit, -1), (~hit, 1)):
+        pages = np.flatnonzero(own)
+        record = records[pages]
+        count = np.bincount(record, minlength=len(edges) - 1)
+        place = record, np.arange(len(pages)) - (np.cumsum(count) - count)[record]
+        side = np.zeros((len(count), count.max()))
+        side[place] = np.exp(sign * score[pages])
+        places.append((pages, place, count))
+        sides.append(side)
+    ratio = sides[0][:, :, None] * sides[1][:, None, :]
+    more = 1 + ratio
+    pairs = places[0][2] * places[1][2]
+    loss = np.log(more.prod(1)).sum(1) / pairs
+    ratio /= more
+    for (pages, place, _), axis, sign in zip(places, (2, 1), (-1, 1)):
+        slope[pages] = sign * (ratio.sum(axis) / pairs[:, None])[place]
+    return loss, slope
+
+
+def batch_sums(parameters: np.ndarray, s: Settings, batch: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray | None]:
+    """How many of the records (values, a column a page, and positives) can be
+    learnt from, and the sum of their losses and gradients in whole numbers: what
+    ``gradient`` gives for each, for all of them together."""
+    batch = [r for r in batch if r[1].any() and not r[1].all()]
+    if not batch:
+        return 0, None
+    own, xs = _places(s)
+    values, hit = np.concatenate([v for v, _ in batch], 1), np.concatenate([h for _, h in batch])
+    sizes = np.array([len(h) for _, h in batch])
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    f, x, layers, page = values[own], values[xs], unpack(parameters, s), s.level == "page"
+    given = f if page else np.add.reduceat(f, edges[:-1], axis=1) / sizes
+    units = np.tanh(layers[0] @ given + layers[1][:, None]) if s.hidden else given
+    logits = (layers[-2] @ units + layers[-1][:, None]) / s.temperature
+    gate = np.exp(logits - logits.max(0))
+    gate /= gate.sum(0)
+    gate = gate if page else np.repeat(gate, sizes, axis=1)
+    score = (gate * x).sum(0)
+    if not np.ptp(score) * hit.sum() < 600:  # products of exponentials would not be finite
+        found = [gradient(parameters, s, v[own].T, v[xs].T, h) for v, h in batch]
+        return len(batch), _exact(np.array([[loss, *slope] for loss, slope in found])).sum(0)
+    loss, slope = _slopes(score - score.mean(), hit, edges)
+    back = slope * gate * (x - score) / s.temperature
+    if not page:
+        back, edges = np.add.reduceat(back, edges[:-1], axis=1), np.arange(len(batch) + 1)
+    pairs = [(back, units)]
+    if s.hidden:
+        pairs.insert(0, (layers[-2].T @ back * (1 - units**2), given))
+    parts = [loss[:, None]]
+    for left, right in pairs:  # weights and biases of a layer, a record at a time
+        right = np.concatenate([right, np.ones((1, right.shape[1]))])
+        both = np.empty((len(batch), len(left), len(right)))
+        for i, (a, b) in enumerate(zip(edges, edges[1:])):
+            both[i] = np.einsum("ip,jp->ij", left[:, a:b], right[:, a:b])
+        parts += [both[:, :, :-1].reshape(len(batch), -1), both[:, :, -1]]
+    return len(batch), _exact(np.concatenate(parts, 1)).sum(0)
+
+
 # ---------------------------------------------------------------- records
-def records(feats: DataFrame, s: Settings) -> DataFrame:
-    """(query_id, total, p) from rows of features, minmax scores and relevance:
-    a row a query, its pages in order. A query's pool is bounded by its depth.
-    ``relevant_total`` is read where there is one."""
-    row = F.struct("page_id", (F.col("relevance") > 0).alias("hit"), F.array(*[F.col(c).cast("double") for c in (*s.features, *XS)]).alias("v"))
+def _columns(s: Settings) -> list[str]:
+    return list(dict.fromkeys([*s.features, *XS]))
+
+
+def records(feats: DataFrame, s: Settings, keep: list[str] | None = None) -> DataFrame:
+    """(query_id, keep, total, positives, pages, block) from rows of features,
+    minmax scores and relevance: a row a query. ``block`` holds its pages in order,
+    every value once: column after column of doubles, then a byte a page, 1 for a
+    positive, all compressed, as some features are the same on all pages of a query
+    and others have few values. A query's pool is bounded by its depth. ``relevant_total`` is read
+    where there is one; ``keep`` are columns that are the same on all its rows."""
+    keys = ["query_id", *(keep or [])]
+    row = F.struct("page_id", (F.col("relevance") > 0).alias("hit"), F.array(*[F.col(c).cast("double") for c in _columns(s)]).alias("v"))
     total = F.max("relevant_total") if "relevant_total" in feats.columns else F.count_if(F.col("relevance") > 0)
-    return feats.groupBy("query_id").agg(total.cast("long").alias("total"), F.array_sort(F.collect_list(row)).alias("p"))
+    d = feats.groupBy(*keys).agg(total.cast("long").alias("total"), F.array_sort(F.collect_list(row)).alias("p"))
+    kinds = dict(d.dtypes)
+    return d.mapInArrow(_packed, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", total long, positives int, pages int, block binary")
 
 
-def _each(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         p = b.column(b.schema.get_field_index("p"))
-        total = b.column(b.schema.get_field_index("total")).to_pylist()
         edges, flat = p.offsets.to_numpy() - p.offsets[0].as_py(), p.flatten()
         values = pa.compute.list_flatten(flat.field("v")).to_numpy(zero_copy_only=False).reshape(len(flat), -1)
         hit = flat.field("hit").to_numpy(zero_copy_only=False).astype(bool)
-        for i, n in enumerate(total):
-            v = values[edges[i] : edges[i + 1]]
-            yield n, v[:, : len(s.features)], v[:, len(s.features) :], hit[edges[i] : edges[i + 1]]
+        blocks = [pa.compress(values[a:z].T.tobytes() + hit[a:z].tobytes(), "lz4", asbytes=True) for a, z in zip(edges, edges[1:])]
+        positives = [int(hit[a:z].sum()) for a, z in zip(edges, edges[1:])]
+        others = [n for n in b.schema.names if n != "p"]
+        yield pa.RecordBatch.from_arrays(
+            [*[b.column(b.schema.get_field_index(n)) for n in others], pa.array(positives, pa.int32()), pa.array(np.diff(edges), pa.int32()), pa.array(blocks, pa.binary())],
+            names=[*others, "positives", "pages", "block"],
+        )
+
+
+def _places(s: Settings) -> tuple[slice | list[int], slice | list[int]]:
+    """Where features and normalized scores lie among a record's values."""
+    names, out = _columns(s), []
+    for own in (s.features, XS):
+        at = [names.index(c) for c in own]
+        out.append(slice(at[0], at[-1] + 1) if at == list(range(at[0], at[-1] + 1)) else at)
+    return out[0], out[1]
+
+
+def _blocks(b: pa.RecordBatch, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Values of records, a column a page, and their positives."""
+    rows = len(_columns(s))
+    for n, block in zip(b.column(b.schema.get_field_index("pages")).to_pylist(), b.column(b.schema.get_field_index("block"))):
+        buffer = pa.decompress(block.as_buffer(), n * (8 * rows + 1), "lz4")
+        yield np.frombuffer(buffer, float, n * rows).reshape(rows, n), np.frombuffer(buffer, bool, n, 8 * n * rows)
+
+
+def _each(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    own, xs = _places(s)
+    for b in batches:
+        for n, (values, hit) in zip(b.column(b.schema.get_field_index("total")).to_pylist(), _blocks(b, s)):
+            yield n, values[own].T, values[xs].T, hit
 
 
 def _whole(x) -> np.ndarray:
@@ -232,16 +340,18 @@ def step(state: State, slope: np.ndarray, s: Settings) -> None:
     state.parameters = state.parameters - s.rate * first / (np.sqrt(second) + _EPSILON)
 
 
-def order_key(epoch: int, seed: int) -> Column:
+def order_key(epoch: Column, seed: int) -> Column:
     """Queries come in ascending order of this in an epoch."""
-    return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col("query_id").cast("string")), 256)
+    return F.sha2(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.col("query_id").cast("string")), 256)
 
 
-def batched(rows: DataFrame, epoch: int, s: Settings) -> DataFrame:
-    """``rows``, one a query, with their batch in an epoch. Only the ids are
-    numbered, the records stay where they are."""
-    ids = hash_numbers(rows.select("query_id"), order_key(epoch, s.seed), ["query_id"], "number")
-    return rows.join(ids.select("query_id", F.floor((F.col("number") - 1) / s.batch).cast("long").alias("batch")), "query_id")
+def batched(rows: DataFrame, epochs: list[int], s: Settings) -> DataFrame:
+    """(query_id, batches): a query's batch in each of ``epochs``. Only ids are
+    numbered, for all epochs in one pass."""
+    ids = rows.select("query_id", F.explode(F.array(*[F.lit(e) for e in epochs])).alias("epoch"))
+    ids = hash_numbers(ids, order_key(F.col("epoch"), s.seed), ["query_id"], "number", keys=["epoch"])
+    batch = F.struct("epoch", F.floor((F.col("number") - 1) / s.batch).cast("long").alias("batch"))
+    return ids.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(batch)), lambda x: x["batch"]).alias("batches"))
 
 
 def train(
@@ -256,52 +366,70 @@ def train(
     make no step. Raises ValueError where nothing can be learnt, a value is not
     finite or the directory belongs to other settings.
     """
-    spark = training.sparkSession
     rows, held = records(training, s).persist(), records(validation, s).persist()
     try:
-        total, hits = rows.agg(F.count(F.lit(1)), F.count_if(F.exists("p", lambda r: r["hit"]) & F.exists("p", lambda r: ~r["hit"]))).first()
-        if not hits or not held.count():
-            raise ValueError("nothing to learn from, or no validation queries")
-        state = _last(spark, directory, s) if directory else None
-        state = state or start(s)
-        while state.epoch < s.epochs and state.epoch != stop_after:
-            state = _epoch(state, rows, held, total, s)
-            if directory:
-                spark.createDataFrame([(state.dumps(s),)], "value string").coalesce(1).write.text(f"{directory}/epoch={state.epoch}")
-        return state
+        return fit(rows, held, s, directory=directory, stop_after=stop_after)
     finally:
         rows.unpersist()
         held.unpersist()
 
 
+def fit(rows: DataFrame, held: DataFrame, s: Settings = Settings(), *, directory: str | None = None, stop_after: int | None = None) -> State:
+    """``train`` on the ``records`` of training and validation queries, which are
+    read several times."""
+    spark = rows.sparkSession
+    total, hits = rows.agg(F.count(F.lit(1)), F.count_if(F.expr("positives > 0 AND positives < pages"))).first()
+    if not hits or not held.count():
+        raise ValueError("nothing to learn from, or no validation queries")
+    state = _last(spark, directory, s) if directory else None
+    state = state or start(s)
+    end = s.epochs if stop_after is None or stop_after < state.epoch else min(s.epochs, stop_after)
+    while state.epoch < end:
+        epochs = list(range(state.epoch + 1, min(end, state.epoch + ORDERS) + 1))
+        dealt = rows.select("query_id", "pages", "block").join(batched(rows, epochs, s), "query_id").persist(StorageLevel.DISK_ONLY)
+        try:
+            for i in range(len(epochs)):
+                state = _epoch(state, dealt.select(F.col("batches")[i].alias("batch"), "pages", "block"), held, total, s)
+                if directory:
+                    spark.createDataFrame([(state.dumps(s),)], "value string").coalesce(1).write.text(f"{directory}/epoch={state.epoch}")
+        finally:
+            dealt.unpersist()
+    return state
+
+
 def _steps(own: DataFrame, state: State, s: Settings) -> list[float]:
     """The losses of the steps over a range of batches, which lie in one partition
     in their order; ``state`` moves on. A task makes one step after another, as
-    each starts from the one before, and holds one batch's sums."""
+    each starts from the one before, and holds one batch."""
 
     def run(batches):
-        moved, losses, at, count, sums = replace(state), [], None, 0, None
+        moved, losses, at, held = replace(state), [], None, []
 
         def leave():
+            count, sums = batch_sums(moved.parameters, s, held)
             if count:
-                mean = np.array([float(x) * UNIT for x in sums]) / count
+                mean = sums.astype(float) * UNIT / count
                 step(moved, mean[1:], s)
                 losses.append(float(mean[0]))
 
         for b in batches:
-            for number, (_, f, x, hit) in zip(b.column(b.schema.get_field_index("batch")).to_pylist(), _each(iter([b]), s)):
+            for number, record in zip(b.column(b.schema.get_field_index("batch")).to_pylist(), _blocks(b, s)):
                 if number != at:
                     leave()
-                    at, count, sums = number, 0, None
-                g = gradient(moved.parameters, s, f, x, hit)
-                if g is not None:
-                    count, sums = count + 1, _exact(np.concatenate([[g[0]], g[1]])) + (0 if sums is None else sums)
+                    at, held = number, []
+                held.append(record)
         leave()
         if losses:
             arrays = [pa.array([v], pa.list_(pa.float64())) for v in (moved.parameters.tolist(), moved.first.tolist(), moved.second.tolist(), losses)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([moved.steps])], names=["parameters", "first", "second", "losses", "steps"])
 
-    row = own.mapInArrow(run, "parameters array<double>, first array<double>, second array<double>, losses array<double>, steps long").collect()
+    conf, name = own.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = conf.get(name)
+    conf.set(name, str(HANDED))
+    try:
+        row = own.mapInArrow(run, "parameters array<double>, first array<double>, second array<double>, losses array<double>, steps long").collect()
+    finally:
+        conf.set(name, usual)
     if not row:
         return []
     (row,) = row  # the state of one task
@@ -315,12 +443,13 @@ def _epoch(state: State, rows: DataFrame, held: DataFrame, total: int, s: Settin
     state = State(**vars(state) | {"epoch": state.epoch + 1, "history": list(state.history)})
     batches, each = -(-total // s.batch), max(1, RANGE // s.batch)
     ranges = -(-batches // each)
-    own = batched(rows, state.epoch, s).withColumn("range", F.floor(F.col("batch") / each))
-    own = own.repartition(min(ranges, 4 * rows.sparkSession.sparkContext.defaultParallelism), "range").sortWithinPartitions("batch").persist()
+    own = rows.withColumn("range", F.floor(F.col("batch") / each).cast("int"))
+    # the records of a batch are summed in whole numbers, but computed side by side: their order is fixed too
+    own = own.repartitionById(min(ranges, 4 * rows.sparkSession.sparkContext.defaultParallelism), "range").sortWithinPartitions("batch", "block").persist()
     losses = []
     try:
         for r in range(ranges):
-            losses += _steps(own.where(F.col("range") == r), state, s)
+            losses += _steps(own.where(F.col("range") == r).coalesce(1), state, s)
     finally:
         own.unpersist()
     if not np.isfinite(state.parameters).all():

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +32,11 @@ def split_features(spark: SparkSession, d: str) -> DataFrame:
 def q7(spark, d):
     """The page gate of the best epoch: Adam over seeded batches of the training
     queries, chosen on the validation queries. Checked against NumPy in the tests."""
-    rows = split_features(spark, d)
-    best = training.train(rows.where("role = 'train'"), rows.where("role = 'validation'"), SETTINGS).best
+    rows = training.records(split_features(spark, d).where("role <> 'test'"), SETTINGS, ["role"]).persist(StorageLevel.DISK_ONLY)
+    try:
+        best = training.fit(rows.where("role = 'train'"), rows.where("role = 'validation'"), SETTINGS).best
+    finally:
+        rows.unpersist()
     return spark.createDataFrame([(best["epoch"], best["ndcg10"], i, v) for i, v in enumerate(best["parameters"])], "epoch int, ndcg10 double, parameter int, value double")
 
 
