@@ -50,6 +50,44 @@ def paired_summary(deltas: DataFrame, delta: str = "delta") -> DataFrame:
     )
 
 
+#: Rows of a range that is put in order.
+RANGE_ROWS = 500_000
+
+
+def quantiles(df: DataFrame, value: str, shares: dict[str, float], keys=()) -> DataFrame:
+    """(keys, a column a share): exact quantiles of a number, interpolated between
+    neighbours as ``percentile`` does, for a few groups whose values no task can
+    hold. Nulls are left out; a group of nulls has null.
+
+    Rows are dealt into ranges of their order, into more the more there are, and
+    written; the counts of the ranges tell in which of them a group's places lie,
+    and only those are counted by value and put in order.
+    """
+    keys = list(keys)
+    d = df.select(*keys, F.col(value).alias("__v"))
+    d = scratch(d.repartitionByRange(max(1, -(-d.count() // RANGE_ROWS)), *keys, "__v").withColumn("__range", F.spark_partition_id()), "values")
+    at = {n: F.lit(float(q)) * (F.col("__n") - 1) for n, q in shares.items()}
+    holds = lambda place, first, end: (F.col(first) <= place) & (place < F.col(end))
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    parts = d.groupBy(*keys, "__range").agg(F.count("__v").alias("__c")).withColumn("__n", F.sum("__c").over(group))
+    parts = parts.withColumn("__to", F.sum("__c").over(group.orderBy("__range").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("__from", F.col("__to") - F.col("__c"))
+    wanted = F.col("__n") == 0
+    for x in at.values():
+        wanted = wanted | holds(F.floor(x), "__from", "__to") | holds(F.ceil(x), "__from", "__to")
+    parts = parts.where(wanted).select(F.col("__range").alias("__own"), "__from", "__n", *[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)])
+    same = F.col("__range") == F.col("__own")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__key{i}"))
+    order = Window.partitionBy(*keys, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.join(F.broadcast(parts), same).groupBy(*keys, "__range", "__from", "__n", "__v").agg(F.count("__v").alias("__c"))
+    d = d.withColumn("__end", F.col("__from") + F.sum("__c").over(order)).withColumn("__first", F.col("__end") - F.col("__c"))
+    own = lambda place: F.max(F.when(holds(place, "__first", "__end"), F.col("__v"))).cast("double")
+    found = d.groupBy(*keys).agg(F.max("__n").alias("__n"), *[own(f(x)).alias(f"__{side}_{n}") for n, x in at.items() for side, f in (("low", F.floor), ("high", F.ceil))])
+    low, high = (lambda n: F.col(f"__low_{n}")), (lambda n: F.col(f"__high_{n}"))
+    between = lambda n, x: (F.ceil(x) - x) * low(n) + (x - F.floor(x)) * high(n)
+    return found.select(*keys, *[F.when(low(n) == high(n), low(n)).otherwise(between(n, x)).alias(n) for n, x in at.items()])
+
+
 def seed_report(per_seed: DataFrame) -> DataFrame:
     """One row from (seed, query_id, delta): seeds are averaged within a query
     first, then queries are summarized."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, decisions, sampling
+from ..operators import audit, decisions, sampling, stats
 from ..sources import readers, writers
 from ..sources.scratch import folder
 from ..streaming import scores as streaming
@@ -202,7 +202,7 @@ def e15(spark, d):
 @query("e16_latency", "WITH m AS (SELECT event_type, user_id, median(value) AS m FROM events GROUP BY 1, 2) SELECT event_type, median(m) AS median_of_medians, quantile_cont(m, 0.95) AS p95 FROM m GROUP BY 1", "median_of_medians p95")
 def e16(spark, d):
     m = ad.table(spark, d, "events").groupBy("event_type", "user_id").agg(F.percentile("value", 0.5).alias("m"))
-    return m.groupBy("event_type").agg(F.percentile("m", 0.5).alias("median_of_medians"), F.percentile("m", 0.95).alias("p95"))
+    return stats.quantiles(m, "m", {"median_of_medians": 0.5, "p95": 0.95}, ["event_type"])
 
 
 @query("e20_cost_projection", "SELECT event_type, count(*) AS n, avg(value) * 1000000 AS projected FROM events GROUP BY 1", "projected")
